@@ -140,3 +140,179 @@ SELECT lang, source, strategy, chosen_id, rejected_id, pair_rank FROM mined""")
 
 oracle("pair_strategy_counts", f"""WITH {MINED}
 SELECT strategy, count(*) AS n_pairs, count(DISTINCT (lang, source)) AS n_groups FROM mined GROUP BY strategy""")
+
+
+# ---------------------------------------------------------------- phase 2: text
+
+FIRST_FENCE_RE = "(?s)```(?:[\\p{L}\\p{N}_+\\-]+)?" + WS + "*(.*?)```"
+JAVA_FENCE_RE = "(?si)```(?:java)?" + WS + "*(.*?)" + WS + "*```"
+DIRECTION_RE = "from" + WS + "+(.*?)" + WS + "+to" + WS + "+(.*?)(?:" + WS + "|\\z|\\.)"
+
+
+def lst(options) -> str:
+    return "[" + ", ".join("'" + o.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for o in options) + "]"
+
+
+def pick(options, idx: str) -> str:
+    return f"{lst(options)}[(({idx}) % {len(options)}) + 1]"
+
+
+def nl(s: str) -> str:
+    """SQL string literal with real newlines."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def first_fence(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN '' WHEN regexp_matches({x}, '{FIRST_FENCE_RE}') "
+            f"THEN {strip(f'regexp_extract({x}, {nl(FIRST_FENCE_RE)}, 1)')} ELSE {strip(x)} END")
+
+
+def strip_fences(x: str) -> str:
+    return strip(f"replace(regexp_replace({x}, '```[a-zA-Z]*', '', 'g'), '```', '')")
+
+
+def strip_tokens(x: str) -> str:
+    return f"replace(replace({x}, '<|im_end|>', ''), '<|endoftext|>', '')"
+
+
+def after_marker(x: str) -> str:
+    return (f"CASE WHEN contains({x}, '<|im_start|>assistant') THEN string_split({x}, '<|im_start|>assistant')[-1] "
+            f"WHEN contains({x}, '@@ Response') THEN split_part({x}, '@@ Response', 2) "
+            f"WHEN contains({x}, '### Response:') THEN split_part({x}, '### Response:', 2) ELSE {x} END")
+
+
+def strip_comments(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '//.*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g')"
+
+
+def one_line(x: str) -> str:
+    return strip(f"regexp_replace({x}, '{WS}+', ' ', 'g')")
+
+
+def alias_sql(x: str) -> str:
+    return (f"CASE {x} WHEN 'c++' THEN 'cpp' WHEN 'cpp' THEN 'cpp' WHEN 'python' THEN 'python' "
+            f"WHEN 'java' THEN 'java' WHEN 'c#' THEN 'c_sharp' WHEN 'csharp' THEN 'c_sharp' "
+            f"WHEN 'go' THEN 'go' WHEN 'php' THEN 'php' WHEN 'javascript' THEN 'javascript' ELSE {x} END")
+
+
+FENCE_TAGS = ["python", "c++", "java", "c#", "cpp", ""]
+LANG_SPELLINGS = ["C++", "cpp", "Python", "Java", "C#", "csharp", "Go", "PHP", "JavaScript"]
+ENDINGS = [".", " ", "\n", ". "]
+GT_TAGS = ["cpp", "c++", "python", "java", "javascript"]
+
+INSTRUCTION = (f"CASE WHEN doc_id % 4 = 3 THEN text ELSE 'Translate the program from ' || {pick(LANG_SPELLINGS, 'doc_id')} "
+               f"|| ' to ' || {pick(LANG_SPELLINGS, 'doc_id * 7 + 3')} || {pick(ENDINGS, 'doc_id')} || text END")
+
+MARKED = ("CASE doc_id % 4 "
+          f"WHEN 0 THEN {nl('<|im_start|>system' + chr(10) + 'Be brief.<|im_end|>' + chr(10) + '<|im_start|>user' + chr(10) + 'Port it.<|im_end|>' + chr(10) + '<|im_start|>assistant' + chr(10) + '```python' + chr(10))} || text || {nl(chr(10) + '```<|im_end|>')} "
+          f"WHEN 1 THEN {nl('@@ Instruction' + chr(10) + 'Port it.' + chr(10) + '@@ Response' + chr(10))} || text || {nl('<|endoftext|>' + chr(10) + '@@ Response' + chr(10) + 'tail')} "
+          f"WHEN 2 THEN {nl('### Instruction:' + chr(10) + 'Port it.' + chr(10) + '### Response:' + chr(10) + '```java' + chr(10))} || text || {nl(chr(10) + '```')} "
+          "ELSE text END")
+
+oracle("fence_extract", f"""WITH w AS (
+  SELECT doc_id, CASE doc_id % 3
+    WHEN 0 THEN {nl('Sure, here it is:' + chr(10) + '```')} || {pick(FENCE_TAGS, 'doc_id')} || chr(10) || text || {nl(chr(10) + '```' + chr(10) + 'Done.')}
+    WHEN 1 THEN '```' || text || '```'
+    ELSE text END AS w FROM documents)
+SELECT doc_id, {first_fence('w')} AS code FROM w""")
+
+oracle("fence_strip", f"""SELECT doc_id, {strip_fences("'```' || " + pick(FENCE_TAGS, 'doc_id') + " || chr(10) || text || chr(10) || '```'")} AS code FROM documents""")
+
+oracle("answer_after_marker", f"""WITH w AS (SELECT doc_id, {MARKED} AS w FROM documents)
+SELECT doc_id, {strip_fences(strip_tokens(after_marker('w')))} AS code FROM w""")
+
+oracle("strip_end_tokens", f"""WITH w AS (SELECT doc_id, {MARKED} AS w FROM documents)
+SELECT doc_id, {strip_tokens('w')} AS code FROM w""")
+
+oracle("comment_strip", f"""SELECT page_id, {strip_comments("url || chr(10) || html || " + nl(chr(10) + '/* generated' + chr(10) + ' at build */ x = 1; // end'))} AS text FROM pages""")
+
+oracle("one_line", f"""SELECT page_id, {one_line('html')} AS text FROM pages""")
+
+oracle("line_format", f"""WITH w AS (
+  SELECT doc_id, {nl('Here you go:' + chr(10) + '```Java' + chr(10))} || text || {nl(' // note' + chr(10) + '/* block' + chr(10) + ' */' + chr(10) + '```' + chr(10) + 'Bye')} AS w FROM documents),
+f AS (SELECT doc_id, CASE WHEN contains(w, '```') AND regexp_matches(w, '{JAVA_FENCE_RE}') THEN regexp_extract(w, '{JAVA_FENCE_RE}', 1) ELSE w END AS f FROM w)
+SELECT doc_id, {one_line(strip_comments('f'))} AS code FROM f""")
+
+oracle("class_name", """WITH w AS (
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'public class ' || source || ' {' || chr(10) || text || chr(10) || '}' ELSE text END AS w FROM documents)
+SELECT doc_id, coalesce(nullif(regexp_extract(w, 'class\\s+(\\w+)', 1), ''), 'Main') AS class_name FROM w""")
+
+oracle("direction_parse", f"""WITH w AS (SELECT doc_id, lower({INSTRUCTION}) AS low FROM documents),
+m AS (SELECT doc_id, regexp_matches(low, '{DIRECTION_RE}') AS hit,
+             {alias_sql(strip(f"regexp_extract(low, {nl(DIRECTION_RE)}, 1)"))} AS src,
+             {alias_sql("regexp_replace(" + strip(f"regexp_extract(low, {nl(DIRECTION_RE)}, 2)") + ", '\\.+\\z', '')")} AS tgt
+      FROM w)
+SELECT doc_id, CASE WHEN hit THEN src || '2' || tgt ELSE 'unknown' END AS category,
+       CASE WHEN hit THEN tgt ELSE 'python' END AS target_lang FROM m""")
+
+oracle("detect_language", f"""WITH w AS (
+  SELECT doc_id, lower({INSTRUCTION}) AS low,
+         CASE WHEN doc_id % 5 < 3 THEN '```' || {pick(GT_TAGS, 'doc_id')} || chr(10) || text || chr(10) || '```' ELSE text END AS gt
+  FROM documents)
+SELECT doc_id, CASE
+  WHEN contains(gt, '```cpp') OR contains(gt, '```c++') THEN 'cpp'
+  WHEN contains(gt, '```python') THEN 'python'
+  WHEN contains(gt, '```java') THEN 'java'
+  WHEN contains(low, ' to cpp') OR contains(low, ' to c++') THEN 'cpp'
+  WHEN contains(low, ' to java') THEN 'java'
+  WHEN contains(low, ' to python') THEN 'python'
+  ELSE 'cpp' END AS lang FROM w""")
+
+oracle("pair_target", f"""SELECT doc_id, nullif(split_part(CASE WHEN doc_id % 3 = 0 THEN lang ELSE lang || '-' || {pick(LANG_SPELLINGS, 'doc_id')} END, '-', 2), '') AS target FROM documents""")
+
+# ---------------------------------------------------------------- phase 2: prompts
+
+TARGET_KEYS = ["cpp", "C++", "java", "Python", "go", "rust", "JavaScript"]
+CHAT_SYSTEM = "Translate the given code from python to java. The code sits between <Code> and </Code>."
+
+CONV_SAMPLES = """samples AS (
+  SELECT u.conv_id, u.turn, u.text AS instruction,
+         CASE WHEN p.role = 'system' THEN ' ' ELSE p.text END AS input
+  FROM conversations u
+  JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  LEFT JOIN conversations p ON p.conv_id = u.conv_id AND p.turn = u.turn - 1
+  WHERE u.role = 'user')"""
+
+
+def prompt_sql(has: str) -> str:
+    return (f"CASE WHEN {has} THEN '### Task' || chr(10) || instruction || chr(10) || '### Context' || chr(10) || input || chr(10) || '### Answer' || chr(10) "
+            f"ELSE '### Task' || chr(10) || instruction || chr(10) || '### Answer' || chr(10) END")
+
+
+oracle("prompt_build", f"""WITH {CONV_SAMPLES}
+SELECT conv_id, turn,
+       {prompt_sql(f"input IS NOT NULL AND NOT regexp_matches(input, '^{WS}*\\z')")} AS prompt_strip,
+       {prompt_sql("input IS NOT NULL AND input <> ''")} AS prompt_empty
+FROM samples""")
+
+oracle("prompt_wrap_idempotent", """WITH p AS (
+  SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || chr(10) || '### Response:' || chr(10) ELSE text END AS p FROM conversations)
+SELECT conv_id, turn, CASE WHEN contains(p, '### Response:') THEN p
+       ELSE 'You help with code.' || chr(10) || '### Instruction:' || chr(10) || p || chr(10) || chr(10) || '### Response:' || chr(10) END AS prompt
+FROM p""")
+
+oracle("system_prompt_by_lang", f"""WITH k AS (SELECT doc_id, {pick(TARGET_KEYS, 'doc_id')} AS k FROM documents),
+n AS (SELECT doc_id, k, CASE lower(k) WHEN 'cpp' THEN 'C++' WHEN 'c++' THEN 'C++' WHEN 'java' THEN 'Java'
+                       WHEN 'python' THEN 'Python' WHEN 'go' THEN 'Go' ELSE k END AS name FROM k)
+SELECT doc_id, 'You write ' || name || ' for a living. Convert the program below into idiomatic ' || name || '.'
+       || CASE WHEN lower(k) = 'python' THEN ' Keep every function name exactly as written.' ELSE '' END
+       || ' Answer with one block fenced as ```' || lower(name) || ' ... ``` and nothing else.' AS system_prompt
+FROM n""")
+
+oracle("chat_render", f"""WITH u AS (
+  SELECT conv_id, turn, '<Code>' || chr(10) || text || chr(10) || '</Code>' AS u FROM conversations WHERE role = 'user')
+SELECT conv_id, turn,
+  '<|system|>' || chr(10) || {nl(CHAT_SYSTEM)} || chr(10) || '<|user|>' || chr(10) || u || chr(10) || '<|assistant|>' || chr(10) AS chat,
+  '[INST] <<SYS>>' || chr(10) || {nl(CHAT_SYSTEM)} || chr(10) || '<</SYS>>' || chr(10) || chr(10) || u || ' [/INST]' AS inst
+FROM u""")
+
+oracle("format_reward", """SELECT conv_id, turn,
+  CASE WHEN contains(CASE WHEN (conv_id + turn) % 3 = 0 THEN '```python' || chr(10) || text || chr(10) || '```' ELSE text END, '```')
+       THEN 0.1 ELSE 0.0 END::DOUBLE AS format_reward
+FROM conversations WHERE role = 'assistant'""")
+
+oracle("reward_total", f"""WITH {RUNS}, {GT}, {CANDS}, {TIER_REWARD},
+f AS (SELECT *, CASE WHEN contains(CASE WHEN value > 50 THEN '```' || chr(10) || stdout || chr(10) || '```' ELSE stdout END, '```')
+                     THEN 0.1 ELSE 0.0 END::DOUBLE AS fmt FROM rewarded)
+SELECT user_id, day, cand_idx, round(reward::DOUBLE, 6) AS correctness, round(fmt, 6) AS format,
+       round(reward::DOUBLE + fmt, 6) AS total_reward FROM f""")

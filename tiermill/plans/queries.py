@@ -112,3 +112,190 @@ def q_pair_strategy_counts(spark, sf):
     return m.groupBy("strategy").agg(
         F.count("*").alias("n_pairs"),
         F.countDistinct(*X.GROUP_KEYS).alias("n_groups"))
+
+
+# ---------------------------------------------------------------- phase 2: text
+# Documents hold no fences, markers or comments, so each query wraps the whole
+# text inside the plan (the oracle wraps it the same way).
+
+from tiermill.functions import lang as L  # noqa: E402
+from tiermill.functions import prompts as PR  # noqa: E402
+from tiermill.functions import text as TX  # noqa: E402
+from tiermill.session import table  # noqa: E402
+
+FENCE_TAGS = ["python", "c++", "java", "c#", "cpp", ""]
+LANG_SPELLINGS = ["C++", "cpp", "Python", "Java", "C#", "csharp", "Go", "PHP", "JavaScript"]
+ENDINGS = [".", " ", "\n", ". "]
+GT_TAGS = ["cpp", "c++", "python", "java", "javascript"]
+
+
+def pick(options: list[str], idx) -> F.Column:
+    return F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(idx, F.lit(len(options))) + 1).cast("int"))
+
+
+def docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+
+
+def instruction_col() -> F.Column:
+    d = F.col("doc_id")
+    return F.when(F.pmod(d, F.lit(4)) == 3, F.col("text")).otherwise(F.concat(
+        F.lit("Translate the program from "), pick(LANG_SPELLINGS, d), F.lit(" to "),
+        pick(LANG_SPELLINGS, d * 7 + 3), pick(ENDINGS, d), F.col("text")))
+
+
+@query("fence_extract")
+def q_fence_extract(spark, sf):
+    d = F.col("doc_id")
+    w = (F.when(F.pmod(d, F.lit(3)) == 0, F.concat(F.lit("Sure, here it is:\n```"), pick(FENCE_TAGS, d), F.lit("\n"),
+                                                   F.col("text"), F.lit("\n```\nDone.")))
+          .when(F.pmod(d, F.lit(3)) == 1, F.concat(F.lit("```"), F.col("text"), F.lit("```")))
+          .otherwise(F.col("text")))
+    return docs(spark, sf).select("doc_id", TX.first_fence(w).alias("code"))
+
+
+@query("fence_strip")
+def q_fence_strip(spark, sf):
+    w = F.concat(F.lit("```"), pick(FENCE_TAGS, F.col("doc_id")), F.lit("\n"), F.col("text"), F.lit("\n```"))
+    return docs(spark, sf).select("doc_id", TX.strip_fences(w).alias("code"))
+
+
+def marked_text() -> F.Column:
+    d = F.pmod(F.col("doc_id"), F.lit(4))
+    t = F.col("text")
+    return (F.when(d == 0, F.concat(F.lit("<|im_start|>system\nBe brief.<|im_end|>\n<|im_start|>user\nPort it.<|im_end|>\n"
+                                          "<|im_start|>assistant\n```python\n"), t, F.lit("\n```<|im_end|>")))
+             .when(d == 1, F.concat(F.lit("@@ Instruction\nPort it.\n@@ Response\n"), t, F.lit("<|endoftext|>\n@@ Response\ntail")))
+             .when(d == 2, F.concat(F.lit("### Instruction:\nPort it.\n### Response:\n```java\n"), t, F.lit("\n```")))
+             .otherwise(t))
+
+
+@query("answer_after_marker")
+def q_answer_after_marker(spark, sf):
+    return docs(spark, sf).select("doc_id", TX.clean_answer(marked_text()).alias("code"))
+
+
+@query("strip_end_tokens")
+def q_strip_end_tokens(spark, sf):
+    return docs(spark, sf).select("doc_id", TX.strip_tokens(marked_text()).alias("code"))
+
+
+def pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", "url", "html")
+
+
+@query("comment_strip")
+def q_comment_strip(spark, sf):
+    w = F.concat(F.col("url"), F.lit("\n"), F.col("html"), F.lit("\n/* generated\n at build */ x = 1; // end"))
+    return pages(spark, sf).select("page_id", TX.strip_comments(w).alias("text"))
+
+
+@query("one_line")
+def q_one_line(spark, sf):
+    return pages(spark, sf).select("page_id", TX.one_line(F.col("html")).alias("text"))
+
+
+@query("line_format")
+def q_line_format(spark, sf):
+    w = F.concat(F.lit("Here you go:\n```Java\n"), F.col("text"), F.lit(" // note\n/* block\n */\n```\nBye"))
+    return docs(spark, sf).select("doc_id", TX.to_line_format(w).alias("code"))
+
+
+@query("class_name")
+def q_class_name(spark, sf):
+    w = F.when(F.pmod(F.col("doc_id"), F.lit(2)) == 0,
+               F.concat(F.lit("public class "), F.col("source"), F.lit(" {\n"), F.col("text"), F.lit("\n}"))).otherwise(F.col("text"))
+    return docs(spark, sf).select("doc_id", TX.class_name(w).alias("class_name"))
+
+
+@query("direction_parse")
+def q_direction_parse(spark, sf):
+    p = L.parse_direction(instruction_col())
+    return docs(spark, sf).select("doc_id", p["category"].alias("category"), p["lang"].alias("target_lang"))
+
+
+@query("detect_language")
+def q_detect_language(spark, sf):
+    d = F.col("doc_id")
+    gt = F.when(F.pmod(d, F.lit(5)) < 3, F.concat(F.lit("```"), pick(GT_TAGS, d), F.lit("\n"), F.col("text"), F.lit("\n```"))).otherwise(F.col("text"))
+    return docs(spark, sf).select("doc_id", L.detect_language(instruction_col(), gt).alias("lang"))
+
+
+@query("pair_target")
+def q_pair_target(spark, sf):
+    d = F.col("doc_id")
+    pair = F.when(F.pmod(d, F.lit(3)) == 0, F.col("lang")).otherwise(F.concat(F.col("lang"), F.lit("-"), pick(LANG_SPELLINGS, d)))
+    return docs(spark, sf).select("doc_id", L.pair_target(pair).alias("target"))
+
+
+# ---------------------------------------------------------------- phase 2: prompts
+
+WITH_INPUT = "### Task\n{instruction}\n### Context\n{input}\n### Answer\n"
+WITHOUT_INPUT = "### Task\n{instruction}\n### Answer\n"
+SYS_TEMPLATE = ("You write {name} for a living. Convert the program below into idiomatic {name}.{extra} "
+                "Answer with one block fenced as ```{name_lower} ... ``` and nothing else.")
+SYS_EXTRA = {"python": " Keep every function name exactly as written."}
+TARGET_KEYS = ["cpp", "C++", "java", "Python", "go", "rust", "JavaScript"]
+CHAT_SYSTEM = "Translate the given code from python to java. The code sits between <Code> and </Code>."
+
+
+def conv_samples(spark, sf):
+    """user turn t with the assistant turn t+1 of the same conversation; the
+    input is the turn before (blank when that turn is a system turn).  Equi
+    joins on (conv_id, turn) spread even a huge conversation over tasks."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("instruction"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
+    prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"),
+                    F.when(F.col("role") == "system", F.lit(" ")).otherwise(F.col("text")).alias("input"))
+    return u.join(a, ["conv_id", "turn"]).join(prev, ["conv_id", "turn"], "left")
+
+
+@query("prompt_build")
+def q_prompt_build(spark, sf):
+    s = conv_samples(spark, sf)
+    return s.select("conv_id", "turn",
+                    PR.build_prompt("instruction", "input", WITH_INPUT, WITHOUT_INPUT, rule="strip").alias("prompt_strip"),
+                    PR.build_prompt("instruction", "input", WITH_INPUT, WITHOUT_INPUT, rule="empty").alias("prompt_empty"))
+
+
+@query("prompt_wrap_idempotent")
+def q_prompt_wrap(spark, sf):
+    c = table(spark, sf, "conversations")
+    p = F.when(F.pmod(F.col("turn"), F.lit(2)) == 0, F.concat(F.col("text"), F.lit("\n### Response:\n"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", PR.wrap_prompt(p, "You help with code.\n### Instruction:\n", "\n\n### Response:\n").alias("prompt"))
+
+
+@query("system_prompt_by_lang")
+def q_system_prompt(spark, sf):
+    k = pick(TARGET_KEYS, F.col("doc_id"))
+    return docs(spark, sf).select("doc_id", PR.system_prompt_by_lang(k, SYS_TEMPLATE, L.LANG_NAMES, SYS_EXTRA).alias("system_prompt"))
+
+
+@query("chat_render")
+def q_chat_render(spark, sf):
+    c = table(spark, sf, "conversations").filter(F.col("role") == "user")
+    user = PR.tag_wrap(F.col("text"), "Code")
+    msgs = F.array(F.struct(F.lit("system").alias("role"), F.lit(CHAT_SYSTEM).alias("content")),
+                   F.struct(F.lit("user").alias("role"), user.alias("content")))
+    return c.select("conv_id", "turn",
+                    PR.render_chat(msgs, "<|{role}|>\n{content}\n", "<|assistant|>\n").alias("chat"),
+                    PR.inst_chat(F.lit(CHAT_SYSTEM), user).alias("inst"))
+
+
+@query("format_reward")
+def q_format_reward(spark, sf):
+    c = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    comp = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)) == 0,
+                  F.concat(F.lit("```python\n"), F.col("text"), F.lit("\n```"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", T.format_reward(comp).alias("format_reward"))
+
+
+@query("reward_total")
+def q_reward_total(spark, sf):
+    cands, gt = X.exec_stand_in(spark, sf)
+    r = T.tier(T.join_gt(cands, gt, X.SAMPLE_KEYS), policy="reward")
+    comp = F.when(F.col("value") > 50, F.concat(F.lit("```\n"), F.col("stdout"), F.lit("\n```"))).otherwise(F.col("stdout"))
+    out = T.total_reward(r, {"correctness": F.col("reward"), "format": T.format_reward(comp)})
+    return out.select(*X.SAMPLE_KEYS, "cand_idx", r6("correctness").alias("correctness"),
+                      r6("format").alias("format"), r6("total_reward").alias("total_reward"))
