@@ -316,3 +316,119 @@ f AS (SELECT *, CASE WHEN contains(CASE WHEN value > 50 THEN '```' || chr(10) ||
                      THEN 0.1 ELSE 0.0 END::DOUBLE AS fmt FROM rewarded)
 SELECT user_id, day, cand_idx, round(reward::DOUBLE, 6) AS correctness, round(fmt, 6) AS format,
        round(reward::DOUBLE + fmt, 6) AS total_reward FROM f""")
+
+
+# ---------------------------------------------------------------- phase 3: scores
+
+
+def grams_sql(src: str, col: str) -> str:
+    return (f"SELECT doc_id, n, array_to_string({col}[i:i + n - 1], ' ') AS g FROM ("
+            f"SELECT doc_id, {col}, n, unnest(generate_series(1, len({col}) - n + 1)) AS i "
+            f"FROM {src}, (SELECT unnest([1, 2, 3, 4]) AS n) ns WHERE len({col}) >= n)")
+
+
+DOC_STATS = f"""d AS (SELECT doc_id, lang, source, text, {toks('text')} AS r FROM documents),
+h AS (SELECT doc_id, lang, source, text, r, list_filter(r, lambda x, i: i % 7 <> 0) AS h FROM d),
+hc AS (SELECT doc_id, n, g, count(*) AS ch FROM ({grams_sql('h', 'h')}) GROUP BY doc_id, n, g),
+rc AS (SELECT doc_id, n, g, count(*) AS cr FROM ({grams_sql('h', 'r')}) GROUP BY doc_id, n, g),
+kw AS (SELECT lang, token FROM (
+         SELECT lang, token, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, token) AS rk
+         FROM (SELECT lang, unnest(r) AS token FROM d) GROUP BY lang, token) WHERE rk <= 50),
+j AS (SELECT doc_id, n, g, coalesce(ch, 0) AS ch, coalesce(cr, 0) AS cr FROM hc FULL JOIN rc USING (doc_id, n, g)),
+jw AS (SELECT j.*, CASE WHEN j.n = 1 THEN CASE WHEN kw.token IS NOT NULL THEN 1.0 ELSE 0.2 END ELSE 1.0 END::DOUBLE AS w
+       FROM j JOIN d USING (doc_id) LEFT JOIN kw ON kw.lang = d.lang AND kw.token = j.g AND j.n = 1),
+per AS (SELECT doc_id, n, sum(least(ch, cr)) AS m, sum(ch) AS t, sum(least(cr, ch) * w) AS wn, sum(cr * w) AS wd
+        FROM jw GROUP BY doc_id, n),
+stats AS (
+  SELECT h.doc_id, h.lang, h.source, h.text, len(h.h) AS hl, len(h.r) AS rl,
+         {", ".join(f"coalesce(max(m) FILTER (WHERE n = {k}), 0)::BIGINT AS m{k}" for k in range(1, 5))},
+         {", ".join(f"greatest(1, coalesce(max(t) FILTER (WHERE n = {k}), 0))::BIGINT AS d{k}" for k in range(1, 5))},
+         {", ".join(f"coalesce(max(wn) FILTER (WHERE n = {k}), 0.0)::DOUBLE AS wn{k}" for k in range(1, 5))},
+         {", ".join(f"greatest(1.0, coalesce(max(wd) FILTER (WHERE n = {k}), 0.0))::DOUBLE AS wd{k}" for k in range(1, 5))}
+  FROM h LEFT JOIN per USING (doc_id)
+  GROUP BY h.doc_id, h.lang, h.source, h.text, hl, rl)"""
+
+
+def score_sql(num: str, den: str) -> str:
+    logs = " + ".join(f"ln(CASE WHEN {num}{k} > 0 THEN {num}{k} / {den}{k} ELSE 0.1 / {den}{k} END)" for k in range(1, 5))
+    return (f"CASE WHEN {num}1 = 0 THEN 0.0 ELSE "
+            f"(CASE WHEN hl > rl THEN 1.0 WHEN hl = 0 THEN 0.0 ELSE exp(1.0 - rl::DOUBLE / hl) END) * exp(({logs}) / 4.0) END")
+
+
+DOC_EDGES = """re AS (SELECT doc_id, r[i] AS src, r[i + 1] AS dst FROM (
+        SELECT doc_id, r, unnest(generate_series(1, len(r) - 1)) AS i FROM h WHERE len(r) >= 2)),
+ce AS (SELECT DISTINCT doc_id, h[i] AS src, h[i + 1] AS dst FROM (
+        SELECT doc_id, h, unnest(generate_series(1, len(h) - 1)) AS i FROM h WHERE len(h) >= 2)),
+edges AS (SELECT re.doc_id, count(ce.doc_id) AS matched, count(*) AS total, count(ce.doc_id) / count(*) AS ratio
+          FROM re LEFT JOIN ce USING (doc_id, src, dst) GROUP BY re.doc_id)"""
+
+DOC_SCORES = f"""{DOC_STATS}, {DOC_EDGES},
+sc AS (
+  SELECT s.doc_id, s.lang, s.source, len(h.h) = 0 AS hyp_blank, regexp_matches(s.text, '^{WS}*\\z') AS ref_blank,
+         {score_sql('m', 'd')} AS ngram, {score_sql('wn', 'wd')} AS weighted, e.ratio AS dataflow
+  FROM stats s JOIN h USING (doc_id) LEFT JOIN edges e USING (doc_id)),
+scored AS (
+  SELECT doc_id, lang, source,
+         CASE WHEN hyp_blank OR ref_blank THEN 0.0
+              ELSE coalesce((0.25 * ngram + 0.25 * weighted + coalesce(0.25 * dataflow, 0.0))
+                            / (0.5 + CASE WHEN dataflow IS NULL THEN 0.0 ELSE 0.25 END), 0.0) END AS codebleu
+  FROM sc),
+scored2 AS (SELECT *, 1.0 - codebleu + 0.001 AS p_score FROM scored)"""
+
+oracle("keywords_top", f"""WITH {DOC_STATS} SELECT lang, token FROM kw""")
+
+oracle("ngram_counts", f"""WITH {DOC_STATS}
+SELECT doc_id, hl::BIGINT AS hl, rl::BIGINT AS rl, m1, m2, m3, m4, d1, d2, d3, d4 FROM stats""")
+
+oracle("bleu_sample", f"""WITH {DOC_STATS} SELECT doc_id, round({score_sql('m', 'd')}, 6) AS bleu FROM stats""")
+
+oracle("weighted_ngram", f"""WITH {DOC_STATS} SELECT doc_id, round({score_sql('wn', 'wd')}, 6) AS weighted FROM stats""")
+
+oracle("bleu_corpus", f"""WITH {DOC_STATS},
+c AS (SELECT lang, sum(hl) AS hl, sum(rl) AS rl,
+             {", ".join(f"sum(m{k}) AS m{k}, sum(d{k}) AS d{k}, sum(wn{k}) AS wn{k}, sum(wd{k}) AS wd{k}" for k in range(1, 5))}
+      FROM stats GROUP BY lang)
+SELECT lang, round({score_sql('m', 'd')}, 6) AS bleu, round({score_sql('wn', 'wd')}, 6) AS weighted FROM c""")
+
+oracle("edge_match", f"""WITH {DOC_STATS}, {DOC_EDGES}
+SELECT doc_id, matched, total, round(ratio, 6) AS ratio FROM edges""")
+
+TAG_RE = "<(/?(?:ul|li|a|nav|div|article|footer|title|head|style|script|h1))[\\s>]"
+
+SHAPES = f"""p AS (SELECT page_id, regexp_extract_all(html, '{TAG_RE}', 1) AS m FROM pages),
+s AS (SELECT page_id, m, array_to_string(m, ' ') AS s FROM p),
+ex AS (SELECT page_id, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS mk FROM p),
+dd AS (SELECT *, sum(CASE WHEN mk NOT LIKE '/%' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY pos) AS depth,
+              sum(length(mk) + 1) OVER (PARTITION BY page_id ORDER BY pos) - length(mk) - 1 AS off FROM ex),
+lv AS (SELECT *, CASE WHEN mk NOT LIKE '/%' THEN depth ELSE depth + 1 END AS level FROM dd),
+el AS (SELECT *, lead(pos) OVER (PARTITION BY page_id, level ORDER BY pos) AS close_pos,
+              lead(off + length(mk)) OVER (PARTITION BY page_id, level ORDER BY pos) AS close_end FROM lv),
+shapes AS (
+  SELECT el.page_id, el.pos::BIGINT AS pos, (el.level + 1)::BIGINT AS depth, (el.close_pos - el.pos + 1)::BIGINT AS size,
+         substring(s.s, (el.off + 1)::BIGINT, (el.close_end - el.off)::BIGINT) AS shape
+  FROM el JOIN s USING (page_id) WHERE el.mk NOT LIKE '/%' AND el.close_pos > el.pos + 1
+  UNION ALL
+  SELECT page_id, -1, 1, len(m), s FROM s WHERE len(m) > 0)"""
+
+oracle("tree_shapes", f"""WITH {SHAPES} SELECT page_id, pos, depth, size, md5(shape) AS shape_md5 FROM shapes""")
+
+oracle("tree_match", f"""WITH {SHAPES},
+pl AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages),
+pairs AS (SELECT page_id AS ref_id, lead(page_id) OVER (PARTITION BY lang ORDER BY page_id) AS cand_id FROM pl),
+rs AS (SELECT p.ref_id, p.cand_id, md5(sh.shape) AS h FROM pairs p JOIN shapes sh ON sh.page_id = p.ref_id WHERE p.cand_id IS NOT NULL),
+cs AS (SELECT DISTINCT p.ref_id, md5(sh.shape) AS h FROM pairs p JOIN shapes sh ON sh.page_id = p.cand_id)
+SELECT rs.ref_id AS page_id, rs.cand_id AS cand_page_id, count(cs.h) AS matched, count(*) AS total,
+       round(count(cs.h) / count(*), 6) AS ratio
+FROM rs LEFT JOIN cs ON cs.ref_id = rs.ref_id AND cs.h = rs.h GROUP BY rs.ref_id, rs.cand_id""")
+
+oracle("composite_score", f"""WITH {DOC_SCORES} SELECT doc_id, round(codebleu, 6) AS codebleu FROM scored2""")
+
+oracle("hardness", f"""WITH {DOC_SCORES} SELECT doc_id, round(p_score, 6) AS p_score FROM scored2""")
+
+oracle("category_report", f"""WITH {DOC_SCORES}
+SELECT lang AS category, count(*) AS n_samples, round(avg(codebleu), 6) AS avg_codebleu, round(avg(p_score), 6) AS avg_p_score
+FROM scored2 GROUP BY lang""")
+
+oracle("category_rollup", f"""WITH {DOC_SCORES}
+SELECT lang, source, count(*) AS n_samples, round(avg(codebleu), 6) AS avg_codebleu, round(avg(p_score), 6) AS avg_p_score
+FROM scored2 GROUP BY ROLLUP (lang, source)""")

@@ -299,3 +299,118 @@ def q_reward_total(spark, sf):
     out = T.total_reward(r, {"correctness": F.col("reward"), "format": T.format_reward(comp)})
     return out.select(*X.SAMPLE_KEYS, "cand_idx", r6("correctness").alias("correctness"),
                       r6("format").alias("format"), r6("total_reward").alias("total_reward"))
+
+
+# ---------------------------------------------------------------- phase 3: scores
+
+from tiermill.functions.text import tokens as _tokens  # noqa: E402
+from tiermill.operators import ngrams as NG  # noqa: E402
+from tiermill.operators import score as SC  # noqa: E402
+from tiermill.operators import trees as TR  # noqa: E402
+from tiermill.operators.joins import neighbours_in_group  # noqa: E402
+
+
+def doc_keywords(spark, sf):
+    d = docs(spark, sf).select("lang", _tokens("text").alias("toks"))
+    return NG.top_tokens(d, "lang", "toks", 50)
+
+
+def doc_stats(spark, sf):
+    hr = X.hyp_ref_documents(spark, sf)
+    return NG.ngram_stats(hr, ["doc_id"], keywords=doc_keywords(spark, sf), kw_col="lang")
+
+
+@query("keywords_top")
+def q_keywords(spark, sf):
+    return doc_keywords(spark, sf).select(F.col("kw_group").alias("lang"), "token")
+
+
+@query("ngram_counts")
+def q_ngram_counts(spark, sf):
+    s = doc_stats(spark, sf)
+    return s.select("doc_id", "hl", "rl", *[f"m{k}" for k in range(1, 5)], *[f"d{k}" for k in range(1, 5)])
+
+
+@query("bleu_sample")
+def q_bleu_sample(spark, sf):
+    return doc_stats(spark, sf).select("doc_id", r6(NG.bleu_col()).alias("bleu"))
+
+
+@query("bleu_corpus")
+def q_bleu_corpus(spark, sf):
+    c = NG.corpus_stats(doc_stats(spark, sf), ["lang"])
+    return c.select("lang", r6(NG.bleu_col()).alias("bleu"), r6(NG.weighted_col()).alias("weighted"))
+
+
+@query("weighted_ngram")
+def q_weighted_ngram(spark, sf):
+    return doc_stats(spark, sf).select("doc_id", r6(NG.weighted_col()).alias("weighted"))
+
+
+def doc_edges(spark, sf):
+    hr = X.hyp_ref_documents(spark, sf).select("doc_id", "hyp_tokens", F.col("refs")[0].alias("ref_tokens"))
+    ref = hr.select("doc_id", F.explode(TR.adjacent_pairs("ref_tokens")).alias("e")).select("doc_id", "e.*")
+    cand = hr.select("doc_id", F.explode(TR.adjacent_pairs("hyp_tokens")).alias("e")).select("doc_id", "e.*")
+    return TR.membership_ratio(ref, cand, ["doc_id"], ["src", "dst"])
+
+
+@query("edge_match")
+def q_edge_match(spark, sf):
+    return doc_edges(spark, sf).select("doc_id", "matched", "total", r6("ratio").alias("ratio"))
+
+
+def page_langs(spark, sf):
+    return pages(spark, sf).select("page_id", "html", F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("lang"))
+
+
+@query("tree_shapes")
+def q_tree_shapes(spark, sf):
+    s = TR.tree_shapes(pages(spark, sf), "page_id", "html")
+    return s.select("page_id", "pos", "depth", "size", F.md5("shape").alias("shape_md5"))
+
+
+@query("tree_match")
+def q_tree_match(spark, sf):
+    p = page_langs(spark, sf)
+    nb = neighbours_in_group(p.select("page_id", "lang"), ["lang"], "page_id")
+    sh = TR.tree_shapes(p, "page_id", "html").select("page_id", F.md5("shape").alias("h"))
+    sh = sh.join(nb.select("page_id", "next_page_id", "prev_page_id"), "page_id")
+    ref = sh.filter(F.col("next_page_id").isNotNull()).select(
+        F.col("page_id").alias("pair_id"), F.col("next_page_id").alias("cand_page_id"), "h")
+    cand = sh.filter(F.col("prev_page_id").isNotNull()).select(
+        F.col("prev_page_id").alias("pair_id"), F.col("page_id").alias("cand_page_id"), "h")
+    m = TR.membership_ratio(ref, cand, ["pair_id", "cand_page_id"], ["h"])
+    return m.select(F.col("pair_id").alias("page_id"), "cand_page_id", "matched", "total", r6("ratio").alias("ratio"))
+
+
+def doc_scores(spark, sf):
+    st = doc_stats(spark, sf).select("doc_id", NG.bleu_col().alias("ngram"), NG.weighted_col().alias("weighted"))
+    ed = doc_edges(spark, sf).select("doc_id", F.col("ratio").alias("dataflow"))
+    hr = X.hyp_ref_documents(spark, sf).select("doc_id", "lang", "source", F.array_join("hyp_tokens", " ").alias("hyp_text"),
+                                               F.array_join(F.col("refs")[0], " ").alias("ref_text"))
+    j = hr.join(st, "doc_id", "left").join(ed, "doc_id", "left")
+    parts = [F.col("ngram"), F.col("weighted"), F.lit(None).cast("double"), F.col("dataflow")]
+    cb = SC.composite(parts, SC.weight_cols(F.col("lang")))
+    return SC.score_clean(j, "hyp_text", "ref_text", cb)
+
+
+@query("composite_score")
+def q_composite(spark, sf):
+    return doc_scores(spark, sf).select("doc_id", r6("codebleu").alias("codebleu"))
+
+
+@query("hardness")
+def q_hardness(spark, sf):
+    return doc_scores(spark, sf).select("doc_id", r6("p_score").alias("p_score"))
+
+
+@query("category_report")
+def q_category_report(spark, sf):
+    r = SC.category_report(doc_scores(spark, sf).withColumnRenamed("lang", "category"))
+    return r.select("category", "n_samples", r6("avg_codebleu").alias("avg_codebleu"), r6("avg_p_score").alias("avg_p_score"))
+
+
+@query("category_rollup")
+def q_category_rollup(spark, sf):
+    r = SC.category_report(doc_scores(spark, sf), by=["lang", "source"], rollup=True)
+    return r.select("lang", "source", "n_samples", r6("avg_codebleu").alias("avg_codebleu"), r6("avg_p_score").alias("avg_p_score"))
