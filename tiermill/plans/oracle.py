@@ -432,3 +432,108 @@ FROM scored2 GROUP BY lang""")
 oracle("category_rollup", f"""WITH {DOC_SCORES}
 SELECT lang, source, count(*) AS n_samples, round(avg(codebleu), 6) AS avg_codebleu, round(avg(p_score), 6) AS avg_p_score
 FROM scored2 GROUP BY ROLLUP (lang, source)""")
+
+
+# ---------------------------------------------------------------- phase 4: arrays
+
+EMB = """emb AS (
+  SELECT vec_id, label,
+         list_transform(embedding, lambda x: CASE WHEN x::DOUBLE < -0.4 THEN -1e5 ELSE -abs(x::DOUBLE) * 8 END) AS logps,
+         list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN i - 1 ELSE -100 END) AS labels,
+         list_transform(list_filter(embedding, lambda x: x > 0), lambda x: floor(x::DOUBLE * 1000)::INTEGER) AS ids
+  FROM embeddings)"""
+
+
+def lsum(x: str) -> str:
+    return f"coalesce(list_sum({x}), 0.0)"
+
+
+oracle("masked_mean", f"""WITH {EMB}
+SELECT vec_id, round(CASE WHEN len(list_filter(logps, lambda x: x > -65500.0)) > 0
+  THEN {lsum('list_filter(logps, lambda x: x > -65500.0)')} / len(list_filter(logps, lambda x: x > -65500.0)) ELSE -999.0 END, 6) AS mean_logp
+FROM emb""")
+
+oracle("tail_nll", f"""WITH {EMB},
+t AS (SELECT vec_id, logps, label * 7 AS p, len(logps) + 1 AS n FROM emb),
+u AS (SELECT vec_id, logps[greatest(1, p):] AS tail1,
+             logps[greatest(0, CASE WHEN p >= n THEN n // 2 ELSE p END - 1) + 1:] AS tail2 FROM t)
+SELECT vec_id,
+  round(CASE WHEN len(tail1) > 0 THEN -({lsum('tail1')} / len(tail1)) ELSE 999.0 END, 6) AS nll,
+  round(CASE WHEN len(tail2) > 0 THEN {lsum('tail2')} / len(tail2) ELSE -'inf'::DOUBLE END, 6) AS confidence
+FROM u""")
+
+oracle("pref_metrics", f"""WITH {EMB},
+r AS (SELECT vec_id // 2 AS pair_id, CASE WHEN vec_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS role,
+             (SELECT coalesce(sum(CASE WHEN labels[i + 1] <> -100 THEN logps[i] ELSE 0.0 END), 0.0) FROM range(1, 32) t(i)) AS policy_logp,
+             (SELECT coalesce(sum(CASE WHEN labels[32 + i + 1] <> -100 THEN logps[32 + i] ELSE 0.0 END), 0.0) FROM range(1, 32) t(i)) AS ref_logp
+      FROM emb),
+pp AS (SELECT pair_id, pair_id // 8 AS batch,
+              max(policy_logp) FILTER (WHERE role = 'chosen') AS pc, max(ref_logp) FILTER (WHERE role = 'chosen') AS rc,
+              max(policy_logp) FILTER (WHERE role = 'rejected') AS pr, max(ref_logp) FILTER (WHERE role = 'rejected') AS rr
+       FROM r GROUP BY pair_id
+       HAVING count(*) FILTER (WHERE role = 'chosen') = 1 AND count(*) FILTER (WHERE role = 'rejected') = 1),
+x AS (SELECT *, 0.1 * (pc - rc) AS cr, 0.1 * (pr - rr) AS rj FROM pp)
+SELECT batch, count(*) AS n_pairs, round(avg(cr), 6) AS rewards_chosen, round(avg(rj), 6) AS rewards_rejected,
+       round(avg(CASE WHEN cr > rj THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(cr - rj), 6) AS margin,
+       round(avg(pc), 6) AS logps_chosen, round(avg(pr), 6) AS logps_rejected,
+       round(avg(ln(1 + exp(-abs(cr - rj))) + greatest(-(cr - rj), 0.0)), 6) AS loss
+FROM x GROUP BY batch""")
+
+oracle("pad_batch", f"""WITH {EMB},
+m AS (SELECT vec_id, vec_id // 8 AS batch, ids,
+             list_transform(ids, lambda x, i: CASE WHEN i - 1 < label THEN -100 ELSE x END) AS labels FROM emb),
+w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS ml FROM m)
+SELECT vec_id, batch,
+  array_to_string(list_concat(ids, list_transform(range(ml - len(ids)), lambda x: 0)), ',') AS ids,
+  array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(ml - len(ids)), lambda x: 0)), ',') AS mask,
+  array_to_string(list_concat(labels, list_transform(range(ml - len(ids)), lambda x: -100)), ',') AS labels,
+  ml::BIGINT AS n
+FROM w""")
+
+oracle("prompt_mask", f"""WITH {EMB}
+SELECT vec_id, array_to_string(list_transform(ids, lambda x, i: CASE WHEN i - 1 < label THEN -100 ELSE x END), ',') AS labels FROM emb""")
+
+# ---------------------------------------------------------------- phase 4: diffs
+
+LINES = """pairs AS (
+  SELECT doc_id, lang, text AS chosen,
+         array_to_string(list_transform(string_split(text, chr(10)), lambda l, i:
+             CASE WHEN (i - 1) % 6 = 5 THEN NULL WHEN (i - 1) % 4 = 1 THEN l || ' !' ELSE l END), chr(10)) AS rejected
+  FROM documents),
+sides AS (SELECT doc_id, 'chosen' AS side, chosen AS t FROM pairs UNION ALL SELECT doc_id, 'rejected', rejected FROM pairs),
+pieces AS (SELECT doc_id, side, string_split(t, chr(10)) AS p FROM sides),
+ex AS (SELECT doc_id, side, len(p) AS np, generate_subscripts(p, 1) - 1 AS line_no, unnest(p) AS line FROM pieces),
+lines AS (
+  SELECT doc_id, side, line_no::BIGINT AS line_no, line,
+         (coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id, side ORDER BY line_no
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start,
+         CASE WHEN line_no = np - 1 THEN 0 ELSE 1 END AS nl
+  FROM ex WHERE NOT (line_no = np - 1 AND line = '')),
+lines2 AS (SELECT *, (start + length(line) + nl)::BIGINT AS "end",
+                  row_number() OVER (PARTITION BY doc_id, side, line ORDER BY line_no) AS occ FROM lines),
+ldiff AS (
+  SELECT a.doc_id, a.side, a.line_no, a.start, a."end" FROM lines2 a
+  WHERE NOT EXISTS (SELECT 1 FROM lines2 b WHERE b.doc_id = a.doc_id AND b.side <> a.side AND b.line = a.line AND b.occ = a.occ))"""
+
+oracle("line_offsets", f"""WITH {LINES} SELECT doc_id, line_no, start, "end" FROM lines2 WHERE side = 'chosen'""")
+
+oracle("line_multiset_diff", f"""WITH {LINES} SELECT doc_id, side, line_no, start, "end" FROM ldiff""")
+
+TOKEN_PAT = f"[^{WS[1:-1]}]+|{WS}+"
+
+oracle("focus_tokens", f"""WITH {LINES},
+f AS (SELECT doc_id, 'Fix the text for ' || lang || ':' || chr(10) AS prompt, chosen FROM pairs),
+f2 AS (SELECT doc_id, length(prompt) AS plen, regexp_extract_all(prompt || chosen, '{TOKEN_PAT}') AS pcs FROM f),
+tex AS (SELECT doc_id, plen, generate_subscripts(pcs, 1) AS pi, unnest(pcs) AS piece FROM f2),
+sp AS (SELECT doc_id, plen, pi, piece,
+              coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+       FROM tex),
+tk AS (SELECT doc_id, plen, piece, s, s + length(piece) AS e,
+              row_number() OVER (PARTITION BY doc_id ORDER BY pi) - 1 AS tok_idx
+       FROM sp WHERE NOT regexp_matches(piece, '^{WS}')),
+rg AS (SELECT doc_id, start AS fs, "end" AS fe FROM ldiff WHERE side = 'chosen')
+SELECT tk.doc_id, tk.tok_idx::BIGINT AS tok_idx,
+       CASE WHEN tk.s >= tk.plen AND EXISTS (SELECT 1 FROM rg WHERE rg.doc_id = tk.doc_id AND rg.fe > rg.fs
+                 AND greatest(tk.s - tk.plen, rg.fs) < least(tk.e - tk.plen, rg.fe))
+            THEN tk.tok_idx * 7 + length(tk.piece) ELSE -100 END::BIGINT AS label
+FROM tk""")

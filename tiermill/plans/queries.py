@@ -414,3 +414,115 @@ def q_category_report(spark, sf):
 def q_category_rollup(spark, sf):
     r = SC.category_report(doc_scores(spark, sf), by=["lang", "source"], rollup=True)
     return r.select("lang", "source", "n_samples", r6("avg_codebleu").alias("avg_codebleu"), r6("avg_p_score").alias("avg_p_score"))
+
+
+# ---------------------------------------------------------------- phase 4: arrays
+# embeddings as log-prob rows: values below -0.4 stand for padding (-1e5),
+# others give -8|x|; even / odd vec_id = chosen / rejected of pair vec_id/2;
+# the first / second half of a row = policy / reference.
+
+from tiermill.functions import arrays as AR  # noqa: E402
+from tiermill.operators import diffs as DF  # noqa: E402
+from tiermill.operators import prefs as PF  # noqa: E402
+
+
+def emb(spark, sf):
+    e = table(spark, sf, "embeddings")
+    lp = F.transform("embedding", lambda x: F.when(x.cast("double") < -0.4, F.lit(-1e5)).otherwise(-F.abs(x.cast("double")) * 8))
+    labels = F.transform("embedding", lambda x, i: F.when(x > 0, i).otherwise(F.lit(-100)))
+    ids = F.transform(F.filter("embedding", lambda x: x > 0), lambda x: F.floor(x.cast("double") * 1000).cast("int"))
+    return e.select("vec_id", "label", lp.alias("logps"), labels.alias("labels"), ids.alias("ids"))
+
+
+def ints(c) -> F.Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query("masked_mean")
+def q_masked_mean(spark, sf):
+    return emb(spark, sf).select("vec_id", r6(AR.masked_mean("logps")).alias("mean_logp"))
+
+
+@query("tail_nll")
+def q_tail_nll(spark, sf):
+    p = F.col("label") * 7
+    return emb(spark, sf).select("vec_id", r6(AR.tail_nll("logps", p)).alias("nll"),
+                                 r6(AR.norm_loglik("logps", p)).alias("confidence"))
+
+
+@query("pref_metrics")
+def q_pref_metrics(spark, sf):
+    e = emb(spark, sf)
+    rows = e.select(
+        F.floor(F.col("vec_id") / 2).cast("bigint").alias("pair_id"),
+        F.when(F.pmod("vec_id", F.lit(2)) == 0, F.lit("chosen")).otherwise(F.lit("rejected")).alias("role"),
+        AR.masked_sum(F.slice("logps", 1, 32), F.slice("labels", 1, 32)).alias("policy_logp"),
+        AR.masked_sum(F.slice("logps", 33, 32), F.slice("labels", 33, 32)).alias("ref_logp"))
+    rows = rows.withColumn("batch", F.floor(F.col("pair_id") / 8).cast("bigint"))
+    m = PF.pref_metrics(rows, ["batch"], beta=0.1)
+    return m.select("batch", "n_pairs", *[r6(c).alias(c) for c in (
+        "rewards_chosen", "rewards_rejected", "accuracy", "margin", "logps_chosen", "logps_rejected", "loss")])
+
+
+@query("pad_batch")
+def q_pad_batch(spark, sf):
+    e = emb(spark, sf).select("vec_id", F.floor(F.col("vec_id") / 8).cast("bigint").alias("batch"), "ids",
+                              F.array_repeat(F.lit(1), F.size("ids")).alias("mask"),
+                              AR.prompt_mask("ids", F.col("label")).alias("labels"))
+    p = PF.pad_batch(e, "batch", {"ids": 0, "mask": 0, "labels": -100})
+    return p.select("vec_id", "batch", ints("ids").alias("ids"), ints("mask").alias("mask"),
+                    ints("labels").alias("labels"), F.size("ids").cast("bigint").alias("n"))
+
+
+@query("prompt_mask")
+def q_prompt_mask(spark, sf):
+    e = emb(spark, sf)
+    return e.select("vec_id", ints(AR.prompt_mask("ids", F.col("label"))).alias("labels"))
+
+
+# ---------------------------------------------------------------- phase 4: diffs
+# rejected = chosen with every 6th line (index 5, 11, ...) dropped and every
+# 4th line (index 1, 5, 9, ...) extended by " !".
+
+
+def perturbed(c: str = "text") -> F.Column:
+    t = F.transform(F.split(F.col(c), "\n"), lambda l, i: F.when(F.pmod(i, F.lit(6)) == 5, F.lit(None).cast("string"))
+                    .when(F.pmod(i, F.lit(4)) == 1, F.concat(l, F.lit(" !"))).otherwise(l))
+    return F.array_join(t, "\n")
+
+
+def diff_pairs(spark, sf):
+    return docs(spark, sf).select("doc_id", "lang", F.col("text").alias("chosen"), perturbed().alias("rejected"))
+
+
+def line_diff(spark, sf):
+    p = diff_pairs(spark, sf).repartition("doc_id")
+    a = DF.line_offsets(p, "doc_id", "chosen", repartition=False)
+    b = DF.line_offsets(p, "doc_id", "rejected", repartition=False)
+    return DF.line_multiset_diff(a, b, "doc_id")
+
+
+@query("line_offsets")
+def q_line_offsets(spark, sf):
+    return DF.line_offsets(docs(spark, sf), "doc_id", "text").select("doc_id", "line_no", "start", "end")
+
+
+@query("line_multiset_diff")
+def q_line_multiset_diff(spark, sf):
+    return line_diff(spark, sf)
+
+
+@query("line_diff_ranges")
+def q_line_diff_ranges(spark, sf):
+    return DF.line_diff_ranges(diff_pairs(spark, sf), "doc_id")
+
+
+@query("focus_tokens")
+def q_focus_tokens(spark, sf):
+    p = diff_pairs(spark, sf).withColumn("prompt", F.concat(F.lit("Fix the text for "), F.col("lang"), F.lit(":\n")))
+    p = p.withColumn("full", F.concat("prompt", "chosen")).withColumn("plen", F.length("prompt"))
+    spans = DF.token_spans(p, "doc_id", "full", carry=["plen"])
+    ranges = (line_diff(spark, sf).filter(F.col("side") == "chosen")
+              .select("doc_id", F.col("start").alias("fs"), F.col("end").alias("fe")))
+    f = DF.focus_labels(spans, ranges, ["doc_id"], "plen", F.col("tok_idx") * 7 + F.length("token"))
+    return f.select("doc_id", "tok_idx", "label")
