@@ -537,3 +537,42 @@ SELECT tk.doc_id, tk.tok_idx::BIGINT AS tok_idx,
                  AND greatest(tk.s - tk.plen, rg.fs) < least(tk.e - tk.plen, rg.fe))
             THEN tk.tok_idx * 7 + length(tk.piece) ELSE -100 END::BIGINT AS label
 FROM tk""")
+
+
+# ---------------------------------------------------------------- phase 5: layout
+
+MARKER_AFTER = {0: " NEW_LINE", 3: " NEW_LINE INDENT", 5: " NEW_LINE DEDENT", 8: " DEDENT", 9: " INDENT",
+                10: " NEW_LINE NEW_LINE"}
+_MARK = "CASE ((i - 1) * 7 + doc_id) % 11 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in MARKER_AFTER.items()) + " ELSE '' END"
+
+oracle("layout_lines", f"""WITH src AS (
+  SELECT doc_id,
+         CASE doc_id % 5 WHEN 0 THEN 'INDENT ' WHEN 1 THEN 'NEW_LINE ' ELSE '' END
+         || array_to_string(list_transform({toks('text')}, lambda t, i: t || {_MARK}), ' ') AS line
+  FROM documents),
+tt AS (SELECT doc_id, {toks(strip("replace(line, '''', '')"))} AS t FROM src),
+ex AS (SELECT doc_id, generate_subscripts(t, 1) AS k, unnest(t) AS tok FROM tt),
+e1 AS (SELECT *, CASE tok WHEN 'INDENT' THEN 1 WHEN 'DEDENT' THEN -1 ELSE 0 END AS d,
+              CASE WHEN tok IN ('NEW_LINE', 'INDENT', 'DEDENT') THEN 0 ELSE 1 END AS w,
+              CASE WHEN tok = 'NEW_LINE' THEN 1 ELSE 0 END AS nl FROM ex),
+e2 AS (SELECT *, sum(d) OVER win AS S, sum(w) OVER win - w AS run, sum(nl) OVER win AS N
+       FROM e1 WINDOW win AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e3 AS (SELECT *, S - least(0, min(S) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS L FROM e2),
+grp AS (SELECT doc_id, run, N, arg_min(nl, k) AS fnl, arg_min(S - d, k) AS sb, arg_min(L, k) AS fL,
+               arg_max(S, k) AS sl, arg_max(L, k) AS lL, min(S) AS minS
+        FROM e3 WHERE w = 0 GROUP BY doc_id, run, N),
+runs AS (SELECT doc_id, run,
+                max(CASE WHEN fnl = 0 THEN (sl - sb) - least(0, minS - sb) END) AS e0,
+                string_agg(CASE WHEN fnl = 1 THEN chr(10) || repeat('    ', lL::BIGINT) END, '' ORDER BY N) AS nls,
+                arg_max(fL, N) FILTER (WHERE fnl = 1) AS lnl,
+                count(*) FILTER (WHERE fnl = 1) AS n_nl
+         FROM grp GROUP BY doc_id, run),
+words AS (SELECT doc_id, run, tok, L AS Lw FROM e3 WHERE w = 1),
+j AS (SELECT coalesce(w.doc_id, r.doc_id) AS doc_id, coalesce(w.run, r.run) AS run, w.tok, w.Lw,
+             coalesce(r.e0, 0)::BIGINT AS e0, coalesce(r.nls, '') AS nls, coalesce(r.n_nl, 0) AS n_nl, r.lnl
+      FROM words w FULL JOIN runs r ON w.doc_id = r.doc_id AND w.run = r.run),
+pc AS (SELECT doc_id, run, repeat('    ', e0) || nls ||
+              CASE WHEN tok IS NULL THEN '' WHEN n_nl > 0 THEN CASE WHEN Lw = 0 AND lnl = 0 THEN ' ' ELSE '' END
+                   WHEN run >= 1 AND e0 = 0 THEN ' ' ELSE '' END || coalesce(tok, '') AS piece FROM j),
+o AS (SELECT doc_id, string_agg(piece, '' ORDER BY run) AS code FROM pc GROUP BY doc_id)
+SELECT s.doc_id, coalesce(o.code, '') AS code FROM src s LEFT JOIN o USING (doc_id)""")

@@ -526,3 +526,33 @@ def q_focus_tokens(spark, sf):
               .select("doc_id", F.col("start").alias("fs"), F.col("end").alias("fe")))
     f = DF.focus_labels(spans, ranges, ["doc_id"], "plen", F.col("tok_idx") * 7 + F.length("token"))
     return f.select("doc_id", "tok_idx", "label")
+
+
+# ---------------------------------------------------------------- phase 5: layout
+# Markers are placed after token i by (7 i + doc_id) mod 11; some rows start
+# with INDENT or NEW_LINE.
+
+from tiermill.operators import layout as LY  # noqa: E402
+
+MARKER_AFTER = {0: " NEW_LINE", 3: " NEW_LINE INDENT", 5: " NEW_LINE DEDENT", 8: " DEDENT", 9: " INDENT",
+                10: " NEW_LINE NEW_LINE"}
+
+
+def marked_line() -> F.Column:
+    d = F.col("doc_id")
+
+    def after(t, i):
+        r = F.pmod(i * 7 + d, F.lit(11))
+        m = F.lit("")
+        for k, v in sorted(MARKER_AFTER.items(), reverse=True):
+            m = F.when(r == k, F.lit(v)).otherwise(m)
+        return F.concat(t, m)
+    body = F.array_join(F.transform(_tokens("text"), after), " ")
+    lead = F.when(F.pmod(d, F.lit(5)) == 0, F.lit("INDENT ")).when(F.pmod(d, F.lit(5)) == 1, F.lit("NEW_LINE ")).otherwise(F.lit(""))
+    return F.concat(lead, body)
+
+
+@query("layout_lines")
+def q_layout_lines(spark, sf):
+    d = docs(spark, sf).select("doc_id", marked_line().alias("line"))
+    return LY.layout_lines(d, "doc_id", "line")
