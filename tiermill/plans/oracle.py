@@ -576,3 +576,65 @@ pc AS (SELECT doc_id, run, repeat('    ', e0) || nls ||
                    WHEN run >= 1 AND e0 = 0 THEN ' ' ELSE '' END || coalesce(tok, '') AS piece FROM j),
 o AS (SELECT doc_id, string_agg(piece, '' ORDER BY run) AS code FROM pc GROUP BY doc_id)
 SELECT s.doc_id, coalesce(o.code, '') AS code FROM src s LEFT JOIN o USING (doc_id)""")
+
+
+# ---------------------------------------------------------------- phase 5-7
+
+oracle("exec_rates", f"""WITH {RUNS}, {GT}, {CANDS},
+l AS (SELECT *, {pick(['python', 'java', 'cpp'], 'user_id')} AS lang,
+             CASE WHEN NOT run_ok THEN floor(value) END AS err_pos FROM cands)
+SELECT lang, count(*) AS n, round(avg(CASE WHEN run_ok THEN 1.0 ELSE 0.0 END), 6) AS run_rate,
+       round(avg(CASE WHEN run_ok AND {strip('stdout')} = {strip('gt_stdout')} THEN 1.0 ELSE 0.0 END), 6) AS equiv_rate,
+       round(avg(err_pos), 6) AS mean_err_pos
+FROM l GROUP BY lang""")
+
+oracle("shard_ids", """WITH i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents)
+SELECT doc_id, idx, floor(idx / greatest(1, ceil(n / 8)))::BIGINT AS shard FROM i""")
+
+oracle("preview", """SELECT doc_id, substring(text, 1, 200) AS text, substring(lang, 1, 200) AS lang FROM documents ORDER BY doc_id LIMIT 1""")
+
+oracle("jsonl_roundtrip", f"""WITH {CONV_SAMPLES}, o AS (
+  SELECT u.conv_id, u.turn, a.text AS gt_code FROM conversations u
+  JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')
+SELECT 'conv' AS category, 'conv_' || (s.conv_id * 100 + s.turn) AS id, s.instruction,
+       CASE WHEN s.turn % 4 = 0 THEN '' ELSE coalesce(s.input, '') END AS input, o.gt_code, 999.0::DOUBLE AS loss
+FROM samples s JOIN o USING (conv_id, turn)""")
+
+oracle("aligned_lines", f"""WITH d AS (SELECT doc_id, {toks('text')} AS r FROM documents),
+h AS (SELECT doc_id, r, list_filter(r, lambda x, i: i % 7 <> 0) AS h FROM d)
+SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS line_no, doc_id,
+       {one_line("array_to_string(h, ' ')")} AS pred, {one_line("array_to_string(r, ' ')")} AS ref
+FROM h""")
+
+oracle("partitioned_report", f"""WITH {EMB},
+s AS (SELECT vec_id, CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS category,
+             CASE WHEN len(list_filter(logps, lambda x: x > -65500.0)) > 0
+                  THEN {lsum('list_filter(logps, lambda x: x > -65500.0)')} / len(list_filter(logps, lambda x: x > -65500.0)) ELSE -999.0 END AS score,
+             CASE WHEN len(logps[greatest(1, label * 7):]) > 0 THEN -({lsum('logps[greatest(1, label * 7):]')} / len(logps[greatest(1, label * 7):])) ELSE 999.0 END AS loss
+      FROM emb)
+SELECT category, printf('ID: %d' || chr(9) || 'CodeBLEU: %.5f' || chr(9) || 'Loss: %.5f', vec_id, score, loss) AS report FROM s""")
+
+oracle("append_metrics", f"""WITH {EMB},
+r AS (SELECT vec_id // 2 AS pair_id, CASE WHEN vec_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS role,
+             (SELECT coalesce(sum(CASE WHEN labels[i + 1] <> -100 THEN logps[i] ELSE 0.0 END), 0.0) FROM range(1, 32) t(i)) AS policy_logp,
+             (SELECT coalesce(sum(CASE WHEN labels[32 + i + 1] <> -100 THEN logps[32 + i] ELSE 0.0 END), 0.0) FROM range(1, 32) t(i)) AS ref_logp
+      FROM emb),
+pp AS (SELECT pair_id, pair_id // 8 AS step,
+              max(policy_logp) FILTER (WHERE role = 'chosen') AS pc, max(ref_logp) FILTER (WHERE role = 'chosen') AS rc,
+              max(policy_logp) FILTER (WHERE role = 'rejected') AS pr, max(ref_logp) FILTER (WHERE role = 'rejected') AS rr
+       FROM r GROUP BY pair_id
+       HAVING count(*) FILTER (WHERE role = 'chosen') = 1 AND count(*) FILTER (WHERE role = 'rejected') = 1),
+x AS (SELECT *, 0.1 * (pc - rc) AS cr, 0.1 * (pr - rr) AS rj FROM pp)
+SELECT step, count(*) AS n_pairs, round(avg(ln(1 + exp(-abs(cr - rj))) + greatest(-(cr - rj), 0.0)), 6) AS loss,
+       round(avg(CASE WHEN cr > rj THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM x GROUP BY step HAVING step % 3 = 0""")
+
+oracle("stream_tier_windows", """WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS wm FROM events),
+w AS (SELECT date_trunc('day', ts) AS ws, event_type, value FROM events)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value
+FROM w, m WHERE ws + INTERVAL 1 DAY <= m.wm GROUP BY ws, event_type""")
+
+oracle("stream_dedupe", """SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type, props FROM events""")
+
+oracle("stream_mine_pairs", f"""WITH {MINED}
+SELECT lang, source, strategy, chosen_id, rejected_id, pair_rank FROM mined""")

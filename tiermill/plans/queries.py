@@ -556,3 +556,139 @@ def marked_line() -> F.Column:
 def q_layout_lines(spark, sf):
     d = docs(spark, sf).select("doc_id", marked_line().alias("line"))
     return LY.layout_lines(d, "doc_id", "line")
+
+
+# ---------------------------------------------------------------- phase 5: reports
+
+from tiermill.operators import report as RP  # noqa: E402
+from tiermill.sources import readers as RD  # noqa: E402
+from tiermill.sources import sinks as SK  # noqa: E402
+from tiermill.session import shared_dir  # noqa: E402
+from tiermill.streaming import streams as STM  # noqa: E402
+
+RUN_LANGS = ["python", "java", "cpp"]
+
+
+@query("exec_rates")
+def q_exec_rates(spark, sf):
+    cands, gt = X.exec_stand_in(spark, sf)
+    j = T.join_gt(cands, gt, X.SAMPLE_KEYS).withColumn("lang", pick(RUN_LANGS, F.col("user_id")))
+    j = j.withColumn("err_pos", F.when(~F.col("run_ok"), F.floor("value")))
+    r = T.exec_rates(j, ["lang"])
+    return r.select("lang", "n", r6("run_rate").alias("run_rate"), r6("equiv_rate").alias("equiv_rate"),
+                    r6("mean_err_pos").alias("mean_err_pos"))
+
+
+@query("shard_ids")
+def q_shard_ids(spark, sf):
+    s = RP.shard_ids(docs(spark, sf).select("doc_id"), ["doc_id"], 8)
+    return s.select("doc_id", "idx", "shard")
+
+
+@query("preview")
+def q_preview(spark, sf):
+    return SK.preview(docs(spark, sf), "doc_id", ["text", "lang"], 200)
+
+
+# ---------------------------------------------------------------- phase 6: I/O
+# Each query writes into a fresh folder of the shared checkpoint folder and
+# reads its own output back.
+
+
+@query("jsonl_roundtrip")
+def q_jsonl_roundtrip(spark, sf):
+    s = conv_samples(spark, sf)
+    rec = s.select(
+        F.lit("conv").alias("category"),
+        PR.sample_key(F.lit("conv"), F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        "instruction", F.when(F.pmod(F.col("turn"), F.lit(4)) == 0, F.lit(None).cast("string")).otherwise(F.col("input")).alias("input"),
+        F.col("output").alias("gt_code"), F.lit(999.0).alias("loss"))
+    path = shared_dir(spark, "jsonl")
+    SK.write_scored(rec, path)
+    schema = "category string, data struct<id:string, loss:double, gt_code:string, instruction:string, input:string>"
+    back = RD.with_defaults(RD.flatten_record(RD.read_samples(spark, path, schema=schema)), {"input": ""})
+    return back.select("category", F.col("data_id").alias("id"), "instruction", "input", "gt_code",
+                       F.col("data_loss").alias("loss"))
+
+
+@query("aligned_lines")
+def q_aligned_lines(spark, sf):
+    hr = X.hyp_ref_documents(spark, sf)
+    base = RP.dense_index(hr, ["doc_id"], out="line_no")
+    root = shared_dir(spark, "aligned")
+    SK.write_lines(base.select("line_no", TX.one_line(F.array_join("hyp_tokens", " ")).alias("value")), f"{root}/pred")
+    SK.write_lines(base.select("line_no", TX.one_line(F.array_join(F.col("refs")[0], " ")).alias("value")), f"{root}/ref")
+    SK.write_lines(base.select("line_no", F.col("doc_id").alias("value")), f"{root}/ids")
+    j = RD.align_lines(RD.read_lines(spark, f"{root}/pred"), RD.read_lines(spark, f"{root}/ref"),
+                       RD.read_lines(spark, f"{root}/ids"))
+    return j.select("line_no", F.col("id").cast("bigint").alias("doc_id"), "pred", "ref")
+
+
+@query("partitioned_report")
+def q_partitioned_report(spark, sf):
+    e = emb(spark, sf).select("vec_id", F.when(F.col("label") < 5, F.lit("low")).otherwise(F.lit("high")).alias("category"),
+                              AR.masked_mean("logps").alias("score"), AR.tail_nll("logps", F.col("label") * 7).alias("loss"))
+    path = shared_dir(spark, "reports")
+    SK.write_reports(e, path, SK.report_line("vec_id", "score", "loss"), by="category")
+    return spark.read.text(path).select("category", F.col("value").alias("report"))
+
+
+@query("append_metrics")
+def q_append_metrics(spark, sf):
+    e = emb(spark, sf)
+    rows = e.select(F.floor(F.col("vec_id") / 2).cast("bigint").alias("pair_id"),
+                    F.when(F.pmod("vec_id", F.lit(2)) == 0, F.lit("chosen")).otherwise(F.lit("rejected")).alias("role"),
+                    AR.masked_sum(F.slice("logps", 1, 32), F.slice("labels", 1, 32)).alias("policy_logp"),
+                    AR.masked_sum(F.slice("logps", 33, 32), F.slice("labels", 33, 32)).alias("ref_logp"))
+    m = PF.pref_metrics(rows.withColumn("step", F.floor(F.col("pair_id") / 8).cast("bigint")), ["step"])
+    path = shared_dir(spark, "metrics")
+    SK.append_metrics(m.select("step", "n_pairs", "loss", "accuracy"), path, "step", 3)
+    back = spark.read.parquet(path)
+    return back.select("step", "n_pairs", r6("loss").alias("loss"), r6("accuracy").alias("accuracy"))
+
+
+# ---------------------------------------------------------------- phase 7: streams
+# The events table is copied into the shared folder (ts made a TIMESTAMP)
+# and read back as a file stream with the availableNow trigger.
+
+
+def _event_stream(spark, sf):
+    src = shared_dir(spark, "events-src")
+    (table(spark, sf, "events")
+     .select("event_id", STM.utc_instant("ts").alias("ts"), "user_id", "event_type", "value", "props")
+     .write.parquet(src))
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    return spark.readStream.schema(schema).parquet(src)
+
+
+@query("stream_tier_windows")
+def q_stream_tier_windows(spark, sf):
+    s = _event_stream(spark, sf)
+    agg = STM.stream_tier_windows(s, "ts", ["event_type"], "value", width="1 day", lateness="1 day")
+    out = agg.select(F.col("window.start").alias("ws"), "event_type", "n", "avg_value")
+    sink, ck = shared_dir(spark, "win-out"), shared_dir(spark, "win-ck")
+    STM.run_available_now(out, sink, ck, mode="append")
+    back = STM.read_sink(spark, sink, "ws timestamp, event_type string, n long, avg_value double")
+    return back.select(STM.utc_text(F.col("ws")).alias("window_start"), "event_type", "n", r6("avg_value").alias("avg_value"))
+
+
+@query("stream_dedupe")
+def q_stream_dedupe(spark, sf):
+    s = _event_stream(spark, sf).withColumn("day", F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"),
+                                                                                    F.col("ts").cast("timestamp_ntz")), "yyyy-MM-dd"))
+    d = STM.stream_dedupe(s, "ts", ["user_id", "day", "event_type", "props"], lateness="1 day")
+    sink, ck = shared_dir(spark, "dedupe-out"), shared_dir(spark, "dedupe-ck")
+    STM.run_available_now(d.select("user_id", "day", "event_type", "props"), sink, ck)
+    return STM.read_sink(spark, sink, "user_id long, day string, event_type string, props string")
+
+
+@query("stream_mine_pairs")
+def q_stream_mine_pairs(spark, sf):
+    src = shared_dir(spark, "cands-src")
+    X.tiered_documents(spark, sf).write.parquet(src)
+    s = spark.readStream.schema("lang string, source string, doc_id long, text string, tier string").parquet(src)
+    sink, ck = shared_dir(spark, "pairs-out"), shared_dir(spark, "pairs-ck")
+    STM.run_available_now(s, sink, ck, foreach=STM.mine_batch(sink, X.GROUP_KEYS, "doc_id", "text", max_pairs=4,
+                                                               seed=42, max_tokens=2048))
+    back = spark.read.parquet(sink)
+    return back.select(*X.GROUP_KEYS, "strategy", "chosen_id", "rejected_id", "pair_rank")
