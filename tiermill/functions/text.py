@@ -48,7 +48,7 @@ def blank(c) -> Column:
 
 def tokens(c) -> Column:
     """``str.split()``: whitespace tokens with empties dropped."""
-    return F.filter(F.split(_c(c), rf"{WS}+"), lambda x: x != "")
+    return F.array_remove(F.split(_c(c), rf"{WS}+"), "")
 
 
 def n_tokens(c) -> Column:

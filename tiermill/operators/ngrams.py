@@ -12,10 +12,12 @@ Definitions (ours, from the BLEU and CodeBLEU papers; see SURVEY 2.12):
            and brevity penalty.
 
 Plan: input rows hold (keys, hyp tokens, refs = array of token arrays).
-Grams are built in-row with HOFs, exploded once, and counted with groupBy /
-windows that all cluster on ``keys``; after ``repartition(keys)`` the whole
-chain runs without another exchange (the text rows are shuffled once, not
-the grams).  A keyword list is joined as a size-checked broadcast.
+Grams are exploded from zipped shifted slices (no lambdas, whole-stage
+codegen) and identified by their token columns (no string building); the
+counts are aggregations that all cluster on ``keys``, so after
+``repartition(keys)`` the chain needs no exchange of gram rows (the text
+rows are shuffled once, not the grams).  A keyword list is joined as a
+size-checked broadcast.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tiermill.operators.joins import bounded_broadcast
 
@@ -32,77 +33,111 @@ MAX_N = 4
 EPSILON = 0.1  # smoothing for zero matches
 KEYWORD_WEIGHT, OTHER_WEIGHT = 1.0, 0.2
 
-_GRAM = T.StructType([T.StructField("side", T.IntegerType()), T.StructField("n", T.IntegerType()),
-                      T.StructField("g", T.StringType())])
+GRAM_COLS = ["t1", "t2", "t3", "t4"]
 
 
-def grams(t: Column, side: Column, max_n: int = MAX_N) -> Column:
-    """array<struct<side, n, g>> of all 1..max_n grams (space-joined)."""
-    # PySpark reads a HOF lambda's arity, so no default-argument closures here
-    def gram_at(n: int):
-        return lambda i: F.struct(side.cast("int").alias("side"), F.lit(n).alias("n"),
-                                  F.array_join(F.slice(t, i, n), " ").alias("g"))
-    parts = []
+def _shifted(t: Column, k: int) -> Column:
+    """t[k:] (1-based) or empty."""
+    return F.slice(t, k, F.greatest(F.size(t) - k + 1, F.lit(0)))
+
+
+def gram_rows(df: DataFrame, carry: Sequence[str], toks: str = "toks", max_n: int = MAX_N) -> DataFrame:
+    """One row per n-gram occurrence: carry + (n, t1..t4) with unused token
+    slots null.  Built without lambdas (arrays_zip of shifted slices and two
+    explodes), so it stays inside whole-stage codegen."""
+    t = F.col(toks)
+    z = F.arrays_zip(*[_shifted(t, k).alias(f"t{k}") if k > 1 else t.alias("t1") for k in range(1, max_n + 1)])
+    pos = df.select(*carry, F.explode(z).alias("z")).select(*carry, *[F.col(f"z.t{k}").alias(f"t{k}") for k in range(1, max_n + 1)])
+    none = F.lit(None).cast("string")
+    opts = []
     for n in range(1, max_n + 1):
-        parts.append(F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), gram_at(n)))
-                     .otherwise(F.array().cast(T.ArrayType(_GRAM))))
-    return F.concat(*parts)
+        fields = [F.lit(n).alias("n")] + [F.col(f"t{k}") if k <= n else none.alias(f"t{k}") for k in range(1, max_n + 1)]
+        fields = [f if k == 0 else f.alias(f"t{k}") for k, f in enumerate(fields)]
+        opts.append(F.when(F.col(f"t{n}").isNotNull(), F.struct(*fields)))
+    g = pos.select(*carry, F.explode(F.array(*opts)).alias("g")).filter(F.col("g").isNotNull())
+    cols = GRAM_COLS[:max_n]
+    return g.select(*carry, "g.n", *[F.col(f"g.{c}") for c in cols])
 
 
-def _shorter_than(k: int):
-    return lambda r: F.size(r) < k
+def _ref_window(n: int):
+    """max(1, number of n-grams of one reference): the n >= 2 denominator."""
+    return lambda acc, r: acc + F.greatest(F.lit(1.0), (F.size(r) - n + 1).cast("double"))
 
 
 def ngram_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp_tokens", refs: str = "refs",
                 keywords: DataFrame | None = None, kw_col: str | None = None,
-                max_n: int = MAX_N, repartition: bool = True) -> DataFrame:
+                max_n: int = MAX_N, max_refs: int = 1, repartition: bool = True) -> DataFrame:
     """Per-row statistics: m1..mN (clipped matches), d1..dN (max(1, hyp count)),
     wn1..wnN / wd1..wdN (weighted recall parts), hl (hyp length), rl (closest
     reference length).  ``keywords`` has columns (kw_group, token) matched on
-    ``kw_col`` of the input (for example lang)."""
+    ``kw_col`` of the input (for example lang).  Rows may carry up to
+    ``max_refs`` references (more raise an error instead of a wrong score).
+
+    The gram rows are produced and aggregated once, into one count per side
+    (plain primitive buffers, map-side partial aggregation); every later
+    aggregation clusters on ``keys``, so there is one exchange (the text
+    rows) in total.  Weighted denominators: for n >= 2 a reference has
+    max(0, len - n + 1) n-grams of weight 1 (in-row); for n = 1 its weight
+    is 0.2 * len + 0.8 * (keyword tokens), summed from the unigram rows."""
     keys = list(keys)
     carry = keys + ([kw_col] if kw_col and kw_col not in keys else [])
     x = df.repartition(*keys) if repartition else df
+    x = x.withColumn("_nref", F.when(F.size(refs) <= max_refs, F.size(refs)).otherwise(
+        F.raise_error(F.lit(f"more than max_refs={max_refs} references in a row")).cast("int")))
     hl = F.size(hyp)
     closest = F.array_min(F.transform(refs, lambda r: F.struct(F.abs(F.size(r) - hl).alias("d"), F.size(r).alias("l"))))
-    meta = F.struct(hl.alias("hl"), F.coalesce(closest["l"], F.lit(0)).alias("rl"),
-                    *[F.size(F.filter(refs, _shorter_than(k))).alias(f"s{k}") for k in range(1, max_n + 1)])
-    sentinel = F.array(F.struct(F.lit(-1).alias("side"), F.lit(0).alias("n"), F.lit("").alias("g")))
-    all_grams = F.concat(sentinel, grams(F.col(hyp), F.lit(0), max_n),
-                         F.flatten(F.transform(refs, lambda r, j: grams(r, j + 1, max_n))))
-    ex = x.select(*carry, meta.alias("meta"), F.explode(all_grams).alias("x")).select(*carry, "meta", "x.*")
-
-    c1 = ex.groupBy(*carry, "meta", "side", "n", "g").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys, "n", "g")
-    c2 = (c1.withColumn("ch", F.sum(F.when(F.col("side") == 0, F.col("c")).otherwise(0)).over(w))
-            .withColumn("crmax", F.max(F.when(F.col("side") > 0, F.col("c")).otherwise(0)).over(w)))
+    meta_cols = [hl.alias("_hl"), F.coalesce(closest["l"], F.lit(0)).alias("_rl"), F.col("_nref"),
+                 *[F.aggregate(refs, F.lit(0.0), _ref_window(k)).alias(f"_wd{k}") for k in range(2, max_n + 1)]]
+    meta = ["_hl", "_rl", "_nref", *[f"_wd{k}" for k in range(2, max_n + 1)]]
+    # side 0 = hypothesis, j = reference j, -1 = one empty token so that every
+    # row survives the aggregations
+    sides = F.concat(F.array(F.struct(F.lit(-1).alias("side"), F.array(F.lit("")).alias("toks")),
+                             F.struct(F.lit(0).alias("side"), F.col(hyp).alias("toks"))),
+                     F.transform(refs, lambda r, j: F.struct((j + 1).alias("side"), r.alias("toks"))))
+    per_side = x.select(*carry, *meta_cols, F.explode(sides).alias("s")).select(*carry, *meta, "s.side", "s.toks")
+    cols = GRAM_COLS[:max_n]
+    side = F.col("side")
+    c = gram_rows(per_side, [*carry, *meta, "side"], "toks", max_n).groupBy(*carry, *meta, "n", *cols).agg(
+        F.count_if(side == 0).alias("ch"), *[F.count_if(side == j).alias(f"_c{j}") for j in range(1, max_refs + 1)])
+    kw = None
     if keywords is not None and kw_col:
         kw = bounded_broadcast(keywords.select(F.col("kw_group").alias("_kwg"), F.col("token").alias("_kwt"))
                                .distinct().withColumn("_kw", F.lit(True)))
-        c2 = c2.join(kw, (F.col(kw_col) == F.col("_kwg")) & (F.col("g") == F.col("_kwt")) & (F.col("n") == 1), "left")
-        wgt = F.when(F.col("n") == 1, F.when(F.col("_kw"), F.lit(KEYWORD_WEIGHT)).otherwise(F.lit(OTHER_WEIGHT))).otherwise(F.lit(1.0))
+        c = c.join(kw, (F.col(kw_col) == F.col("_kwg")) & (F.col("t1") == F.col("_kwt")) & (F.col("n") == 1), "left")
+        w = F.when(F.col("n") == 1, F.when(F.col("_kw"), F.lit(KEYWORD_WEIGHT)).otherwise(F.lit(OTHER_WEIGHT))).otherwise(F.lit(1.0))
     else:
-        wgt = F.when(F.col("n") == 1, F.lit(OTHER_WEIGHT)).otherwise(F.lit(1.0))
-    hyp_side, ref_side = F.col("side") == 0, F.col("side") > 0
-    c3 = c2.groupBy(*carry, "meta", "side", "n").agg(
-        F.sum(F.when(hyp_side, F.least("c", "crmax"))).alias("m"),
-        F.sum(F.when(hyp_side, F.col("c"))).alias("t"),
-        F.sum(F.when(ref_side, F.least("c", "ch") * wgt)).alias("wn"),
-        F.sum(F.when(ref_side, F.col("c") * wgt)).alias("wd"))
+        w = F.when(F.col("n") == 1, F.lit(OTHER_WEIGHT)).otherwise(F.lit(1.0))
+    ch = F.col("ch")
+    ref_counts = [F.col(f"_c{j}") for j in range(1, max_refs + 1)]
+    crmax = F.greatest(*ref_counts) if max_refs > 1 else ref_counts[0]
+    clipped_refs = sum((F.least(r, ch) for r in ref_counts[1:]), F.least(ref_counts[0], ch))
+    refs_j = range(1, max_refs + 1)
+    kwflag = F.when(F.col("_kw"), F.lit(1)).otherwise(F.lit(0)) if kw is not None else F.lit(0)
+    part = c.groupBy(*carry, *meta, "n").agg(
+        F.sum(F.least(ch, crmax)).alias("m"), F.sum(ch).alias("t"), F.sum(clipped_refs * w).alias("wn"),
+        *[F.sum(F.col(f"_c{j}")).alias(f"_len{j}") for j in refs_j],
+        *[F.sum(F.col(f"_c{j}") * kwflag).alias(f"_k{j}") for j in refs_j])
     aggs = []
     for k in range(1, max_n + 1):
         at = F.col("n") == k
         aggs += [
-            F.coalesce(F.sum(F.when(at & hyp_side, F.col("m"))), F.lit(0)).cast("bigint").alias(f"m{k}"),
-            F.greatest(F.lit(1), F.coalesce(F.sum(F.when(at & hyp_side, F.col("t"))), F.lit(0))).cast("bigint").alias(f"d{k}"),
-            F.coalesce(F.sum(F.when(at & ref_side, F.col("wn"))), F.lit(0.0)).alias(f"wn{k}"),
-            F.coalesce(F.sum(F.when(at & ref_side, F.greatest(F.lit(1.0), F.col("wd")))), F.lit(0.0)).alias(f"_wd{k}"),
+            F.coalesce(F.sum(F.when(at, F.col("m"))), F.lit(0)).cast("bigint").alias(f"m{k}"),
+            F.greatest(F.lit(1), F.coalesce(F.sum(F.when(at, F.col("t"))), F.lit(0))).cast("bigint").alias(f"d{k}"),
+            F.coalesce(F.sum(F.when(at, F.col("wn"))), F.lit(0.0)).alias(f"wn{k}"),
         ]
-    out = c3.groupBy(*carry, "meta").agg(*aggs)
-    # references shorter than n have no n-grams but still add max(1, 0) = 1
-    for k in range(1, max_n + 1):
-        out = out.withColumn(f"wd{k}", F.col(f"_wd{k}") + F.col(f"meta.s{k}").cast("double")).drop(f"_wd{k}")
-    return out.select(*carry, F.col("meta.hl").cast("bigint").alias("hl"), F.col("meta.rl").cast("bigint").alias("rl"),
+    one = F.col("n") == 1
+    aggs += [F.coalesce(F.sum(F.when(one, F.col(f"_len{j}"))), F.lit(0)).alias(f"_len{j}") for j in refs_j]
+    aggs += [F.coalesce(F.sum(F.when(one, F.col(f"_k{j}"))), F.lit(0)).alias(f"_k{j}") for j in refs_j]
+    out = part.groupBy(*carry, *meta).agg(*aggs)
+    # unigram denominators: sum over the present references of
+    # max(1, 0.2 * tokens + 0.8 * keyword tokens)
+    d1 = [F.when(F.col("_nref") >= j, F.greatest(F.lit(1.0), F.col(f"_len{j}") * OTHER_WEIGHT
+                                                  + F.col(f"_k{j}") * (KEYWORD_WEIGHT - OTHER_WEIGHT))).otherwise(F.lit(0.0))
+          for j in refs_j]
+    out = out.withColumn("wd1", sum(d1[1:], d1[0]))
+    for k in range(2, max_n + 1):
+        out = out.withColumnRenamed(f"_wd{k}", f"wd{k}")
+    return out.select(*carry, F.col("_hl").cast("bigint").alias("hl"), F.col("_rl").cast("bigint").alias("rl"),
                       *[f"m{k}" for k in range(1, max_n + 1)], *[f"d{k}" for k in range(1, max_n + 1)],
                       *[f"wn{k}" for k in range(1, max_n + 1)], *[f"wd{k}" for k in range(1, max_n + 1)])
 
