@@ -77,13 +77,14 @@ def tier_pair_arrays(capped: DataFrame, keys: Sequence[str], id_col: str = "cand
     A = perfect x sync, B = sync x failed, C = perfect x failed only when
     there is no sync."""
     g = capped.groupBy(*keys).agg(
-        _side(PERFECT, id_col, text_col, extra).alias("P"),
-        _side(SYNC, id_col, text_col, extra).alias("S"),
-        _side(FAILED, id_col, text_col, extra).alias("F"),
+        _side(PERFECT, id_col, text_col, extra).alias("_tier_p"),
+        _side(SYNC, id_col, text_col, extra).alias("_tier_s"),
+        _side(FAILED, id_col, text_col, extra).alias("_tier_f"),
     )
-    a = _cross(F.col("P"), F.col("S"), "A", seed, extra)
-    b = _cross(F.col("S"), F.col("F"), "B", seed, extra)
-    c = F.filter(_cross(F.col("P"), F.col("F"), "C", seed, extra), lambda _: F.size(F.col("S")) == 0)
+    p, s, f = F.col("_tier_p"), F.col("_tier_s"), F.col("_tier_f")
+    a = _cross(p, s, "A", seed, extra)
+    b = _cross(s, f, "B", seed, extra)
+    c = F.filter(_cross(p, f, "C", seed, extra), lambda _: F.size(s) == 0)
     return g.select(*keys, F.concat(a, b, c).alias("pairs"))
 
 
