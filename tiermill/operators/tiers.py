@@ -121,3 +121,10 @@ def exec_rates(results: DataFrame, by: Sequence[str]) -> DataFrame:
         F.avg((F.col("run_ok") & (py_strip("stdout") == py_strip("gt_stdout"))).cast("double")).alias("equiv_rate"),
         F.avg("err_pos").alias("mean_err_pos"),
     )
+
+
+def group_reward(df: DataFrame, group: str, fn, schema: str) -> DataFrame:
+    """User reward function over one group of completions (pandas in,
+    pandas out), run with ``applyInPandas``.  Groups are the k completions
+    of one prompt, so each call sees a bounded frame."""
+    return df.groupBy(group).applyInPandas(fn, schema)

@@ -638,3 +638,76 @@ oracle("stream_dedupe", """SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS
 
 oracle("stream_mine_pairs", f"""WITH {MINED}
 SELECT lang, source, strategy, chosen_id, rejected_id, pair_rank FROM mined""")
+
+
+# ---------------------------------------------------------------- coverage
+
+oracle("hypotheses_jsonl", f"""WITH d AS (SELECT doc_id, {toks('text')} AS r FROM documents)
+SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS line_no,
+       array_to_string(list_filter(r, lambda x, i: i % 7 <> 0), ' ') AS hyp, array_to_string(r, ' ') AS target
+FROM d""")
+
+MULTI = f"""d AS (SELECT doc_id, lang, {toks('text')} AS r FROM documents),
+h AS (SELECT doc_id, lang, list_filter(r, lambda x, i: i % 7 <> 0) AS h, r AS r1,
+             list_filter(r, lambda x, i: i % 5 <> 0) AS r2 FROM d),
+kw AS (SELECT lang, token FROM (
+         SELECT lang, token, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, token) AS rk
+         FROM (SELECT lang, unnest(r) AS token FROM d) GROUP BY lang, token) WHERE rk <= 50),
+g0 AS (SELECT doc_id, n, g, count(*) AS c FROM ({grams_sql('h', 'h')}) GROUP BY doc_id, n, g),
+g1 AS (SELECT doc_id, n, g, count(*) AS c FROM ({grams_sql('h', 'r1')}) GROUP BY doc_id, n, g),
+g2 AS (SELECT doc_id, n, g, count(*) AS c FROM ({grams_sql('h', 'r2')}) GROUP BY doc_id, n, g),
+allg AS (SELECT doc_id, n, g FROM g0 UNION SELECT doc_id, n, g FROM g1 UNION SELECT doc_id, n, g FROM g2),
+j AS (SELECT a.doc_id, a.n, a.g, coalesce(g0.c, 0) AS ch, coalesce(g1.c, 0) AS c1, coalesce(g2.c, 0) AS c2
+      FROM allg a LEFT JOIN g0 USING (doc_id, n, g) LEFT JOIN g1 USING (doc_id, n, g) LEFT JOIN g2 USING (doc_id, n, g)),
+jw AS (SELECT j.*, CASE WHEN kw.token IS NOT NULL THEN 1 ELSE 0 END AS iskw,
+              CASE WHEN j.n = 1 THEN CASE WHEN kw.token IS NOT NULL THEN 1.0 ELSE 0.2 END ELSE 1.0 END::DOUBLE AS w
+       FROM j JOIN h USING (doc_id) LEFT JOIN kw ON kw.lang = h.lang AND kw.token = j.g AND j.n = 1),
+per AS (SELECT doc_id, n, sum(least(ch, greatest(c1, c2))) AS m, sum(ch) AS t,
+               sum((least(c1, ch) + least(c2, ch)) * w) AS wn,
+               sum(c1 * iskw) AS k1, sum(c2 * iskw) AS k2
+        FROM jw GROUP BY doc_id, n),
+stats AS (
+  SELECT h.doc_id, len(h.h) AS hl,
+         CASE WHEN abs(len(h.r1) - len(h.h)) < abs(len(h.r2) - len(h.h)) THEN len(h.r1)
+              WHEN abs(len(h.r1) - len(h.h)) > abs(len(h.r2) - len(h.h)) THEN len(h.r2)
+              ELSE least(len(h.r1), len(h.r2)) END AS rl,
+         {", ".join(f"coalesce(max(m) FILTER (WHERE n = {k}), 0) AS m{k}" for k in range(1, 5))},
+         {", ".join(f"greatest(1, coalesce(max(t) FILTER (WHERE n = {k}), 0)) AS d{k}" for k in range(1, 5))},
+         {", ".join(f"coalesce(max(wn) FILTER (WHERE n = {k}), 0.0) AS wn{k}" for k in range(1, 5))},
+         greatest(1.0, 0.2 * len(h.r1) + 0.8 * coalesce(max(k1) FILTER (WHERE n = 1), 0))
+           + greatest(1.0, 0.2 * len(h.r2) + 0.8 * coalesce(max(k2) FILTER (WHERE n = 1), 0)) AS wd1,
+         {", ".join(f"greatest(1.0, len(h.r1) - {k} + 1) + greatest(1.0, len(h.r2) - {k} + 1) AS wd{k}" for k in range(2, 5))}
+  FROM h LEFT JOIN per USING (doc_id)
+  GROUP BY h.doc_id, h.h, h.r1, h.r2)"""
+
+oracle("multi_ref_scores", f"""WITH {MULTI}
+SELECT doc_id, round({score_sql('m', 'd')}, 6) AS bleu, round({score_sql('wn', 'wd')}, 6) AS weighted FROM stats""")
+
+oracle("rollout_append", f"""WITH {RUNS}, {GT}, {CANDS}, {TIER_PAIRS}
+SELECT user_id, day, (CAST(substr(day, 9, 2) AS INTEGER) // 10)::BIGINT AS epoch,
+       count(*) FILTER (WHERE tier = 'perfect') AS n_perfect,
+       count(*) FILTER (WHERE tier = 'sync') AS n_sync,
+       count(*) FILTER (WHERE tier = 'failed') AS n_failed
+FROM tiered GROUP BY user_id, day""")
+
+oracle("prompt_system", f"""WITH {CONV_SAMPLES},
+sp AS (SELECT conv_id, arg_min(text, turn) AS sys_text FROM conversations WHERE role = 'system' GROUP BY conv_id),
+j AS (SELECT s.*, coalesce(sp.sys_text, 'You are a careful programmer.') AS sp,
+             s.instruction || chr(10) || 'Give an outline first.' AS ins FROM samples s LEFT JOIN sp USING (conv_id))
+SELECT conv_id, turn,
+  CASE WHEN input IS NOT NULL AND NOT regexp_matches(input, '^{WS}*\\z')
+       THEN '<<system>>' || chr(10) || sp || chr(10) || '<<user>>' || chr(10) || ins || chr(10) || chr(10) || input || chr(10) || '<<assistant>>' || chr(10)
+       ELSE '<<system>>' || chr(10) || sp || chr(10) || '<<user>>' || chr(10) || ins || chr(10) || '<<assistant>>' || chr(10) END AS prompt
+FROM j""")
+
+oracle("epoch_shuffle", """WITH e AS (SELECT doc_id, epoch FROM documents, (SELECT unnest([0, 1]) AS epoch) x)
+SELECT epoch::BIGINT AS epoch, doc_id,
+       (row_number() OVER (PARTITION BY epoch ORDER BY md5('42|' || epoch || '|' || doc_id), doc_id) - 1)::BIGINT AS position
+FROM e""")
+
+oracle("group_reward_pandas", f"""WITH {RUNS},
+g AS (SELECT event_id // 4 AS group_id, event_id, run_ok, stdout,
+             first_value(stdout) OVER (PARTITION BY event_id // 4 ORDER BY event_id) AS ref FROM runs)
+SELECT group_id, event_id,
+       round(CASE WHEN run_ok AND {strip('stdout')} = {strip('ref')} THEN 1.0 WHEN run_ok THEN 0.5 ELSE 0.1 END::DOUBLE, 6) AS reward
+FROM g""")

@@ -692,3 +692,88 @@ def q_stream_mine_pairs(spark, sf):
                                                                seed=42, max_tokens=2048))
     back = spark.read.parquet(sink)
     return back.select(*X.GROUP_KEYS, "strategy", "chosen_id", "rejected_id", "pair_rank")
+
+
+# ---------------------------------------------------------------- coverage: S4, J2, K6, P3/P6, O1, V2/V3
+
+import pandas as pd  # noqa: E402
+
+
+@query("hypotheses_jsonl")
+def q_hypotheses_jsonl(spark, sf):
+    hr = X.hyp_ref_documents(spark, sf)
+    base = RP.dense_index(hr, ["doc_id"], out="line_no")
+    rec = F.to_json(F.struct(F.array_join("hyp_tokens", " ").alias("prediction"),
+                             F.array_join(F.col("refs")[0], " ").alias("target")))
+    path = shared_dir(spark, "hyp-jsonl")
+    SK.write_lines(base.select("line_no", rec.alias("value")), path)
+    return RD.read_hypotheses(spark, path, "prediction").select("line_no", "hyp", "target")
+
+
+@query("multi_ref_scores")
+def q_multi_ref_scores(spark, sf):
+    d = docs(spark, sf).select("doc_id", "lang", _tokens("text").alias("t"))
+    refs = (d.select("doc_id", F.lit(1).alias("ref_id"), F.col("t").alias("tokens"))
+             .unionByName(d.select("doc_id", F.lit(2).alias("ref_id"),
+                                   F.filter("t", lambda x, i: (i + 1) % 5 != 0).alias("tokens"))))
+    grouped = RD.group_references(refs, "doc_id", "ref_id", "tokens")
+    rows = d.select("doc_id", "lang", F.filter("t", lambda x, i: (i + 1) % 7 != 0).alias("hyp_tokens")).join(grouped, "doc_id")
+    st = NG.ngram_stats(rows, ["doc_id"], keywords=doc_keywords(spark, sf), kw_col="lang", max_refs=2)
+    return st.select("doc_id", r6(NG.bleu_col()).alias("bleu"), r6(NG.weighted_col()).alias("weighted"))
+
+
+@query("rollout_append")
+def q_rollout_append(spark, sf):
+    rec = q_rollout_log(spark, sf).withColumn("epoch", F.floor(F.dayofmonth(F.to_date("day")) / 10).cast("int"))
+    path = shared_dir(spark, "rollouts")
+    SK.append_rollouts(rec, path, ["epoch"])
+    back = spark.read.schema("user_id long, day string, n_perfect long, n_sync long, n_failed long, epoch int").json(path)
+    return back.select("user_id", "day", F.col("epoch").cast("bigint").alias("epoch"), "n_perfect", "n_sync", "n_failed")
+
+
+SYS_WITH_INPUT = "<<system>>\n{system_prompt}\n<<user>>\n{instruction}\n\n{input}\n<<assistant>>\n"
+SYS_WITHOUT_INPUT = "<<system>>\n{system_prompt}\n<<user>>\n{instruction}\n<<assistant>>\n"
+DEFAULT_SYSTEM = "You are a careful programmer."
+OUTLINE_SUFFIX = "\nGive an outline first."
+
+
+@query("prompt_system")
+def q_prompt_system(spark, sf):
+    s = conv_samples(spark, sf)
+    c = table(spark, sf, "conversations")
+    sysp = (c.filter(F.col("role") == "system").groupBy("conv_id")
+             .agg(F.min_by("text", "turn").alias("sys_text")))
+    j = s.join(sysp, "conv_id", "left")
+    sp = F.coalesce(F.col("sys_text"), F.lit(DEFAULT_SYSTEM))
+    p = PR.build_prompt(PR.add_suffix("instruction", OUTLINE_SUFFIX), "input", SYS_WITH_INPUT, SYS_WITHOUT_INPUT,
+                        rule="strip", system_prompt=sp)
+    return j.select("conv_id", "turn", p.alias("prompt"))
+
+
+@query("epoch_shuffle")
+def q_epoch_shuffle(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
+    d = d.withColumn("h", P.hash_rank(42, "epoch", "doc_id"))
+    idx = RP.dense_index(d, ["epoch", "h", "doc_id"])
+    first = idx.groupBy("epoch").agg(F.min("idx").alias("_first"))
+    return (idx.join(first, "epoch").select(F.col("epoch").cast("bigint").alias("epoch"), "doc_id",
+                                           (F.col("idx") - F.col("_first")).alias("position")))
+
+
+def _group_correctness(pdf: pd.DataFrame) -> pd.DataFrame:
+    """First completion of the group is the reference run; equal stdout ->
+    1.0, other successful runs 0.5, failed runs 0.1."""
+    pdf = pdf.sort_values("event_id")
+    ref = pdf["stdout"].iloc[0].strip()
+    ok = pdf["run_ok"].astype(bool)
+    same = pdf["stdout"].str.strip() == ref
+    reward = (ok & same) * 1.0 + (ok & ~same) * 0.5 + (~ok) * 0.1
+    return pd.DataFrame({"group_id": pdf["group_id"], "event_id": pdf["event_id"], "reward": reward.astype(float)})
+
+
+@query("group_reward_pandas")
+def q_group_reward_pandas(spark, sf):
+    runs = X.events_runs(spark, sf).select("event_id", "run_ok", "stdout",
+                                          F.floor(F.col("event_id") / 4).cast("bigint").alias("group_id"))
+    out = T.group_reward(runs, "group_id", _group_correctness, "group_id long, event_id long, reward double")
+    return out.select("group_id", "event_id", r6("reward").alias("reward"))
