@@ -116,6 +116,9 @@ def ngram_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp_tokens", ref
     part = c.groupBy(*carry, *meta, "n").agg(
         F.sum(F.least(ch, crmax)).alias("m"), F.sum(ch).alias("t"), F.sum(clipped_refs * w).alias("wn"),
         *[F.sum(F.col(f"_c{j}")).alias(f"_len{j}") for j in refs_j],
+        # membership: reference n-grams (with multiplicity) present in the hypothesis
+        F.sum(F.when(ch > 0, sum(ref_counts[1:], ref_counts[0])).otherwise(F.lit(0))).alias("mm"),
+        F.sum(sum(ref_counts[1:], ref_counts[0])).alias("mt"),
         *[F.sum(F.col(f"_c{j}") * kwflag).alias(f"_k{j}") for j in refs_j])
     aggs = []
     for k in range(1, max_n + 1):
@@ -124,6 +127,8 @@ def ngram_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp_tokens", ref
             F.coalesce(F.sum(F.when(at, F.col("m"))), F.lit(0)).cast("bigint").alias(f"m{k}"),
             F.greatest(F.lit(1), F.coalesce(F.sum(F.when(at, F.col("t"))), F.lit(0))).cast("bigint").alias(f"d{k}"),
             F.coalesce(F.sum(F.when(at, F.col("wn"))), F.lit(0.0)).alias(f"wn{k}"),
+            F.coalesce(F.sum(F.when(at, F.col("mm"))), F.lit(0)).cast("bigint").alias(f"mm{k}"),
+            F.coalesce(F.sum(F.when(at, F.col("mt"))), F.lit(0)).cast("bigint").alias(f"mt{k}"),
         ]
     one = F.col("n") == 1
     aggs += [F.coalesce(F.sum(F.when(one, F.col(f"_len{j}"))), F.lit(0)).alias(f"_len{j}") for j in refs_j]
@@ -139,7 +144,16 @@ def ngram_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp_tokens", ref
         out = out.withColumnRenamed(f"_wd{k}", f"wd{k}")
     return out.select(*carry, F.col("_hl").cast("bigint").alias("hl"), F.col("_rl").cast("bigint").alias("rl"),
                       *[f"m{k}" for k in range(1, max_n + 1)], *[f"d{k}" for k in range(1, max_n + 1)],
-                      *[f"wn{k}" for k in range(1, max_n + 1)], *[f"wd{k}" for k in range(1, max_n + 1)])
+                      *[f"wn{k}" for k in range(1, max_n + 1)], *[f"wd{k}" for k in range(1, max_n + 1)],
+                      *[f"mm{k}" for k in range(1, max_n + 1)], *[f"mt{k}" for k in range(1, max_n + 1)])
+
+
+def membership_col(n: int = 2, prefix: str = "") -> Column:
+    """Share of reference n-grams (with multiplicity) that occur in the
+    hypothesis; for n = 2 this is the edge ratio over adjacent token pairs.
+    Null without reference n-grams."""
+    m, t = F.col(f"{prefix}mm{n}"), F.col(f"{prefix}mt{n}")
+    return F.when(t > 0, m / t)
 
 
 def _score(num: list[Column], den: list[Column], hl: Column, rl: Column) -> Column:

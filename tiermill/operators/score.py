@@ -45,9 +45,13 @@ def composite(parts: Sequence[Column], weights: Sequence[Column]) -> Column:
     return F.when(den > 0, num / den)
 
 
-def score_clean(df: DataFrame, hyp_text: str, ref_text: str, score: Column) -> DataFrame:
-    """Blank-side guard: 0.0 when either side is blank; hardness alongside."""
-    cb = F.when(blank(hyp_text) | blank(ref_text), F.lit(0.0)).otherwise(F.coalesce(score, F.lit(0.0)))
+def score_clean(df: DataFrame, hyp_text, ref_text, score: Column) -> DataFrame:
+    """Blank-side guard: 0.0 when either side is blank; hardness alongside.
+    ``hyp_text`` / ``ref_text`` are text columns, or ready boolean "blank"
+    columns (for example ``hl == 0`` when only token counts are at hand)."""
+    hb = blank(hyp_text) if isinstance(hyp_text, str) else hyp_text
+    rb = blank(ref_text) if isinstance(ref_text, str) else ref_text
+    cb = F.when(hb | rb, F.lit(0.0)).otherwise(F.coalesce(score, F.lit(0.0)))
     return df.withColumn("codebleu", cb).withColumn("p_score", hardness(F.col("codebleu")))
 
 

@@ -384,14 +384,13 @@ def q_tree_match(spark, sf):
 
 
 def doc_scores(spark, sf):
-    st = doc_stats(spark, sf).select("doc_id", NG.bleu_col().alias("ngram"), NG.weighted_col().alias("weighted"))
-    ed = doc_edges(spark, sf).select("doc_id", F.col("ratio").alias("dataflow"))
-    hr = X.hyp_ref_documents(spark, sf).select("doc_id", "lang", "source", F.array_join("hyp_tokens", " ").alias("hyp_text"),
-                                               F.array_join(F.col("refs")[0], " ").alias("ref_text"))
-    j = hr.join(st, "doc_id", "left").join(ed, "doc_id", "left")
-    parts = [F.col("ngram"), F.col("weighted"), F.lit(None).cast("double"), F.col("dataflow")]
+    # one pass: n-gram, weighted and edge parts (edges = adjacent token pairs
+    # = bigram membership); a side is blank exactly when it has no tokens
+    hr = X.hyp_ref_documents(spark, sf)
+    st = NG.ngram_stats(hr, ["doc_id", "source"], keywords=doc_keywords(spark, sf), kw_col="lang")
+    parts = [NG.bleu_col(), NG.weighted_col(), F.lit(None).cast("double"), NG.membership_col(2)]
     cb = SC.composite(parts, SC.weight_cols(F.col("lang")))
-    return SC.score_clean(j, "hyp_text", "ref_text", cb)
+    return SC.score_clean(st, F.col("hl") == 0, F.col("rl") == 0, cb)
 
 
 @query("composite_score")
