@@ -71,3 +71,19 @@ def test_tier_samples_first_by_order(spark):
                                "s long, cand_idx long, tier string")
     r = T.tier_samples(df, ["s"], "cand_idx", "cand_idx").first()
     assert r["perfect_samples"] == [5] and r["sync_samples"] == [0, 1, 2] and r["failed_samples"] == []
+
+
+def test_group_reward_keeps_groups_whole_across_batches(spark):
+    import pandas as pd
+
+    def sizes(pdf):
+        n = pdf.groupby("g")["i"].transform("size")
+        return pd.DataFrame({"g": pdf["g"], "i": pdf["i"], "n": n.astype("int64")})
+
+    df = spark.createDataFrame([(g, i) for g in range(50) for i in range(7)], "g long, i long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = T.group_reward(df, "g", "i", sizes, "g long, i long, n long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 350 and all(r["n"] == 7 for r in got)

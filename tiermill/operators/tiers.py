@@ -123,8 +123,31 @@ def exec_rates(results: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def group_reward(df: DataFrame, group: str, fn, schema: str) -> DataFrame:
-    """User reward function over one group of completions (pandas in,
-    pandas out), run with ``applyInPandas``.  Groups are the k completions
-    of one prompt, so each call sees a bounded frame."""
-    return df.groupBy(group).applyInPandas(fn, schema)
+def group_reward(df: DataFrame, group: str, order: str, fn, schema: str) -> DataFrame:
+    """User reward function over whole groups of completions, batched.
+
+    ``fn`` gets a pandas frame holding complete groups (any number of them)
+    sorted by (group, order) and returns one row per completion; like a
+    trainer's reward callback it sees many groups per call, so it should
+    use group-wise pandas operations.  Rows are hash-partitioned by group
+    and sorted, then passed through ``mapInPandas`` in Arrow batches; a
+    group cut by a batch boundary is held back and joined to the next
+    batch.  A group is the k completions of one prompt (bounded)."""
+    import pandas as pd
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            if held is not None and len(held):
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            tail = pdf[group] == pdf[group].iloc[-1]
+            held = pdf[tail]
+            done = pdf[~tail]
+            if len(done):
+                yield fn(done)
+        if held is not None and len(held):
+            yield fn(held)
+
+    return df.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)

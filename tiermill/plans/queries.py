@@ -760,10 +760,10 @@ def q_epoch_shuffle(spark, sf):
 
 
 def _group_correctness(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First completion of the group is the reference run; equal stdout ->
-    1.0, other successful runs 0.5, failed runs 0.1."""
-    pdf = pdf.sort_values("event_id")
-    ref = pdf["stdout"].iloc[0].strip()
+    """Per group (rows sorted by event_id): the first completion is the
+    reference run; equal stdout -> 1.0, other successful runs 0.5, failed
+    runs 0.1.  Vectorised over all groups of the batch."""
+    ref = pdf.groupby("group_id", sort=False)["stdout"].transform("first").str.strip()
     ok = pdf["run_ok"].astype(bool)
     same = pdf["stdout"].str.strip() == ref
     reward = (ok & same) * 1.0 + (ok & ~same) * 0.5 + (~ok) * 0.1
@@ -774,5 +774,5 @@ def _group_correctness(pdf: pd.DataFrame) -> pd.DataFrame:
 def q_group_reward_pandas(spark, sf):
     runs = X.events_runs(spark, sf).select("event_id", "run_ok", "stdout",
                                           F.floor(F.col("event_id") / 4).cast("bigint").alias("group_id"))
-    out = T.group_reward(runs, "group_id", _group_correctness, "group_id long, event_id long, reward double")
+    out = T.group_reward(runs, "group_id", "event_id", _group_correctness, "group_id long, event_id long, reward double")
     return out.select("group_id", "event_id", r6("reward").alias("reward"))
