@@ -56,3 +56,11 @@ def test_membership_counts_reference_multiplicity(spark):
     cand = spark.createDataFrame([(1, "x")], "k long, h string")
     r = TR.membership_ratio(ref, cand, ["k"], ["h"]).first()
     assert (r["matched"], r["total"]) == (2, 3)  # membership, not clipped counts
+
+
+def test_tree_shapes_strip_comments_first(spark):
+    html = "<div><ul><li>a</li></ul></div> /* <div><h1>x</h1></div> */"
+    df = spark.createDataFrame([(1, html)], "k long, html string")
+    plain = TR.tree_shapes(df, "k", "html").count()
+    stripped = sorted(r["shape"] for r in TR.tree_shapes(df, "k", "html", strip_comments=True).collect())
+    assert plain == 4 and stripped == ["div ul li /li /ul /div", "div ul li /li /ul /div", "ul li /li /ul"]

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiermill.functions.text import strip_comments as _strip_comments
+
 # The tag kinds that are always closed in the page fixture.
 HTML_TAGS = ["ul", "li", "a", "nav", "div", "article", "footer", "title", "head", "style", "script", "h1"]
 
@@ -27,12 +29,15 @@ def tag_pattern(tags: Sequence[str]) -> str:
 
 
 def tree_shapes(df: DataFrame, key: str, col: str, tags: Sequence[str] = HTML_TAGS,
-                repartition: bool = True) -> DataFrame:
+                repartition: bool = True, strip_comments: bool = False) -> DataFrame:
     """(key, pos, depth, size, shape): pos = index of the open marker (-1 for
-    the root), depth 1 = root, size = markers in the subtree."""
+    the root), depth 1 = root, size = markers in the subtree.
+    ``strip_comments`` first removes line and block comments with the same
+    rule whatever the language (line comments first)."""
     pat = tag_pattern(tags)
     x = df.repartition(key) if repartition else df
-    rows = x.select(key, F.regexp_extract_all(F.col(col), F.lit(pat), 1).alias("m"))
+    src = _strip_comments(F.col(col)) if strip_comments else F.col(col)
+    rows = x.select(key, F.regexp_extract_all(src, F.lit(pat), 1).alias("m"))
     rows = rows.select(key, "m", F.array_join("m", " ").alias("s"))
     ex = rows.select(key, F.posexplode("m").alias("pos", "mk"))
     opening = ~F.col("mk").startswith("/")
@@ -75,8 +80,8 @@ def membership_ratio(ref: DataFrame, cand: DataFrame, keys: Sequence[str], items
 
 
 def adjacent_pairs(tokens_col: str) -> F.Column:
-    """array<struct<src, dst>> of adjacent tokens (the edge stand-in)."""
+    """array<struct<src, dst>> of adjacent tokens (the edge stand-in); a zip
+    of the array with itself shifted by one, no lambda."""
     t = F.col(tokens_col)
-    return F.when(F.size(t) >= 2, F.transform(F.sequence(F.lit(1), F.size(t) - 1),
-                                              lambda i: F.struct(F.element_at(t, i).alias("src"), F.element_at(t, i + 1).alias("dst")))
-                  ).otherwise(F.array().cast("array<struct<src:string,dst:string>>"))
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.slice(F.arrays_zip(t.alias("src"), F.slice(t, 2, n).alias("dst")), 1, n)
