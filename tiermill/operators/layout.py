@@ -20,7 +20,8 @@ A run contributes
     and e0 = 0 (not for the first word), or when it has one and both the
     level at the last NEW_LINE and the level at the word are 0.
 Everything is keyed by the row key, so after ``repartition(key)`` the
-windows, aggregations and the join need no further exchange.
+windows and aggregations need no further exchange (the word of a run and
+the run's markers meet in a union + aggregation, not a join).
 """
 
 from __future__ import annotations
@@ -56,19 +57,29 @@ def layout_lines(df: DataFrame, key: str, col: str, out: str = "code", repartiti
     is_nl = F.col("f.nl") == 1
     e0 = (F.col("l.S") - F.col("f.sb")) - F.least(F.lit(0), F.col("minS") - F.col("f.sb"))
     piece = F.concat(F.lit("\n"), F.repeat(F.lit(UNIT), F.col("l.L")))
-    runs = seg.groupBy(key, "run").agg(
-        F.max(F.when(~is_nl, e0)).alias("e0"),
-        F.sort_array(F.collect_list(F.when(is_nl, F.struct("N", piece.alias("p"), F.col("f.L").alias("lnl"))))).alias("nls"))
+    runs = (seg.groupBy(key, "run").agg(
+                F.max(F.when(~is_nl, e0)).alias("e0"),
+                F.sort_array(F.collect_list(F.when(is_nl, F.struct("N", piece.alias("p"), F.col("f.L").alias("lnl"))))).alias("nls"))
+            .select(key, "run", "e0", F.size("nls").alias("n_nl"), F.try_element_at("nls", F.lit(-1))["lnl"].alias("lnl"),
+                    F.array_join(F.transform("nls", lambda s: s["p"]), "").alias("nls_text")))
 
     words = ex.filter(F.col("w") == 1).select(key, "run", "tok", F.col("L").alias("Lw"))
-    j = words.join(runs, [key, "run"], "full")
+    # one row per (key, run): the word and the markers before it.  A union and
+    # an aggregation keep the partitioning on ``key`` (a join on (key, run)
+    # would re-shuffle both sides on both columns)
+    none_s, none_l = F.lit(None).cast("string"), F.lit(None).cast("long")
+    u = (words.select(key, "run", "tok", F.col("Lw").cast("long").alias("Lw"), none_l.alias("e0"), none_l.alias("n_nl"),
+                      none_l.alias("lnl"), none_s.alias("nls_text"))
+         .unionByName(runs.select(key, "run", none_s.alias("tok"), none_l.alias("Lw"), F.col("e0").cast("long").alias("e0"),
+                                  F.col("n_nl").cast("long").alias("n_nl"), F.col("lnl").cast("long").alias("lnl"), "nls_text")))
+    j = u.groupBy(key, "run").agg(*[F.max(c).alias(c) for c in ("tok", "Lw", "e0", "n_nl", "lnl", "nls_text")])
     e0c = F.coalesce(F.col("e0"), F.lit(0))
-    n_nl = F.coalesce(F.size("nls"), F.lit(0))
+    n_nl = F.coalesce(F.col("n_nl"), F.lit(0))
     sep = (F.when(F.col("tok").isNull(), F.lit(""))
-            .when(n_nl > 0, F.when((F.col("Lw") == 0) & (F.element_at("nls", -1)["lnl"] == 0), F.lit(" ")).otherwise(F.lit("")))
+            .when(n_nl > 0, F.when((F.col("Lw") == 0) & (F.col("lnl") == 0), F.lit(" ")).otherwise(F.lit("")))
             .when((F.col("run") >= 1) & (e0c == 0), F.lit(" ")).otherwise(F.lit("")))
-    nls_text = F.coalesce(F.array_join(F.transform("nls", lambda s: s["p"]), ""), F.lit(""))
-    pieces = j.select(key, "run", F.concat(F.repeat(F.lit(UNIT), e0c), nls_text, sep, F.coalesce("tok", F.lit(""))).alias("p"))
+    nls_text = F.coalesce(F.col("nls_text"), F.lit(""))
+    pieces = j.select(key, "run", F.concat(F.repeat(F.lit(UNIT), e0c.cast("int")), nls_text, sep, F.coalesce("tok", F.lit(""))).alias("p"))
     text = pieces.groupBy(key).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "p"))), lambda s: s["p"]), "").alias(out))
     return rows.select(key).join(text, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
