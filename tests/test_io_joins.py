@@ -62,3 +62,13 @@ def test_hot_group_matches_uniform_result(spark):
     all_ = sorted(tuple(r) for r in P.mine_pairs(df, ["s"]).select("s", "chosen_id", "rejected_id").collect())
     alone = sorted(tuple(r) for r in P.mine_pairs(df.filter(F.col("s") == 0), ["s"]).select("s", "chosen_id", "rejected_id").collect())
     assert [r for r in all_ if r[0] == 0] == alone and len(alone) == 4
+
+
+def test_json_layout_peeks_bytes(spark):
+    d = tempfile.mkdtemp(prefix="tiermill-test-")
+    with open(os.path.join(d, "compact.json"), "w") as f:
+        f.write("  " + json.dumps([{"instruction": "a", "output": "x"}]))
+    with open(os.path.join(d, "lines.jsonl"), "w") as f:
+        f.write('\n{"instruction": "a"}\n')
+    assert RD.json_layout(spark, os.path.join(d, "compact.json")) == "array"
+    assert RD.json_layout(spark, os.path.join(d, "lines.jsonl")) == "lines"

@@ -22,11 +22,45 @@ SAMPLE_SCHEMA = T.StructType([
 ])
 
 
+def _first_char(spark: SparkSession, path: str, limit: int = 65536) -> str | None:
+    """First non-whitespace character of the first data file under ``path``,
+    read through the Hadoop file system a byte at a time (never a whole
+    line, which for a compact JSON array is the whole file)."""
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    files = []
+    for st in fs.globStatus(p) or []:
+        if st.isDirectory():
+            files += [c for c in fs.listStatus(st.getPath()) if c.isFile()]
+        else:
+            files.append(st)
+    files = sorted((f for f in files if not f.getPath().getName().startswith(("_", "."))),
+                   key=lambda f: f.getPath().toString())
+    for f in files:
+        stream = fs.open(f.getPath())
+        try:
+            for _ in range(limit):
+                b = stream.read()
+                if b < 0:
+                    break
+                if chr(b) not in " \t\r\n\ufeff\xef\xbb\xbf":
+                    return chr(b)
+        finally:
+            stream.close()
+    return None
+
+
 def json_layout(spark: SparkSession, path: str) -> str:
     """"array" when the first non-blank character is '[', else "lines"."""
-    first = (spark.read.text(path).filter(F.trim(F.col("value")) != "")
-             .select(F.substring(F.ltrim("value"), 1, 1).alias("c")).limit(1).collect())
-    return "array" if first and first[0]["c"] == "[" else "lines"
+    try:
+        c = _first_char(spark, path)
+    except Exception:  # noqa: BLE001 - fall back to a line read
+        first = (spark.read.text(path).filter(F.trim(F.col("value")) != "")
+                 .select(F.substring(F.ltrim("value"), 1, 1).alias("c")).limit(1).collect())
+        c = first[0]["c"] if first else None
+    return "array" if c == "[" else "lines"
 
 
 def read_samples(spark: SparkSession, path: str, layout: str | None = None,
