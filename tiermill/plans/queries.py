@@ -9,12 +9,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiermill.operators import pairs as P
 from tiermill.operators import tiers as T
 from tiermill.plans import fixtures as X
+from tiermill.functions import arrays as AR
+from tiermill.functions import lang as L
+from tiermill.functions import prompts as PR
+from tiermill.functions import text as TX
+from tiermill.functions.text import tokens as _tokens
+from tiermill.operators import diffs as DF
+from tiermill.operators import layout as LY
+from tiermill.operators import ngrams as NG
+from tiermill.operators import prefs as PF
+from tiermill.operators import report as RP
+from tiermill.operators import score as SC
+from tiermill.operators import trees as TR
+from tiermill.operators.joins import neighbours_in_group
+from tiermill.session import shared_dir
+from tiermill.session import table
+from tiermill.sources import readers as RD
+from tiermill.sources import sinks as SK
+from tiermill.streaming import streams as STM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -118,10 +137,6 @@ def q_pair_strategy_counts(spark, sf):
 # Documents hold no fences, markers or comments, so each query wraps the whole
 # text inside the plan (the oracle wraps it the same way).
 
-from tiermill.functions import lang as L  # noqa: E402
-from tiermill.functions import prompts as PR  # noqa: E402
-from tiermill.functions import text as TX  # noqa: E402
-from tiermill.session import table  # noqa: E402
 
 FENCE_TAGS = ["python", "c++", "java", "c#", "cpp", ""]
 LANG_SPELLINGS = ["C++", "cpp", "Python", "Java", "C#", "csharp", "Go", "PHP", "JavaScript"]
@@ -303,12 +318,6 @@ def q_reward_total(spark, sf):
 
 # ---------------------------------------------------------------- phase 3: scores
 
-from tiermill.functions.text import tokens as _tokens  # noqa: E402
-from tiermill.operators import ngrams as NG  # noqa: E402
-from tiermill.operators import score as SC  # noqa: E402
-from tiermill.operators import trees as TR  # noqa: E402
-from tiermill.operators.joins import neighbours_in_group  # noqa: E402
-
 
 def doc_keywords(spark, sf):
     d = docs(spark, sf).select("lang", _tokens("text").alias("toks"))
@@ -420,10 +429,6 @@ def q_category_rollup(spark, sf):
 # others give -8|x|; even / odd vec_id = chosen / rejected of pair vec_id/2;
 # the first / second half of a row = policy / reference.
 
-from tiermill.functions import arrays as AR  # noqa: E402
-from tiermill.operators import diffs as DF  # noqa: E402
-from tiermill.operators import prefs as PF  # noqa: E402
-
 
 def emb(spark, sf):
     e = table(spark, sf, "embeddings")
@@ -531,7 +536,6 @@ def q_focus_tokens(spark, sf):
 # Markers are placed after token i by (7 i + doc_id) mod 11; some rows start
 # with INDENT or NEW_LINE.
 
-from tiermill.operators import layout as LY  # noqa: E402
 
 MARKER_AFTER = {0: " NEW_LINE", 3: " NEW_LINE INDENT", 5: " NEW_LINE DEDENT", 8: " DEDENT", 9: " INDENT",
                 10: " NEW_LINE NEW_LINE"}
@@ -559,11 +563,6 @@ def q_layout_lines(spark, sf):
 
 # ---------------------------------------------------------------- phase 5: reports
 
-from tiermill.operators import report as RP  # noqa: E402
-from tiermill.sources import readers as RD  # noqa: E402
-from tiermill.sources import sinks as SK  # noqa: E402
-from tiermill.session import shared_dir  # noqa: E402
-from tiermill.streaming import streams as STM  # noqa: E402
 
 RUN_LANGS = ["python", "java", "cpp"]
 
@@ -695,8 +694,6 @@ def q_stream_mine_pairs(spark, sf):
 
 # ---------------------------------------------------------------- coverage: S4, J2, K6, P3/P6, O1, V2/V3
 
-import pandas as pd  # noqa: E402
-
 
 @query("hypotheses_jsonl")
 def q_hypotheses_jsonl(spark, sf):
