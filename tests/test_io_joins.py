@@ -72,3 +72,10 @@ def test_json_layout_peeks_bytes(spark):
         f.write('\n{"instruction": "a"}\n')
     assert RD.json_layout(spark, os.path.join(d, "compact.json")) == "array"
     assert RD.json_layout(spark, os.path.join(d, "lines.jsonl")) == "lines"
+
+
+def test_bounded_broadcast_checks_bytes(spark):
+    wide = spark.range(20).selectExpr("id", "repeat('x', 1000) AS s")
+    b = bounded_broadcast(wide, max_rows=100, max_bytes=5_000)
+    plan = spark.range(5).join(b, "id")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" not in plan.lower()

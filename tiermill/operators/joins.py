@@ -10,17 +10,28 @@ from pyspark.sql import functions as F
 from tiermill.session import cut_lineage
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows
+    and about ``max_bytes`` of data (string/binary lengths plus 8 bytes per
+    other value).
 
     The side is checkpointed into the shared folder first (so it is computed
-    once and the count is cheap); above the bound it is returned as is and
-    the join falls back to a shuffle join (AQE may still convert it).
+    once and the measuring pass is cheap); above either bound it is returned
+    as is and the join falls back to a shuffle join (AQE may still convert
+    it at run time).
     """
     small = cut_lineage(df)
-    if small.count() <= max_rows:
+    var = [f.name for f in small.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    fixed = len(small.schema.fields) - len(var)
+    size = F.lit(8 * fixed)
+    for c in var:
+        size = size + F.coalesce(F.length(F.col(c)), F.lit(0))
+    m = small.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    if m["n"] <= max_rows and m["b"] <= max_bytes:
         return F.broadcast(small)
     return small
 
