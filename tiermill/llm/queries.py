@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tiermill.llm import exact_dedup, line_dedup
+from tiermill.llm import bpe_lexicon, exact_dedup, line_dedup
 from tiermill.session import table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+def bpe_path() -> str:
+    """The tokenizer file of the queries; the operators take any byte-level BPE file's path."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(name, sql=None):
     def add(f):
         QUERIES[name] = f
@@ -54,3 +60,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 def op4_exact_dedup(spark, sf_dir):
     """Groups of texts that are equal but for white space; the longest original, then smallest id, stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op3_bpe_lexicon")
+def op3_bpe_lexicon(spark, sf_dir):
+    """Encode every whole text through the lexicon automaton and decode it again."""
+    return bpe_lexicon.round_trip(table(spark, sf_dir, "documents"), bpe_path())
