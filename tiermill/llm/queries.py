@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tiermill.llm import bpe_lexicon, exact_dedup, line_dedup
+from tiermill.llm import bpe_lexicon, exact_dedup, line_dedup, rans_store
 from tiermill.session import table
 
 QUERIES: dict = {}
@@ -66,3 +66,9 @@ def op4_exact_dedup(spark, sf_dir):
 def op3_bpe_lexicon(spark, sf_dir):
     """Encode every whole text through the lexicon automaton and decode it again."""
     return bpe_lexicon.round_trip(table(spark, sf_dir, "documents"), bpe_path())
+
+
+@query("op10_rans_ids")
+def op10_rans_ids(spark, sf_dir):
+    """Write the ids of every whole text, each document closed by id 2, as rANS files and read those back."""
+    return rans_store.read_ids(spark, rans_store.write_ids(table(spark, sf_dir, "documents"), bpe_path(), end_id=2))
