@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tiermill.llm import bpe_lexicon, exact_dedup, line_dedup, rans_store
+from tiermill.llm import bpe_lexicon, exact_dedup, line_dedup, rans_store, token_counts
 from tiermill.session import table
 
 QUERIES: dict = {}
@@ -68,6 +68,12 @@ def op3_bpe_lexicon(spark, sf_dir):
     return bpe_lexicon.round_trip(table(spark, sf_dir, "documents"), bpe_path())
 
 
+@query("op8_token_counts")
+def op8_token_counts(spark, sf_dir):
+    """Tokens of every whole text, counted by the compiled transducers."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), bpe_path(), limit=512)
+
+
 @query("op10_rans_ids")
 def op10_rans_ids(spark, sf_dir):
     """Write the ids of every whole text, each document closed by id 2, as rANS files and read those back."""
