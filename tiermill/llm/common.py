@@ -5,9 +5,11 @@ from __future__ import annotations
 import sys
 import types
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiermill.session import shared_dir
+
 #: Fixed value: the characters of ``[\x20\x09-\x0D]``.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,3 +34,13 @@ def worker_cache() -> dict:
         mod = sys.modules[name] = types.ModuleType(name)
         mod.cache = {}
     return mod.cache
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors, and later plans see
+    the files' real size (a checkpoint would keep the statistics and constraints of the plan before, which grow from round to
+    round in a loop)."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tiermill.llm import bpe_lexicon, exact_dedup, line_dedup, rans_store, token_counts
+from tiermill.llm import bpe_lexicon, exact_dedup, line_dedup, minhash, rans_store, token_counts
 from tiermill.session import table
 
 QUERIES: dict = {}
@@ -26,6 +26,13 @@ def query(name, sql=None):
     return add
 
 
+@query("op1_minhash_dedup")
+def op1_minhash_dedup(spark, sf_dir):
+    """Components of texts whose 3-word shingle sets have a similarity of 0.85 or more."""
+    x = minhash.near_groups(table(spark, sf_dir, "documents"), size=3, threshold=85)
+    return x.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op2_line_dedup", r"""
 WITH lines AS (
   SELECT doc_id, i AS pos, string_split(coalesce(text, ''), chr(10))[i] AS line
