@@ -8,7 +8,7 @@
 3. The automaton is one array file in the shared folder, memory-mapped by the workers (read whole where that folder
    isn't a file system that can be mapped).  All words of a batch walk it in step, one byte at a time.
 4. The words that the automaton doesn't accept are merged exactly by the tokenizer's rule, the different ones of a
-   slice together.  So ids never depend on which words are in the lexicon.
+   slice together; a worker remembers a bounded number of them.  So ids never depend on which words are in the lexicon.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; the special token's string inside a
 text is that token, as the library has it; repeated rows give equal rows; an empty table gives an empty result;
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import io
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from tiermill.session import shared_dir
 
 MAX_WORD_BYTES = 32  # longer words are never compiled
 SLICE_BYTES = 4 << 20
+MEMO_WORDS = 300_000  # merged words that a worker remembers
 
 _BPES: dict[str, Bpe] = {}
 
@@ -274,6 +276,11 @@ class Encoder:
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon | None):
         self.bpe, self.lexicon = bpe, lexicon
+        self._forget()
+
+    def _forget(self):
+        self.place: dict[bytes, int] = {}
+        self.values, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``ids, offsets`` of the texts ``buf[off[i]:off[i + 1]]``."""
@@ -282,9 +289,13 @@ class Encoder:
         number[special >= 0] = -1
         rest = np.flatnonzero((number < 0) & (special < 0))
         raw = buf.tobytes()
-        place: dict[bytes, int] = {}
+        if len(self.place) > MEMO_WORDS:
+            self._forget()
+        place, known = self.place, len(self.place)
         picked = [place.setdefault(raw[i:j], len(place)) for i, j in zip(begins[rest].tolist(), begins[rest + 1].tolist())]
-        values, offsets = self.bpe.merge_many(list(place))
+        made, upto = self.bpe.merge_many(list(islice(place, known, None)))
+        values = self.values = np.concatenate([self.values, made])
+        offsets = self.offsets = np.concatenate([self.offsets, self.offsets[-1] + upto[1:]])
         first = len(offsets) - 1
         values = np.concatenate([values, np.arange(self.bpe.size, dtype=np.int32)])  # special tokens stand for themselves
         offsets = np.concatenate([offsets, offsets[-1] + np.arange(1, self.bpe.size + 1)])
