@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tiermill.llm import bpe_lexicon, exact_dedup, line_dedup, minhash, rans_store, token_counts
+from tiermill.llm import bpe_lexicon, exact_dedup, line_dedup, minhash, quality, rans_store, token_counts
 from tiermill.session import table
 
 QUERIES: dict = {}
@@ -81,6 +81,12 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), bpe_path(), limit=512)
 
 
+@query("op9_pu_quality")
+def op9_pu_quality(spark, sf_dir):
+    """Quality scores of every whole text by positive-unlabelled learning; fold 0 of 5 is held out."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 @query("op10_rans_ids")
 def op10_rans_ids(spark, sf_dir):
     """Write the ids of every whole text, each document closed by id 2, as rANS files and read those back."""
