@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tiermill.llm import bpe_lexicon, exact_dedup, line_dedup, minhash, quality, rans_store, token_counts
+from tiermill.llm import bpe_lexicon, decontaminate, exact_dedup, line_dedup, minhash, quality, rans_store, token_counts
 from tiermill.session import table
 
 QUERIES: dict = {}
@@ -75,6 +75,12 @@ def op3_bpe_lexicon(spark, sf_dir):
     return bpe_lexicon.round_trip(table(spark, sf_dir, "documents"), bpe_path())
 
 
+@query("op5_decontaminate")
+def op5_decontaminate(spark, sf_dir):
+    """Documents with a window of 13 tokens of which 11 equal those of a benchmark item, and the items."""
+    return decontaminate.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op8_token_counts")
 def op8_token_counts(spark, sf_dir):
     """Tokens of every whole text, counted by the compiled transducers."""
