@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tiermill.operators import pairs as P
@@ -18,8 +19,8 @@ def test_read_samples_both_layouts(spark):
         json.dump(rows, f, indent=2)
     with open(os.path.join(d, "lines.jsonl"), "w") as f:
         f.write("\n".join(json.dumps(r) for r in rows) + "\n")
-    for name in ("arr.json", "lines.jsonl"):
-        df = RD.with_defaults(RD.read_samples(spark, os.path.join(d, name), schema=RD.SAMPLE_SCHEMA), {"input": ""})
+    for name, layout in (("arr.json", "array"), ("lines.jsonl", "lines")):
+        df = RD.with_defaults(RD.read_samples(spark, os.path.join(d, name), layout, schema=RD.SAMPLE_SCHEMA), {"input": ""})
         assert sorted(tuple(r) for r in df.select("instruction", "input", "output").collect()) == [
             ("a", "", "x"), ("b", "ctx", "y")]
 
@@ -64,18 +65,49 @@ def test_hot_group_matches_uniform_result(spark):
     assert [r for r in all_ if r[0] == 0] == alone and len(alone) == 4
 
 
-def test_json_layout_peeks_bytes(spark):
-    d = tempfile.mkdtemp(prefix="tiermill-test-")
-    with open(os.path.join(d, "compact.json"), "w") as f:
-        f.write("  " + json.dumps([{"instruction": "a", "output": "x"}]))
-    with open(os.path.join(d, "lines.jsonl"), "w") as f:
-        f.write('\n{"instruction": "a"}\n')
-    assert RD.json_layout(spark, os.path.join(d, "compact.json")) == "array"
-    assert RD.json_layout(spark, os.path.join(d, "lines.jsonl")) == "lines"
-
-
 def test_bounded_broadcast_checks_bytes(spark):
     wide = spark.range(20).selectExpr("id", "repeat('x', 1000) AS s")
     b = bounded_broadcast(wide, max_rows=100, max_bytes=5_000)
     plan = spark.range(5).join(b, "id")._jdf.queryExecution().analyzed().toString()
     assert "broadcast" not in plan.lower()
+
+
+def test_part_files_are_in_numeric_order(spark):
+    d = tempfile.mkdtemp(prefix="tiermill-test-")
+    for n in (99999, 100000, 9999, 10001):
+        with open(os.path.join(d, f"part-{n:05d}.txt"), "w") as f:
+            f.write(f"{n}a\n{n}b\n")
+    got = RD.read_lines(spark, d).orderBy("line_no").collect()
+    assert [r["value"] for r in got] == [f"{n}{x}" for n in (9999, 10001, 99999, 100000) for x in "ab"]
+
+
+def test_alignment_of_unequal_files_fails(spark):
+    a = spark.createDataFrame([(0, "x"), (1, "y")], "line_no long, value string")
+    assert RD.align_lines(a, a).count() == 2
+    with pytest.raises(Exception, match="differ in length"):
+        RD.align_lines(a, a.limit(1)).collect()
+
+
+def test_keyword_files_of_a_folder(spark):
+    d = tempfile.mkdtemp(prefix="tiermill-test-")
+    for name, words in (("java", "class\n for \n\nfor\n"), ("c++", "int\n")):
+        with open(os.path.join(d, name + ".txt"), "w") as f:
+            f.write(words)
+    assert sorted(map(tuple, RD.read_keywords(spark, d).collect())) == [("c++", "int"), ("java", "class"), ("java", "for")]
+
+
+def test_floor_div_is_exact_for_large_and_negative_ids(spark):
+    from tiermill.functions.ints import floor_div
+    xs = [0, 3, 4, -1, -4, -5, 2**60 + 3, 2**60 + 4, -2**60 - 1]
+    got = {r["x"]: r["q"] for r in spark.createDataFrame([(x,) for x in xs], "x long").select("x", floor_div("x", 4).alias("q")).collect()}
+    assert got == {x: x // 4 for x in xs}
+
+
+def test_no_shared_folder_on_a_cluster_raises():
+    from types import SimpleNamespace as N
+
+    from tiermill.session import checkpoint_dir
+    conf = N(get=lambda k, d=None: d)
+    sc = N(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        checkpoint_dir(N(sparkContext=sc))

@@ -87,3 +87,20 @@ def test_group_reward_keeps_groups_whole_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == 350 and all(r["n"] == 7 for r in got)
+
+
+def test_exec_rates_count_missing_outputs(spark):
+    rows = [("a", True, "1", True, "1", None), ("a", True, "1", None, None, None), ("a", True, "1", False, "1", 3.0), ("a", None, None, True, "1", 5.0)]
+    r, = T.exec_rates(spark.createDataFrame(rows, "l string, run_ok boolean, stdout string, gt_ok boolean, gt_stdout string, err_pos double"), ["l"]).collect()
+    assert (r["n"], r["run_rate"], r["equiv_rate"], r["mean_err_pos"]) == (4, 0.75, 0.25, 4.0)
+
+
+def test_group_reward_keeps_a_null_group_whole(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        df = spark.createDataFrame([(None if i < 12 else 1, i) for i in range(20)], "g long, i long")
+        size = lambda pdf: pdf.assign(n=pdf.groupby("g", dropna=False)["i"].transform("size")).astype({"g": "Int64"})
+        got = T.group_reward(df, "g", "i", size, "g long, i long, n long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["g"], r["n"]) for r in got} == {(None, 12), (1, 8)}

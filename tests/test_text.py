@@ -54,6 +54,7 @@ def test_one_line_and_java(spark):
 def test_class_name(spark):
     assert one(spark, TX.class_name("v"), "public class Foo {}") == "Foo"
     assert one(spark, TX.class_name("v"), "int main() {}") == "Main"
+    assert one(spark, TX.class_name("v"), "class\u00a0Äpfel2 {") == "Äpfel2"
 
 
 def test_direction(spark):

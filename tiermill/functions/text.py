@@ -24,11 +24,14 @@ END_TOKENS = ["<|im_end|>", "<|endoftext|>"]
 # Fixed value: the stdout that stands for "ground truth did not run".
 GT_FAILED = "GT_FAILED_PLACEHOLDER"
 
+# The fence and the fenced blocks.
 FENCE = "```"
 # First fenced block: optional tag of word characters, '+' or '-', lazy body.
 FIRST_FENCE = r"(?s)```(?:[\p{L}\p{N}_+\-]+)?" + WS + r"*(.*?)```"
 # Java-flavoured block used by the line-format post-processor (case-insensitive).
 JAVA_FENCE = r"(?si)```(?:java)?" + WS + r"*(.*?)" + WS + r"*```"
+# Fixed values, adapted to the regex dialect: Unicode whitespace and word characters.
+CLASS_NAME = "class" + WS + r"+([\p{L}\p{N}_]+)"
 
 
 def _c(c) -> Column:
@@ -115,9 +118,4 @@ def to_line_format(c) -> Column:
 
 
 def class_name(c, default: str = "Main") -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(_c(c), r"class\s+(\w+)", 1), F.lit("")), F.lit(default))
-
-
-def same_output(a, b) -> Column:
-    """Null-safe equality of two outputs after strip."""
-    return py_strip(a).eqNullSafe(py_strip(b))
+    return F.coalesce(F.nullif(F.regexp_extract(_c(c), CLASS_NAME, 1), F.lit("")), F.lit(default))

@@ -29,7 +29,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     fixed = len(small.schema.fields) - len(var)
     size = F.lit(8 * fixed)
     for c in var:
-        size = size + F.coalesce(F.length(F.col(c)), F.lit(0))
+        size = size + F.coalesce(F.octet_length(F.col(c)), F.lit(0))
     m = small.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     if m["n"] <= max_rows and m["b"] <= max_bytes:
         return F.broadcast(small)

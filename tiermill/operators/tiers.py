@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiermill.functions.ints import floor_div
 from tiermill.functions.text import FENCE, GT_FAILED, py_strip
 
 PERFECT, SYNC, FAILED = "perfect", "sync", "failed"
@@ -105,7 +106,7 @@ def group_of_k(df: DataFrame, pos: str, k: int, carry: Sequence[str]) -> DataFra
     """Groups of ``k`` consecutive rows by ``pos``; the first row's ``carry``
     columns apply to the whole group.  Each window partition holds at most k
     rows by construction."""
-    g = F.floor(F.col(pos) / F.lit(k)).cast("bigint")
+    g = floor_div(pos, k)
     w = Window.partitionBy("group_id").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.withColumn("group_id", g)
     for c in carry:
@@ -114,11 +115,14 @@ def group_of_k(df: DataFrame, pos: str, k: int, carry: Sequence[str]) -> DataFra
 
 
 def exec_rates(results: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Run rate, runtime-equivalence rate and mean first-error position."""
+    """Run rate, runtime-equivalence rate and mean first-error position.  A candidate without an equal output of
+    a ground truth that ran counts as not equivalent (nulls included), so both rates are over all ``n`` rows."""
+    ok = F.coalesce(F.col("run_ok"), F.lit(False))
+    same = F.coalesce(ok & F.col("gt_ok") & (py_strip("stdout") == py_strip("gt_stdout")), F.lit(False))
     return results.groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.avg(F.col("run_ok").cast("double")).alias("run_rate"),
-        F.avg((F.col("run_ok") & (py_strip("stdout") == py_strip("gt_stdout"))).cast("double")).alias("equiv_rate"),
+        F.avg(ok.cast("double")).alias("run_rate"),
+        F.avg(same.cast("double")).alias("equiv_rate"),
         F.avg("err_pos").alias("mean_err_pos"),
     )
 
@@ -142,7 +146,8 @@ def group_reward(df: DataFrame, group: str, order: str, fn, schema: str) -> Data
                 pdf = pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            tail = pdf[group] == pdf[group].iloc[-1]
+            last = pdf[group].iloc[-1]
+            tail = pdf[group].isna() if pd.isna(last) else pdf[group] == last
             held = pdf[tail]
             done = pdf[~tail]
             if len(done):

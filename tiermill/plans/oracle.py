@@ -109,11 +109,11 @@ oracle("tier_rewards", f"""WITH {RUNS}, {GT}, {CANDS}, {TIER_REWARD}
 SELECT user_id, day, cand_idx, tier, round(CAST(reward AS DOUBLE), 6) AS reward FROM rewarded""")
 
 oracle("group_first_gt", f"""WITH {RUNS}
-SELECT event_id, CAST(floor(event_id / 4) AS BIGINT) AS group_id,
+SELECT event_id, (event_id // 4) AS group_id,
        first_value(event_id) OVER w AS gt_event_id,
        first_value(stdout) OVER w AS gt_stdout
 FROM runs
-WINDOW w AS (PARTITION BY CAST(floor(event_id / 4) AS BIGINT) ORDER BY event_id)""")
+WINDOW w AS (PARTITION BY (event_id // 4) ORDER BY event_id)""")
 
 oracle("rollout_log", f"""WITH {RUNS}, {GT}, {CANDS}, {TIER_PAIRS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, day, tier ORDER BY cand_idx) AS rn FROM tiered)
@@ -235,7 +235,7 @@ SELECT doc_id, {one_line(strip_comments('f'))} AS code FROM f""")
 
 oracle("class_name", """WITH w AS (
   SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'public class ' || source || ' {' || chr(10) || text || chr(10) || '}' ELSE text END AS w FROM documents)
-SELECT doc_id, coalesce(nullif(regexp_extract(w, 'class\\s+(\\w+)', 1), ''), 'Main') AS class_name FROM w""")
+SELECT doc_id, coalesce(nullif(regexp_extract(w, 'class""" + WS + """+([\\p{L}\\p{N}_]+)', 1), ''), 'Main') AS class_name FROM w""")
 
 oracle("direction_parse", f"""WITH w AS (SELECT doc_id, lower({INSTRUCTION}) AS low FROM documents),
 m AS (SELECT doc_id, regexp_matches(low, '{DIRECTION_RE}') AS hit,
@@ -263,7 +263,7 @@ oracle("pair_target", f"""SELECT doc_id, nullif(split_part(CASE WHEN doc_id % 3
 # ---------------------------------------------------------------- phase 2: prompts
 
 TARGET_KEYS = ["cpp", "C++", "java", "Python", "go", "rust", "JavaScript"]
-CHAT_SYSTEM = "Translate the given code from python to java. The code sits between <Code> and </Code>."
+CHAT_SYSTEM = "Task 7: summarise the tagged part."
 
 CONV_SAMPLES = """samples AS (
   SELECT u.conv_id, u.turn, u.text AS instruction,
@@ -294,9 +294,8 @@ FROM p""")
 oracle("system_prompt_by_lang", f"""WITH k AS (SELECT doc_id, {pick(TARGET_KEYS, 'doc_id')} AS k FROM documents),
 n AS (SELECT doc_id, k, CASE lower(k) WHEN 'cpp' THEN 'C++' WHEN 'c++' THEN 'C++' WHEN 'java' THEN 'Java'
                        WHEN 'python' THEN 'Python' WHEN 'go' THEN 'Go' ELSE k END AS name FROM k)
-SELECT doc_id, 'You write ' || name || ' for a living. Convert the program below into idiomatic ' || name || '.'
-       || CASE WHEN lower(k) = 'python' THEN ' Keep every function name exactly as written.' ELSE '' END
-       || ' Answer with one block fenced as ```' || lower(name) || ' ... ``` and nothing else.' AS system_prompt
+SELECT doc_id, 'Target: ' || name || '.' || CASE WHEN lower(k) = 'python' THEN ' Indent: 4.' ELSE '' END
+       || ' Fence: ```' || lower(name) || '.' AS system_prompt
 FROM n""")
 
 oracle("chat_render", f"""WITH u AS (
@@ -584,7 +583,7 @@ oracle("exec_rates", f"""WITH {RUNS}, {GT}, {CANDS},
 l AS (SELECT *, {pick(['python', 'java', 'cpp'], 'user_id')} AS lang,
              CASE WHEN NOT run_ok THEN floor(value) END AS err_pos FROM cands)
 SELECT lang, count(*) AS n, round(avg(CASE WHEN run_ok THEN 1.0 ELSE 0.0 END), 6) AS run_rate,
-       round(avg(CASE WHEN run_ok AND {strip('stdout')} = {strip('gt_stdout')} THEN 1.0 ELSE 0.0 END), 6) AS equiv_rate,
+       round(avg(CASE WHEN run_ok AND gt_ok AND {strip('stdout')} = {strip('gt_stdout')} THEN 1.0 ELSE 0.0 END), 6) AS equiv_rate,
        round(avg(err_pos), 6) AS mean_err_pos
 FROM l GROUP BY lang""")
 
@@ -596,7 +595,7 @@ oracle("preview", """SELECT doc_id, substring(text, 1, 200) AS text, substring(l
 oracle("jsonl_roundtrip", f"""WITH {CONV_SAMPLES}, o AS (
   SELECT u.conv_id, u.turn, a.text AS gt_code FROM conversations u
   JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')
-SELECT 'conv' AS category, 'conv_' || (s.conv_id * 100 + s.turn) AS id, s.instruction,
+SELECT 'conv' AS category, 'conv_' || s.conv_id || '_' || s.turn AS id, s.instruction,
        CASE WHEN s.turn % 4 = 0 THEN '' ELSE coalesce(s.input, '') END AS input, o.gt_code, 999.0::DOUBLE AS loss
 FROM samples s JOIN o USING (conv_id, turn)""")
 

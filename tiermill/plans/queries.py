@@ -20,6 +20,7 @@ from tiermill.functions import arrays as AR
 from tiermill.functions import lang as L
 from tiermill.functions import prompts as PR
 from tiermill.functions import text as TX
+from tiermill.functions.ints import floor_div
 from tiermill.functions.text import tokens as _tokens
 from tiermill.operators import diffs as DF
 from tiermill.operators import layout as LY
@@ -247,11 +248,10 @@ def q_pair_target(spark, sf):
 
 WITH_INPUT = "### Task\n{instruction}\n### Context\n{input}\n### Answer\n"
 WITHOUT_INPUT = "### Task\n{instruction}\n### Answer\n"
-SYS_TEMPLATE = ("You write {name} for a living. Convert the program below into idiomatic {name}.{extra} "
-                "Answer with one block fenced as ```{name_lower} ... ``` and nothing else.")
-SYS_EXTRA = {"python": " Keep every function name exactly as written."}
+SYS_TEMPLATE = "Target: {name}.{extra} Fence: ```{name_lower}."
+SYS_EXTRA = {"python": " Indent: 4."}
 TARGET_KEYS = ["cpp", "C++", "java", "Python", "go", "rust", "JavaScript"]
-CHAT_SYSTEM = "Translate the given code from python to java. The code sits between <Code> and </Code>."
+CHAT_SYSTEM = "Task 7: summarise the tagged part."
 
 
 def conv_samples(spark, sf):
@@ -438,6 +438,12 @@ def emb(spark, sf):
     return e.select("vec_id", "label", lp.alias("logps"), labels.alias("labels"), ids.alias("ids"))
 
 
+def half(c: str, second: int) -> F.Column:
+    """The first or second half of an array, the middle element of an odd one in the second."""
+    n = F.call_function("div", F.size(c), F.lit(2)).cast("int")
+    return F.slice(c, n + 1, F.size(c) - n) if second else F.slice(c, F.lit(1), n)
+
+
 def ints(c) -> F.Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
@@ -458,11 +464,11 @@ def q_tail_nll(spark, sf):
 def q_pref_metrics(spark, sf):
     e = emb(spark, sf)
     rows = e.select(
-        F.floor(F.col("vec_id") / 2).cast("bigint").alias("pair_id"),
+        floor_div("vec_id", 2).alias("pair_id"),
         F.when(F.pmod("vec_id", F.lit(2)) == 0, F.lit("chosen")).otherwise(F.lit("rejected")).alias("role"),
-        AR.masked_sum(F.slice("logps", 1, 32), F.slice("labels", 1, 32)).alias("policy_logp"),
-        AR.masked_sum(F.slice("logps", 33, 32), F.slice("labels", 33, 32)).alias("ref_logp"))
-    rows = rows.withColumn("batch", F.floor(F.col("pair_id") / 8).cast("bigint"))
+        AR.masked_sum(half("logps", 0), half("labels", 0)).alias("policy_logp"),
+        AR.masked_sum(half("logps", 1), half("labels", 1)).alias("ref_logp"))
+    rows = rows.withColumn("batch", floor_div("pair_id", 8))
     m = PF.pref_metrics(rows, ["batch"], beta=0.1)
     return m.select("batch", "n_pairs", *[r6(c).alias(c) for c in (
         "rewards_chosen", "rewards_rejected", "accuracy", "margin", "logps_chosen", "logps_rejected", "loss")])
@@ -470,7 +476,7 @@ def q_pref_metrics(spark, sf):
 
 @query("pad_batch")
 def q_pad_batch(spark, sf):
-    e = emb(spark, sf).select("vec_id", F.floor(F.col("vec_id") / 8).cast("bigint").alias("batch"), "ids",
+    e = emb(spark, sf).select("vec_id", floor_div("vec_id", 8).alias("batch"), "ids",
                               F.array_repeat(F.lit(1), F.size("ids")).alias("mask"),
                               AR.prompt_mask("ids", F.col("label")).alias("labels"))
     p = PF.pad_batch(e, "batch", {"ids": 0, "mask": 0, "labels": -100})
@@ -516,11 +522,6 @@ def q_line_multiset_diff(spark, sf):
     return line_diff(spark, sf)
 
 
-@query("line_diff_ranges")
-def q_line_diff_ranges(spark, sf):
-    return DF.line_diff_ranges(diff_pairs(spark, sf), "doc_id")
-
-
 @query("focus_tokens")
 def q_focus_tokens(spark, sf):
     p = diff_pairs(spark, sf).withColumn("prompt", F.concat(F.lit("Fix the text for "), F.col("lang"), F.lit(":\n")))
@@ -598,13 +599,13 @@ def q_jsonl_roundtrip(spark, sf):
     s = conv_samples(spark, sf)
     rec = s.select(
         F.lit("conv").alias("category"),
-        PR.sample_key(F.lit("conv"), F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        PR.sample_key(F.lit("conv"), F.concat_ws("_", "conv_id", "turn")).alias("id"),
         "instruction", F.when(F.pmod(F.col("turn"), F.lit(4)) == 0, F.lit(None).cast("string")).otherwise(F.col("input")).alias("input"),
         F.col("output").alias("gt_code"), F.lit(999.0).alias("loss"))
     path = shared_dir(spark, "jsonl")
     SK.write_scored(rec, path)
     schema = "category string, data struct<id:string, loss:double, gt_code:string, instruction:string, input:string>"
-    back = RD.with_defaults(RD.flatten_record(RD.read_samples(spark, path, schema=schema)), {"input": ""})
+    back = RD.with_defaults(RD.flatten_record(RD.read_samples(spark, path, layout="lines", schema=schema)), {"input": ""})
     return back.select("category", F.col("data_id").alias("id"), "instruction", "input", "gt_code",
                        F.col("data_loss").alias("loss"))
 
@@ -634,11 +635,11 @@ def q_partitioned_report(spark, sf):
 @query("append_metrics")
 def q_append_metrics(spark, sf):
     e = emb(spark, sf)
-    rows = e.select(F.floor(F.col("vec_id") / 2).cast("bigint").alias("pair_id"),
+    rows = e.select(floor_div("vec_id", 2).alias("pair_id"),
                     F.when(F.pmod("vec_id", F.lit(2)) == 0, F.lit("chosen")).otherwise(F.lit("rejected")).alias("role"),
-                    AR.masked_sum(F.slice("logps", 1, 32), F.slice("labels", 1, 32)).alias("policy_logp"),
-                    AR.masked_sum(F.slice("logps", 33, 32), F.slice("labels", 33, 32)).alias("ref_logp"))
-    m = PF.pref_metrics(rows.withColumn("step", F.floor(F.col("pair_id") / 8).cast("bigint")), ["step"])
+                    AR.masked_sum(half("logps", 0), half("labels", 0)).alias("policy_logp"),
+                    AR.masked_sum(half("logps", 1), half("labels", 1)).alias("ref_logp"))
+    m = PF.pref_metrics(rows.withColumn("step", floor_div("pair_id", 8)), ["step"])
     path = shared_dir(spark, "metrics")
     SK.append_metrics(m.select("step", "n_pairs", "loss", "accuracy"), path, "step", 3)
     back = spark.read.parquet(path)
@@ -770,6 +771,6 @@ def _group_correctness(pdf: pd.DataFrame) -> pd.DataFrame:
 @query("group_reward_pandas")
 def q_group_reward_pandas(spark, sf):
     runs = X.events_runs(spark, sf).select("event_id", "run_ok", "stdout",
-                                          F.floor(F.col("event_id") / 4).cast("bigint").alias("group_id"))
+                                          floor_div("event_id", 4).alias("group_id"))
     out = T.group_reward(runs, "group_id", "event_id", _group_correctness, "group_id long, event_id long, reward double")
     return out.select("group_id", "event_id", r6("reward").alias("reward"))

@@ -38,16 +38,16 @@ def get_spark(master: str | None = None, app: str = "tiermill",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it; otherwise (tests,
-    local runs) creates one under the system temp folder and records it in the
-    session so every later call agrees.
+    Uses ``spark.checkpoint.dir`` when the cluster sets it.  Unset, a local
+    session (tests) gets one under the system temp folder, recorded in the
+    session so every later call agrees; on a cluster that would be each
+    machine's own folder, so it raises instead.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
@@ -58,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="tiermill-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -22,58 +22,17 @@ SAMPLE_SCHEMA = T.StructType([
 ])
 
 
-def _first_char(spark: SparkSession, path: str, limit: int = 65536) -> str | None:
-    """First non-whitespace character of the first data file under ``path``,
-    read through the Hadoop file system a byte at a time (never a whole
-    line, which for a compact JSON array is the whole file)."""
-    sc = spark.sparkContext
-    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    files = []
-    for st in fs.globStatus(p) or []:
-        if st.isDirectory():
-            files += [c for c in fs.listStatus(st.getPath()) if c.isFile()]
-        else:
-            files.append(st)
-    files = sorted((f for f in files if not f.getPath().getName().startswith(("_", "."))),
-                   key=lambda f: f.getPath().toString())
-    for f in files:
-        stream = fs.open(f.getPath())
-        try:
-            for _ in range(limit):
-                b = stream.read()
-                if b < 0:
-                    break
-                if chr(b) not in " \t\r\n\ufeff\xef\xbb\xbf":
-                    return chr(b)
-        finally:
-            stream.close()
-    return None
-
-
-def json_layout(spark: SparkSession, path: str) -> str:
-    """"array" when the first non-blank character is '[', else "lines"."""
-    try:
-        c = _first_char(spark, path)
-    except Exception:  # noqa: BLE001 - fall back to a line read
-        first = (spark.read.text(path).filter(F.trim(F.col("value")) != "")
-                 .select(F.substring(F.ltrim("value"), 1, 1).alias("c")).limit(1).collect())
-        c = first[0]["c"] if first else None
-    return "array" if c == "[" else "lines"
-
-
-def read_samples(spark: SparkSession, path: str, layout: str | None = None,
+def read_samples(spark: SparkSession, path: str, layout: str,
                  schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON array or JSON lines, chosen by peeking at the first byte (not by
-    catching a parse error).  Pass a schema to skip inference."""
-    layout = layout or json_layout(spark, path)
+    """Samples from JSON files.  ``layout`` is "lines" (an object per line,
+    splittable) or "array" (one array per file, a task per file); the caller
+    knows it, and a folder holds one kind.  Pass a schema to skip inference."""
+    if layout not in ("lines", "array"):
+        raise ValueError(f"unknown layout {layout!r}")
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    if layout == "array":
-        r = r.option("multiLine", True)
-    return r.json(path)
+    return r.option("multiLine", layout == "array").json(path)
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -103,12 +62,15 @@ def numbered(df: DataFrame, out: str = "line_no") -> DataFrame:
     Rows of one file split are contiguous in one partition, so the number
     within a split is ``monotonically_increasing_id - min of the split``;
     the split offsets come from a prefix sum over a table with one row per
-    split (file_path, file_block_start), joined back (broadcast by AQE when
-    small)."""
+    split, joined back (broadcast by AQE when small).  Files are in order of
+    the number in ``part-<number>`` names, then of their path: names sort
+    wrongly as text from part 100000 on."""
     x = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
                   F.monotonically_increasing_id().alias("_m"))
     blocks = x.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))
-    w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.regexp_extract("_f", r"part-(\d+)[^/]*$", 1)
+    blocks = blocks.withColumn("_p", F.when(part != "", part.cast("bigint")).otherwise(-1))
+    w = Window.orderBy("_p", "_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     return (x.join(blocks.select("_f", "_b", "_m0", "_off"), ["_f", "_b"])
              .withColumn(out, (F.col("_off") + F.col("_m") - F.col("_m0")).cast("bigint"))
@@ -124,16 +86,17 @@ def read_lines(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
 
 
 def align_lines(pred: DataFrame, ref: DataFrame, ids: DataFrame | None = None, check: bool = True) -> DataFrame:
-    """1:1 alignment on ``line_no``; raises when the files differ in length."""
+    """1:1 alignment on ``line_no``; the job fails when the files differ in length (checked in the same pass)."""
     j = pred.select("line_no", F.col("value").alias("pred")).join(
         ref.select("line_no", F.col("value").alias("ref")), "line_no", "full")
     if ids is not None:
         j = j.join(ids.select("line_no", F.col("value").alias("id")), "line_no", "full")
     if check:
-        cols = ["pred", "ref"] + (["id"] if ids is not None else [])
-        bad = j.filter(F.greatest(*[F.col(c).isNull().cast("int") for c in cols]) > 0).limit(1).count()
-        if bad:
-            raise ValueError("aligned files differ in length")
+        gap = F.col("pred").isNull() | F.col("ref").isNull()
+        if ids is not None:
+            gap = gap | F.col("id").isNull()
+        fail = F.raise_error(F.lit("aligned files differ in length")).cast("bigint")
+        j = j.withColumn("line_no", F.when(gap, fail).otherwise(F.col("line_no")))
     return j
 
 
@@ -151,7 +114,9 @@ def read_hypotheses(spark: SparkSession, path: str, hyp_field: str = "prediction
     return df.select("line_no", F.col(hyp_field).alias("hyp"), "target")
 
 
-def read_keywords(spark: SparkSession, path: str, lang: str) -> DataFrame:
-    """One keyword per line -> (kw_group, token)."""
-    return (spark.read.text(path).select(F.lit(lang).alias("kw_group"), py_strip("value").alias("token"))
-            .filter(F.col("token") != ""))
+def read_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    """All keyword files ``<folder>/<group>.txt`` (one keyword per line) in one
+    read -> (kw_group, token), without repeats."""
+    group = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt", 1)
+    return (spark.read.text(folder, pathGlobFilter="*.txt").select(group.alias("kw_group"), py_strip("value").alias("token"))
+            .filter(F.col("token") != "").distinct())
