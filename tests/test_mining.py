@@ -104,3 +104,30 @@ def test_group_reward_keeps_a_null_group_whole(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r["g"], r["n"]) for r in got} == {(None, 12), (1, 8)}
+
+
+def test_mine_runs_uses_the_ground_truth_when_all_candidates_failed(spark):
+    c = spark.createDataFrame([(1, 1, "bad", False, ""), (1, 2, "worse", False, ""), (2, 1, "bad", False, ""), (2, 2, "long " * 20, False, "")],
+                              "s long, cand_idx long, code string, run_ok boolean, stdout string")
+    gt = spark.createDataFrame([(1, 9, "good", True, "7"), (2, 9, "good", False, "")], "s long, cand_idx long, code string, run_ok boolean, stdout string")
+    got = P.mine_runs(c, gt, ["s"], F.lit("two words"), max_tokens=5).collect()
+    assert sorted((r["s"], r["strategy"], r["chosen_id"], r["rejected_id"]) for r in got) == [(1, "C", 9, 1), (1, "C", 9, 2), (2, "C", 9, 1)]
+    assert P.mine_runs(c, gt, ["s"], F.lit("w " * 5), max_tokens=5).count() == 0  # prompt and answer count together
+
+
+def test_group_advantage_and_weighted_sample(spark):
+    d = spark.createDataFrame([("g", i, float(r)) for i, r in enumerate([1, 0, 0.5])] + [("h", 7, 1.0), ("i", 8, 0.2), ("i", 9, 0.2)],
+                              "g string, id long, reward double")
+    a = {r["id"]: round(r["advantage"], 6) for r in T.group_advantage(d, ["g"]).collect()}
+    assert a == {0: 1.0, 1: -1.0, 2: 0.0, 7: 0.0, 8: 0.0, 9: 0.0}
+    w = spark.range(2000).select(F.lit("x").alias("c"), "id", F.when(F.col("id") < 1000, 9.0).when(F.col("id") < 1990, 1.0).otherwise(0.0).alias("w"))
+    s = [r["id"] for r in T.weighted_sample(w, ["c"], "w", "id", 200).collect()]
+    assert len(set(s)) == 200 and 160 < sum(i < 1000 for i in s) < 198 and max(s) < 1990
+
+
+def test_category_report_loss_and_rollup_level(spark):
+    from tiermill.operators.score import category_report
+    d = spark.createDataFrame([("a", "u", 0.5, 0.5, 2.0), (None, "u", 1.0, 0.0, 4.0)], "category string, source string, codebleu double, p_score double, loss double")
+    assert {(r["category"], r["avg_loss"]) for r in category_report(d).collect()} == {("a", 2.0), (None, 4.0)}
+    levels = [(r["category"], r["level"], r["avg_loss"]) for r in category_report(d, ["category"], rollup=True).collect()]
+    assert sorted(levels, key=str) == sorted([("a", 0, 2.0), (None, 0, 4.0), (None, 1, 3.0)], key=str)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiermill.functions.text import n_tokens
-from tiermill.operators.tiers import FAILED, PERFECT, SYNC
+from tiermill.operators.tiers import FAILED, PERFECT, SYNC, join_gt, tier
 
 # Per-tier sample caps and pairs per prompt.
 DEFAULT_CAPS = {PERFECT: 2, SYNC: 3, FAILED: 3}
@@ -113,13 +113,26 @@ def cap_pairs(arr: DataFrame, keys: Sequence[str], max_pairs: int = DEFAULT_MAX_
 def mine_pairs(cands: DataFrame, keys: Sequence[str], id_col: str = "cand_idx",
                text_col: str = "code", gt: DataFrame | None = None,
                caps: dict[str, int] | None = None, max_pairs: int = DEFAULT_MAX_PAIRS,
-               seed: int = 42, max_tokens: int | None = None) -> DataFrame:
-    """End-to-end mining from tiered candidates (columns keys, id, text, tier)."""
+               seed: int = 42, max_tokens: int | None = None, prompt: Column | None = None) -> DataFrame:
+    """End-to-end mining from tiered candidates (columns keys, id, text, tier).
+    ``max_tokens`` bounds prompt plus answer; ``prompt`` is an expression over the keys."""
     deduped = dedupe_tiers(cands, keys, id_col, text_col, gt)
     capped = cap_tiers(deduped, keys, id_col, caps, seed)
     extra: list[str] = []
     if max_tokens is not None:
-        capped = capped.withColumn("ntok", n_tokens(F.col(text_col)))
+        capped = capped.withColumn("ntok", n_tokens(F.col(text_col)) + (n_tokens(prompt) if prompt is not None else F.lit(0)))
         extra = ["ntok"]
     arr = tier_pair_arrays(capped, keys, id_col, text_col, seed, extra)
     return cap_pairs(arr, keys, max_pairs, max_tokens)
+
+
+def mine_runs(cands: DataFrame, gt: DataFrame, keys: Sequence[str], prompt: Column, id_col: str = "cand_idx",
+              text_col: str = "code", **how) -> DataFrame:
+    """From run results to preference pairs.
+
+    ``cands``: keys, id, text, run_ok, stdout; ``gt``: the same columns, one row
+    per sample.  Candidates are tiered against the ground truth's output; the
+    ground truth itself is always perfect, even where it did not run, so a
+    sample whose candidates all failed still gives pairs."""
+    tiered = tier(join_gt(cands, gt, keys), policy="pairs")
+    return mine_pairs(tiered, keys, id_col, text_col, gt=gt, prompt=prompt, **how)

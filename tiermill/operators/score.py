@@ -56,6 +56,13 @@ def score_clean(df: DataFrame, hyp_text, ref_text, score: Column) -> DataFrame:
 
 
 def category_report(df: DataFrame, by: Sequence[str] = ("category",), rollup: bool = False) -> DataFrame:
+    """Samples and mean scores per group, with the mean loss where the input has
+    one.  A rollup's rows carry ``level``, the grouping id (0: all of ``by``),
+    which tells a total from a group whose key is null."""
     g = df.rollup(*by) if rollup else df.groupBy(*by)
-    return g.agg(F.count("*").alias("n_samples"), F.avg("codebleu").alias("avg_codebleu"),
-                 F.avg("p_score").alias("avg_p_score"))
+    aggs = [F.count("*").alias("n_samples"), F.avg("codebleu").alias("avg_codebleu"), F.avg("p_score").alias("avg_p_score")]
+    if "loss" in df.columns:
+        aggs.append(F.avg("loss").alias("avg_loss"))
+    if rollup:
+        aggs.append(F.grouping_id().cast("bigint").alias("level"))
+    return g.agg(*aggs)

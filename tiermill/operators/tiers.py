@@ -156,3 +156,25 @@ def group_reward(df: DataFrame, group: str, order: str, fn, schema: str) -> Data
             yield fn(held)
 
     return df.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
+
+
+def group_advantage(df: DataFrame, group: Sequence[str], reward: str = "reward", out: str = "advantage") -> DataFrame:
+    """(reward - mean of the group) / sample standard deviation of the group;
+    0 where the group has no spread.  The two statistics come from one
+    aggregation with partial sums and are joined back, so a hot group is not
+    sorted in one task."""
+    stats = df.groupBy(*group).agg(F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_sd"))
+    a = F.when(F.col("_sd") > 1e-9, (F.col(reward) - F.col("_mean")) / F.col("_sd")).otherwise(F.lit(0.0))
+    return df.join(stats, list(group)).withColumn(out, a).drop("_mean", "_sd")
+
+
+def weighted_sample(df: DataFrame, by: Sequence[str], weight: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """At most ``n`` rows per group, drawn without replacement with chances in
+    proportion to ``weight``: the n smallest of -ln(u) / weight, where u in
+    (0, 1) comes from an md5 of seed and key (reproducible).  Rows without a
+    positive weight are never drawn.  The row_number filter gets a partial
+    limit before the exchange."""
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(16 ** 12)
+    w = Window.partitionBy(*by).orderBy("draw", key)
+    return (df.where(F.col(weight) > 0).withColumn("draw", -F.log(u) / F.col(weight))
+              .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))

@@ -138,6 +138,34 @@ SELECT lang, source, strategy, chosen_id, rejected_id, CAST(chosen = rejected AS
 oracle("mine_pairs", f"""WITH {MINED}
 SELECT lang, source, strategy, chosen_id, rejected_id, pair_rank FROM mined""")
 
+oracle("mine_runs", f"""WITH {RUNS}, {GT}, {CANDS}, {TIER_PAIRS},
+every AS (SELECT user_id, day, cand_idx, stdout AS code, tier FROM tiered
+          UNION ALL SELECT user_id, day, gt_event_id, gt_stdout, 'perfect' FROM gt
+          WHERE (user_id, day) IN (SELECT (user_id, day) FROM gt)),
+dedup AS (SELECT user_id, day, tier, code, min(cand_idx) AS id FROM every GROUP BY user_id, day, tier, code),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day, tier ORDER BY md5('42|' || id), id) AS tier_rank FROM dedup)
+           WHERE tier_rank <= CASE tier WHEN 'perfect' THEN 2 ELSE 3 END),
+p AS (SELECT a.user_id, a.day, CASE WHEN a.tier = 'sync' THEN 'B' WHEN b.tier = 'sync' THEN 'A' ELSE 'C' END AS strategy,
+             a.id AS chosen_id, b.id AS rejected_id, a.code AS chosen, b.code AS rejected
+      FROM capped a JOIN capped b ON a.user_id = b.user_id AND a.day = b.day
+      WHERE (a.tier = 'perfect' AND b.tier = 'sync') OR (a.tier = 'sync' AND b.tier = 'failed')
+         OR (a.tier = 'perfect' AND b.tier = 'failed' AND NOT EXISTS (
+               SELECT 1 FROM capped c WHERE c.user_id = a.user_id AND c.day = a.day AND c.tier = 'sync'))),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY md5('42|' || chosen_id || '|' || rejected_id), chosen_id, rejected_id) AS pair_rank
+      FROM p WHERE chosen <> rejected AND user_id % 12 + len({toks('chosen')}) <= 10 AND user_id % 12 + len({toks('rejected')}) <= 10)
+SELECT user_id, day, strategy, chosen_id, rejected_id, pair_rank FROM k WHERE pair_rank <= 4""")
+
+oracle("group_advantage", f"""WITH {RUNS}, {GT}, {CANDS}, {TIER_REWARD},
+s AS (SELECT user_id, cand_idx, CAST(reward AS DOUBLE) AS r, avg(CAST(reward AS DOUBLE)) OVER (PARTITION BY user_id) AS m,
+             stddev_samp(CAST(reward AS DOUBLE)) OVER (PARTITION BY user_id) AS sd FROM rewarded)
+SELECT user_id, cand_idx, round(CASE WHEN sd > 1e-9 THEN (r - m) / sd ELSE 0.0 END, 6) AS advantage FROM s""")
+
+oracle("weighted_sample", """WITH d AS (
+  SELECT doc_id, lang, -ln((CAST('0x' || substr(md5('42|' || doc_id), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / CAST(n_chars AS DOUBLE) AS draw
+  FROM documents WHERE n_chars > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY draw, doc_id) AS rank FROM d)
+SELECT lang, doc_id, rank FROM k WHERE rank <= 20""")
+
 oracle("pair_strategy_counts", f"""WITH {MINED}
 SELECT strategy, count(*) AS n_pairs, count(DISTINCT (lang, source)) AS n_groups FROM mined GROUP BY strategy""")
 
@@ -429,7 +457,8 @@ SELECT lang AS category, count(*) AS n_samples, round(avg(codebleu), 6) AS avg_c
 FROM scored2 GROUP BY lang""")
 
 oracle("category_rollup", f"""WITH {DOC_SCORES}
-SELECT lang, source, count(*) AS n_samples, round(avg(codebleu), 6) AS avg_codebleu, round(avg(p_score), 6) AS avg_p_score
+SELECT lang, source, CAST(grouping(lang, source) AS BIGINT) AS level, count(*) AS n_samples, round(avg(codebleu), 6) AS avg_codebleu,
+       round(avg(p_score), 6) AS avg_p_score
 FROM scored2 GROUP BY ROLLUP (lang, source)""")
 
 
@@ -633,6 +662,17 @@ w AS (SELECT date_trunc('day', ts) AS ws, event_type, value FROM events)
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value
 FROM w, m WHERE ws + INTERVAL 1 DAY <= m.wm GROUP BY ws, event_type""")
 
+oracle("stream_reward_windows", f"""WITH {RUNS}, {GT}, {CANDS}, {TIER_REWARD},
+m AS (SELECT max(ts) - INTERVAL 1 DAY AS wm FROM events),
+r AS (SELECT date_trunc('day', e.ts) AS d, x.tier, x.reward FROM rewarded x JOIN events e ON e.event_id = x.cand_idx),
+w AS (SELECT 'tumbling' AS kind, d AS ws, d + INTERVAL 1 DAY AS we, tier, reward FROM r
+      UNION ALL SELECT 'sliding', d, d + INTERVAL 2 DAY, tier, reward FROM r
+      UNION ALL SELECT 'sliding', d - INTERVAL 1 DAY, d + INTERVAL 1 DAY, tier, reward FROM r)
+SELECT kind, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n,
+       count(*) FILTER (WHERE tier = 'perfect') AS n_perfect, count(*) FILTER (WHERE tier = 'sync') AS n_sync,
+       count(*) FILTER (WHERE tier = 'failed') AS n_failed, round(avg(CAST(reward AS DOUBLE)), 6) AS mean_reward
+FROM w, m WHERE we <= m.wm GROUP BY kind, ws""")
+
 oracle("stream_dedupe", """SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type, props FROM events""")
 
 oracle("stream_mine_pairs", f"""WITH {MINED}
@@ -682,12 +722,16 @@ stats AS (
 oracle("multi_ref_scores", f"""WITH {MULTI}
 SELECT doc_id, round({score_sql('m', 'd')}, 6) AS bleu, round({score_sql('wn', 'wd')}, 6) AS weighted FROM stats""")
 
-oracle("rollout_append", f"""WITH {RUNS}, {GT}, {CANDS}, {TIER_PAIRS}
-SELECT user_id, day, (CAST(substr(day, 9, 2) AS INTEGER) // 10)::BIGINT AS epoch,
+oracle("rollout_append", f"""WITH {RUNS}, {GT}, {CANDS}, {TIER_PAIRS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, day, tier ORDER BY cand_idx) AS rn FROM tiered)
+SELECT user_id, day, (CAST(substr(day, 9, 2) AS INTEGER) // 10)::BIGINT AS epoch, (user_id % 4)::BIGINT AS rank,
+       coalesce(string_agg(CAST(cand_idx AS VARCHAR), ',' ORDER BY cand_idx) FILTER (WHERE tier = 'perfect' AND rn <= 1), '') AS perfect_samples,
+       coalesce(string_agg(CAST(cand_idx AS VARCHAR), ',' ORDER BY cand_idx) FILTER (WHERE tier = 'sync' AND rn <= 3), '') AS sync_samples,
+       coalesce(string_agg(CAST(cand_idx AS VARCHAR), ',' ORDER BY cand_idx) FILTER (WHERE tier = 'failed' AND rn <= 3), '') AS failed_samples,
        count(*) FILTER (WHERE tier = 'perfect') AS n_perfect,
        count(*) FILTER (WHERE tier = 'sync') AS n_sync,
        count(*) FILTER (WHERE tier = 'failed') AS n_failed
-FROM tiered GROUP BY user_id, day""")
+FROM ranked GROUP BY user_id, day""")
 
 oracle("prompt_system", f"""WITH {CONV_SAMPLES},
 sp AS (SELECT conv_id, arg_min(text, turn) AS sys_text FROM conversations WHERE role = 'system' GROUP BY conv_id),

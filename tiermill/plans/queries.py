@@ -126,6 +126,34 @@ def q_mine_pairs(spark, sf):
     return _mined(spark, sf).select(*X.GROUP_KEYS, "strategy", "chosen_id", "rejected_id", "pair_rank")
 
 
+def run_code(runs):
+    """The stand-in for a run's program text: its output."""
+    return runs.withColumn("code", F.col("stdout"))
+
+
+@query("mine_runs")
+def q_mine_runs(spark, sf):
+    """Run results and ground truth to pairs; prompts of user_id % 12 words, prompt plus answer at most 10 tokens."""
+    cands, gt = X.exec_stand_in(spark, sf)
+    prompt = F.array_join(F.array_repeat(F.lit("w"), F.pmod("user_id", F.lit(12)).cast("int")), " ")
+    m = P.mine_runs(run_code(cands), run_code(gt.withColumnRenamed("gt_event_id", "cand_idx")), X.SAMPLE_KEYS, prompt, max_tokens=10)
+    return m.select(*X.SAMPLE_KEYS, "strategy", "chosen_id", "rejected_id", "pair_rank")
+
+
+@query("group_advantage")
+def q_group_advantage(spark, sf):
+    cands, gt = X.exec_stand_in(spark, sf)
+    r = T.tier(T.join_gt(cands, gt, X.SAMPLE_KEYS), policy="reward").select("user_id", "day", "cand_idx", "reward")
+    return T.group_advantage(r, ["user_id"]).select("user_id", "cand_idx", r6("advantage").alias("advantage"))
+
+
+@query("weighted_sample")
+def q_weighted_sample(spark, sf):
+    """20 documents per language, drawn with chances in proportion to their length."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("weight"))
+    return T.weighted_sample(d, ["lang"], "weight", "doc_id", 20).select("lang", "doc_id", big("rank").alias("rank"))
+
+
 @query("pair_strategy_counts")
 def q_pair_strategy_counts(spark, sf):
     m = _mined(spark, sf)
@@ -421,7 +449,7 @@ def q_category_report(spark, sf):
 @query("category_rollup")
 def q_category_rollup(spark, sf):
     r = SC.category_report(doc_scores(spark, sf), by=["lang", "source"], rollup=True)
-    return r.select("lang", "source", "n_samples", r6("avg_codebleu").alias("avg_codebleu"), r6("avg_p_score").alias("avg_p_score"))
+    return r.select("lang", "source", "level", "n_samples", r6("avg_codebleu").alias("avg_codebleu"), r6("avg_p_score").alias("avg_p_score"))
 
 
 # ---------------------------------------------------------------- phase 4: arrays
@@ -671,6 +699,28 @@ def q_stream_tier_windows(spark, sf):
     return back.select(STM.utc_text(F.col("ws")).alias("window_start"), "event_type", "n", r6("avg_value").alias("avg_value"))
 
 
+@query("stream_reward_windows")
+def q_stream_reward_windows(spark, sf):
+    """Tier counts and mean reward per closed window, 1 day tumbling and 2 days sliding by 1; ground truths are a static side."""
+    _, gt = X.exec_stand_in(spark, sf)
+    outs = []
+    for kind, width, slide in (("tumbling", "1 day", None), ("sliding", "2 days", "1 day")):
+        s = _event_stream(spark, sf).withWatermark("ts", "1 day")
+        day = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("ts").cast("timestamp_ntz")), "yyyy-MM-dd")
+        runs = s.select("ts", "user_id", "event_id", day.alias("day"), (F.col("event_type") != "error").alias("run_ok"), F.col("props").alias("stdout"))
+        j = T.join_gt(runs, gt, X.SAMPLE_KEYS)
+        first = gt.select(F.col("gt_event_id").alias("event_id"), F.lit(True).alias("is_gt"))
+        j = j.join(first, "event_id", "left").where("is_gt IS NULL")
+        out = STM.stream_reward_windows(T.tier(j, policy="reward"), "ts", width, slide)
+        sink, ck = shared_dir(spark, f"{kind}-out"), shared_dir(spark, f"{kind}-ck")
+        STM.run_available_now(out.select(F.col("window.start").alias("ws"), "n", "n_perfect", "n_sync", "n_failed", "mean_reward"), sink, ck)
+        back = STM.read_sink(spark, sink, "ws timestamp, n long, n_perfect long, n_sync long, n_failed long, mean_reward double")
+        outs.append(back.withColumn("kind", F.lit(kind)))
+    both = outs[0].unionByName(outs[1])
+    return both.select("kind", STM.utc_text(F.col("ws")).alias("window_start"), "n", "n_perfect", "n_sync", "n_failed",
+                       r6("mean_reward").alias("mean_reward"))
+
+
 @query("stream_dedupe")
 def q_stream_dedupe(spark, sf):
     s = _event_stream(spark, sf).withColumn("day", F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"),
@@ -721,11 +771,17 @@ def q_multi_ref_scores(spark, sf):
 
 @query("rollout_append")
 def q_rollout_append(spark, sf):
-    rec = q_rollout_log(spark, sf).withColumn("epoch", F.floor(F.dayofmonth(F.to_date("day")) / 10).cast("int"))
+    log = q_rollout_log(spark, sf)
+    for t in (T.PERFECT, T.SYNC, T.FAILED):
+        log = log.withColumn(f"{t}_samples", F.array_remove(F.split(f"{t}_samples", ","), ""))
+    rec = SK.rollout_records(log, floor_div(F.dayofmonth(F.to_date("day")), 10).cast("int"), F.pmod("user_id", F.lit(4)).cast("int"),
+                             X.SAMPLE_KEYS, ["n_perfect", "n_sync", "n_failed"], {t: f"{t}_samples" for t in (T.PERFECT, T.SYNC, T.FAILED)})
     path = shared_dir(spark, "rollouts")
-    SK.append_rollouts(rec, path, ["epoch"])
-    back = spark.read.schema("user_id long, day string, n_perfect long, n_sync long, n_failed long, epoch int").json(path)
-    return back.select("user_id", "day", F.col("epoch").cast("bigint").alias("epoch"), "n_perfect", "n_sync", "n_failed")
+    SK.append_rollouts(rec, path, ["epoch", "rank"])
+    back = spark.read.schema("user_id long, day string, stats struct<n_perfect:long,n_sync:long,n_failed:long>, "
+                             "samples struct<perfect:array<string>,sync:array<string>,failed:array<string>>, epoch int, rank int").json(path)
+    return back.select("user_id", "day", big("epoch").alias("epoch"), big("rank").alias("rank"), "stats.*",
+                       *[F.array_join(f"samples.{t}", ",").alias(f"{t}_samples") for t in (T.PERFECT, T.SYNC, T.FAILED)])
 
 
 SYS_WITH_INPUT = "<<system>>\n{system_prompt}\n<<user>>\n{instruction}\n\n{input}\n<<assistant>>\n"

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The record fields that readers look for.
 DATA_FIELDS = ("id", "loss", "p_score", "codebleu", "gt_code", "rollout", "instruction", "input")
 
 
@@ -38,6 +39,14 @@ def write_lines(df: DataFrame, path: str, value: str = "value", order: str = "li
        .select(F.col(value).cast("string").alias("value")).write.mode(mode).text(path))
 
 
+def rollout_records(df: DataFrame, epoch: F.Column, rank: F.Column, sample: Sequence[str], stats: Sequence[str],
+                    samples: dict[str, str]) -> DataFrame:
+    """Full log record: epoch, rank, the sample's own fields, a struct of its
+    tier counts and a struct of its kept texts per tier (arrays)."""
+    return df.select(epoch.alias("epoch"), rank.alias("rank"), *sample, F.struct(*stats).alias("stats"),
+                     F.struct(*[F.col(c).alias(t) for t, c in samples.items()]).alias("samples"))
+
+
 def append_rollouts(df: DataFrame, path: str, by: Sequence[str] = ("epoch",)) -> None:
     """Append-only JSON-lines log, one folder per epoch (and rank)."""
     df.write.mode("append").partitionBy(*by).json(path)

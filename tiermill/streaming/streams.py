@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiermill.operators import pairs as P
+from tiermill.operators.tiers import FAILED, PERFECT, SYNC
 
 
 def utc_instant(col: str) -> F.Column:
@@ -40,6 +41,17 @@ def stream_tier_windows(stream: DataFrame, ts: str, by: Sequence[str], value: st
                   .agg(F.count("*").alias("n"), F.avg(value).alias("avg_value")))
 
 
+def stream_reward_windows(tiered: DataFrame, ts: str, width: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Rollout monitor: tier counts and mean reward per event-time window
+    (tumbling, or sliding when ``slide`` is given) of a stream with ``tier``
+    and ``reward`` whose watermark on ``ts`` is set."""
+    win = F.window(ts, width, slide) if slide else F.window(ts, width)
+    return tiered.groupBy(win.alias("window")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("tier") == PERFECT).alias("n_perfect"),
+        F.count_if(F.col("tier") == SYNC).alias("n_sync"), F.count_if(F.col("tier") == FAILED).alias("n_failed"),
+        F.avg("reward").alias("mean_reward"))
+
+
 def stream_dedupe(stream: DataFrame, ts: str, keys: Sequence[str], lateness: str = "1 day") -> DataFrame:
     """Drop rows whose keys were already seen within ``lateness``."""
     return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(list(keys))
