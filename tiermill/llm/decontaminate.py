@@ -42,10 +42,11 @@ def tokens(text: Column) -> Column:
 def seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, pos, h`` of each mask at each position of ``rows.words``."""
     used = sorted({p for m in MASKS for p in m})
-    n = F.size("words") - (SPAN - 1)
-    shifted = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("pos"),
-                           *[F.slice("words", p + 1, n).alias(f"w{p}") for p in used])
-    x = rows.where(F.size("words") >= SPAN).select(*keys, shifted.alias("z")).select(*keys, F.inline("z").alias("pos", *[f"w{p}" for p in used]))
+    # tokens are hashed once; the explode of one array keeps the optimizer from repeating that work in every slice below
+    x = rows.select(*keys, F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("w"))
+    n = F.size("w") - (SPAN - 1)
+    shifted = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("pos"), *[F.slice("w", p + 1, n).alias(f"w{p}") for p in used])
+    x = x.where(F.size("w") >= SPAN).select(*keys, F.inline(shifted).alias("pos", *[f"w{p}" for p in used]))
     both = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"w{p}") for p in m]) for k, m in enumerate(MASKS)])
     return x.select(*keys, "pos", F.explode(both).alias("h"))
 
