@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiermill.llm.bpe_text import Bpe, arrow_bytes, gather, share, shared
-from tiermill.llm.common import worker_cache
+from tiermill.llm.common import stored, worker_cache
 from tiermill.session import shared_dir
 
 MAX_WORD_BYTES = 32  # longer words are never compiled
@@ -257,8 +257,17 @@ def build_lexicon(docs: DataFrame, bpe_path: str, lexicon_size: int = 65_536, mi
 
     spark = docs.sparkSession
     bpe = load_bpe(bpe_path)
-    counts = count_words(docs, share(spark, bpe), text_col).where(F.col("n") >= min_count)
-    top = counts.orderBy(F.col("n").desc(), "word").limit(lexicon_size).select("word").collect()  # bounded by lexicon_size
+    counts = stored(count_words(docs, share(spark, bpe), text_col).where(F.col("n") >= min_count)
+                    .withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "word-counts")
+    # the lowest level of frequency from which on the words still fit; a sort would send every task's best words to the driver
+    levels = sorted(((r.level, r.words) for r in counts.groupBy("level").agg(F.count("*").alias("words")).collect()), reverse=True)
+    low, room = levels[0][0] if levels else 0, lexicon_size
+    for level, words in levels:
+        room -= words
+        if room < 0:
+            break
+        low = level
+    top = counts.where(F.col("level") >= low).select("word").limit(lexicon_size).collect()
     uri = shared_dir(spark, "bpe-lexicon")
     system, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
     system.create_dir(path, recursive=True)
