@@ -6,10 +6,11 @@
 2. Rows with equal sets are one class from here on; copies are never paired with one another.
 3. In each bucket that holds several classes, one class is the centre and is compared with the others: a star, so a bucket
    of n classes makes n - 1 pairs.  Candidates are confirmed on the full shingle sets.
-4. A star can miss a link between two outer classes, so buckets whose classes are not yet one component go on: centres
-   retire, and four times as many new ones are taken each round, until no bucket has two classes left that are
-   neither compared nor connected.  Every pair of classes that shares a bucket is thus compared or known to be in one
-   component, and a large group that really is one component ends after a star or two.
+4. A star can miss a link between two outer classes.  Where a bucket's classes are not all of one component after the
+   stars, its *outsiders* (classes outside the bucket's largest component) are compared with all its classes, in blocks
+   of a bounded number of shingles: a block pair is one group of bounded size, intersections are one matrix product,
+   and only links that join components leave it.  So every two classes that share a bucket are compared or known to be
+   in one component, no pair of classes becomes a row, and a large group that is one component costs its star.
 
 Centres are the classes that share most buckets with others (the text that the copies were made from), chosen by an
 aggregation with partial maxima; no window or list over a bucket is built, so one bucket may hold a third of all rows.
@@ -36,6 +37,7 @@ from tiermill.llm.common import stored
 from tiermill.llm.components import components
 from tiermill.operators.joins import bounded_broadcast
 
+BLOCK_SHINGLES = 200_000  # in a block of classes that are compared at once
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -194,32 +196,78 @@ def near_links(classes: DataFrame, docs: DataFrame, size: int, threshold: int, i
     sets = stored(_sets(docs, wanted, size, id_col, text_col))
     known = degree.join(sets.select("node", "n"), "node")
     member = stored(member.select("key", "node").join(known, "node"))
-    member = member.withColumn("label", F.col("node"))
-    links = labels = None
-    width = 1
-    while True:
-        centres = (member.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(width)).alias("part"))
-                         .agg(F.max(F.struct("degree", "node", "n", "label")).alias("c"))
-                         .select("key", F.col("c.node").alias("b"), F.col("c.n").alias("bn"), F.col("c.label").alias("bl")))
-        centres = stored(centres)
-        pairs = (member.join(centres, "key").where("node <> b AND label <> bl")
-                       .where(100 * F.least("n", "bn") >= threshold * F.greatest("n", "bn"))
-                       .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
-        sa = sets.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("items").alias("ai"))
-        sb = sets.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("items").alias("bi"))
-        both = F.size(F.array_intersect("ai", "bi"))
-        found = (pairs.join(sa, "a").join(sb, "b").withColumn("both", both)
-                      .where(100 * F.col("both") >= threshold * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b"))
-        links = stored(found if links is None else links.unionByName(found))
-        labels = components(links)
-        # buckets with two classes or more that are neither compared nor connected go on
-        left = member.join(centres.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti").drop("label")
-        left = (left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        open_ = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        member = stored(left.join(open_, "key").select("key", "node", "degree", "n", "label"))
-        if member.isEmpty():
-            return links, labels
-        width *= 4
+    centres = stored(member.groupBy("key").agg(F.max(F.struct("degree", "node", "n")).alias("c"))
+                           .select("key", F.col("c.node").alias("b"), F.col("c.n").alias("bn")))
+    pairs = (member.join(centres, "key").where("node <> b")
+                   .where(100 * F.least("n", "bn") >= threshold * F.greatest("n", "bn"))
+                   .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
+    sa = sets.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("items").alias("ai"))
+    sb = sets.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("items").alias("bi"))
+    found = (pairs.join(sa, "a").join(sb, "b").withColumn("both", F.size(F.array_intersect("ai", "bi")))
+                  .where(100 * F.col("both") >= threshold * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b"))
+    links = stored(found)
+    labels = components(links)
+    # a centre has been compared with its whole bucket; what is left open are the other classes' pairs
+    left = member.join(centres.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
+    left = left.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    # a block's size counts small sets as 200 shingles, which bounds its classes too
+    per = left.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum(F.greatest("n", F.lit(200))).alias("t"))
+    open_ = (per.groupBy("key").agg(F.max(F.struct("c", "label", "t")).alias("main"), F.sum("t").alias("t"), F.count("*").alias("parts"))
+                .where("parts > 1").select("key", F.col("main.label").alias("main"), F.expr(f"1 + t div {BLOCK_SHINGLES}").alias("ni"),
+                                           F.expr(f"1 + (t - main.t) div {BLOCK_SHINGLES}").alias("nj")))
+    left = stored(left.join(open_, "key"))
+    if left.isEmpty():
+        return links, labels
+    deal = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    inner = left.select("key", deal(1, "ni").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)).alias("j"), "node", "label",
+                        F.lit(False).alias("outer"))
+    outer = left.where("label <> main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"), deal(2, "nj").alias("j"),
+                                               "node", "label", F.lit(True).alias("outer"))
+    blocks = inner.unionByName(outer).join(sets.select("node", "items"), "node")
+    more = blocks.groupBy("key", "i", "j").applyInArrow(_block_links(threshold), "a binary, b binary")
+    links = stored(links.unionByName(more.distinct()))
+    return links, components(links)
+
+
+def _block_links(threshold: int):
+    """Of one block's links between its outsiders and its members, those that join components."""
+    def run(block: pa.Table) -> pa.Table:
+        node, label = block.column("node").to_pylist(), block.column("label").to_pylist()
+        items = block.column("items").combine_chunks()
+        off = items.offsets.to_numpy() - items.offsets[0].as_py()
+        n = np.diff(off)
+        values, code = np.unique(items.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(node)), n)
+        is_outer = np.array(block.column("outer").to_pylist(), bool)
+        outer, inner = np.flatnonzero(is_outer), np.flatnonzero(~is_outer)
+        both = np.zeros((len(outer), len(inner)), np.float32)
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], row[order]
+        for low in range(0, len(values), 4096):  # some columns at a time bound the matrix
+            a, z = np.searchsorted(code, [low, low + 4096])
+            part = np.zeros((len(node), 4096), np.float32)
+            part[row[a:z], code[a:z] - low] = 1
+            both += part[outer] @ part[inner].T
+        link = 100 * both >= threshold * (n[outer][:, None] + n[inner][None, :] - both)
+        root: dict[bytes, bytes] = {}
+
+        def find(x):
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        out = []
+        for k, o in enumerate(outer.tolist()):
+            for m in inner[np.flatnonzero(link[k])].tolist():
+                x, y = find(label[o]), find(label[m])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(node[o], node[m]), max(node[o], node[m])))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
 
 
 def near_groups(docs: DataFrame, size: int = 5, threshold: int = 80, bands: int = 28, rows: int = 5,
