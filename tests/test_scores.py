@@ -64,3 +64,10 @@ def test_tree_shapes_strip_comments_first(spark):
     plain = TR.tree_shapes(df, "k", "html").count()
     stripped = sorted(r["shape"] for r in TR.tree_shapes(df, "k", "html", strip_comments=True).collect())
     assert plain == 4 and stripped == ["div ul li /li /ul /div", "div ul li /li /ul /div", "ul li /li /ul"]
+
+
+def test_a_row_without_references_scores_zero(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], None), (2, ["a", "b"], [["a", "b"]]), (3, ["a"], [])],
+                               "k long, hyp_tokens array<string>, refs array<array<string>>")
+    got = {r["k"]: r["bleu"] for r in NG.ngram_stats(df, ["k"]).select("k", NG.bleu_col().alias("bleu")).collect()}
+    assert got[1] == got[3] == 0.0 and got[2] > 0

@@ -13,7 +13,7 @@ Definitions (ours, from the BLEU and CodeBLEU papers; see SURVEY 2.12):
 
 Plan: input rows hold (keys, hyp tokens, refs = array of token arrays).
 Grams are exploded from zipped shifted slices (no lambdas, whole-stage
-codegen) and identified by their token columns (no string building); the
+codegen) and identified by a 64-bit hash of their tokens' hashes; the
 counts are aggregations that all cluster on ``keys``, so after
 ``repartition(keys)`` the chain needs no exchange of gram rows (the text
 rows are shuffled once, not the grams).  A keyword list is joined as a
@@ -33,30 +33,28 @@ MAX_N = 4
 EPSILON = 0.1  # smoothing for zero matches
 KEYWORD_WEIGHT, OTHER_WEIGHT = 1.0, 0.2
 
-GRAM_COLS = ["t1", "t2", "t3", "t4"]
-
-
 def _shifted(t: Column, k: int) -> Column:
     """t[k:] (1-based) or empty."""
     return F.slice(t, k, F.greatest(F.size(t) - k + 1, F.lit(0)))
 
 
+def gram_id(n: int, *token_hashes) -> Column:
+    """64-bit id of an n-gram from its tokens' ``xxhash64``; ids are only compared within a row's key."""
+    return F.xxhash64(F.lit(n), *token_hashes)
+
+
 def gram_rows(df: DataFrame, carry: Sequence[str], toks: str = "toks", max_n: int = MAX_N) -> DataFrame:
-    """One row per n-gram occurrence: carry + (n, t1..t4) with unused token
-    slots null.  Built without lambdas (arrays_zip of shifted slices and two
-    explodes), so it stays inside whole-stage codegen."""
-    t = F.col(toks)
-    z = F.arrays_zip(*[_shifted(t, k).alias(f"t{k}") if k > 1 else t.alias("t1") for k in range(1, max_n + 1)])
-    pos = df.select(*carry, F.explode(z).alias("z")).select(*carry, *[F.col(f"z.t{k}").alias(f"t{k}") for k in range(1, max_n + 1)])
-    none = F.lit(None).cast("string")
-    opts = []
-    for n in range(1, max_n + 1):
-        fields = [F.lit(n).alias("n")] + [F.col(f"t{k}") if k <= n else none.alias(f"t{k}") for k in range(1, max_n + 1)]
-        fields = [f if k == 0 else f.alias(f"t{k}") for k, f in enumerate(fields)]
-        opts.append(F.when(F.col(f"t{n}").isNotNull(), F.struct(*fields)))
-    g = pos.select(*carry, F.explode(F.array(*opts)).alias("g")).filter(F.col("g").isNotNull())
-    cols = GRAM_COLS[:max_n]
-    return g.select(*carry, "g.n", *[F.col(f"g.{c}") for c in cols])
+    """One row per n-gram occurrence: carry + (n, g), g the gram's id.  Tokens
+    are hashed once per row (the explode of one array keeps the optimizer
+    from repeating that in every slice); the grams come from arrays_zip of
+    shifted slices and two explodes, so no string is copied per gram."""
+    h = df.select(*carry, F.explode(F.array(F.transform(toks, lambda t: F.xxhash64(t)))).alias("h"))
+    z = F.arrays_zip(*[_shifted(F.col("h"), k).alias(f"t{k}") for k in range(1, max_n + 1)])
+    pos = h.select(*carry, F.inline(z).alias(*[f"t{k}" for k in range(1, max_n + 1)]))
+    opts = [F.when(F.col(f"t{n}").isNotNull(), F.struct(F.lit(n).alias("n"), gram_id(n, *[f"t{k}" for k in range(1, n + 1)]).alias("g")))
+            for n in range(1, max_n + 1)]
+    g = pos.select(*carry, F.explode(F.array(*opts)).alias("x")).filter(F.col("x").isNotNull())
+    return g.select(*carry, "x.n", "x.g")
 
 
 def _ref_window(n: int):
@@ -82,6 +80,7 @@ def ngram_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp_tokens", ref
     keys = list(keys)
     carry = keys + ([kw_col] if kw_col and kw_col not in keys else [])
     x = df.repartition(*keys) if repartition else df
+    x = x.withColumn(refs, F.coalesce(F.col(refs), F.array()))  # no references: nothing to match
     x = x.withColumn("_nref", F.when(F.size(refs) <= max_refs, F.size(refs)).otherwise(
         F.raise_error(F.lit(f"more than max_refs={max_refs} references in a row")).cast("int")))
     hl = F.size(hyp)
@@ -95,15 +94,14 @@ def ngram_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp_tokens", ref
                              F.struct(F.lit(0).alias("side"), F.col(hyp).alias("toks"))),
                      F.transform(refs, lambda r, j: F.struct((j + 1).alias("side"), r.alias("toks"))))
     per_side = x.select(*carry, *meta_cols, F.explode(sides).alias("s")).select(*carry, *meta, "s.side", "s.toks")
-    cols = GRAM_COLS[:max_n]
     side = F.col("side")
-    c = gram_rows(per_side, [*carry, *meta, "side"], "toks", max_n).groupBy(*carry, *meta, "n", *cols).agg(
+    c = gram_rows(per_side, [*carry, *meta, "side"], "toks", max_n).groupBy(*carry, *meta, "n", "g").agg(
         F.count_if(side == 0).alias("ch"), *[F.count_if(side == j).alias(f"_c{j}") for j in range(1, max_refs + 1)])
     kw = None
     if keywords is not None and kw_col:
-        kw = bounded_broadcast(keywords.select(F.col("kw_group").alias("_kwg"), F.col("token").alias("_kwt"))
+        kw = bounded_broadcast(keywords.select(F.col("kw_group").alias("_kwg"), gram_id(1, F.xxhash64("token")).alias("_kwt"))
                                .distinct().withColumn("_kw", F.lit(True)))
-        c = c.join(kw, (F.col(kw_col) == F.col("_kwg")) & (F.col("t1") == F.col("_kwt")) & (F.col("n") == 1), "left")
+        c = c.join(kw, (F.col(kw_col) == F.col("_kwg")) & (F.col("g") == F.col("_kwt")) & (F.col("n") == 1), "left")
         w = F.when(F.col("n") == 1, F.when(F.col("_kw"), F.lit(KEYWORD_WEIGHT)).otherwise(F.lit(OTHER_WEIGHT))).otherwise(F.lit(1.0))
     else:
         w = F.when(F.col("n") == 1, F.lit(OTHER_WEIGHT)).otherwise(F.lit(1.0))
@@ -183,15 +181,6 @@ def corpus_stats(stats: DataFrame, by: Sequence[str], max_n: int = MAX_N) -> Dat
     return stats.groupBy(*by).agg(*[F.sum(c).alias(c) for c in cols])
 
 
-def bleu(df: DataFrame, keys: Sequence[str], by: Sequence[str] | None = None, **kw) -> DataFrame:
-    """Per-row BLEU (``by`` None) or corpus BLEU per ``by``."""
-    st = ngram_stats(df, keys, **kw)
-    if by is not None:
-        st = corpus_stats(st, by)
-        return st.select(*by, bleu_col().alias("bleu"))
-    return st.select(*keys, bleu_col().alias("bleu"))
-
-
 def top_tokens(df: DataFrame, group: str, tokens_col: str, k: int = 50) -> DataFrame:
     """The k most frequent tokens per group, ties by token: (kw_group, token).
     Counting is a partial aggregation; the top-k window gets a partial

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiermill.functions.arrays import IGNORE, neg_log_sigmoid, pad_to
+from tiermill.functions.arrays import neg_log_sigmoid, pad_to
 
 
 def pref_metrics(logps: DataFrame, by: Sequence[str], beta: float = 0.1) -> DataFrame:
@@ -45,5 +45,3 @@ def pad_batch(df: DataFrame, batch: str, cols: dict[str, object]) -> DataFrame:
         out = out.withColumn(c, pad_to(c, F.col("_maxlen"), v))
     return out.drop("_maxlen")
 
-
-PAD_DEFAULTS = {"mask": 0, "labels": IGNORE}

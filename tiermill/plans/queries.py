@@ -352,9 +352,10 @@ def doc_keywords(spark, sf):
     return NG.top_tokens(d, "lang", "toks", 50)
 
 
-def doc_stats(spark, sf):
+def doc_stats(spark, sf, weighted: bool = True):
+    """``weighted=False`` leaves the keyword table out where no weighted score is read."""
     hr = X.hyp_ref_documents(spark, sf)
-    return NG.ngram_stats(hr, ["doc_id"], keywords=doc_keywords(spark, sf), kw_col="lang")
+    return NG.ngram_stats(hr, ["doc_id"], keywords=doc_keywords(spark, sf) if weighted else None, kw_col="lang")
 
 
 @query("keywords_top")
@@ -364,13 +365,13 @@ def q_keywords(spark, sf):
 
 @query("ngram_counts")
 def q_ngram_counts(spark, sf):
-    s = doc_stats(spark, sf)
+    s = doc_stats(spark, sf, weighted=False)
     return s.select("doc_id", "hl", "rl", *[f"m{k}" for k in range(1, 5)], *[f"d{k}" for k in range(1, 5)])
 
 
 @query("bleu_sample")
 def q_bleu_sample(spark, sf):
-    return doc_stats(spark, sf).select("doc_id", r6(NG.bleu_col()).alias("bleu"))
+    return doc_stats(spark, sf, weighted=False).select("doc_id", r6(NG.bleu_col()).alias("bleu"))
 
 
 @query("bleu_corpus")
