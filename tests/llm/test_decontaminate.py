@@ -5,6 +5,7 @@ from itertools import combinations
 
 from tests.conftest import SF_SMALL
 from tests.llm.brute import bench_tokens, overlaps
+from tests.llm.test_line_exact import same_as_sql
 from tiermill.llm import decontaminate as D
 from tiermill.llm import queries
 
@@ -36,6 +37,10 @@ def test_query_over_the_whole_table(spark):
     assert any(r.contaminated for r in rows) and not all(r.contaminated for r in rows)
 
 
+def test_query_matches_sql(spark):
+    same_as_sql(spark, "op5_decontaminate", SF_SMALL)
+
+
 def test_planted_passages(spark):
     rng = random.Random(4)
     word = lambda: "v%d" % rng.randrange(3000)

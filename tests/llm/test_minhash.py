@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from tests.conftest import SF_MID
+from tests.conftest import SF_MID, SF_SMALL
 from tests.llm.brute import near_components
+from tests.llm.test_line_exact import same_as_sql
 from tiermill.llm import minhash as M
 from tiermill.llm import queries
 
@@ -24,6 +25,10 @@ def test_query_over_the_whole_table(spark):
     check(rows, got, 3, 85)
 
 
+def test_query_matches_sql(spark):
+    same_as_sql(spark, "op1_minhash_dedup", SF_SMALL)
+
+
 @pytest.mark.parametrize("size,threshold", [(3, 85), (5, 80)])
 def test_planted_groups_chains_and_short_texts(spark, size, threshold):
     rng = random.Random(size)

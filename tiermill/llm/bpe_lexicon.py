@@ -45,12 +45,12 @@ def load_bpe(path: str) -> Bpe:
     return _BPES[path]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``first row, bytes, offsets`` of consecutive runs of texts with about SLICE_BYTES or one text each."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``first row, bytes, offsets`` of consecutive runs of texts with about ``size`` bytes or one text each."""
     buf, off = arrow_bytes(texts)
     a, n = 0, len(off) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + SLICE_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
         yield a, buf[off[a]:off[b]], off[a:b + 1] - off[a]
         a = b
 

@@ -38,6 +38,7 @@ from tiermill.llm.components import components
 from tiermill.operators.joins import bounded_broadcast
 
 BLOCK_SHINGLES = 200_000  # in a block of classes that are compared at once
+SLICE = 2 << 20  # bytes of text hashed at once
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -148,7 +149,7 @@ def sketched(docs: DataFrame, size: int, bands: int, rows: int, id_col: str = "d
     """``doc_id, tag, n, node, keys`` per row: ``tag`` tells rows of one id apart, ``node`` names the shingle set."""
     def run(batches):
         for b in batches:
-            for a, buf, off in slices(b.column(2)):
+            for a, buf, off in slices(b.column(2), SLICE):
                 sets = shingle_sets(buf, off, size)
                 keys = band_keys(signatures(sets, bands * rows), bands, rows)
                 m = len(sets)
@@ -168,7 +169,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
     def run(batches):
         for b in batches:
             node = b.column(0).to_pylist()
-            for a, buf, off in slices(b.column(1)):
+            for a, buf, off in slices(b.column(1), SLICE):
                 sets = shingle_sets(buf, off, size)
                 own = [i for i, s in enumerate(sets) if _node(s) == node[a + i]]  # rows of one id may differ
                 ends = np.cumsum([0] + [len(sets[i]) for i in own])

@@ -27,7 +27,22 @@ def query(name, sql=None):
     return add
 
 
-@query("op1_minhash_dedup")
+@query("op1_minhash_dedup", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda t: t <> '') AS w
+  FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g
+      FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS nx, any_value(b.n) AS ny
+      FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p WHERE 100 * c >= 85 * (nx + ny - c)),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN b ON b.x = r.reach)
+SELECT s.doc_id, len(s.g) AS n_shingles, min(r.reach) AS component_id, s.doc_id = min(r.reach) AS kept
+FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, s.g""")
 def op1_minhash_dedup(spark, sf_dir):
     """Components of texts whose 3-word shingle sets have a similarity of 0.85 or more."""
     x = minhash.near_groups(table(spark, sf_dir, "documents"), size=3, threshold=85)
@@ -76,7 +91,27 @@ def op3_bpe_lexicon(spark, sf_dir):
     return bpe_lexicon.round_trip(table(spark, sf_dir, "documents"), bpe_path())
 
 
-@query("op5_decontaminate")
+@query("op5_decontaminate", r"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (
+  SELECT side, id, list_filter(string_split(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~',
+           'abcdefghijklmnopqrstuvwxyz     '), ' '), lambda x: x <> '') AS w
+  FROM t),
+k AS (SELECT side, id, len(w) AS n, unnest(w) AS tok, generate_subscripts(w, 1) AS pos FROM w WHERE len(w) >= 8),
+m AS (
+  SELECT d.id AS doc_id, i.id AS item_id, any_value(i.n) AS n, list(i.pos) AS qs
+  FROM k d JOIN k i ON d.side = 'd' AND i.side = 'i' AND d.tok = i.tok
+  GROUP BY d.id, i.id, d.pos - i.pos HAVING 100 * count(*) >= 80 * least(13, any_value(i.n))),
+b AS (
+  SELECT doc_id, item_id, least(13, n) AS size, list_max(list_transform(qs, lambda s: len(list_filter(qs, lambda q:
+           q >= least(s, n - least(13, n) + 1) AND q < least(s, n - least(13, n) + 1) + least(13, n))))) AS best
+  FROM m),
+f AS (SELECT doc_id, list_sort(list_distinct(list(item_id))) AS item_ids, max(best) AS best FROM b WHERE 100 * best >= 80 * size GROUP BY doc_id)
+SELECT d.doc_id, f.doc_id IS NOT NULL AS contaminated, coalesce(len(f.item_ids), 0) AS n_items,
+       coalesce(f.item_ids, CAST([] AS BIGINT[])) AS item_ids, coalesce(f.best, 0) AS best_equal
+FROM documents d LEFT JOIN f USING (doc_id)""")
 def op5_decontaminate(spark, sf_dir):
     """Documents with a window of 13 tokens of which 11 equal those of a benchmark item, and the items."""
     return decontaminate.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
