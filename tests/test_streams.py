@@ -41,3 +41,19 @@ def test_row_for_closed_window_is_dropped(spark):
     got = sorted((r["ws"].day, r["n"], r["avg_value"]) for r in STM.read_sink(spark, sink).collect())
     assert dropped == 1
     assert got == [(1, 1, 1.0), (2, 1, 2.0), (3, 1, 3.0)]  # day 5 stays open
+
+
+def test_groups_over_several_batches_are_mined_as_one(spark):
+    from tiermill.operators import pairs as P
+    src = tempfile.mkdtemp(prefix="tiermill-stream-")
+    schema = "g string, id long, code string, tier string"
+    rows = [("a" if i % 2 else None, i, f"t{i}", ["perfect", "failed", "sync"][i % 3 if i > 8 else i % 2]) for i in range(24)]
+    for k in range(3):  # the first batch has no sync candidates: strategy C, which later batches take back
+        spark.createDataFrame(rows[8 * k:8 * k + 8], schema).coalesce(1).write.parquet(f"{src}/b{k}")
+        time.sleep(1.2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    sink, store, ck = (shared_dir(spark, f"t-{x}") for x in ("pairs", "store", "pck"))
+    STM.run_available_now(stream, sink, ck, foreach=STM.mine_batch(sink, store, ["g"], "id", "code"))
+    got = sorted(map(tuple, STM.read_mined(spark, sink, store, ["g"]).collect()), key=str)
+    want = sorted(map(tuple, P.mine_pairs(spark.createDataFrame(rows, schema), ["g"], "id", "code").collect()), key=str)
+    assert got == want and len(got) > 4

@@ -734,13 +734,15 @@ def q_stream_dedupe(spark, sf):
 
 @query("stream_mine_pairs")
 def q_stream_mine_pairs(spark, sf):
+    """Mining over micro-batches that cut through the groups: 4 files, one per batch."""
     src = shared_dir(spark, "cands-src")
-    X.tiered_documents(spark, sf).write.parquet(src)
-    s = spark.readStream.schema("lang string, source string, doc_id long, text string, tier string").parquet(src)
-    sink, ck = shared_dir(spark, "pairs-out"), shared_dir(spark, "pairs-ck")
-    STM.run_available_now(s, sink, ck, foreach=STM.mine_batch(sink, X.GROUP_KEYS, "doc_id", "text", max_pairs=4,
-                                                               seed=42, max_tokens=2048))
-    back = spark.read.parquet(sink)
+    X.tiered_documents(spark, sf).repartition(4, "doc_id").write.parquet(src)
+    s = (spark.readStream.schema("lang string, source string, doc_id long, text string, tier string")
+         .option("maxFilesPerTrigger", 1).parquet(src))
+    sink, store, ck = (shared_dir(spark, f"pairs-{x}") for x in ("out", "candidates", "ck"))
+    STM.run_available_now(s, sink, ck, foreach=STM.mine_batch(sink, store, X.GROUP_KEYS, "doc_id", "text", max_pairs=4,
+                                                              seed=42, max_tokens=2048))
+    back = STM.read_mined(spark, sink, store, X.GROUP_KEYS)
     return back.select(*X.GROUP_KEYS, "strategy", "chosen_id", "rejected_id", "pair_rank")
 
 

@@ -8,11 +8,12 @@ DataFrame (used by the registered queries and the tests).
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiermill.operators import pairs as P
 from tiermill.operators.tiers import FAILED, PERFECT, SYNC
@@ -57,17 +58,32 @@ def stream_dedupe(stream: DataFrame, ts: str, keys: Sequence[str], lateness: str
     return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
-def mine_batch(sink: str, keys: Sequence[str], id_col: str, text_col: str, **kw) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: mine pairs from one micro-batch and write them to
-    ``sink/batch_id=<n>`` (overwrite, so a replayed batch is idempotent).
-    Contract: a micro-batch holds every candidate of the groups it
-    contains (groups arrive complete, as with one file per group set)."""
+def mine_batch(sink: str, store: str, keys: Sequence[str], id_col: str, text_col: str, **kw) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body for groups that may span micro-batches.
+
+    A batch's candidates are kept in ``store/batch_id=<n>``; the groups that
+    it touches are mined from all their candidates so far into
+    ``sink/batch_id=<n>``.  Both are overwritten, so a replayed batch is
+    idempotent.  :func:`read_mined` gives each group's latest pairs."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        out = P.mine_pairs(batch, keys, id_col, text_col, **kw)
-        out.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        seen = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(store).where(F.col("batch_id") <= batch_id)
+        touched = seen.where(F.col("batch_id") == batch_id).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        rows = seen.join(touched, same, "left_semi").drop("batch_id")
+        P.mine_pairs(rows, keys, id_col, text_col, **kw).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
     return run
 
 
+def read_mined(spark: SparkSession, sink: str, store: str, keys: Sequence[str]) -> DataFrame:
+    """The pairs of every group as of the last batch that touched it."""
+    last = spark.read.parquet(store).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("batch_id").alias("_last"))
+    pairs = spark.read.parquet(sink)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return pairs.join(last, same & (F.col("batch_id") == F.col("_last"))).select(*[c for c in pairs.columns if c != "batch_id"])
+
+
 def run_available_now(sdf: DataFrame, sink: str, checkpoint: str, mode: str = "append",
                       foreach: Callable[[DataFrame, int], None] | None = None) -> None:
     w = sdf.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
