@@ -71,3 +71,13 @@ def test_a_row_without_references_scores_zero(spark):
                                "k long, hyp_tokens array<string>, refs array<array<string>>")
     got = {r["k"]: r["bleu"] for r in NG.ngram_stats(df, ["k"]).select("k", NG.bleu_col().alias("bleu")).collect()}
     assert got[1] == got[3] == 0.0 and got[2] > 0
+
+
+def test_incomplete_pairs_are_counted_and_enter_no_mean(spark):
+    from tiermill.operators.prefs import pref_metrics
+    rows = [(0, 1, "chosen", -1.0, -2.0), (0, 1, "rejected", -3.0, -2.0), (0, 2, "chosen", -9.0, 0.0),
+            (1, 3, "chosen", 0.0, 0.0), (1, 3, "chosen", 0.0, 0.0), (1, 3, "rejected", 0.0, 0.0)]
+    got = {r["b"]: r for r in pref_metrics(spark.createDataFrame(rows, "b long, pair_id long, role string, policy_logp double, ref_logp double"),
+                                           ["b"]).collect()}
+    assert (got[0]["n_pairs"], got[0]["n_incomplete"], got[0]["accuracy"], got[0]["logps_chosen"]) == (1, 1, 1.0, -1.0)
+    assert (got[1]["n_pairs"], got[1]["n_incomplete"], got[1]["loss"]) == (0, 1, None)

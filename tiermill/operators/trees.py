@@ -72,6 +72,12 @@ def membership_ratio(ref: DataFrame, cand: DataFrame, keys: Sequence[str], items
     keys, items = list(keys), list(items)
     u = (ref.select(*keys, *items, F.lit(1).alias("_r"), F.lit(0).alias("_c"))
             .unionByName(cand.select(*keys, *items, F.lit(0).alias("_r"), F.lit(1).alias("_c"))))
+    return membership_counts(u, keys, items)
+
+
+def membership_counts(u: DataFrame, keys: Sequence[str], items: Sequence[str]) -> DataFrame:
+    """:func:`membership_ratio` of rows that carry their side: ``_r`` = 1 on the
+    reference side, ``_c`` = 1 on the candidate side."""
     per_item = u.groupBy(*keys, *items).agg(F.sum("_r").alias("nr"), F.max("_c").alias("hc"))
     out = per_item.groupBy(*keys).agg(
         F.sum(F.when(F.col("hc") > 0, F.col("nr")).otherwise(0)).cast("bigint").alias("matched"),

@@ -497,14 +497,14 @@ r AS (SELECT vec_id // 2 AS pair_id, CASE WHEN vec_id % 2 = 0 THEN 'chosen' ELSE
       FROM emb),
 pp AS (SELECT pair_id, pair_id // 8 AS batch,
               max(policy_logp) FILTER (WHERE role = 'chosen') AS pc, max(ref_logp) FILTER (WHERE role = 'chosen') AS rc,
-              max(policy_logp) FILTER (WHERE role = 'rejected') AS pr, max(ref_logp) FILTER (WHERE role = 'rejected') AS rr
-       FROM r GROUP BY pair_id
-       HAVING count(*) FILTER (WHERE role = 'chosen') = 1 AND count(*) FILTER (WHERE role = 'rejected') = 1),
+              max(policy_logp) FILTER (WHERE role = 'rejected') AS pr, max(ref_logp) FILTER (WHERE role = 'rejected') AS rr,
+              count(*) FILTER (WHERE role = 'chosen') = 1 AND count(*) FILTER (WHERE role = 'rejected') = 1 AS ok
+       FROM r GROUP BY pair_id),
 x AS (SELECT *, 0.1 * (pc - rc) AS cr, 0.1 * (pr - rr) AS rj FROM pp)
-SELECT batch, count(*) AS n_pairs, round(avg(cr), 6) AS rewards_chosen, round(avg(rj), 6) AS rewards_rejected,
-       round(avg(CASE WHEN cr > rj THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(cr - rj), 6) AS margin,
-       round(avg(pc), 6) AS logps_chosen, round(avg(pr), 6) AS logps_rejected,
-       round(avg(ln(1 + exp(-abs(cr - rj))) + greatest(-(cr - rj), 0.0)), 6) AS loss
+SELECT batch, count(*) FILTER (WHERE ok) AS n_pairs, count(*) FILTER (WHERE NOT ok) AS n_incomplete, round(avg(cr) FILTER (WHERE ok), 6) AS rewards_chosen, round(avg(rj) FILTER (WHERE ok), 6) AS rewards_rejected,
+       round(avg(CASE WHEN cr > rj THEN 1.0 ELSE 0.0 END) FILTER (WHERE ok), 6) AS accuracy, round(avg(cr - rj) FILTER (WHERE ok), 6) AS margin,
+       round(avg(pc) FILTER (WHERE ok), 6) AS logps_chosen, round(avg(pr) FILTER (WHERE ok), 6) AS logps_rejected,
+       round(avg(ln(1 + exp(-abs(cr - rj))) + greatest(-(cr - rj), 0.0)) FILTER (WHERE ok), 6) AS loss
 FROM x GROUP BY batch""")
 
 oracle("pad_batch", f"""WITH {EMB},

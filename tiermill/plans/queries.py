@@ -413,11 +413,12 @@ def q_tree_match(spark, sf):
     nb = neighbours_in_group(p.select("page_id", "lang"), ["lang"], "page_id")
     sh = TR.tree_shapes(p, "page_id", "html").select("page_id", F.md5("shape").alias("h"))
     sh = sh.join(nb.select("page_id", "next_page_id", "prev_page_id"), "page_id")
-    ref = sh.filter(F.col("next_page_id").isNotNull()).select(
-        F.col("page_id").alias("pair_id"), F.col("next_page_id").alias("cand_page_id"), "h")
-    cand = sh.filter(F.col("prev_page_id").isNotNull()).select(
-        F.col("prev_page_id").alias("pair_id"), F.col("page_id").alias("cand_page_id"), "h")
-    m = TR.membership_ratio(ref, cand, ["pair_id", "cand_page_id"], ["h"])
+    # a page's shapes are built once and take part as reference of its own pair and as candidate of the one before
+    role = lambda pair, cand, r: F.struct(F.col(pair).alias("pair_id"), F.col(cand).alias("cand_page_id"),
+                                          F.lit(r).alias("_r"), F.lit(1 - r).alias("_c"))
+    both = sh.select("h", F.explode(F.array(role("page_id", "next_page_id", 1), role("prev_page_id", "page_id", 0))).alias("x")).select("h", "x.*")
+    both = both.where("pair_id IS NOT NULL AND cand_page_id IS NOT NULL")
+    m = TR.membership_counts(both, ["pair_id", "cand_page_id"], ["h"]).where("total > 0")
     return m.select(F.col("pair_id").alias("page_id"), "cand_page_id", "matched", "total", r6("ratio").alias("ratio"))
 
 
@@ -499,7 +500,7 @@ def q_pref_metrics(spark, sf):
         AR.masked_sum(half("logps", 1), half("labels", 1)).alias("ref_logp"))
     rows = rows.withColumn("batch", floor_div("pair_id", 8))
     m = PF.pref_metrics(rows, ["batch"], beta=0.1)
-    return m.select("batch", "n_pairs", *[r6(c).alias(c) for c in (
+    return m.select("batch", "n_pairs", "n_incomplete", *[r6(c).alias(c) for c in (
         "rewards_chosen", "rewards_rejected", "accuracy", "margin", "logps_chosen", "logps_rejected", "loss")])
 
 
@@ -642,7 +643,7 @@ def q_jsonl_roundtrip(spark, sf):
 @query("aligned_lines")
 def q_aligned_lines(spark, sf):
     hr = X.hyp_ref_documents(spark, sf)
-    base = RP.dense_index(hr, ["doc_id"], out="line_no")
+    base = RP.dense_index(hr.select("doc_id"), ["doc_id"], out="line_no").join(hr, "doc_id")  # ids are numbered, texts joined
     root = shared_dir(spark, "aligned")
     SK.write_lines(base.select("line_no", TX.one_line(F.array_join("hyp_tokens", " ")).alias("value")), f"{root}/pred")
     SK.write_lines(base.select("line_no", TX.one_line(F.array_join(F.col("refs")[0], " ")).alias("value")), f"{root}/ref")
@@ -670,7 +671,7 @@ def q_append_metrics(spark, sf):
                     AR.masked_sum(half("logps", 1), half("labels", 1)).alias("ref_logp"))
     m = PF.pref_metrics(rows.withColumn("step", floor_div("pair_id", 8)), ["step"])
     path = shared_dir(spark, "metrics")
-    SK.append_metrics(m.select("step", "n_pairs", "loss", "accuracy"), path, "step", 3)
+    SK.append_metrics(m.where("n_pairs > 0").select("step", "n_pairs", "loss", "accuracy"), path, "step", 3)
     back = spark.read.parquet(path)
     return back.select("step", "n_pairs", r6("loss").alias("loss"), r6("accuracy").alias("accuracy"))
 
@@ -752,7 +753,7 @@ def q_stream_mine_pairs(spark, sf):
 @query("hypotheses_jsonl")
 def q_hypotheses_jsonl(spark, sf):
     hr = X.hyp_ref_documents(spark, sf)
-    base = RP.dense_index(hr, ["doc_id"], out="line_no")
+    base = RP.dense_index(hr.select("doc_id"), ["doc_id"], out="line_no").join(hr, "doc_id")  # ids are numbered, texts joined
     rec = F.to_json(F.struct(F.array_join("hyp_tokens", " ").alias("prediction"),
                              F.array_join(F.col("refs")[0], " ").alias("target")))
     path = shared_dir(spark, "hyp-jsonl")
