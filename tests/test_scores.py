@@ -51,6 +51,12 @@ def test_tree_shapes_and_ratio(spark):
     assert same["ratio"] == 1.0
 
 
+def test_unclosed_markup_gives_no_false_element(spark):
+    html = "<div><ul><li>a<li>b</ul></div><div><h1>x</h1></div>"
+    shapes = {r["shape"] for r in TR.tree_shapes(spark.createDataFrame([(1, html)], "k long, html string"), "k", "html").where("pos >= 0").collect()}
+    assert shapes <= {"div ul li li /ul /div", "ul li li /ul", "div h1 /h1 /div"} and "div h1 /h1 /div" in shapes
+
+
 def test_membership_counts_reference_multiplicity(spark):
     ref = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y")], "k long, h string")
     cand = spark.createDataFrame([(1, "x")], "k long, h string")

@@ -31,7 +31,10 @@ def tag_pattern(tags: Sequence[str]) -> str:
 def tree_shapes(df: DataFrame, key: str, col: str, tags: Sequence[str] = HTML_TAGS,
                 repartition: bool = True, strip_comments: bool = False) -> DataFrame:
     """(key, pos, depth, size, shape): pos = index of the open marker (-1 for
-    the root), depth 1 = root, size = markers in the subtree.
+    the root), depth 1 = root, size = markers in the subtree.  An element
+    is reported only when the marker that returns to its level closes its own
+    kind, so unclosed markup loses the elements around it and never yields
+    one that isn't there.
     ``strip_comments`` first removes line and block comments with the same
     rule whatever the language (line comments first)."""
     pat = tag_pattern(tags)
@@ -47,8 +50,9 @@ def tree_shapes(df: DataFrame, key: str, col: str, tags: Sequence[str] = HTML_TA
             .withColumn("level", F.when(opening, F.col("depth")).otherwise(F.col("depth") + 1)))
     wl = Window.partitionBy(key, "level").orderBy("pos")
     el = (ex.withColumn("close_pos", F.lead("pos").over(wl))
+            .withColumn("close_mk", F.lead("mk").over(wl))
             .withColumn("close_end", F.lead(F.col("off") + F.length("mk")).over(wl))
-            .filter(opening & (F.col("close_pos") > F.col("pos") + 1))
+            .filter(opening & (F.col("close_mk") == F.concat(F.lit("/"), F.col("mk"))) & (F.col("close_pos") > F.col("pos") + 1))
             .select(key, "pos", (F.col("level") + 1).alias("depth"),
                     (F.col("close_pos") - F.col("pos") + 1).alias("size"), "off", "close_end"))
     shaped = el.join(rows.select(key, "s"), key).select(
