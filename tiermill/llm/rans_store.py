@@ -221,7 +221,10 @@ def _add_counts(batches):
 
 def write_ids(docs: DataFrame, bpe_path: str, end_id: int = 2, ids_per_file: int = 8_000_000, id_col: str = "doc_id",
               text_col: str = "text") -> str:
-    """Tokenize ``docs``, append ``end_id`` to each document and write the files; returns their folder."""
+    """Tokenize ``docs``, append ``end_id`` to each document and write the files; returns their folder.
+
+    ``ids_per_file`` sets the number of files; raise it with the data so that their number stays in the ten thousands (the
+    bounds between files are one list on the driver)."""
     spark = docs.sparkSession
     size = max(load_bpe(bpe_path).size, end_id + 1)
     kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -241,7 +244,7 @@ def write_ids(docs: DataFrame, bpe_path: str, end_id: int = 2, ids_per_file: int
     rows = tokens.where("ids IS NOT NULL").select("doc_id", "ids")
     n_files = max(1, -(-int(counts.sum()) // ids_per_file))
     quantiles = [i / n_files for i in range(1, n_files)]
-    bounds = rows.select(F.percentile_approx("doc_id", quantiles or [0.5], 100 * n_files).alias("q")).first().q or []
+    bounds = rows.select(F.percentile_approx("doc_id", quantiles or [0.5], max(10_000, 20 * n_files)).alias("q")).first().q or []
     bounds = np.array(sorted(set(bounds)) if quantiles else [], np.int64)
     sent = spark.sparkContext.broadcast(freq)
 
