@@ -16,6 +16,25 @@ def test_every_two_substitutions_leave_a_seed():
             assert any(all(s + p not in gone for p in mask) for s in range(13 - D.SPAN + 1))
 
 
+def test_every_allowed_substitution_at_every_item_length(spark):
+    bench = [(n, " ".join(f"i{n}x{q}" for q in range(n))) for n in range(1, 14)]
+    docs, expect = [], {}
+    for n, text in bench:
+        words = text.split()
+        for k in range(n - -(-80 * n // 100) + 1):
+            for gone in combinations(range(n), k):
+                copy = ["other%d" % q if q in gone else w for q, w in enumerate(words)]
+                cut = [w for w in copy if not w.startswith("other")] if gone in {(0,), (0, 1), (n - 1,), (n - 2, n - 1)} else copy
+                around = ["pad%d" % q for q in range(9)]
+                # inside a text, alone, and hanging over either end of a text
+                for t in (around + copy + around, copy, cut + around if 0 in gone else around + cut):
+                    docs.append((len(docs), " ".join(t)))
+                    expect[docs[-1][0]] = ([n], n - k) if n >= 8 and len(t) >= 8 else ([], 0)
+    assert want(docs, bench) == expect
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {r.doc_id: (r.item_ids, r.best_equal) for r in D.flagged(d, b).collect()} == expect
+
+
 def want(docs, bench):
     items = {i: bench_tokens(t) for i, t in bench}
     out = {}

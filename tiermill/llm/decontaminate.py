@@ -7,8 +7,10 @@
 3. For each such diagonal the item and the document are laid side by side and the best window of ``window`` tokens found.
    A document is contaminated when at least ``threshold`` percent of a window's tokens are equal.
 
-Any window of 13 tokens with at most two substitutions holds a hit of either mask (tests go through all cases), so with the
-defaults (13 tokens, 80 percent: 11 equal) nothing that counts is missed.  Shorter items are compared as a whole.
+Any window of 12 or 13 tokens with at most two substitutions holds a hit of either mask.  Items of 8 to 11 tokens, which are
+compared as a whole, have too few places for them and get a third, shorter mask, so with the defaults (13 tokens, 80 percent:
+11 equal) nothing that counts is missed; tests go through every set of substitutions at every length.  The third mask is read
+only when the benchmark has such items.
 
 The benchmark side has one row per different seed, and it is broadcast only after a count and size check; beyond the bound
 the same join is shuffled.  Texts are read again only for documents with hits.
@@ -29,6 +31,9 @@ from tiermill.operators.joins import bounded_broadcast
 #: Token positions that the masks read, of SPAN consecutive ones: 11010011 and its mirror image.
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
 SPAN = 8
+#: Read as well for items of under FULL tokens: 111011, which fits where substitutions leave six or seven tokens.
+SHORT = (0, 1, 2, 4, 5)
+FULL = 12
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -39,16 +44,21 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
-def seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
+def seeds(rows: DataFrame, keys: list[str], masks: tuple = MASKS) -> DataFrame:
     """``keys, pos, h`` of each mask at each position of ``rows.words``."""
-    used = sorted({p for m in MASKS for p in m})
+    used = sorted({p for m in masks for p in m})
+    last = min(m[-1] for m in masks)
     # tokens are hashed once; the explode of one array keeps the optimizer from repeating that work in every slice below
     x = rows.select(*keys, F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("w"))
-    n = F.size("w") - (SPAN - 1)
+    n = F.size("w") - last
     shifted = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("pos"), *[F.slice("w", p + 1, n).alias(f"w{p}") for p in used])
     x = x.where(F.size("w") >= SPAN).select(*keys, F.inline(shifted).alias("pos", *[f"w{p}" for p in used]))
-    both = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"w{p}") for p in m]) for k, m in enumerate(MASKS)])
-    return x.select(*keys, "pos", F.explode(both).alias("h"))
+    marks = []
+    for m in masks:
+        h = F.xxhash64(F.lit(sum(1 << p for p in m)), *[F.col(f"w{p}") for p in m])
+        marks.append(h if m[-1] == last else F.when(F.col(f"w{m[-1]}").isNotNull(), h))  # null: the mask goes past the end
+    x = x.select(*keys, "pos", F.explode(F.array(*marks)).alias("h"))
+    return x if all(m[-1] == last for m in masks) else x.where("h IS NOT NULL")
 
 
 def _best(window: int) -> Column:
@@ -67,11 +77,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, thresh
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("item")).where(F.size("item") >= SPAN)
     items = stored(items.distinct(), "benchmark-items")
-    places = seeds(items.select("item_id", F.col("item").alias("words")), ["item_id"])
+    lines = items.select("item_id", F.col("item").alias("words"))
+    few = lines.where(F.size("words") < FULL)
+    masks, places = MASKS, seeds(lines, ["item_id"])
+    if not few.isEmpty():
+        masks, places = (*MASKS, SHORT), places.unionByName(seeds(few, ["item_id"], (SHORT,)))
     table = places.groupBy("h").agg(F.collect_set(F.struct("item_id", F.col("pos").alias("q"))).alias("at"))
     table = table.select("h", F.to_json("at").alias("at"))  # one row per seed; a plain type, so that its size can be measured
     words = d.select("id", "tag", tokens(F.col("text")).alias("words"))
-    hits = seeds(words, ["id", "tag"]).join(bounded_broadcast(table), "h")
+    hits = seeds(words, ["id", "tag"], masks).join(bounded_broadcast(table), "h")
     at = F.from_json("at", "array<struct<item_id: bigint, q: int>>")
     hits = hits.select("id", "tag", "pos", F.inline(at))
     diagonals = stored(hits.select("id", "tag", "item_id", (F.col("pos") - F.col("q")).alias("diag"))
