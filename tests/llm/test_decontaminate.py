@@ -92,3 +92,18 @@ def test_empty_tables_null_ids_and_repeated_rows(spark):
     assert sorted((r.text for r in D.clean(d, b).collect())) == ["clean", "other"]
     assert {r.contaminated for r in D.flagged(d, b.where("false")).collect()} == {False}
     assert D.flagged(d.where("false"), b).collect() == []
+
+
+def test_items_with_a_null_id_or_text_ids_count(spark):
+    t = "one two three four five six seven eight nine ten"
+    u = "red green blue white black brown pink grey"
+    d = spark.createDataFrame([(1, t), (2, u), (3, "clean")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, t), (5, u)], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.item_ids, r.best_equal) for r in D.flagged(d, b).collect()}
+    assert got == {1: (True, [], 10), 2: (True, [5], 8), 3: (False, [], 0)}
+    assert [tuple(r) for r in D.contaminated(d, b).where("item_id IS NULL").select("id", "n_equal").collect()] == [(1, 10)]
+    assert [r.text for r in D.clean(d, b).collect()] == ["clean"]
+    b = spark.createDataFrame([("a", t), ("12", u), ("b", u), (None, u)], "item_id string, text string")
+    got = {r.doc_id: (r.contaminated, r.item_ids, r.best_equal) for r in D.flagged(d, b).collect()}
+    assert got == {1: (True, ["a"], 10), 2: (True, ["12", "b"], 8), 3: (False, [], 0)}
+    assert [r.text for r in D.clean(d, b).collect()] == ["clean"]

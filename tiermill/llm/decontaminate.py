@@ -16,8 +16,9 @@ The benchmark side has one row per different seed, and it is broadcast only afte
 the same join is shuffled.  Texts are read again only for documents with hits.
 
 Defined cases: null texts and texts of under eight tokens never match; items under eight tokens are too short to tell and
-never match; an item repeated under several ids is reported under each; repeated rows are reported alike; a null id is
-kept as such; empty tables on either side give no match.
+never match; an item repeated under several ids is reported under each; repeated rows are reported alike; item ids are of any
+type, since the joins use a row number of the stored items; a null id is kept as such (``flagged`` marks its documents, but
+lists known ids only); empty tables on either side give no match.
 """
 
 from __future__ import annotations
@@ -76,25 +77,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, thresh
     """``id, tag, item_id, n_equal, n_window`` of every document and item that overlap; ``tag`` tells rows of one id apart."""
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("item")).where(F.size("item") >= SPAN)
-    items = stored(items.distinct(), "benchmark-items")
-    lines = items.select("item_id", F.col("item").alias("words"))
+    # numbered once, in files: the number stands for an item, whatever its id, in everything below
+    items = stored(items.distinct().withColumn("row_id", F.monotonically_increasing_id()), "benchmark-items")
+    lines = items.select("row_id", F.col("item").alias("words"))
     few = lines.where(F.size("words") < FULL)
-    masks, places = MASKS, seeds(lines, ["item_id"])
+    masks, places = MASKS, seeds(lines, ["row_id"])
     if not few.isEmpty():
-        masks, places = (*MASKS, SHORT), places.unionByName(seeds(few, ["item_id"], (SHORT,)))
-    table = places.groupBy("h").agg(F.collect_set(F.struct("item_id", F.col("pos").alias("q"))).alias("at"))
+        masks, places = (*MASKS, SHORT), places.unionByName(seeds(few, ["row_id"], (SHORT,)))
+    table = places.groupBy("h").agg(F.collect_set(F.struct("row_id", F.col("pos").alias("q"))).alias("at"))
     table = table.select("h", F.to_json("at").alias("at"))  # one row per seed; a plain type, so that its size can be measured
     words = d.select("id", "tag", tokens(F.col("text")).alias("words"))
     hits = seeds(words, ["id", "tag"], masks).join(bounded_broadcast(table), "h")
-    at = F.from_json("at", "array<struct<item_id: bigint, q: int>>")
+    at = F.from_json("at", "array<struct<row_id: bigint, q: int>>")
     hits = hits.select("id", "tag", "pos", F.inline(at))
-    diagonals = stored(hits.select("id", "tag", "item_id", (F.col("pos") - F.col("q")).alias("diag"))
-                           .groupBy("id", "tag", "item_id", "diag").agg(F.count("*").alias("n_hits")), "benchmark-hits")
+    diagonals = stored(hits.select("id", "tag", "row_id", (F.col("pos") - F.col("q")).alias("diag"))
+                           .groupBy("id", "tag", "row_id", "diag").agg(F.count("*").alias("n_hits")), "benchmark-hits")
     again = bounded_broadcast(diagonals.select(F.col("id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct())
     texts = (d.join(again, F.col("id").eqNullSafe(F.col("hit_id")) & F.col("tag").eqNullSafe(F.col("hit_tag")))
               .select("hit_id", "hit_tag", tokens(F.col("text")).alias("words")).dropDuplicates(["hit_id", "hit_tag"]))
     x = diagonals.join(texts, F.col("id").eqNullSafe(F.col("hit_id")) & F.col("tag").eqNullSafe(F.col("hit_tag")))
-    x = x.join(items, "item_id").select("id", "tag", "item_id", _best(window).alias("n_equal"),
+    x = x.join(items, "row_id").select("id", "tag", "item_id", _best(window).alias("n_equal"),
                                         F.least(F.lit(window), F.size("item")).alias("n_window"))
     x = x.where(100 * F.col("n_equal") >= threshold * F.col("n_window"))
     return x.groupBy("id", "tag", "item_id").agg(F.max(F.struct("n_equal", "n_window")).alias("m")).select(
@@ -109,7 +111,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     x = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("doc_tag") == F.col("tag")), "left")
     return x.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"),
                     F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
-                    F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
+                    F.coalesce("item_ids", F.array().cast(found.schema["item_ids"].dataType)).alias("item_ids"),
                     F.coalesce("best_equal", F.lit(0)).cast("long").alias("best_equal"))
 
 
