@@ -57,6 +57,24 @@ def test_unclosed_markup_gives_no_false_element(spark):
     assert shapes <= {"div ul li li /ul /div", "ul li li /ul", "div h1 /h1 /div"} and "div h1 /h1 /div" in shapes
 
 
+def shapes_of(spark, html):
+    return sorted((r["pos"], r["depth"], r["shape"]) for r in TR.tree_shapes(
+        spark.createDataFrame([(1, html)], "k long, html string"), "k", "html").where("pos >= 0").collect())
+
+
+def test_unclosed_markup_keeps_the_elements_around_it(spark):
+    assert shapes_of(spark, "<div><ul><li>a<li>b</ul></div><div><h1>x</h1></div>") == [
+        (0, 2, "div ul li li /ul /div"), (1, 3, "ul li li /ul"), (6, 2, "div h1 /h1 /div")]
+    # the inner li is unclosed; the close after the inner ul ends the outer one; stray closes end nothing
+    assert shapes_of(spark, "</p><ul><li>a<ul><li>b</ul></p></li></ul>") == [
+        (1, 2, "ul li ul li /ul /p /li /ul"), (2, 3, "li ul li /ul /p /li"), (3, 4, "ul li /ul")]
+
+
+def test_every_tag_kind_is_read(spark):
+    assert shapes_of(spark, "<HTML lang='x'><body><p><b>t</b><br/></p><main-part><p>u</body></html>") == [
+        (0, 2, "html body p b /b br /p main-part p /body /html"), (1, 3, "body p b /b br /p main-part p /body"), (2, 4, "p b /b br /p")]
+
+
 def test_membership_counts_reference_multiplicity(spark):
     ref = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y")], "k long, h string")
     cand = spark.createDataFrame([(1, "x")], "k long, h string")

@@ -1,14 +1,13 @@
 """Subtree inventory and membership ratios.
 
 No grammar parser: a tree is given by nested open/close markers (HTML tags
-of chosen kinds, or brackets).  Every element that contains at least one
-other element is a subtree; the virtual root (all markers) is included.
+of every kind or of chosen ones).  Every element that contains at least one
+other marker is a subtree; the virtual root (all markers) is included.
 Its shape is the space-joined marker sequence from its open to its close.
 
-Plan: markers are extracted in-row (regexp_extract_all), exploded once and
-given depth / offsets with windows over the row key; after
-``repartition(key)`` the windows and the join back to the row's marker
-string need no further exchange.
+Plan: markers are extracted and matched in-row (``regexp_extract_all`` and one
+fold with a stack); only the subtrees are exploded, with their shape, and get
+their depth by a window over the row key, after ``repartition(key)``.
 """
 
 from __future__ import annotations
@@ -20,48 +19,62 @@ from pyspark.sql import functions as F
 
 from tiermill.functions.text import strip_comments as _strip_comments
 
-# The tag kinds that are always closed in the page fixture.
+# The tag kinds that are always closed in the page fixture, which the SQL of tree_shapes and tree_match names.
 HTML_TAGS = ["ul", "li", "a", "nav", "div", "article", "footer", "title", "head", "style", "script", "h1"]
 
 
-def tag_pattern(tags: Sequence[str]) -> str:
-    return r"<(/?(?:" + "|".join(tags) + r"))[\s>]"
+def tag_pattern(tags: Sequence[str] | None) -> str:
+    """Markers of the given kinds, or of every kind."""
+    return r"<(/?[A-Za-z][A-Za-z0-9:-]*)[\s/>]" if tags is None else r"<(/?(?:" + "|".join(tags) + r"))[\s>]"
 
 
-def tree_shapes(df: DataFrame, key: str, col: str, tags: Sequence[str] = HTML_TAGS,
+def elements(m: F.Column) -> F.Column:
+    """array<struct<pos, close_pos>> of the marker array ``m``, in the order of the closes.  A close ends the latest open
+    element of its own kind; what was opened in between is unclosed and gives none, and a close without an open is passed
+    over, so neither changes the elements around it.  Kinds that the row never closes don't enter the stack; the work
+    grows with the markers times the elements of the row (copies of references)."""
+    closed = F.filter(m, lambda x: x.startswith("/"))
+    marks = F.filter(F.transform(m, lambda x, i: F.struct(i.alias("pos"), x.startswith("/").alias("end"), F.ltrim(x, F.lit("/")).alias("kind"))),
+                     lambda x: x["end"] | F.array_contains(F.array_distinct(closed), F.concat(F.lit("/"), x["kind"])))
+
+    def step(acc, x):
+        at = F.array_position(acc["kinds"], x["kind"]).cast("int")  # the stacks hold the latest first; 0: none is open
+        left = lambda c: F.slice(acc[c], at + 1, F.size(acc[c]))
+        state = lambda kinds, places, out: F.struct(kinds.alias("kinds"), places.alias("places"), out.alias("out"))
+        return (F.when(~x["end"], state(F.concat(F.array(x["kind"]), acc["kinds"]), F.concat(F.array(x["pos"]), acc["places"]), acc["out"]))
+                 .when(at > 0, state(left("kinds"), left("places"), F.concat(acc["out"], F.array(
+                     F.struct(F.get(acc["places"], at - 1).alias("pos"), x["pos"].alias("close_pos"))))))
+                 .otherwise(acc))
+
+    start = F.struct(F.array().cast("array<string>").alias("kinds"), F.array().cast("array<int>").alias("places"),
+                     F.array().cast("array<struct<pos: int, close_pos: int>>").alias("out"))
+    return F.aggregate(marks, start, step, lambda acc: acc["out"])
+
+
+def tree_shapes(df: DataFrame, key: str, col: str, tags: Sequence[str] | None = None,
                 repartition: bool = True, strip_comments: bool = False) -> DataFrame:
     """(key, pos, depth, size, shape): pos = index of the open marker (-1 for
-    the root), depth 1 = root, size = markers in the subtree.  An element
-    is reported only when the marker that returns to its level closes its own
-    kind, so unclosed markup loses the elements around it and never yields
-    one that isn't there.
+    the root), depth 1 = root, size = markers in the subtree.  Markers are
+    matched by :func:`elements`: unclosed ones stay in the shapes around
+    them, and count neither as subtree nor as a level.  ``tags`` None reads every
+    kind, in lower case.
     ``strip_comments`` first removes line and block comments with the same
     rule whatever the language (line comments first)."""
-    pat = tag_pattern(tags)
     x = df.repartition(key) if repartition else df
     src = _strip_comments(F.col(col)) if strip_comments else F.col(col)
-    rows = x.select(key, F.regexp_extract_all(src, F.lit(pat), 1).alias("m"))
-    rows = rows.select(key, "m", F.array_join("m", " ").alias("s"))
-    ex = rows.select(key, F.posexplode("m").alias("pos", "mk"))
-    opening = ~F.col("mk").startswith("/")
-    w = Window.partitionBy(key).orderBy("pos")
-    ex = (ex.withColumn("depth", F.sum(F.when(opening, 1).otherwise(-1)).over(w))
-            .withColumn("off", F.sum(F.length("mk") + 1).over(w) - F.length("mk") - 1)
-            .withColumn("level", F.when(opening, F.col("depth")).otherwise(F.col("depth") + 1)))
-    wl = Window.partitionBy(key, "level").orderBy("pos")
-    el = (ex.withColumn("close_pos", F.lead("pos").over(wl))
-            .withColumn("close_mk", F.lead("mk").over(wl))
-            .withColumn("close_end", F.lead(F.col("off") + F.length("mk")).over(wl))
-            .filter(opening & (F.col("close_mk") == F.concat(F.lit("/"), F.col("mk"))) & (F.col("close_pos") > F.col("pos") + 1))
-            .select(key, "pos", (F.col("level") + 1).alias("depth"),
-                    (F.col("close_pos") - F.col("pos") + 1).alias("size"), "off", "close_end"))
-    shaped = el.join(rows.select(key, "s"), key).select(
-        key, F.col("pos").cast("bigint").alias("pos"), F.col("depth").cast("bigint").alias("depth"),
-        F.col("size").cast("bigint").alias("size"),
-        F.substring(F.col("s"), F.col("off") + 1, F.col("close_end") - F.col("off")).alias("shape"))
+    rows = x.select(key, F.regexp_extract_all(F.lower(src) if tags is None else src, F.lit(tag_pattern(tags)), 1).alias("m"))
+    el = (rows.select(key, "m", F.inline(elements(F.col("m")))).where("close_pos > pos + 1")
+              .select(key, "pos", "close_pos", F.array_join(F.slice("m", F.col("pos") + 1, F.col("close_pos") - F.col("pos") + 1), " ").alias("shape")))
+    size = (F.col("close_pos") - F.col("pos") + 1).alias("size")
+    none = lambda t: F.lit(None).cast(t)
+    ends = F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("up"), size, F.col("shape").alias("shape")),
+                   F.struct(F.col("close_pos").alias("at"), F.lit(-1).alias("up"), none("int").alias("size"), none("string").alias("shape")))
+    w = Window.partitionBy(key).orderBy("at")
+    shaped = (el.select(key, F.inline(ends)).withColumn("depth", F.sum("up").over(w) + 1).where("up = 1")
+                .select(key, F.col("at").cast("bigint").alias("pos"), "depth", F.col("size").cast("bigint").alias("size"), "shape"))
     root = rows.filter(F.size("m") > 0).select(
         key, F.lit(-1).cast("bigint").alias("pos"), F.lit(1).cast("bigint").alias("depth"),
-        F.size("m").cast("bigint").alias("size"), F.col("s").alias("shape"))
+        F.size("m").cast("bigint").alias("size"), F.array_join("m", " ").alias("shape"))
     return shaped.unionByName(root)
 
 

@@ -448,6 +448,33 @@ SELECT rs.ref_id AS page_id, rs.cand_id AS cand_page_id, count(cs.h) AS matched,
        round(count(cs.h) / count(*), 6) AS ratio
 FROM rs LEFT JOIN cs ON cs.ref_id = rs.ref_id AND cs.h = rs.h GROUP BY rs.ref_id, rs.cand_id""")
 
+# every tag kind, an open and a close matched by the depth of their own kind
+SHAPES_ALL = """p AS (SELECT page_id, regexp_extract_all(lower(html), '<(/?[a-z][a-z0-9:-]*)[\\s/>]', 1) AS m FROM pages),
+ex AS (SELECT page_id, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS mk FROM p),
+kd AS (SELECT *, ltrim(mk, '/') AS kind, CASE WHEN mk LIKE '/%' THEN -1 ELSE 1 END AS up FROM ex),
+lv AS (SELECT *, sum(up) OVER (PARTITION BY page_id, kind ORDER BY pos) + CASE WHEN up < 0 THEN 1 ELSE 0 END AS level FROM kd),
+ld AS (SELECT *, lead(pos) OVER (PARTITION BY page_id, kind, level ORDER BY pos) AS close_pos FROM lv),
+el AS (SELECT page_id, pos, close_pos FROM ld WHERE up = 1 AND close_pos > pos + 1),
+shapes AS (
+  SELECT e.page_id, e.pos::BIGINT AS pos,
+         (2 + (SELECT count(*) FROM el o WHERE o.page_id = e.page_id AND o.pos < e.pos AND o.close_pos > e.close_pos))::BIGINT AS depth,
+         (e.close_pos - e.pos + 1)::BIGINT AS size, array_to_string(p.m[e.pos + 1 : e.close_pos + 1], ' ') AS shape
+  FROM el e JOIN p USING (page_id)
+  UNION ALL
+  SELECT page_id, -1, 1, len(m), array_to_string(m, ' ') FROM p WHERE len(m) > 0)"""
+
+PAGE_PAIRS = """pl AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages),
+pairs AS (SELECT page_id AS ref_id, lang, lead(page_id) OVER (PARTITION BY lang ORDER BY page_id) AS cand_id FROM pl),
+rs AS (SELECT p.ref_id, p.cand_id, p.lang, md5(sh.shape) AS h FROM pairs p JOIN shapes sh ON sh.page_id = p.ref_id WHERE p.cand_id IS NOT NULL),
+cs AS (SELECT DISTINCT p.ref_id, md5(sh.shape) AS h FROM pairs p JOIN shapes sh ON sh.page_id = p.cand_id)"""
+
+oracle("tree_shapes_all", f"""WITH {SHAPES_ALL} SELECT page_id, pos, depth, size, md5(shape) AS shape_md5 FROM shapes""")
+
+oracle("tree_match_all", f"""WITH {SHAPES_ALL}, {PAGE_PAIRS}
+SELECT rs.ref_id AS page_id, rs.cand_id AS cand_page_id, count(cs.h) AS matched, count(*) AS total,
+       round(count(cs.h) / count(*), 6) AS ratio
+FROM rs LEFT JOIN cs ON cs.ref_id = rs.ref_id AND cs.h = rs.h GROUP BY rs.ref_id, rs.cand_id""")
+
 oracle("composite_score", f"""WITH {DOC_SCORES} SELECT doc_id, round(codebleu, 6) AS codebleu FROM scored2""")
 
 oracle("hardness", f"""WITH {DOC_SCORES} SELECT doc_id, round(p_score, 6) AS p_score FROM scored2""")

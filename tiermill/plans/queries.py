@@ -403,23 +403,39 @@ def page_langs(spark, sf):
 
 @query("tree_shapes")
 def q_tree_shapes(spark, sf):
+    s = TR.tree_shapes(pages(spark, sf), "page_id", "html", TR.HTML_TAGS)
+    return s.select("page_id", "pos", "depth", "size", F.md5("shape").alias("shape_md5"))
+
+
+@query("tree_shapes_all")
+def q_tree_shapes_all(spark, sf):
     s = TR.tree_shapes(pages(spark, sf), "page_id", "html")
     return s.select("page_id", "pos", "depth", "size", F.md5("shape").alias("shape_md5"))
 
 
-@query("tree_match")
-def q_tree_match(spark, sf):
+def page_matches(spark, sf, tags):
+    """``page_id, lang, cand_page_id, matched, total, ratio`` of every page and the next of its language."""
     p = page_langs(spark, sf)
     nb = neighbours_in_group(p.select("page_id", "lang"), ["lang"], "page_id")
-    sh = TR.tree_shapes(p, "page_id", "html").select("page_id", F.md5("shape").alias("h"))
-    sh = sh.join(nb.select("page_id", "next_page_id", "prev_page_id"), "page_id")
+    sh = TR.tree_shapes(p, "page_id", "html", tags).select("page_id", F.md5("shape").alias("h"))
+    sh = sh.join(nb.select("page_id", "lang", "next_page_id", "prev_page_id"), "page_id")
     # a page's shapes are built once and take part as reference of its own pair and as candidate of the one before
     role = lambda pair, cand, r: F.struct(F.col(pair).alias("pair_id"), F.col(cand).alias("cand_page_id"),
                                           F.lit(r).alias("_r"), F.lit(1 - r).alias("_c"))
-    both = sh.select("h", F.explode(F.array(role("page_id", "next_page_id", 1), role("prev_page_id", "page_id", 0))).alias("x")).select("h", "x.*")
+    both = sh.select("lang", "h", F.explode(F.array(role("page_id", "next_page_id", 1), role("prev_page_id", "page_id", 0))).alias("x")).select("lang", "h", "x.*")
     both = both.where("pair_id IS NOT NULL AND cand_page_id IS NOT NULL")
-    m = TR.membership_counts(both, ["pair_id", "cand_page_id"], ["h"]).where("total > 0")
-    return m.select(F.col("pair_id").alias("page_id"), "cand_page_id", "matched", "total", r6("ratio").alias("ratio"))
+    m = TR.membership_counts(both, ["pair_id", "cand_page_id", "lang"], ["h"]).where("total > 0")
+    return m.withColumnRenamed("pair_id", "page_id")
+
+
+@query("tree_match")
+def q_tree_match(spark, sf):
+    return page_matches(spark, sf, TR.HTML_TAGS).select("page_id", "cand_page_id", "matched", "total", r6("ratio").alias("ratio"))
+
+
+@query("tree_match_all")
+def q_tree_match_all(spark, sf):
+    return page_matches(spark, sf, None).select("page_id", "cand_page_id", "matched", "total", r6("ratio").alias("ratio"))
 
 
 def doc_scores(spark, sf):
