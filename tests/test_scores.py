@@ -105,3 +105,18 @@ def test_incomplete_pairs_are_counted_and_enter_no_mean(spark):
                                            ["b"]).collect()}
     assert (got[0]["n_pairs"], got[0]["n_incomplete"], got[0]["accuracy"], got[0]["logps_chosen"]) == (1, 1, 1.0, -1.0)
     assert (got[1]["n_pairs"], got[1]["n_incomplete"], got[1]["loss"]) == (0, 1, None)
+
+
+def test_pair_scores_read_the_first_fence_and_the_trees(spark):
+    from tiermill.operators.score import pair_scores
+    page = "<div> <p> a b c </p> <ul> <li> d </li> </ul> </div>"
+    flat = "<div> <p> a b c </p> <li> d </li> </div>"
+    rows = [(1, "x", f"so:\n```html\n{page}\n```\nor\n```\nz\n```", page), (2, "x", flat, f"```\n{page}\n```"),
+            (3, "x", "``` ```", page), (4, "x", "a b", "a b")]
+    sides = [(k, lang, ref, text) for k, lang, *both in rows for ref, text in zip((False, True), both)]
+    df = spark.createDataFrame(sides, "k long, lang string, is_ref boolean, text string")
+    got = {r["k"]: r for r in pair_scores(df, "k", "lang", "is_ref", "text").collect()}
+    assert [got[1][c] for c in ("ngram", "weighted", "syntax", "dataflow", "codebleu")] == [1.0] * 5
+    # the reference's subtrees: the root, div and ul; none of them is on the other side
+    assert got[2]["syntax"] == 0.0 and math.isclose(got[2]["codebleu"], sum(got[2][c] for c in ("ngram", "weighted", "dataflow")) / 4)
+    assert got[3]["codebleu"] == 0.0 and got[4]["syntax"] is None

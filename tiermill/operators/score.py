@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tiermill.functions.lang import map_literal
 from tiermill.functions.prompts import hardness
-from tiermill.functions.text import blank
+from tiermill.functions.text import blank, first_fence, tokens
+from tiermill.operators import ngrams as NG
+from tiermill.operators import trees as TR
 
 PARTS = ("ngram", "weighted", "syntax", "dataflow")
 # Default weights, and the C++ weights (no data-flow part).
@@ -55,6 +57,30 @@ def score_clean(df: DataFrame, hyp_text, ref_text, score: Column) -> DataFrame:
     return df.withColumn("codebleu", cb).withColumn("p_score", hardness(F.col("codebleu")))
 
 
+def pair_scores(sides: DataFrame, key: str, lang: str, is_ref: str, text: str, tags: Sequence[str] | None = None,
+                top_k: int = 50) -> DataFrame:
+    """Scores of text pairs (X1, X2), given as a row per side: the first fenced block of either side is what counts, and all
+    four parts enter: n-gram, keyword-weighted (the ``top_k`` tokens of the references of a ``lang``), tree (share of the
+    reference's subtrees that the hypothesis has) and edge part.  ``key, lang, ngram, weighted, syntax, dataflow, codebleu,
+    p_score``, a row per pair; a part is null where the reference has none, and the others are renormalised.
+
+    Every part reads the one column that the sides are gathered into, so that all share its exchange."""
+    row = F.struct(F.col(is_ref).alias("is_ref"), F.col(lang).alias("lang"), first_fence(text).alias("code"))
+    both = sides.select(key, row.alias("side")).groupBy(key).agg(F.collect_list("side").alias("sides"))
+    at = lambda ref: F.get(F.filter("sides", lambda s: s["is_ref"] == F.lit(ref)), F.lit(0))
+    code = lambda ref: F.coalesce(at(ref)["code"], F.lit(""))
+    x = both.select(key, F.get("sides", F.lit(0))["lang"].alias(lang), code(False).alias("hyp"), code(True).alias("ref"))
+    side = x.select(key, lang, tokens("hyp").alias("hyp_tokens"), tokens("ref").alias("ref_tokens"))
+    kw = NG.top_tokens(side, lang, "ref_tokens", top_k)
+    st = NG.ngram_stats(side.withColumn("refs", F.array("ref_tokens")), [key], keywords=kw, kw_col=lang, repartition=False)
+    shapes = [TR.tree_shapes(x, key, c, tags, repartition=False).select(key, F.xxhash64("shape").alias("h")) for c in ("ref", "hyp")]
+    tree = TR.membership_ratio(*shapes, [key], ["h"]).select(key, F.col("ratio").alias("syntax"))
+    st = (st.join(tree, key, "left").withColumn("ngram", NG.bleu_col()).withColumn("weighted", NG.weighted_col())
+            .withColumn("dataflow", NG.membership_col(2)))
+    out = score_clean(st, F.col("hl") == 0, F.col("rl") == 0, composite([F.col(p) for p in PARTS], weight_cols(F.col(lang))))
+    return out.select(key, lang, *PARTS, "codebleu", "p_score")
+
+
 def category_report(df: DataFrame, by: Sequence[str] = ("category",), rollup: bool = False) -> DataFrame:
     """Samples and mean scores per group, with the mean loss where the input has
     one.  A rollup's rows carry ``level``, the grouping id (0: all of ``by``),

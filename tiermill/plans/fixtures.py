@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiermill.functions.text import tokens
+from tiermill.operators.joins import neighbours_in_group
 from tiermill.operators.tiers import FAILED, PERFECT, SYNC
 from tiermill.session import table
 
@@ -50,6 +51,21 @@ def exec_stand_in(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return cands, gt
 
 
+def fenced_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """reference = a page in a fence; hypothesis = the next page of its language, bare or as the first of two fences."""
+    p = table(spark, sf, "pages").select("page_id", "html", F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("lang"))
+    nb = neighbours_in_group(p.select("page_id", "lang"), ["lang"], "page_id").select("page_id", "next_page_id", "prev_page_id")
+    x = p.join(nb, "page_id")
+    hyp = F.when(F.pmod("prev_page_id", F.lit(3)) == 0, F.col("html")).otherwise(
+        F.concat(F.lit("Here it is:\n```html\n"), "html", F.lit("\n```\nOr this:\n```\n<p>none</p>\n```\n")))
+    ref = F.concat(F.lit("The page:\n```html\n"), "html", F.lit("\n```\nDone."))
+    # a page is the reference of its own pair and the hypothesis of the one before
+    roles = F.array(F.struct(F.when(F.col("next_page_id").isNotNull(), F.col("page_id")).alias("pair_id"), F.lit(True).alias("is_ref")),
+                    F.struct(F.col("prev_page_id").alias("pair_id"), F.lit(False).alias("is_ref")))
+    x = x.select("lang", "html", "prev_page_id", F.explode(roles).alias("r")).where("r.pair_id IS NOT NULL")
+    return x.select(F.col("r.pair_id").alias("page_id"), "lang", "r.is_ref", F.when(F.col("r.is_ref"), ref).otherwise(hyp).alias("text"))
+
+
 def hyp_ref_documents(spark: SparkSession, sf: str) -> DataFrame:
     """reference = text tokens; hypothesis = same tokens with every 7th dropped."""
     d = (table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
