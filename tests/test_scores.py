@@ -120,3 +120,13 @@ def test_pair_scores_read_the_first_fence_and_the_trees(spark):
     # the reference's subtrees: the root, div and ul; none of them is on the other side
     assert got[2]["syntax"] == 0.0 and math.isclose(got[2]["codebleu"], sum(got[2][c] for c in ("ngram", "weighted", "dataflow")) / 4)
     assert got[3]["codebleu"] == 0.0 and got[4]["syntax"] is None
+
+
+def test_tree_match_corpus_sums_the_pairs(spark):
+    from tests.conftest import SF_SMALL
+    from tiermill.plans.queries import QUERIES, page_matches
+    pairs = page_matches(spark, SF_SMALL, None).select("lang", "matched", "total").collect()
+    got = {(r["level"], r["lang"]): (r["n_pairs"], r["matched"], r["total"], r["ratio"]) for r in QUERIES["tree_match_corpus"](spark, SF_SMALL).collect()}
+    groups = {(0, x["lang"]): [p for p in pairs if p["lang"] == x["lang"]] for x in pairs} | {(1, None): pairs}
+    sums = {k: (len(v), sum(p["matched"] for p in v), sum(p["total"] for p in v)) for k, v in groups.items()}
+    assert pairs and got == {k: (*v, round(v[1] / v[2], 6)) for k, v in sums.items()}

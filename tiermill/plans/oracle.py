@@ -475,6 +475,11 @@ SELECT rs.ref_id AS page_id, rs.cand_id AS cand_page_id, count(cs.h) AS matched,
        round(count(cs.h) / count(*), 6) AS ratio
 FROM rs LEFT JOIN cs ON cs.ref_id = rs.ref_id AND cs.h = rs.h GROUP BY rs.ref_id, rs.cand_id""")
 
+oracle("tree_match_corpus", f"""WITH {SHAPES_ALL}, {PAGE_PAIRS}
+SELECT rs.lang, CAST(grouping(rs.lang) AS BIGINT) AS level, count(DISTINCT rs.ref_id) AS n_pairs, count(cs.h) AS matched, count(*) AS total,
+       round(count(cs.h) / count(*), 6) AS ratio
+FROM rs LEFT JOIN cs ON cs.ref_id = rs.ref_id AND cs.h = rs.h GROUP BY ROLLUP (rs.lang)""")
+
 oracle("composite_score", f"""WITH {DOC_SCORES} SELECT doc_id, round(codebleu, 6) AS codebleu FROM scored2""")
 
 oracle("hardness", f"""WITH {DOC_SCORES} SELECT doc_id, round(p_score, 6) AS p_score FROM scored2""")

@@ -438,6 +438,13 @@ def q_tree_match_all(spark, sf):
     return page_matches(spark, sf, None).select("page_id", "cand_page_id", "matched", "total", r6("ratio").alias("ratio"))
 
 
+@query("tree_match_corpus")
+def q_tree_match_corpus(spark, sf):
+    m = page_matches(spark, sf, None).rollup("lang").agg(
+        F.sum("matched").alias("matched"), F.sum("total").alias("total"), F.count("*").alias("n_pairs"), F.grouping_id().cast("bigint").alias("level"))
+    return m.where("n_pairs > 0").select("lang", "level", "n_pairs", "matched", "total", r6(F.col("matched") / F.col("total")).alias("ratio"))
+
+
 def doc_scores(spark, sf):
     # one pass: n-gram, weighted and edge parts (edges = adjacent token pairs
     # = bigram membership); a side is blank exactly when it has no tokens
