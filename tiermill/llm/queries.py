@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tiermill.llm import bpe_lexicon, chat, decontaminate, exact_dedup, line_dedup, minhash, quality, rans_store, token_counts, warc
+from tiermill.llm import (bpe_lexicon, chat, cross_parse, decontaminate, exact_dedup, grid_codes, heap_clusters, line_dedup, minhash,
+                          quality, rans_store, token_counts, warc)
 from tiermill.llm.common import stored
 from tiermill.session import table
 
@@ -179,3 +180,76 @@ def op9_pu_quality(spark, sf_dir):
 def op10_rans_ids(spark, sf_dir):
     """Write the ids of every whole text, each document closed by id 2, as rANS files and read those back."""
     return rans_store.read_ids(spark, rans_store.write_ids(table(spark, sf_dir, "documents"), bpe_path(), end_id=2))
+
+
+def _floors(column: str, scale: int, where: str) -> str:
+    """SQL of the vectors that count, as integers."""
+    return f"""SELECT vec_id, label, list_transform({column}, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE {column} IS NOT NULL AND {where}
+    AND len(list_filter({column}, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """SQL of the codes: a common table per round of assignment and per set of codebooks."""
+    near = """SELECT p.vec_id, p.label, p.part, min(CAST(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i]))) AS HUGEINT) * 256 + b.entry) AS m,
+         any_value(p.x) AS x
+  FROM p JOIN {b} b USING (part) GROUP BY p.vec_id, p.label, p.part"""
+    steps = [f"""v AS MATERIALIZED ({_floors("embedding", scale, f"len(embedding) > 0 AND len(embedding) % {parts} = 0")}),
+p AS MATERIALIZED (SELECT vec_id, label, part, list_slice(v, part * (len(v) // {parts}) + 1, (part + 1) * (len(v) // {parts})) AS x
+  FROM v, unnest(range({parts})) t(part)),
+b0 AS MATERIALIZED (SELECT part, entry, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}) USING (vec_id))"""]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(b=f'b{r}')})")
+        steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.x, b.x) AS x FROM b{r} b LEFT JOIN (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT part, m % 256 AS entry, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, unnest(range(1, len(x) + 1)) t(i) GROUP BY ALL) GROUP BY part, entry) n
+  ON n.part = b.part AND n.entry = b.entry)""")
+    steps.append(f"z AS ({near.format(b=f'b{rounds}')})")
+    steps.append("""c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(m % 256 AS INT)), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error
+  FROM z GROUP BY vec_id)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM c"""
+
+
+@query("op11_grid_codes", _codes_sql())
+def op11_grid_codes(spark, sf_dir):
+    """Codes of all vectors in 8 parts of 16 entries, trained in 6 rounds over the memoised cells."""
+    codes, books = grid_codes.compress(table(spark, sf_dir, "embeddings"))
+    x = grid_codes.label_errors(stored(codes, "grid-codes"))
+    return x.select("vec_id", "code", "error", "label_error", F.lit(grid_codes.digest(books)).alias("codebooks_sha256"))
+
+
+@query("op12_cross_parse")
+def op12_cross_parse(spark, sf_dir):
+    """The language of every whole text by cross-parsing; fold 0 of 5 is held out."""
+    return cross_parse.predict_languages(table(spark, sf_dir, "documents"))
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3, scale: int = 64, dim: int = 64) -> str:
+    """SQL of the clusters: a common table per assignment and per set of centroids."""
+    near = """SELECT v.vec_id, min(CAST(list_sum(list_transform(range(1, len(v.v) + 1), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i]))) AS HUGEINT) * 65536 + c.cluster) AS m,
+         any_value(v.v) AS v
+  FROM v, {c} c GROUP BY v.vec_id"""
+    steps = [f"""v AS MATERIALIZED ({_floors("embedding", scale, f"len(embedding) = {dim}")}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h LIMIT {k}))"""]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(c=f'c{r}')})")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN (
+  SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+    SELECT m % 65536 AS cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, unnest(range(1, len(v) + 1)) t(i) GROUP BY ALL) GROUP BY cluster) n
+  ON n.cluster = c.cluster)""")
+    steps.append(f"z AS (SELECT vec_id, m % 65536 AS cluster, m // 65536 AS distance FROM ({near.format(c=f'c{rounds}')}))")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT z.vec_id, CAST(z.cluster AS INTEGER) AS cluster, CAST(z.distance AS BIGINT) AS distance,
+       CAST(sum(z.distance) OVER (PARTITION BY z.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(z.distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM z JOIN c{rounds} c USING (cluster)"""
+
+
+@query("op13_heap_clusters", _clusters_sql())
+def op13_heap_clusters(spark, sf_dir):
+    """16 clusters of all vectors of 64 components after 3 rounds, vectors rescanned only when their gap expires."""
+    found, model, _ = heap_clusters.cluster(table(spark, sf_dir, "embeddings"))
+    return heap_clusters.with_inertia(found, model)
