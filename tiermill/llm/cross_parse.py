@@ -129,9 +129,11 @@ def learn(docs: DataFrame, sample_bytes: int = 32_768, rows: int = 64, row_bytes
     """``(languages, classes of bytes, number of symbols, automata)`` from ``text, lang`` rows."""
     x = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", F.lower("text").alias("text"))
     x = x.select("lang", "text", F.xxhash64("text").alias("h"), (F.octet_length("text") > row_bytes).alias("long"))
-    w = Window.partitionBy("lang").orderBy("long", "h")
-    picked = (x.select("lang", "long", "h").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows)
-               .select("lang", "h", "r"))
+    # the first of a language among the first of each of 64 parts of it: no task reads more than 64 * rows of a common one
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("long", "h"))
+    picked = x.select("lang", "long", "h").distinct().withColumn("part", F.pmod("h", F.lit(64)))
+    picked = picked.withColumn("r", first("lang", "part")).where(F.col("r") <= rows)
+    picked = picked.withColumn("r", first("lang")).where(F.col("r") <= rows).select("lang", "h", "r")
     # at most `rows` a language: the broadcast is as small as the set of labels
     texts = (x.join(F.broadcast(picked), ["lang", "h"]).select("lang", "r", F.substring("text", 1, sample_bytes).alias("text"))
               .groupBy("lang", "r").agg(F.min("text").alias("text")).orderBy("lang", "r").collect())
