@@ -76,3 +76,24 @@ def test_automaton_numbers_its_words_in_order():
     begins = np.cumsum([0, *map(len, probe)])
     assert lex.numbers(buf, begins).tolist() == [*range(len(words)), -1, -1, -1, -1]
     assert lex.table.shape[0] < sum(map(len, words))  # suffixes are shared
+
+
+def test_memo_numbers_words_exactly(monkeypatch):
+    import numpy as np
+    rng = random.Random(3)
+    monkeypatch.setattr(bpe_lexicon.WordMemo, "BITS", 6)  # far too few places: many words find none
+    memo, known = bpe_lexicon.WordMemo(), []
+    for _ in range(20):
+        words = [bytes(rng.choice(b"ab\0") for _ in range(rng.choice([0, 1, 2, 3, 7, 8, 9, 16, 17, 31, 32, 33, 70]))) for _ in range(200)]
+        begins = np.cumsum([0, *map(len, words)])
+        got, new = memo.number_all(np.frombuffer(b"".join(words), np.uint8), begins[:-1], begins[1:])
+        known += new
+        assert len(known) == memo.words and [known[i] for i in got] == words
+
+
+def test_long_words_as_the_library(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdef") for _ in range(100_000)), "中文字" * 20_000, "ab" * 60_000 + " ab", "x " * 50_000]
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256)
+           for r in bpe_lexicon.round_trip(docs_of(spark, texts), queries.bpe_path()).collect()}
+    assert [got[i] for i in range(len(texts))] == expected(texts)

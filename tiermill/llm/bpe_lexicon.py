@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import io
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from tiermill.session import shared_dir
 
 MAX_WORD_BYTES = 32  # longer words are never compiled
 SLICE_BYTES = 4 << 20
-MEMO_WORDS = 300_000  # merged words that a worker remembers
+MEMO_WORDS = 800_000  # merged words that a worker remembers
 
 _BPES: dict[str, Bpe] = {}
 
@@ -60,16 +59,24 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.n
 _ODD = 0x9E3779B97F4A7C15
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the hash's base and of its inverse; a worker keeps the longest run it needed."""
+    cache = worker_cache()
+    if len(cache.get("powers", ((),))[0]) < n:
+        made = []
+        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+            x = np.full(n, base, np.uint64)
+            x[:1] = 1
+            made.append(np.cumprod(x, dtype=np.uint64))
+        cache["powers"] = tuple(made)
+    return tuple(x[:n] for x in cache["powers"])
+
+
 def word_hashes(buf: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """64-bit polynomial hashes of ``buf[begins[i]:begins[i + 1]]``, from one running sum."""
     with np.errstate(over="ignore"):
         mix = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0xA5A5A5A5C3C3C3C3)
-        powers = np.full(len(buf) + 1, _ODD, np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=np.uint64)
-        back = np.full(len(buf) + 1, pow(_ODD, -1, 1 << 64), np.uint64)
-        back[0] = 1
-        back = np.cumprod(back, dtype=np.uint64)
+        powers, back = _powers(len(buf) + 1)
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(mix[buf] * powers[:-1], out=total[1:])
         h = (total[begins[1:]] - total[begins[:-1]]) * back[begins[:-1]]
@@ -280,6 +287,122 @@ def build_lexicon(docs: DataFrame, bpe_path: str, lexicon_size: int = 65_536, mi
 
 # --------------------------------------------------------------------------------------------------------- encoding
 
+class Grown:
+    """A ragged array of rows that are only ever added, in a buffer that doubles."""
+
+    def __init__(self, kind):
+        self.values, self.offsets, self.rows = np.zeros(1024, kind), np.zeros(1024, np.int64), 0
+
+    def add(self, values: np.ndarray, lens: np.ndarray) -> None:
+        at, n = int(self.offsets[self.rows]), self.rows + len(lens)
+        while at + len(values) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        while n >= len(self.offsets):
+            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+        self.values[at:at + len(values)] = values
+        self.offsets[self.rows + 1:n + 1] = at + np.cumsum(lens)
+        self.rows = n
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.values[:self.offsets[self.rows]], self.offsets[:self.rows + 1]
+
+
+class WordMemo:
+    """Numbers of the words seen so far, by an open hash table that all words of a slice probe at once.
+
+    A word of up to 32 bytes is its length and four 64-bit values; a probe compares those, so it is exact whatever the hash.
+    A word that finds no free place within PROBES gets a new number each time, which costs time and changes nothing.  Longer words,
+    few for their bytes, go through a dictionary."""
+
+    BITS, PROBES, WIDE = 21, 8, 32
+    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)
+
+    def __init__(self):
+        self.number = np.full(1 << self.BITS, -1, np.int32)
+        self.keys, self.sizes, self.words = np.zeros((4, 1024), np.uint64), np.zeros(1024, np.uint8), 0
+        self.long: dict[bytes, int] = {}
+
+    def _read(self, buf: np.ndarray, begins: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words as four values each, and the place where their search begins."""
+        raw = np.concatenate([buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(buf) + 1,), "<u8", raw, strides=(1,))
+        keys = np.zeros((4, len(begins)), np.uint64)
+        keys[0] = eight[begins] & self.MASKS[np.minimum(size, 8)]
+        h = (keys[0] + size.astype(np.uint64)) * np.uint64(self.MIX[0])
+        for k in (1, 2, 3):
+            lane = np.flatnonzero(size > 8 * k)
+            keys[k, lane] = eight[begins[lane] + 8 * k] & self.MASKS[np.minimum(size[lane] - 8 * k, 8)]
+            h[lane] = (h[lane] ^ (h[lane] >> np.uint64(29)) ^ keys[k, lane]) * np.uint64(self.MIX[k])
+        h ^= h >> np.uint64(32)
+        return keys, ((h * np.uint64(self.MIX[1])) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray, size: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        out = np.full(len(slot), -1, np.int64)
+        lane = np.arange(len(slot))
+        for _ in range(self.PROBES):
+            at = self.number[slot]
+            n = np.maximum(at, 0)
+            same = (at >= 0) & (self.keys[0, n] == keys[0, lane]) & (self.sizes[n] == size[lane])
+            wide = np.flatnonzero(same & (size[lane] > 8))
+            for k in (1, 2, 3):
+                same[wide] &= self.keys[k, n[wide]] == keys[k, lane[wide]]
+            out[lane[same]] = at[same]
+            go = ~same & (at >= 0)
+            lane, slot = lane[go], (slot[go] + 1) & ((1 << self.BITS) - 1)
+            if not len(lane):
+                break
+        return out
+
+    def _learn(self, keys: np.ndarray, size: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Give new words, all different, their numbers and a place."""
+        n = self.words + len(size)
+        while n > len(self.sizes):
+            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)], axis=1)
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.keys[:, self.words:n], self.sizes[self.words:n] = keys, size
+        made = mine = np.arange(self.words, n)
+        self.words = n
+        for _ in range(self.PROBES):
+            if not len(slot):
+                break
+            free = np.flatnonzero(self.number[slot] < 0)
+            self.number[slot[free]] = mine[free]  # of several that want a place the last has it
+            go = self.number[slot] != mine
+            mine, slot = mine[go], (slot[go] + 1) & ((1 << self.BITS) - 1)
+        return made
+
+    def number_all(self, buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word ``buf[begins[i]:ends[i]]``, and the words that are new, in the order of their numbers."""
+        size = ends - begins
+        out = np.empty(len(size), np.int64)
+        short = np.flatnonzero(size <= self.WIDE)
+        keys, slot = self._read(buf, begins[short], size[short])
+        found = self._find(keys, size[short], slot)
+        new: list[bytes] = []
+        miss = np.flatnonzero(found < 0)
+        if len(miss):
+            order = miss[np.lexsort((*keys[:, miss], size[short[miss]]))]
+            first = np.ones(len(order), bool)
+            first[1:] = (size[short[order[1:]]] != size[short[order[:-1]]]) | (keys[:, order[1:]] != keys[:, order[:-1]]).any(0)
+            one = order[first]
+            made = self._learn(keys[:, one], size[short[one]], slot[one])
+            found[order] = made[np.cumsum(first) - 1]
+            raw = buf.tobytes()
+            new = [raw[i:j] for i, j in zip(begins[short[one]].tolist(), ends[short[one]].tolist())]
+        out[short] = found
+        if len(short) < len(size):
+            for i in np.flatnonzero(size > self.WIDE).tolist():
+                w = buf[begins[i]:ends[i]].tobytes()
+                if w not in self.long:
+                    self.long[w] = self.words
+                    new.append(w)
+                    none = np.zeros(0, np.int64)
+                    self._learn(np.zeros((4, 1), np.uint64), np.zeros(1, np.uint8), none)
+                out[i] = self.long[w]
+        return out, new
+
+
 class Encoder:
     """Ids of whole batches: lexicon first, exact merges for the rest."""
 
@@ -288,31 +411,29 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.place: dict[bytes, int] = {}
-        self.values, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        """Start with what is always known: the ids themselves (for special tokens), then the lexicon's words."""
+        self.memo, self.ids = WordMemo(), Grown(np.int32)
+        self.ids.add(np.arange(self.bpe.size, dtype=np.int32), np.ones(self.bpe.size, np.int64))
+        if self.lexicon:
+            self.ids.add(self.lexicon.ids, np.diff(self.lexicon.offsets))
+        self.base = self.ids.rows
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``ids, offsets`` of the texts ``buf[off[i]:off[i + 1]]``."""
         begins, special = self.bpe.words(buf, off)
         number = self.lexicon.numbers(buf, begins) if self.lexicon else np.full(len(begins) - 1, -1, np.int64)
-        number[special >= 0] = -1
         rest = np.flatnonzero((number < 0) & (special < 0))
-        raw = buf.tobytes()
-        if len(self.place) > MEMO_WORDS:
-            self._forget()
-        place, known = self.place, len(self.place)
-        picked = [place.setdefault(raw[i:j], len(place)) for i, j in zip(begins[rest].tolist(), begins[rest + 1].tolist())]
-        made, upto = self.bpe.merge_many(list(islice(place, known, None)))
-        values = self.values = np.concatenate([self.values, made])
-        offsets = self.offsets = np.concatenate([self.offsets, self.offsets[-1] + upto[1:]])
-        first = len(offsets) - 1
-        values = np.concatenate([values, np.arange(self.bpe.size, dtype=np.int32)])  # special tokens stand for themselves
-        offsets = np.concatenate([offsets, offsets[-1] + np.arange(1, self.bpe.size + 1)])
-        number = np.where(number >= 0, number + len(offsets) - 1, first + special)
-        number[rest] = picked
-        if self.lexicon:
-            values = np.concatenate([values, self.lexicon.ids])
-            offsets = np.concatenate([offsets, offsets[-1] + self.lexicon.offsets[1:]])
+        number += self.bpe.size
+        at = np.flatnonzero(special >= 0)
+        number[at] = special[at]
+        if len(rest):
+            if self.memo.words > MEMO_WORDS:
+                self._forget()
+            picked, new = self.memo.number_all(buf, begins[rest], begins[rest + 1])
+            made, upto = self.bpe.merge_many(new)
+            self.ids.add(made, np.diff(upto))
+            number[rest] = self.base + picked
+        values, offsets = self.ids.flat()
         ids, lens = gather(values, offsets, number)
         upto = np.zeros(len(begins), np.int64)
         np.cumsum(lens, out=upto[1:])
