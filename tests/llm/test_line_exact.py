@@ -104,3 +104,34 @@ def test_index_table_takes_insertions_and_deletions(spark):
     two = X.update_index(one, make([("-", 0), ("-", 39), ("-", 77), ("+", 99)]), buckets=4)
     copies = {r.id: r.copies for r in two.collect()}
     assert copies[0] == 1 and 39 not in copies and copies[99] == 1 and len(copies) == 40
+
+
+def test_deleting_the_kept_row_promotes_the_next(spark):
+    make = lambda rows: spark.createDataFrame([(op, bytearray(d), n, i) for op, d, n, i in rows],
+                                              "op string, digest binary, n_chars long, id long")
+    a, b = hashlib.sha256(b"a").digest(), hashlib.sha256(b"b").digest()
+    one = X.update_index(None, make([("+", a, 9, 1), ("+", a, 5, 2), ("+", a, 5, 2), ("+", a, 9, None), ("+", b, 1, 7)]))
+    keep = lambda index: {bytes(r.digest): (r.keep_chars, r.keep_id, r.group_size) for r in X.keepers(index).collect()}
+    assert keep(one) == {a: (9, 1, 4), b: (1, 7, 1)}
+    two = X.update_index(one, make([("-", a, 9, 1), ("-", b, 1, 7), ("-", b, 1, 7), ("-", a, 8, 2)]))
+    assert keep(two) == {a: (9, None, 3)}
+    three = X.update_index(two, make([("-", a, 9, None), ("-", a, 5, 2)]))
+    assert keep(three) == {a: (5, 2, 1)}
+
+
+def test_hot_digest_join_can_be_split(spark):
+    """With low thresholds adaptive execution splits the rows of a digest that half of all rows have."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        d = spark.createDataFrame([(i, "same" if i % 2 else f"t{i}") for i in range(4000)], "doc_id long, text string").repartition(6)
+        x = X.exact_groups(d)
+        assert sum(r.kept for r in x.collect()) == 2001
+        assert "skew=true" in x._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
