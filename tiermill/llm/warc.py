@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiermill.llm.common import whole
+from tiermill.llm.common import stored, whole
+from tiermill.operators.joins import bounded_broadcast
 from tiermill.session import shared_dir
 
 FILE_BYTES = 256 << 20  # inflated bytes after which a partition begins another file
@@ -150,9 +151,11 @@ def write_monolithic(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_i
     html = whole(F.col(html_col))
     x = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), html.alias("html"),
                      F.sha2(html, 256).alias("key"))
-    first = (x.where(F.octet_length("html") >= min_bytes).groupBy("key").agg(F.min("page").alias("first"))
-              .where(F.col("first").isNotNull()))
-    x = x.join(first, "key", "left").select(
+    first = (x.where(F.octet_length("html") >= min_bytes).groupBy("key").agg(F.min("page").alias("first"), F.count("*").alias("n"))
+              .where("first IS NOT NULL AND n > 1").select("key", "first"))
+    # payloads found more than once: broadcast where their measured size allows, so that html isn't shuffled; else a stored
+    # side, against which the pages of a hot payload can be split
+    x = x.join(bounded_broadcast(first), "key", "left").select(
         "page", "url", "html", F.when(~F.col("page").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
 
     def write(batches):
@@ -263,7 +266,11 @@ def archived(pages: DataFrame, min_bytes: int = 0, **names) -> DataFrame:
     A revisit's payload is that of the response with its digest.
     """
     spark = pages.sparkSession
-    records = read_indexed(spark, normalise(spark, write_monolithic(pages, min_bytes, **names))).drop("payload")
-    size = (records.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full")))
-    x = records.join(size, "payload_digest", "left")
-    return x.select("page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    records = stored(read_indexed(spark, normalise(spark, write_monolithic(pages, min_bytes, **names))).drop("payload"), "warc-records")
+    response, revisit = records.where("record_type = 'response'"), records.where("record_type = 'revisit'")
+    wanted = revisit.select("payload_digest").distinct()
+    size = bounded_broadcast(response.join(wanted, "payload_digest", "left_semi").groupBy("payload_digest")
+                                     .agg(F.max("payload_bytes").alias("full")))
+    revisit = revisit.join(size, "payload_digest", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "full"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return response.select(columns).unionByName(revisit.select(columns))
