@@ -188,7 +188,8 @@ def near_links(classes: DataFrame, docs: DataFrame, size: int, threshold: int, i
                text_col: str = "text") -> tuple[DataFrame | None, DataFrame | None]:
     """``links`` (a, b) between classes that connect everything there is to connect, and the ``labels`` of linked nodes."""
     member = classes.select("node", F.explode("keys").alias("key"))
-    several = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # sides with a row per bucket are stored first: of two plain sides adaptive execution can split a hot bucket
+    several = stored(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     member = stored(member.join(several, "key").select("key", "node", "size"))
     if member.isEmpty():
         return None, None
@@ -216,7 +217,7 @@ def near_links(classes: DataFrame, docs: DataFrame, size: int, threshold: int, i
     open_ = (per.groupBy("key").agg(F.max(F.struct("c", "label", "t")).alias("main"), F.sum("t").alias("t"), F.count("*").alias("parts"))
                 .where("parts > 1").select("key", F.col("main.label").alias("main"), F.expr(f"1 + t div {BLOCK_SHINGLES}").alias("ni"),
                                            F.expr(f"1 + (t - main.t) div {BLOCK_SHINGLES}").alias("nj")))
-    left = stored(left.join(open_, "key"))
+    left = stored(left.join(stored(open_), "key"))
     if left.isEmpty():
         return links, labels
     deal = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
