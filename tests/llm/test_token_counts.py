@@ -68,3 +68,17 @@ def test_empty_null_and_repeated_rows(spark):
                               "doc_id long, text string, n_tokens long")
     got = sorted(map(tuple, C.token_counts(d, queries.bpe_path()).collect()), key=str)
     assert got.count((1, 0, 0, False)) == 2 and (None, 2, 1, False) in got and (2, 1200, 601, True) in got
+
+
+def test_long_words_are_quick_and_exact():
+    """One word of a megabyte, text without spaces, encoded data."""
+    import time
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(1_000_000)), "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(100_000)),
+             "".join(rng.choice("0123456789abcdef") for _ in range(200_000)), "a" * 300_000]
+    buf, off = arrow_bytes(pa.array(texts, pa.string()))
+    counter = C.Counter(load_bpe(queries.bpe_path()), 40_000)
+    began = time.thread_time()
+    got = C.count_batch(counter, buf, off).tolist()
+    assert time.thread_time() - began < 30
+    assert got == library(texts)

@@ -5,17 +5,18 @@ Two deterministic machines, run over whole Arrow batches in step:
 * The *cutter* reads code point classes and marks word starts.  It has eleven states; a mark may concern the code
   point just read or the one before.  Texts are cut into chunks of CHUNK code points, the map "state before -> state after"
   of every chunk is computed for all eleven states at once, and the maps are composed by a parallel prefix scan, which gives
-  each chunk its first state; then all chunks emit their marks side by side.  So a very long text costs no more steps than a
-  short one.
+  each chunk its first state; then all chunks emit their marks side by side.  So a very long text costs the cutter no more
+  steps than a short one.
 * The *counter* reads the bytes of a word.  Each transition carries by how much the number of tokens of the word read so
   far changes.  A state stands for all prefixes that no continuation can tell apart: the longest suffix that a token could
   still extend, and for each place where such a token could begin the last token before it and the tokens gained since.  The
   next last token is the one whose pair with its predecessor the merge rule leaves alone.  Transitions are compiled when
-  first met, up to ``max_states`` states; words that would need more are merged by the rule itself, so counts are exact
-  whatever has been compiled.
+  first met, up to ``max_states`` states; words that would need more, and words of more than LONG_WORD bytes (text without
+  spaces, encoded data), are merged by the rule itself, so counts are exact whatever has been compiled.
 
 Defined cases: null and empty texts have no bytes and no tokens; the special token's string inside a text counts as
-one token, as in the library; repeated rows give equal rows; an empty table gives an empty result.
+one token, as in the library; repeated rows give equal rows; an empty table gives an empty result.  Ids are integers (an id that
+can't be cast to long raises).
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from tiermill.llm.bpe_text import LETTER, NUMBER, OTHER, SPACE, WHITE, Bpe, shar
 from tiermill.llm.common import worker_cache
 
 CHUNK = 1024
+LONG_WORD = 256  # bytes; longer words would be as many steps of the counter as they have bytes
 
 # ---------------------------------------------------------------------------------------------------------- cutter
 
@@ -210,10 +212,11 @@ class Counter:
     def counts(self, buf: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Tokens of each word ``buf[begins[i]:begins[i + 1]]``."""
         out = np.zeros(len(begins) - 1, np.int64)
-        lane = np.flatnonzero(begins[1:] > begins[:-1])
+        size = np.diff(begins)
+        lane = np.flatnonzero((size > 0) & (size <= LONG_WORD))
         at, end = begins[:-1][lane], begins[1:][lane]
         state, total = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
-        left = []
+        left = [long] if len(long := np.flatnonzero(size > LONG_WORD)) else []
         while len(lane):
             byte = buf[at]
             where = state * 256 + byte
