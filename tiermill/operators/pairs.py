@@ -41,14 +41,19 @@ def dedupe_tiers(df: DataFrame, keys: Sequence[str], id_col: str = "cand_idx",
               .agg(F.min(id_col).alias(id_col), F.count("*").alias("n_copies")))
 
 
+def text_rank(seed: int | str, text_col: str) -> Column:
+    """Shuffle key that depends on the text alone: copies that come later, with a smaller id, don't move it."""
+    return hash_rank(seed, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def cap_tiers(df: DataFrame, keys: Sequence[str], id_col: str = "cand_idx",
-              caps: dict[str, int] | None = None, seed: int = 42) -> DataFrame:
-    """At most ``caps[tier]`` rows per (sample, tier), uniform by md5 rank."""
+              caps: dict[str, int] | None = None, seed: int = 42, rank: Column | None = None) -> DataFrame:
+    """At most ``caps[tier]`` rows per (sample, tier), uniform by md5 rank (of the id, or ``rank``)."""
     caps = caps or DEFAULT_CAPS
     cap = F.lit(0)
     for t, n in caps.items():
         cap = F.when(F.col("tier") == t, F.lit(n)).otherwise(cap)
-    w = Window.partitionBy(*keys, "tier").orderBy(hash_rank(seed, id_col), F.col(id_col))
+    w = Window.partitionBy(*keys, "tier").orderBy(rank if rank is not None else hash_rank(seed, id_col), F.col(id_col))
     return (df.withColumn("tier_rank", F.row_number().over(w))
               .filter((F.col("tier_rank") <= max(caps.values())) & (F.col("tier_rank") <= cap)))
 
@@ -81,7 +86,12 @@ def tier_pair_arrays(capped: DataFrame, keys: Sequence[str], id_col: str = "cand
         _side(SYNC, id_col, text_col, extra).alias("_tier_s"),
         _side(FAILED, id_col, text_col, extra).alias("_tier_f"),
     )
-    p, s, f = F.col("_tier_p"), F.col("_tier_s"), F.col("_tier_f")
+    return pair_arrays(g, keys, F.col("_tier_p"), F.col("_tier_s"), F.col("_tier_f"), seed, extra)
+
+
+def pair_arrays(g: DataFrame, keys: Sequence[str], p: Column, s: Column, f: Column, seed: int = 42,
+                extra: Sequence[str] = ()) -> DataFrame:
+    """:func:`tier_pair_arrays` of rows that hold a sample's capped tiers as arrays of (r, id, text, extra)."""
     a = _cross(p, s, "A", seed, extra)
     b = _cross(s, f, "B", seed, extra)
     c = F.filter(_cross(p, f, "C", seed, extra), lambda _: F.size(s) == 0)
@@ -113,11 +123,12 @@ def cap_pairs(arr: DataFrame, keys: Sequence[str], max_pairs: int = DEFAULT_MAX_
 def mine_pairs(cands: DataFrame, keys: Sequence[str], id_col: str = "cand_idx",
                text_col: str = "code", gt: DataFrame | None = None,
                caps: dict[str, int] | None = None, max_pairs: int = DEFAULT_MAX_PAIRS,
-               seed: int = 42, max_tokens: int | None = None, prompt: Column | None = None) -> DataFrame:
+               seed: int = 42, max_tokens: int | None = None, prompt: Column | None = None, by_text: bool = False) -> DataFrame:
     """End-to-end mining from tiered candidates (columns keys, id, text, tier).
-    ``max_tokens`` bounds prompt plus answer; ``prompt`` is an expression over the keys."""
+    ``max_tokens`` bounds prompt plus answer; ``prompt`` is an expression over the keys.  ``by_text`` caps a tier by
+    a rank of the texts instead of the ids, as the stream does."""
     deduped = dedupe_tiers(cands, keys, id_col, text_col, gt)
-    capped = cap_tiers(deduped, keys, id_col, caps, seed)
+    capped = cap_tiers(deduped, keys, id_col, caps, seed, text_rank(seed, text_col) if by_text else None)
     extra: list[str] = []
     if max_tokens is not None:
         capped = capped.withColumn("ntok", n_tokens(F.col(text_col)) + (n_tokens(prompt) if prompt is not None else F.lit(0)))

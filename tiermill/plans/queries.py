@@ -872,3 +872,6 @@ def q_group_reward_pandas(spark, sf):
                                           floor_div("event_id", 4).alias("group_id"))
     out = T.group_reward(runs, "group_id", "event_id", _group_correctness, "group_id long, event_id long, reward double")
     return out.select("group_id", "event_id", r6("reward").alias("reward"))
+
+
+from tiermill.plans import extended  # noqa: E402,F401  (adds its queries and their SQL)
