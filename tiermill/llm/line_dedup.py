@@ -15,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiermill.llm.common import ASCII_SPACE, ascii_lower, whole
-from tiermill.operators.joins import bounded_broadcast
+from tiermill.llm.common import ASCII_SPACE, ascii_lower, stored, whole
 
 
 def line_key(line: Column) -> Column:
@@ -41,8 +40,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     common = (lines.where(F.col("id").isNotNull()).groupBy("h", "id").agg(F.lit(1).alias("one"))
                    .groupBy("h").agg(F.count("*").alias("n_docs"), F.max("id").alias("last_id"))
                    .where(F.col("n_docs") >= min_docs).select("h", "last_id"))
-    # broadcast where its measured size allows; else a stored table, against which the side of a hot line can be split
-    common = bounded_broadcast(common)
+    common = stored(common, "common-lines")  # of two plain sides adaptive execution can split a hot line
     gone = (lines.join(common, "h").where(~F.col("id").eqNullSafe(F.col("last_id")))
                  .groupBy("id", "tag").agg(F.collect_set("pos").alias("gone")))
     a, g = d.alias("a"), gone.alias("g")
