@@ -12,6 +12,8 @@ from tiermill.operators import tiers as T
 from tiermill.plans import fixtures as X
 from tiermill.plans.oracle import CANDS, GT, ORACLE, RUNS, TIER_PAIRS, toks
 from tiermill.plans.queries import QUERIES, docs, r6
+from tiermill.sources import readers as RD
+from tiermill.sources import sinks as SK
 from tiermill.session import cut_lineage, shared_dir, table
 from tiermill.streaming import mining as MN
 from tiermill.streaming import streams as STM
@@ -61,3 +63,17 @@ def q_stream_mine_state(spark, sf):
         sink, ck = shared_dir(spark, "state-out"), shared_dir(spark, "state-ck")
         STM.run_available_now(pairs.select(*X.SAMPLE_KEYS, "strategy", "chosen_id", "rejected_id", "pair_rank"), sink, ck)
     return STM.read_sink(spark, sink, "user_id long, day string, strategy string, chosen_id long, rejected_id long, pair_rank long")
+
+
+# ------------------------------------------------------------------------------------------------- S1/S3, array files
+
+@query("samples_array", """SELECT doc_id, 'say "' || coalesce(text, '') || '"' AS instruction, '{"[' || chr(92) || '}' || source AS input, lang AS output
+FROM documents""")
+def q_samples_array(spark, sf):
+    """Samples written as JSON arrays and read back by ranges; texts with brackets, quotes and backslashes."""
+    rows = docs(spark, sf).select(
+        "doc_id", F.concat(F.lit('say "'), F.coalesce("text", F.lit("")), F.lit('"')).alias("instruction"),
+        F.concat(F.lit('{"[' + chr(92) + "}"), "source").alias("input"), F.col("lang").alias("output"))
+    path = shared_dir(spark, "samples-array")
+    SK.write_array(rows, path, "doc_id", ["doc_id", "instruction", "input", "output"])
+    return RD.read_samples(spark, path, "array", "doc_id bigint, instruction string, input string, output string")

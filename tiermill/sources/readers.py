@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tiermill.functions.text import py_strip
+from tiermill.sources.json_arrays import read_array
 
 SAMPLE_SCHEMA = T.StructType([
     T.StructField("instruction", T.StringType()),
@@ -24,11 +25,14 @@ SAMPLE_SCHEMA = T.StructType([
 
 def read_samples(spark: SparkSession, path: str, layout: str,
                  schema: T.StructType | str | None = None) -> DataFrame:
-    """Samples from JSON files.  ``layout`` is "lines" (an object per line,
-    splittable) or "array" (one array per file, a task per file); the caller
-    knows it, and a folder holds one kind.  Pass a schema to skip inference."""
+    """Samples from JSON files.  ``layout`` is "lines" (an object per line)
+    or "array" (one array per file); the caller knows it, and a folder holds
+    one kind.  With a schema both are split into many tasks; without one,
+    array files are inferred and read a task per file."""
     if layout not in ("lines", "array"):
         raise ValueError(f"unknown layout {layout!r}")
+    if layout == "array" and schema is not None:
+        return read_array(spark, path, schema)
     r = spark.read
     if schema is not None:
         r = r.schema(schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,20 @@ def write_lines(df: DataFrame, path: str, value: str = "value", order: str = "li
        .select(F.col(value).cast("string").alias("value")).write.mode(mode).text(path))
 
 
+def write_array(df: DataFrame, path: str, order: str, fields: Sequence[str], mode: str = "overwrite") -> None:
+    """Rows as JSON arrays in ``order``, one array per part file, an element per line."""
+    def lines(batches):
+        begun = False
+        for b in batches:
+            text = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([("," if begun or i else "[") + t for i, t in enumerate(text)])], ["value"])
+            begun = begun or bool(text)
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if begun else "[]"])], ["value"])
+
+    x = df.repartitionByRange(order).sortWithinPartitions(order)
+    x.select(F.to_json(F.struct(*fields)).alias("value")).mapInArrow(lines, "value string").write.mode(mode).text(path)
+
+
 def rollout_records(df: DataFrame, epoch: F.Column, rank: F.Column, sample: Sequence[str], stats: Sequence[str],
                     samples: dict[str, str]) -> DataFrame:
     """Full log record: epoch, rank, the sample's own fields, a struct of its
