@@ -130,3 +130,59 @@ def test_tree_match_corpus_sums_the_pairs(spark):
     groups = {(0, x["lang"]): [p for p in pairs if p["lang"] == x["lang"]] for x in pairs} | {(1, None): pairs}
     sums = {k: (len(v), sum(p["matched"] for p in v), sum(p["total"] for p in v)) for k, v in groups.items()}
     assert pairs and got == {k: (*v, round(v[1] / v[2], 6)) for k, v in sums.items()}
+
+
+def brute_subtrees(marks):
+    """(open, close) by looking back for the latest open of the kind that nothing has ended or swallowed."""
+    alive, out = [], []
+    for i, m in enumerate(marks):
+        if not m.startswith("/"):
+            alive.append((i, m))
+        elif any(k == m[1:] for _, k in alive):
+            at = max(j for j, (_, k) in enumerate(alive) if k == m[1:])
+            out.append((alive[at][0], i))
+            alive = alive[:at]
+    return sorted(p for p in out if p[1] > p[0] + 1)
+
+
+def test_inventory_against_brute_force():
+    import random
+    rng = random.Random(3)
+    by_digest, by_shape = {}, {}
+    for _ in range(1500):
+        marks = [rng.choice(["a", "b", "c", "/a", "/b", "/c"]) for _ in range(rng.randrange(1, 14))]
+        el, root = TR.inventory(marks)
+        spans = brute_subtrees(marks)
+        assert [(a, z) for a, z, _, _ in el] == spans
+        assert [d for _, _, d, _ in el] == [2 + sum(p < a and z < q for p, q in spans) for a, z in spans]
+        shapes = [(tuple(marks[a:z + 1]), h) for a, z, _, h in el] + [(("root", *marks), root)]
+        for shape, h in shapes:  # equal digests exactly for equal sequences
+            assert by_digest.setdefault(h, shape) == shape and by_shape.setdefault(shape, h) == h
+
+
+def test_inventory_work_is_linear():
+    import time
+
+    def seconds(marks):
+        best = 9.0
+        for _ in range(3):
+            t = time.thread_time()
+            TR.inventory(marks)
+            best = min(best, time.thread_time() - t)
+        return best
+
+    for row in (lambda n: ["ul", *["li", "b", "/b", "/li"] * n, "/ul"], lambda n: ["ul"] * n + ["/ul"] * n, lambda n: ["p"] + ["li"] * n + ["/p"] * n):
+        assert seconds(row(80_000)) < 4 * seconds(row(40_000)) + 0.05
+
+
+def test_digests_say_what_shapes_say(spark):
+    rows = [(1, "<ul><li><b>x</b></li><li><b>y</b></li></ul><p>"), (2, "<ul><li><b>x</b></li></ul>"), (3, ""), (4, None), (5, "no markers")]
+    df = spark.createDataFrame(rows, "k long, html string")
+    shapes = sorted((r.k, r.pos, r.depth, r.size, r.shape) for r in TR.tree_shapes(df, "k", "html").collect())
+    digests = sorted((r.k, r.pos, r.depth, r.size, r.h) for r in TR.tree_digests(df, ["k"], "html").collect())
+    assert [x[:4] for x in shapes] == [x[:4] for x in digests] and {x[0] for x in shapes} == {1, 2}
+    same = {}
+    for a, b in zip(shapes, digests):
+        if a[1] >= 0:
+            assert same.setdefault(a[4], b[4]) == b[4]
+    assert len(set(same.values())) == len(same) == 3

@@ -73,8 +73,8 @@ def pair_scores(sides: DataFrame, key: str, lang: str, is_ref: str, text: str, t
     side = x.select(key, lang, tokens("hyp").alias("hyp_tokens"), tokens("ref").alias("ref_tokens"))
     kw = NG.top_tokens(side, lang, "ref_tokens", top_k)
     st = NG.ngram_stats(side.withColumn("refs", F.array("ref_tokens")), [key], keywords=kw, kw_col=lang, repartition=False)
-    shapes = [TR.tree_shapes(x, key, c, tags, repartition=False).select(key, F.xxhash64("shape").alias("h")) for c in ("ref", "hyp")]
-    tree = TR.membership_ratio(*shapes, [key], ["h"]).select(key, F.col("ratio").alias("syntax"))
+    trees = [TR.tree_digests(x, [key], c, tags).select(key, "h") for c in ("ref", "hyp")]
+    tree = TR.membership_ratio(*trees, [key], ["h"]).select(key, F.col("ratio").alias("syntax"))
     st = (st.join(tree, key, "left").withColumn("ngram", NG.bleu_col()).withColumn("weighted", NG.weighted_col())
             .withColumn("dataflow", NG.membership_col(2)))
     out = score_clean(st, F.col("hl") == 0, F.col("rl") == 0, composite([F.col(p) for p in PARTS], weight_cols(F.col(lang))))

@@ -5,16 +5,19 @@ of every kind or of chosen ones).  Every element that contains at least one
 other marker is a subtree; the virtual root (all markers) is included.
 Its shape is the space-joined marker sequence from its open to its close.
 
-Plan: markers are extracted and matched in-row (``regexp_extract_all`` and one
-fold with a stack); only the subtrees are exploded, with their shape, and get
-their depth by a window over the row key, after ``repartition(key)``.
+Plan: markers are extracted by ``regexp_extract_all`` and matched in-row with one
+stack over Arrow batches (an expression would copy the stack with every marker);
+a subtree is known by a digest of the digests inside it, so that neither
+matching nor comparing cuts a shape out.  Only the subtrees are exploded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import blake2b
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiermill.functions.text import strip_comments as _strip_comments
@@ -28,54 +31,98 @@ def tag_pattern(tags: Sequence[str] | None) -> str:
     return r"<(/?[A-Za-z][A-Za-z0-9:-]*)[\s/>]" if tags is None else r"<(/?(?:" + "|".join(tags) + r"))[\s>]"
 
 
-def elements(m: F.Column) -> F.Column:
-    """array<struct<pos, close_pos>> of the marker array ``m``, in the order of the closes.  A close ends the latest open
-    element of its own kind; what was opened in between is unclosed and gives none, and a close without an open is passed
-    over, so neither changes the elements around it.  Kinds that the row never closes don't enter the stack; the work
-    grows with the markers times the elements of the row (copies of references)."""
-    closed = F.filter(m, lambda x: x.startswith("/"))
-    marks = F.filter(F.transform(m, lambda x, i: F.struct(i.alias("pos"), x.startswith("/").alias("end"), F.ltrim(x, F.lit("/")).alias("kind"))),
-                     lambda x: x["end"] | F.array_contains(F.array_distinct(closed), F.concat(F.lit("/"), x["kind"])))
+def inventory(marks: Sequence[str]) -> tuple[list[tuple[int, int, int, int]], int]:
+    """``(open, close, depth, digest)`` of every subtree of a row's markers, in the order of the opens, and the digest of all.
+
+    A close ends the latest open element of its own kind; what was opened in between is unclosed and gives none, and a close
+    without an open is passed over, so neither changes the elements around it.  Digests are built bottom-up in the order of
+    the closes: an element's is that of its kind, the digests of the elements right inside and the stray markers between.  So
+    equal digests stand for equal marker sequences, and each marker is looked at once, whatever the row's length."""
+    digest = lambda parts: blake2b(b"".join(parts), digest_size=8).digest()
+    name = {m: b"." + m.encode() + b" " for m in set(marks)}  # a stray marker; an element is "(" and 8 bytes
+    kinds, places, inside = [""], [-1], [[]]  # the open elements, the root first: kind, place, what is right inside
+    open_of: dict[str, list[int]] = {}
+    found = []
+    for i, m in enumerate(marks):
+        if m[0] != "/":
+            open_of.setdefault(m, []).append(len(kinds))
+            kinds.append(m)
+            places.append(i)
+            inside.append([])
+            continue
+        at = open_of.get(m[1:])
+        if not at:
+            inside[-1].append(name[m])
+            continue
+        at = at.pop()
+        parts = inside[at]
+        for k in range(at + 1, len(kinds)):  # unclosed ones: what is inside them moves up, once
+            open_of[kinds[k]].pop()
+            parts.append(name[kinds[k]])
+            parts.extend(inside[k])
+        own = digest([b"<", name[kinds[at]], *parts])
+        if i > places[at] + 1:
+            found.append((places[at], i, own))
+        del kinds[at:], places[at:], inside[at:]
+        inside[-1].append(b"(" + own)
+    rest = [x for k in range(len(kinds)) for x in ([name[kinds[k]]] if k else []) + inside[k]]
+    number = lambda d: int.from_bytes(d, "little", signed=True)
+    out, around = [], []
+    for a, z, d in sorted(found):
+        while around and around[-1] < a:
+            around.pop()
+        around.append(z)
+        out.append((a, z, len(around) + 1, number(d)))
+    return out, number(digest(rest))
+
+
+def _inventories(df: DataFrame, carry: Sequence[str], col: str, tags: Sequence[str] | None, strip_comments: bool,
+                 markers: bool) -> DataFrame:
+    """``carry, m`` (with ``markers``), ``el``: the subtrees of each row that has a marker, the root last as (-1, size - 1, 1)."""
+    src = _strip_comments(F.col(col)) if strip_comments else F.col(col)
+    found = F.regexp_extract_all(F.lower(src) if tags is None else src, F.lit(tag_pattern(tags)), 1)
+    rows = df.select(*carry, found.alias("m")).where(F.size("m") > 0)
+    kind = "array<struct<pos:int,close_pos:int,depth:int,h:bigint>>"
+    kept = [*carry, "m"] if markers else list(carry)
+    arrow = pa.list_(pa.struct([("pos", pa.int32()), ("close_pos", pa.int32()), ("depth", pa.int32()), ("h", pa.int64())]))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for m in b.column(b.num_columns - 1).to_pylist():
+                el, root = inventory(m)
+                out.append([*el, (-1, len(m) - 1, 1, root)])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(out, arrow)], [*kept, "el"])
 
-    def step(acc, x):
-        at = F.array_position(acc["kinds"], x["kind"]).cast("int")  # the stacks hold the latest first; 0: none is open
-        left = lambda c: F.slice(acc[c], at + 1, F.size(acc[c]))
-        state = lambda kinds, places, out: F.struct(kinds.alias("kinds"), places.alias("places"), out.alias("out"))
-        return (F.when(~x["end"], state(F.concat(F.array(x["kind"]), acc["kinds"]), F.concat(F.array(x["pos"]), acc["places"]), acc["out"]))
-                 .when(at > 0, state(left("kinds"), left("places"), F.concat(acc["out"], F.array(
-                     F.struct(F.get(acc["places"], at - 1).alias("pos"), x["pos"].alias("close_pos"))))))
-                 .otherwise(acc))
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + f", el {kind}")
 
-    start = F.struct(F.array().cast("array<string>").alias("kinds"), F.array().cast("array<int>").alias("places"),
-                     F.array().cast("array<struct<pos: int, close_pos: int>>").alias("out"))
-    return F.aggregate(marks, start, step, lambda acc: acc["out"])
+
+def tree_digests(df: DataFrame, carry: Sequence[str], col: str, tags: Sequence[str] | None = None,
+                 strip_comments: bool = False) -> DataFrame:
+    """``carry, pos, depth, size, h`` of every subtree: :func:`tree_shapes` with a 64-bit digest in place of the shape.  No
+    shuffle and no window; the work is linear in the markers."""
+    x = _inventories(df, carry, col, tags, strip_comments, markers=False).select(*carry, F.inline("el"))
+    size = F.when(F.col("pos") < 0, F.col("close_pos") + 1).otherwise(F.col("close_pos") - F.col("pos") + 1)
+    return x.select(*carry, F.col("pos").cast("bigint").alias("pos"), F.col("depth").cast("bigint").alias("depth"),
+                    size.cast("bigint").alias("size"), "h")
 
 
 def tree_shapes(df: DataFrame, key: str, col: str, tags: Sequence[str] | None = None,
-                repartition: bool = True, strip_comments: bool = False) -> DataFrame:
+                strip_comments: bool = False) -> DataFrame:
     """(key, pos, depth, size, shape): pos = index of the open marker (-1 for
     the root), depth 1 = root, size = markers in the subtree.  Markers are
-    matched by :func:`elements`: unclosed ones stay in the shapes around
+    matched by :func:`inventory`: unclosed ones stay in the shapes around
     them, and count neither as subtree nor as a level.  ``tags`` None reads every
     kind, in lower case.
     ``strip_comments`` first removes line and block comments with the same
-    rule whatever the language (line comments first)."""
-    x = df.repartition(key) if repartition else df
-    src = _strip_comments(F.col(col)) if strip_comments else F.col(col)
-    rows = x.select(key, F.regexp_extract_all(F.lower(src) if tags is None else src, F.lit(tag_pattern(tags)), 1).alias("m"))
-    el = (rows.select(key, "m", F.inline(elements(F.col("m")))).where("close_pos > pos + 1")
-              .select(key, "pos", "close_pos", F.array_join(F.slice("m", F.col("pos") + 1, F.col("close_pos") - F.col("pos") + 1), " ").alias("shape")))
-    size = (F.col("close_pos") - F.col("pos") + 1).alias("size")
-    none = lambda t: F.lit(None).cast(t)
-    ends = F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("up"), size, F.col("shape").alias("shape")),
-                   F.struct(F.col("close_pos").alias("at"), F.lit(-1).alias("up"), none("int").alias("size"), none("string").alias("shape")))
-    w = Window.partitionBy(key).orderBy("at")
-    shaped = (el.select(key, F.inline(ends)).withColumn("depth", F.sum("up").over(w) + 1).where("up = 1")
-                .select(key, F.col("at").cast("bigint").alias("pos"), "depth", F.col("size").cast("bigint").alias("size"), "shape"))
-    root = rows.filter(F.size("m") > 0).select(
-        key, F.lit(-1).cast("bigint").alias("pos"), F.lit(1).cast("bigint").alias("depth"),
-        F.size("m").cast("bigint").alias("size"), F.array_join("m", " ").alias("shape"))
-    return shaped.unionByName(root)
+    rule whatever the language (line comments first).  The shapes of a row
+    take as much room as its markers times their depth; where only equality
+    counts, :func:`tree_digests` is enough."""
+    x = _inventories(df, [key], col, tags, strip_comments, markers=True).select(key, "m", F.inline("el"))
+    first = F.greatest(F.col("pos"), F.lit(0))
+    size = F.col("close_pos") - first + 1
+    return x.select(key, F.col("pos").cast("bigint").alias("pos"), F.col("depth").cast("bigint").alias("depth"),
+                    size.cast("bigint").alias("size"), F.array_join(F.slice("m", first + 1, size), " ").alias("shape"))
 
 
 def membership_ratio(ref: DataFrame, cand: DataFrame, keys: Sequence[str], items: Sequence[str]) -> DataFrame:

@@ -417,7 +417,7 @@ def page_matches(spark, sf, tags):
     """``page_id, lang, cand_page_id, matched, total, ratio`` of every page and the next of its language."""
     p = page_langs(spark, sf)
     nb = neighbours_in_group(p.select("page_id", "lang"), ["lang"], "page_id")
-    sh = TR.tree_shapes(p, "page_id", "html", tags).select("page_id", F.md5("shape").alias("h"))
+    sh = TR.tree_digests(p, ["page_id"], "html", tags).select("page_id", "h")
     sh = sh.join(nb.select("page_id", "lang", "next_page_id", "prev_page_id"), "page_id")
     # a page's shapes are built once and take part as reference of its own pair and as candidate of the one before
     role = lambda pair, cand, r: F.struct(F.col(pair).alias("pair_id"), F.col(cand).alias("cand_page_id"),
