@@ -9,23 +9,26 @@ the spaces just emitted, if the output ends with them; a word is preceded
 by one space unless the output is empty or ends with a line break or with
 four spaces.
 
-Closed form used here (no per-row loop): with S the running sum of
-INDENT(+1)/DEDENT(-1), the level is L = S - min(0, running min S).  Markers
-between two words form a run; inside a run every NEW_LINE starts a segment.
-A run contributes
+Closed form used here: a run is the markers between two words, and the level
+before any token is S - min(0, lowest S so far), S the sum of INDENT(+1) /
+DEDENT(-1) up to it.  A run contributes
   * 4 * e0 spaces, e0 = floored sum of the markers before its first NEW_LINE
     (the spaces INDENT left after the previous word),
-  * per NEW_LINE segment: "\\n" + 4 * (level at the segment's end) spaces,
+  * per NEW_LINE: "\\n" + 4 * (level before the next NEW_LINE or word) spaces,
   * then the separator of the next word: " " when the run has no NEW_LINE
     and e0 = 0 (not for the first word), or when it has one and both the
     level at the last NEW_LINE and the level at the word are 0.
-Everything is keyed by the row key, so after ``repartition(key)`` the
-windows and aggregations need no further exchange (the word of a run and
-the run's markers meet in a union + aggregation, not a join).
+So a row can be cut behind any word: all that a part needs from the parts
+before is the level and whether there was a word.  A row becomes blocks that
+end with a word; what a block does to the level is a pair of numbers (sum, lowest
+running sum), a window over one row per block composes the pairs, and blocks
+are written out side by side.  A huge row is spread over many tasks until its text
+is put together.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,50 +39,66 @@ NEW_LINE, INDENT, DEDENT = "NEW_LINE", "INDENT", "DEDENT"
 UNIT = "    "
 
 
-def layout_lines(df: DataFrame, key: str, col: str, out: str = "code", repartition: bool = True) -> DataFrame:
-    x = df.repartition(key) if repartition else df
-    rows = x.select(key, tokens(py_strip(F.replace(F.col(col), F.lit("'"), F.lit("")))).alias("t"))
-    ex = rows.select(key, F.posexplode("t").alias("k", "tok"))
-    tok = F.col("tok")
-    ex = (ex.withColumn("d", F.when(tok == INDENT, 1).when(tok == DEDENT, -1).otherwise(0))
-            .withColumn("w", F.when(tok.isin(NEW_LINE, INDENT, DEDENT), 0).otherwise(1))
-            .withColumn("nl", F.when(tok == NEW_LINE, 1).otherwise(0)))
-    w = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ex = (ex.withColumn("S", F.sum("d").over(w))
-            .withColumn("run", F.sum("w").over(w) - F.col("w"))
-            .withColumn("N", F.sum("nl").over(w)))
-    ex = ex.withColumn("L", F.col("S") - F.least(F.lit(0), F.min("S").over(w)))
-
-    seg = ex.filter(F.col("w") == 0).groupBy(key, "run", "N").agg(
-        F.min_by(F.struct("nl", (F.col("S") - F.col("d")).alias("sb"), "L"), "k").alias("f"),
-        F.max_by(F.struct("S", "L"), "k").alias("l"),
-        F.min("S").alias("minS"))
-    is_nl = F.col("f.nl") == 1
-    e0 = (F.col("l.S") - F.col("f.sb")) - F.least(F.lit(0), F.col("minS") - F.col("f.sb"))
-    piece = F.concat(F.lit("\n"), F.repeat(F.lit(UNIT), F.col("l.L")))
-    runs = (seg.groupBy(key, "run").agg(
-                F.max(F.when(~is_nl, e0)).alias("e0"),
-                F.sort_array(F.collect_list(F.when(is_nl, F.struct("N", piece.alias("p"), F.col("f.L").alias("lnl"))))).alias("nls"))
-            .select(key, "run", "e0", F.size("nls").alias("n_nl"), F.try_element_at("nls", F.lit(-1))["lnl"].alias("lnl"),
-                    F.array_join(F.transform("nls", lambda s: s["p"]), "").alias("nls_text")))
-
-    words = ex.filter(F.col("w") == 1).select(key, "run", "tok", F.col("L").alias("Lw"))
-    # one row per (key, run): the word and the markers before it.  A union and
-    # an aggregation keep the partitioning on ``key`` (a join on (key, run)
-    # would re-shuffle both sides on both columns)
-    none_s, none_l = F.lit(None).cast("string"), F.lit(None).cast("long")
-    u = (words.select(key, "run", "tok", F.col("Lw").cast("long").alias("Lw"), none_l.alias("e0"), none_l.alias("n_nl"),
-                      none_l.alias("lnl"), none_s.alias("nls_text"))
-         .unionByName(runs.select(key, "run", none_s.alias("tok"), none_l.alias("Lw"), F.col("e0").cast("long").alias("e0"),
-                                  F.col("n_nl").cast("long").alias("n_nl"), F.col("lnl").cast("long").alias("lnl"), "nls_text")))
-    j = u.groupBy(key, "run").agg(*[F.max(c).alias(c) for c in ("tok", "Lw", "e0", "n_nl", "lnl", "nls_text")])
-    e0c = F.coalesce(F.col("e0"), F.lit(0))
-    n_nl = F.coalesce(F.col("n_nl"), F.lit(0))
-    sep = (F.when(F.col("tok").isNull(), F.lit(""))
-            .when(n_nl > 0, F.when((F.col("Lw") == 0) & (F.col("lnl") == 0), F.lit(" ")).otherwise(F.lit("")))
-            .when((F.col("run") >= 1) & (e0c == 0), F.lit(" ")).otherwise(F.lit("")))
-    nls_text = F.coalesce(F.col("nls_text"), F.lit(""))
-    pieces = j.select(key, "run", F.concat(F.repeat(F.lit(UNIT), e0c.cast("int")), nls_text, sep, F.coalesce("tok", F.lit(""))).alias("p"))
-    text = pieces.groupBy(key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "p"))), lambda s: s["p"]), "").alias(out))
-    return rows.select(key).join(text, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+BLOCK = 16_384  # tokens
+
+
+def write_out(toks: list[str], level: int, first: bool) -> str:
+    """The text of a block that begins at ``level``; ``first``: no word came before it."""
+    out, e0, lines, at_last = [], 0, [], 0
+    for t in toks:
+        if t == NEW_LINE:
+            lines.append(level)
+            at_last = level
+        elif t == INDENT or t == DEDENT:
+            level = level + 1 if t == INDENT else max(0, level - 1)
+            if lines:
+                lines[-1] = level
+            else:
+                e0 = e0 + 1 if t == INDENT else max(0, e0 - 1)
+        else:
+            blank = level == at_last == 0 if lines else not first and e0 == 0
+            out += [UNIT * e0, *("\n" + UNIT * n for n in lines), " " if blank else "", t]
+            first, e0, lines = False, 0, []
+    return "".join([*out, UNIT * e0, *("\n" + UNIT * n for n in lines)])
+
+
+def _blocks(t: F.Column, size: int) -> F.Column:
+    """Token array -> array of blocks that end with a word: cut behind the first word of each ``size`` tokens."""
+    n = F.size(t)
+    word = lambda x: ~x.isin(NEW_LINE, INDENT, DEDENT)
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / F.lit(size)).cast("int"))
+    place = lambda b: F.array_position(F.transform(F.slice(t, b * size + 1, F.lit(size)), word), True).cast("int")
+    cuts = F.filter(F.transform(starts, lambda b: F.when((b > 0) & (place(b) > 0), b * size + place(b))), lambda c: c.isNotNull() & (c < n))
+    ends = F.concat(cuts, F.array(n))
+    begins = F.concat(F.array(F.lit(0)), cuts)
+    return F.transform(F.arrays_zip(begins.alias("a"), ends.alias("z")),
+                       lambda p, i: F.struct(i.alias("blk"), F.slice(t, p["a"] + 1, p["z"] - p["a"]).alias("part")))
+
+
+def layout_lines(df: DataFrame, key: str, col: str, out: str = "code", size: int = BLOCK) -> DataFrame:
+    """``key, out``: the text of every row; rows have different keys."""
+    toks = tokens(py_strip(F.replace(F.col(col), F.lit("'"), F.lit(""))))
+    rows = df.select(key, F.coalesce(toks, F.array().cast("array<string>")).alias("t"))
+    x = rows.select(key, F.explode(_blocks(F.col("t"), size)).alias("b")).select(key, "b.blk", "b.part")
+    step = lambda s, t: F.struct((s["s"] + F.when(t == INDENT, 1).when(t == DEDENT, -1).otherwise(0)).alias("s"),
+                                 F.least(s["low"], s["s"] + F.when(t == DEDENT, -1).otherwise(0)).alias("low"),
+                                 (s["w"] | ~t.isin(NEW_LINE, INDENT, DEDENT)).alias("w"))
+    start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("low"), F.lit(False).alias("w"))
+    x = x.repartition(key, "blk")
+    moves = x.where("blk > 0 OR size(part) > 0").select(key, "blk", F.aggregate("part", start, step).alias("m"))
+    before = Window.partitionBy(key).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    moves = moves.select(key, "blk", "m.low", "m.w", F.coalesce(F.sum("m.s").over(before), F.lit(0)).alias("s"))
+    low = F.least(F.lit(0), F.min(F.col("s") + F.col("low")).over(before))
+    moves = moves.select(F.col(key).alias("_key"), F.col("blk").alias("_blk"), (F.col("s") - low).cast("int").alias("level"),
+                         (~F.coalesce(F.max("w").over(before), F.lit(False))).alias("first"))
+    x = x.join(moves.where("_blk > 0"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("blk") == F.col("_blk")), "left").select(
+        key, "blk", "part", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("first", F.lit(True)).alias("first"))
+
+    def run(batches):
+        for b in batches:
+            text = [write_out(*r) for r in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], [key, "blk", "text"])
+
+    parts = x.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, blk int, text string")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "text"))), lambda p: p["text"]), "")
+    return parts.groupBy(key).agg(joined.alias(out))

@@ -575,8 +575,8 @@ def diff_pairs(spark, sf):
 
 def line_diff(spark, sf):
     p = diff_pairs(spark, sf).repartition("doc_id")
-    a = DF.line_offsets(p, "doc_id", "chosen", repartition=False)
-    b = DF.line_offsets(p, "doc_id", "rejected", repartition=False)
+    a = DF.line_offsets(p, "doc_id", "chosen")
+    b = DF.line_offsets(p, "doc_id", "rejected")
     return DF.line_multiset_diff(a, b, "doc_id")
 
 
