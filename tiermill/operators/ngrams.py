@@ -146,6 +146,57 @@ def ngram_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp_tokens", ref
                       *[f"mm{k}" for k in range(1, max_n + 1)], *[f"mt{k}" for k in range(1, max_n + 1)])
 
 
+def reference_stats(hyps: DataFrame, refs: DataFrame, key: str, ref_id: str, toks: str = "tokens", keywords: DataFrame | None = None,
+                    kw_col: str | None = None, max_n: int = MAX_N) -> DataFrame:
+    """:func:`ngram_stats` for any number of references: ``hyps`` has a row per key (key, kw_col, tokens), ``refs`` a row per
+    reference (key, ref_id, tokens; a null text is no reference).  A reference is a row throughout: counts by (key, n, gram,
+    side), the hypothesis' count and the largest of a reference beside each by a window over (key, n, gram), then sums by key.  So
+    the references of one key are spread over tasks, however many there are."""
+    carry = [key] + ([kw_col] if kw_col else [])
+    hyps, refs = hyps.select(*carry, F.coalesce(toks, F.array()).alias("toks")), refs.where(F.col(toks).isNotNull())
+    group = hyps.select(*carry)
+    texts = hyps.select(key, F.lit(None).cast(refs.schema[ref_id].dataType).alias("_ref"), F.lit(True).alias("_hyp"), "toks").unionByName(
+        refs.select(key, F.col(ref_id).alias("_ref"), F.lit(False).alias("_hyp"), F.col(toks).alias("toks")))
+    counts = gram_rows(texts, [key, "_ref", "_hyp"], "toks", max_n).groupBy(key, "_ref", "_hyp", "n", "g").agg(F.count("*").alias("c"))
+    same = Window.partitionBy(key, "n", "g")
+    counts = counts.withColumn("ch", F.coalesce(F.max(F.when(F.col("_hyp"), F.col("c"))).over(same), F.lit(0)))
+    counts = counts.withColumn("cr", F.coalesce(F.max(F.when(~F.col("_hyp"), F.col("c"))).over(same), F.lit(0)))
+    counts = counts.join(group, key)
+    if keywords is not None and kw_col:
+        kw = bounded_broadcast(keywords.select(F.col("kw_group").alias("_kwg"), gram_id(1, F.xxhash64("token")).alias("_kwt"))
+                               .distinct().withColumn("_kw", F.lit(1)))
+        counts = counts.join(kw, (F.col(kw_col) == F.col("_kwg")) & (F.col("g") == F.col("_kwt")) & (F.col("n") == 1), "left")
+    else:
+        counts = counts.withColumn("_kw", F.lit(None).cast("int"))
+    is_kw = F.coalesce(F.col("_kw"), F.lit(0))
+    w = F.when(F.col("n") == 1, F.when(is_kw == 1, F.lit(KEYWORD_WEIGHT)).otherwise(F.lit(OTHER_WEIGHT))).otherwise(F.lit(1.0))
+    hyp, ref = F.col("_hyp"), ~F.col("_hyp")
+    aggs = []
+    for k in range(1, max_n + 1):
+        at = F.col("n") == k
+        total = lambda cond, v: F.coalesce(F.sum(F.when(at & cond, v)), F.lit(0))  # noqa: B023, E731
+        aggs += [total(hyp, F.least("c", "cr")).cast("bigint").alias(f"m{k}"),
+                 F.greatest(F.lit(1), total(hyp, F.col("c"))).cast("bigint").alias(f"d{k}"),
+                 total(ref, F.least("c", "ch") * w).cast("double").alias(f"wn{k}"),
+                 total(ref & (F.col("ch") > 0), F.col("c")).cast("bigint").alias(f"mm{k}"), total(ref, F.col("c")).cast("bigint").alias(f"mt{k}")]
+    sums = counts.groupBy(key).agg(*aggs)
+    # what each reference adds to the denominators, and the closest length
+    ref_kw = counts.where(ref & (F.col("n") == 1)).groupBy(key, "_ref").agg(F.sum(F.col("c") * is_kw).alias("_k"))
+    lens = refs.select(key, F.col(ref_id).alias("_ref"), F.size(toks).alias("_len")).join(ref_kw, [key, "_ref"], "left").join(
+        hyps.select(key, F.size("toks").alias("_hl")), key)
+    one = F.greatest(F.lit(1.0), F.col("_len") * OTHER_WEIGHT + F.coalesce(F.col("_k"), F.lit(0)) * (KEYWORD_WEIGHT - OTHER_WEIGHT))
+    per = lens.groupBy(key).agg(
+        F.min(F.struct(F.abs(F.col("_len") - F.col("_hl")).alias("d"), F.col("_len").alias("l"))).alias("_close"), F.sum(one).alias("wd1"),
+        *[F.sum(F.greatest(F.lit(1.0), (F.col("_len") - k + 1).cast("double"))).alias(f"wd{k}") for k in range(2, max_n + 1)])
+    out = hyps.select(*carry, F.size("toks").cast("bigint").alias("hl")).join(sums, key, "left").join(per, key, "left")
+    span = range(1, max_n + 1)
+    zero = lambda c, t: F.coalesce(F.col(c), F.lit(0)).cast(t).alias(c)
+    return out.select(*carry, "hl", F.coalesce(F.col("_close.l"), F.lit(0)).cast("bigint").alias("rl"),
+                      *[zero(f"m{k}", "bigint") for k in span], *[F.coalesce(F.col(f"d{k}"), F.lit(1)).cast("bigint").alias(f"d{k}") for k in span],
+                      *[zero(f"wn{k}", "double") for k in span], *[zero(f"wd{k}", "double") for k in span],
+                      *[zero(f"mm{k}", "bigint") for k in span], *[zero(f"mt{k}", "bigint") for k in span])
+
+
 def membership_col(n: int = 2, prefix: str = "") -> Column:
     """Share of reference n-grams (with multiplicity) that occur in the
     hypothesis; for n = 2 this is the edge ratio over adjacent token pairs.

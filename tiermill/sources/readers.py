@@ -119,8 +119,11 @@ def read_hypotheses(spark: SparkSession, path: str, hyp_field: str = "prediction
 
 
 def read_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    """All keyword files ``<folder>/<group>.txt`` (one keyword per line) in one
-    read -> (kw_group, token), without repeats."""
-    group = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt", 1)
-    return (spark.read.text(folder, pathGlobFilter="*.txt").select(group.alias("kw_group"), py_strip("value").alias("token"))
+    """All keyword files (one keyword per line) in one read -> (kw_group,
+    token), without repeats.  A group's file is ``<folder>/<group>.txt``, or any in ``<folder>/kw_group=<group>``."""
+    at = F.col("_metadata.file_path")
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    in_folder = plain(plain(F.regexp_extract(at, r"/kw_group=([^/]*)/[^/]*$", 1)))  # once for the path, once for the folder's name
+    group = F.when(at.contains("/kw_group="), in_folder).otherwise(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt", 1))
+    return (spark.read.option("recursiveFileLookup", "true").text(folder, pathGlobFilter="*.txt").select(group.alias("kw_group"), py_strip("value").alias("token"))
             .filter(F.col("token") != "").distinct())

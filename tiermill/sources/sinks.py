@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiermill.operators.tiers import FAILED, PERFECT, SYNC, tier_samples
+
 # The record fields that readers look for.
 DATA_FIELDS = ("id", "loss", "p_score", "codebleu", "gt_code", "rollout", "instruction", "input")
 
@@ -28,6 +30,31 @@ def report_line(id_col: str, score_col: str, loss_col: str) -> F.Column:
     return F.format_string("ID: %s\tCodeBLEU: %.5f\tLoss: %.5f", F.col(id_col), F.col(score_col), F.col(loss_col))
 
 
+# The head of a whole report, the rule under it and the titles of its texts.
+REPORT_HEAD = "ID: %s\nCodeBLEU: %.5f\nLoss: %.5f\n"
+RULE = "-" * 30
+REF_TITLE, ROLLOUT_TITLE = "GT:", "Rollout:"
+
+
+def report_body(id_col: str, score_col: str, loss_col: str, ref_col: str, rollout_col: str) -> F.Column:
+    """The whole report of a sample: score and loss with five decimals, a rule, then the reference and the rollout in full."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    head = F.format_string(REPORT_HEAD, F.col(id_col), F.col(score_col), F.col(loss_col))
+    return F.concat(head, F.lit(f"{RULE}\n{REF_TITLE}\n"), text(ref_col), F.lit(f"\n\n{ROLLOUT_TITLE}\n"), text(rollout_col))
+
+
+def write_report_bodies(df: DataFrame, path: str, report: F.Column, by: str = "category", mode: str = "overwrite") -> None:
+    """Whole reports in one folder per category, many in a file, each closed by a record separator (ASCII 30) and a line break: a
+    file per sample would be as many files as samples.  :func:`read_report_bodies` reads them back."""
+    df.select(F.col(by), F.concat(report, F.lit("\x1e")).alias("value")).write.mode(mode).partitionBy(by).text(path)
+
+
+def read_report_bodies(spark: SparkSession, path: str, by: str = "category") -> DataFrame:
+    """``by, report``."""
+    x = spark.read.option("lineSep", "\x1e\n").schema(f"value string, `{by}` string").text(path)
+    return x.where(F.length("value") > 0).select(by, F.col("value").alias("report"))
+
+
 def write_reports(df: DataFrame, path: str, report: F.Column, by: str = "category", mode: str = "overwrite") -> None:
     """Text reports in one folder per category (not one file per row)."""
     df.select(F.col(by), report.alias("value")).write.mode(mode).partitionBy(by).text(path)
@@ -40,6 +67,12 @@ def write_lines(df: DataFrame, path: str, value: str = "value", order: str = "li
        .select(F.col(value).cast("string").alias("value")).write.mode(mode).text(path))
 
 
+def write_keywords(keywords: DataFrame, folder: str, mode: str = "overwrite") -> None:
+    """``kw_group, token`` as keyword files, a keyword per line in a sub-folder per group; :func:`readers.read_keywords` reads
+    them, as it reads plain files ``<group>.txt``."""
+    keywords.select("kw_group", F.col("token").alias("value")).write.mode(mode).partitionBy("kw_group").text(folder)
+
+
 def write_array(df: DataFrame, path: str, order: str, fields: Sequence[str], mode: str = "overwrite") -> None:
     """Rows as JSON arrays in ``order``, one array per part file, an element per line."""
     def lines(batches):
@@ -71,6 +104,20 @@ def every(df: DataFrame, step: str, n: int) -> DataFrame:
     return df.filter(F.pmod(F.col(step), F.lit(n)) == 0)
 
 
+def reward_records(rewarded: DataFrame, keys: Sequence[str], order: str, text: str, step: F.Column, epoch: F.Column, rank: F.Column,
+                   instruction: F.Column, lang: F.Column, caps: dict[str, int] | None = None) -> DataFrame:
+    """The reward form of the log, a record per sample: step, epoch, rank, instruction and target language, the rewards in the
+    candidates' order, the tiers' counts and the first ``caps[tier]`` texts of each (one perfect, two of the others)."""
+    caps = caps or {PERFECT: 1, SYNC: 2, FAILED: 2}
+    rewards = F.transform(F.array_sort(F.collect_list(F.struct(order, "reward"))), lambda x: x["reward"])
+    per = rewarded.groupBy(*keys).agg(rewards.alias("rewards"), *[F.count_if(F.col("tier") == t).alias(t) for t in caps])
+    samples = tier_samples(rewarded, keys, order, text, caps)
+    x = per.join(samples, list(keys))
+    return x.select(*keys, step.alias("global_step"), epoch.alias("epoch"), rank.alias("rank"), instruction.alias("instruction"),
+                    lang.alias("target_lang"), "rewards", F.struct(*caps).alias("stats"),
+                    F.struct(*[F.col(f"{t}_samples").alias(t) for t in caps]).alias("samples"))
+
+
 def append_metrics(df: DataFrame, path: str, step: str, n: int) -> None:
     """Keep every n-th step and append it to a metrics table."""
     every(df, step, n).write.mode("append").parquet(path)
