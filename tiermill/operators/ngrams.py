@@ -11,7 +11,8 @@ Definitions (ours, from the BLEU and CodeBLEU papers; see SURVEY 2.12):
            max(1, weighted reference count) per reference; same smoothing
            and brevity penalty.
 
-Plan: input rows hold (keys, hyp tokens, refs = array of token arrays).
+Plan: input rows hold (keys, hyp tokens, refs = array of one token array), or
+hypotheses and references are two tables (:func:`reference_stats`).
 Grams are exploded from zipped shifted slices (no lambdas, whole-stage
 codegen) and identified by a 64-bit hash of their tokens' hashes; the
 counts are aggregations that all cluster on ``keys``, so after
@@ -57,93 +58,65 @@ def gram_rows(df: DataFrame, carry: Sequence[str], toks: str = "toks", max_n: in
     return g.select(*carry, "x.n", "x.g")
 
 
-def _ref_window(n: int):
-    """max(1, number of n-grams of one reference): the n >= 2 denominator."""
-    return lambda acc, r: acc + F.greatest(F.lit(1.0), (F.size(r) - n + 1).cast("double"))
-
-
 def ngram_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp_tokens", refs: str = "refs",
                 keywords: DataFrame | None = None, kw_col: str | None = None,
-                max_n: int = MAX_N, max_refs: int = 1, repartition: bool = True) -> DataFrame:
+                max_n: int = MAX_N, repartition: bool = True) -> DataFrame:
     """Per-row statistics: m1..mN (clipped matches), d1..dN (max(1, hyp count)),
     wn1..wnN / wd1..wdN (weighted recall parts), hl (hyp length), rl (closest
     reference length).  ``keywords`` has columns (kw_group, token) matched on
-    ``kw_col`` of the input (for example lang).  Rows may carry up to
-    ``max_refs`` references (more raise an error instead of a wrong score).
+    ``kw_col`` of the input (for example lang).  A row carries one reference or
+    none in the array ``refs``; with more a row raises: :func:`reference_stats`
+    takes any number, as rows.
 
     The gram rows are produced and aggregated once, into one count per side
-    (plain primitive buffers, map-side partial aggregation); every later
-    aggregation clusters on ``keys``, so there is one exchange (the text
+    (plain primitive buffers, map-side partial aggregation) under a key of
+    nothing but the row's and the gram's; what is known per row (lengths,
+    denominators) joins in as one more row of the last aggregation.  All
+    aggregations cluster on ``keys``, so there is one exchange (the text
     rows) in total.  Weighted denominators: for n >= 2 a reference has
     max(0, len - n + 1) n-grams of weight 1 (in-row); for n = 1 its weight
     is 0.2 * len + 0.8 * (keyword tokens), summed from the unigram rows."""
     keys = list(keys)
     carry = keys + ([kw_col] if kw_col and kw_col not in keys else [])
     x = df.repartition(*keys) if repartition else df
-    x = x.withColumn(refs, F.coalesce(F.col(refs), F.array()))  # no references: nothing to match
-    x = x.withColumn("_nref", F.when(F.size(refs) <= max_refs, F.size(refs)).otherwise(
-        F.raise_error(F.lit(f"more than max_refs={max_refs} references in a row")).cast("int")))
-    hl = F.size(hyp)
-    closest = F.array_min(F.transform(refs, lambda r: F.struct(F.abs(F.size(r) - hl).alias("d"), F.size(r).alias("l"))))
-    meta_cols = [hl.alias("_hl"), F.coalesce(closest["l"], F.lit(0)).alias("_rl"), F.col("_nref"),
-                 *[F.aggregate(refs, F.lit(0.0), _ref_window(k)).alias(f"_wd{k}") for k in range(2, max_n + 1)]]
-    meta = ["_hl", "_rl", "_nref", *[f"_wd{k}" for k in range(2, max_n + 1)]]
-    # side 0 = hypothesis, j = reference j, -1 = one empty token so that every
-    # row survives the aggregations
-    sides = F.concat(F.array(F.struct(F.lit(-1).alias("side"), F.array(F.lit("")).alias("toks")),
-                             F.struct(F.lit(0).alias("side"), F.col(hyp).alias("toks"))),
-                     F.transform(refs, lambda r, j: F.struct((j + 1).alias("side"), r.alias("toks"))))
-    per_side = x.select(*carry, *meta_cols, F.explode(sides).alias("s")).select(*carry, *meta, "s.side", "s.toks")
-    side = F.col("side")
-    c = gram_rows(per_side, [*carry, *meta, "side"], "toks", max_n).groupBy(*carry, *meta, "n", "g").agg(
-        F.count_if(side == 0).alias("ch"), *[F.count_if(side == j).alias(f"_c{j}") for j in range(1, max_refs + 1)])
-    kw = None
+    one = F.when(F.size(refs) > 1, F.raise_error(F.lit("several references in a row: use reference_stats")).cast("array<string>")).otherwise(
+        F.get(refs, F.lit(0)))
+    x = x.select(*carry, F.coalesce(hyp, F.array()).alias("_hyp"), one.alias("_ref"))
+    sides = F.array(F.struct(F.lit(1).alias("hyp"), F.col("_hyp").alias("toks")), F.struct(F.lit(0).alias("hyp"), F.col("_ref").alias("toks")))
+    per_side = x.select(*carry, F.explode(sides).alias("s")).select(*carry, "s.hyp", "s.toks")
+    c = gram_rows(per_side, [*carry, "hyp"], "toks", max_n).groupBy(*carry, "n", "g").agg(
+        F.sum("hyp").alias("ch"), F.count("*").alias("_all"))
     if keywords is not None and kw_col:
         kw = bounded_broadcast(keywords.select(F.col("kw_group").alias("_kwg"), gram_id(1, F.xxhash64("token")).alias("_kwt"))
-                               .distinct().withColumn("_kw", F.lit(True)))
+                               .distinct().withColumn("_kw", F.lit(1)))
         c = c.join(kw, (F.col(kw_col) == F.col("_kwg")) & (F.col("g") == F.col("_kwt")) & (F.col("n") == 1), "left")
-        w = F.when(F.col("n") == 1, F.when(F.col("_kw"), F.lit(KEYWORD_WEIGHT)).otherwise(F.lit(OTHER_WEIGHT))).otherwise(F.lit(1.0))
+        is_kw = F.coalesce(F.col("_kw"), F.lit(0))
     else:
-        w = F.when(F.col("n") == 1, F.lit(OTHER_WEIGHT)).otherwise(F.lit(1.0))
-    ch = F.col("ch")
-    ref_counts = [F.col(f"_c{j}") for j in range(1, max_refs + 1)]
-    crmax = F.greatest(*ref_counts) if max_refs > 1 else ref_counts[0]
-    clipped_refs = sum((F.least(r, ch) for r in ref_counts[1:]), F.least(ref_counts[0], ch))
-    refs_j = range(1, max_refs + 1)
-    kwflag = F.when(F.col("_kw"), F.lit(1)).otherwise(F.lit(0)) if kw is not None else F.lit(0)
-    part = c.groupBy(*carry, *meta, "n").agg(
-        F.sum(F.least(ch, crmax)).alias("m"), F.sum(ch).alias("t"), F.sum(clipped_refs * w).alias("wn"),
-        *[F.sum(F.col(f"_c{j}")).alias(f"_len{j}") for j in refs_j],
+        is_kw = F.lit(0)
+    w = F.when(F.col("n") == 1, F.when(is_kw == 1, F.lit(KEYWORD_WEIGHT)).otherwise(F.lit(OTHER_WEIGHT))).otherwise(F.lit(1.0))
+    ch, cr = F.col("ch"), F.col("_all") - F.col("ch")
+    part = c.groupBy(*carry, "n").agg(
+        F.sum(F.least(ch, cr)).alias("_m"), F.sum(ch).alias("_t"), F.sum(F.least(ch, cr) * w).alias("_wn"),
         # membership: reference n-grams (with multiplicity) present in the hypothesis
-        F.sum(F.when(ch > 0, sum(ref_counts[1:], ref_counts[0])).otherwise(F.lit(0))).alias("mm"),
-        F.sum(sum(ref_counts[1:], ref_counts[0])).alias("mt"),
-        *[F.sum(F.col(f"_c{j}") * kwflag).alias(f"_k{j}") for j in refs_j])
-    aggs = []
-    for k in range(1, max_n + 1):
-        at = F.col("n") == k
-        aggs += [
-            F.coalesce(F.sum(F.when(at, F.col("m"))), F.lit(0)).cast("bigint").alias(f"m{k}"),
-            F.greatest(F.lit(1), F.coalesce(F.sum(F.when(at, F.col("t"))), F.lit(0))).cast("bigint").alias(f"d{k}"),
-            F.coalesce(F.sum(F.when(at, F.col("wn"))), F.lit(0.0)).alias(f"wn{k}"),
-            F.coalesce(F.sum(F.when(at, F.col("mm"))), F.lit(0)).cast("bigint").alias(f"mm{k}"),
-            F.coalesce(F.sum(F.when(at, F.col("mt"))), F.lit(0)).cast("bigint").alias(f"mt{k}"),
-        ]
-    one = F.col("n") == 1
-    aggs += [F.coalesce(F.sum(F.when(one, F.col(f"_len{j}"))), F.lit(0)).alias(f"_len{j}") for j in refs_j]
-    aggs += [F.coalesce(F.sum(F.when(one, F.col(f"_k{j}"))), F.lit(0)).alias(f"_k{j}") for j in refs_j]
-    out = part.groupBy(*carry, *meta).agg(*aggs)
-    # unigram denominators: sum over the present references of
-    # max(1, 0.2 * tokens + 0.8 * keyword tokens)
-    d1 = [F.when(F.col("_nref") >= j, F.greatest(F.lit(1.0), F.col(f"_len{j}") * OTHER_WEIGHT
-                                                  + F.col(f"_k{j}") * (KEYWORD_WEIGHT - OTHER_WEIGHT))).otherwise(F.lit(0.0))
-          for j in refs_j]
-    out = out.withColumn("wd1", sum(d1[1:], d1[0]))
-    for k in range(2, max_n + 1):
-        out = out.withColumnRenamed(f"_wd{k}", f"wd{k}")
-    return out.select(*carry, F.col("_hl").cast("bigint").alias("hl"), F.col("_rl").cast("bigint").alias("rl"),
-                      *[f"m{k}" for k in range(1, max_n + 1)], *[f"d{k}" for k in range(1, max_n + 1)],
-                      *[f"wn{k}" for k in range(1, max_n + 1)], *[f"wd{k}" for k in range(1, max_n + 1)],
-                      *[f"mm{k}" for k in range(1, max_n + 1)], *[f"mt{k}" for k in range(1, max_n + 1)])
+        F.sum(F.when(ch > 0, cr).otherwise(F.lit(0))).alias("_mm"), F.sum(cr).alias("_mt"), F.sum(cr * is_kw).alias("_k"))
+    # what a row knows of itself stands under n = 0
+    size = F.size("_ref")
+    has = F.col("_ref").isNotNull()
+    known = x.select(*carry, F.lit(0).alias("n"), F.size("_hyp").cast("bigint").alias("_m"), F.when(has, size).otherwise(0).cast("bigint").alias("_t"),
+                     F.lit(0.0).alias("_wn"), has.cast("bigint").alias("_mm"), F.lit(0).cast("bigint").alias("_mt"), F.lit(0).cast("bigint").alias("_k"))
+    at = lambda k, v: F.coalesce(F.sum(F.when(F.col("n") == k, F.col(f"_{v}"))), F.lit(0))
+    span = range(1, max_n + 1)
+    aggs = [at(0, "m").alias("hl"), at(0, "t").alias("rl"), at(0, "mm").alias("_nref"), at(1, "mt").alias("_len"), at(1, "k").alias("_kws")]
+    for k in span:
+        aggs += [at(k, "m").cast("bigint").alias(f"m{k}"), F.greatest(F.lit(1), at(k, "t")).cast("bigint").alias(f"d{k}"),
+                 at(k, "wn").cast("double").alias(f"wn{k}"), at(k, "mm").cast("bigint").alias(f"mm{k}"), at(k, "mt").cast("bigint").alias(f"mt{k}")]
+    out = part.unionByName(known).groupBy(*carry).agg(*aggs)
+    first = F.greatest(F.lit(1.0), F.col("_len") * OTHER_WEIGHT + F.col("_kws") * (KEYWORD_WEIGHT - OTHER_WEIGHT))
+    wd = [first if k == 1 else F.greatest(F.lit(1.0), (F.col("rl") - k + 1).cast("double")) for k in span]
+    return out.select(*carry, F.col("hl").cast("bigint").alias("hl"), F.col("rl").cast("bigint").alias("rl"),
+                      *[f"m{k}" for k in span], *[f"d{k}" for k in span], *[f"wn{k}" for k in span],
+                      *[F.when(F.col("_nref") > 0, d).otherwise(F.lit(0.0)).alias(f"wd{k}") for k, d in zip(span, wd)],
+                      *[f"mm{k}" for k in span], *[f"mt{k}" for k in span])
 
 
 def reference_stats(hyps: DataFrame, refs: DataFrame, key: str, ref_id: str, toks: str = "tokens", keywords: DataFrame | None = None,

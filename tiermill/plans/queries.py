@@ -805,9 +805,8 @@ def q_multi_ref_scores(spark, sf):
     refs = (d.select("doc_id", F.lit(1).alias("ref_id"), F.col("t").alias("tokens"))
              .unionByName(d.select("doc_id", F.lit(2).alias("ref_id"),
                                    F.filter("t", lambda x, i: (i + 1) % 5 != 0).alias("tokens"))))
-    grouped = RD.group_references(refs, "doc_id", "ref_id", "tokens")
-    rows = d.select("doc_id", "lang", F.filter("t", lambda x, i: (i + 1) % 7 != 0).alias("hyp_tokens")).join(grouped, "doc_id")
-    st = NG.ngram_stats(rows, ["doc_id"], keywords=doc_keywords(spark, sf), kw_col="lang", max_refs=2)
+    hyps = d.select("doc_id", "lang", F.filter("t", lambda x, i: (i + 1) % 7 != 0).alias("tokens"))
+    st = NG.reference_stats(hyps, refs, "doc_id", "ref_id", keywords=doc_keywords(spark, sf), kw_col="lang")
     return st.select("doc_id", r6(NG.bleu_col()).alias("bleu"), r6(NG.weighted_col()).alias("weighted"))
 
 

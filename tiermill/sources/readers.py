@@ -90,25 +90,19 @@ def read_lines(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
 
 
 def align_lines(pred: DataFrame, ref: DataFrame, ids: DataFrame | None = None, check: bool = True) -> DataFrame:
-    """1:1 alignment on ``line_no``; the job fails when the files differ in length (checked in the same pass)."""
-    j = pred.select("line_no", F.col("value").alias("pred")).join(
-        ref.select("line_no", F.col("value").alias("ref")), "line_no", "full")
-    if ids is not None:
-        j = j.join(ids.select("line_no", F.col("value").alias("id")), "line_no", "full")
+    """1:1 alignment on ``line_no``; the job fails when the files differ in length (checked in the same pass).  One union
+    and one aggregation by line instead of a join per file."""
+    sides = {"pred": pred, "ref": ref} | ({"id": ids} if ids is not None else {})
+    x = None
+    for i, (_, df) in enumerate(sides.items()):
+        one = df.select("line_no", F.lit(i).alias("_side"), "value")
+        x = one if x is None else x.unionByName(one)
+    here = lambda i: F.max(F.when(F.col("_side") == i, F.col("value")))
+    j = x.groupBy("line_no").agg(*[here(i).alias(name) for i, name in enumerate(sides)], F.count("*").alias("_n"))
     if check:
-        gap = F.col("pred").isNull() | F.col("ref").isNull()
-        if ids is not None:
-            gap = gap | F.col("id").isNull()
         fail = F.raise_error(F.lit("aligned files differ in length")).cast("bigint")
-        j = j.withColumn("line_no", F.when(gap, fail).otherwise(F.col("line_no")))
-    return j
-
-
-def group_references(refs: DataFrame, key: str, ref_id: str, tokens_col: str) -> DataFrame:
-    """Many references per sample -> one array of token arrays (J2).  The
-    number of references per sample is small and fixed by the data set."""
-    return refs.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(ref_id, tokens_col))),
-                                             lambda s: s[tokens_col]).alias("refs"))
+        j = j.withColumn("line_no", F.when(F.col("_n") != len(sides), fail).otherwise(F.col("line_no")))
+    return j.drop("_n")
 
 
 def read_hypotheses(spark: SparkSession, path: str, hyp_field: str = "prediction") -> DataFrame:
