@@ -20,7 +20,7 @@ LANG_ALIASES = {
 # Language keys -> display names for system prompts.
 LANG_NAMES = {"cpp": "C++", "c++": "C++", "java": "Java", "python": "Python", "go": "Go"}
 
-# "from X to Y": Y ends at whitespace, '.' or end.  (?d) makes '.' stop only at
+# Fixed value: "from X to Y", where Y ends at whitespace, '.' or end.  (?d) makes '.' stop only at
 # '\n', as in Python.
 DIRECTION = r"(?d)from" + WS + r"+(.*?)" + WS + r"+to" + WS + r"+(.*?)(?:" + WS + r"|\z|\.)"
 

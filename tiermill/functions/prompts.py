@@ -88,17 +88,22 @@ def system_prompt_by_lang(lang, template: str, names: dict[str, str], extra_for:
 
 def render_chat(messages, turn_template: str, generation_prompt: str = "") -> Column:
     """Render ``array<struct<role, content>>`` with a per-message template
-    having ``{role}`` and ``{content}`` slots."""
+    having ``{role}`` and ``{content}`` slots; a null role or content is an
+    empty one, so that no message is lost."""
     pre, rest = turn_template.split("{role}", 1)
     mid, post = rest.split("{content}", 1)
     body = F.array_join(F.transform(_c(messages), lambda m: F.concat(
-        F.lit(pre), m["role"], F.lit(mid), F.coalesce(m["content"], F.lit("")), F.lit(post))), "")
+        F.lit(pre), F.coalesce(m["role"], F.lit("")), F.lit(mid), F.coalesce(m["content"], F.lit("")), F.lit(post))), "")
     return F.concat(body, F.lit(generation_prompt))
 
 
+# The public single-turn format of instruction models, before the system text, between the texts, and after.
+INST_HEAD, INST_MID, INST_TAIL = "[INST] <<SYS>>\n", "\n<</SYS>>\n\n", " [/INST]"
+
+
 def inst_chat(system, user) -> Column:
     """Llama-2 style single-turn prompt: [INST] <<SYS>> ... <</SYS>> ... [/INST]."""
-    return F.concat(F.lit("[INST] <<SYS>>\n"), _c(system), F.lit("\n<</SYS>>\n\n"), _c(user), F.lit(" [/INST]"))
+    return F.concat(F.lit(INST_HEAD), _c(system), F.lit(INST_MID), _c(user), F.lit(INST_TAIL))
 
 
 def tag_wrap(c, tag: str) -> Column:

@@ -101,10 +101,13 @@ def clean_answer(c) -> Column:
     return strip_fences(strip_tokens(after_marker(c)))
 
 
+# Line comments (to the end of a line only) and block comments.
+LINE_COMMENT, BLOCK_COMMENT = r"(?d)//.*", r"(?s)/\*.*?\*/"
+
+
 def strip_comments(c) -> Column:
     """Line comments first, then block comments (both quirks kept)."""
-    c = F.regexp_replace(_c(c), r"(?d)//.*", "")
-    return F.regexp_replace(c, r"(?s)/\*.*?\*/", "")
+    return F.regexp_replace(F.regexp_replace(_c(c), LINE_COMMENT, ""), BLOCK_COMMENT, "")
 
 
 def one_line(c) -> Column:

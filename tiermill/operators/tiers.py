@@ -140,20 +140,21 @@ def group_reward(df: DataFrame, group: str, order: str, fn, schema: str) -> Data
     import pandas as pd
 
     def run(batches):
-        held = None
+        held, name = [], None  # the frames of the last group so far, put together once
         for pdf in batches:
-            if held is not None and len(held):
-                pdf = pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
             last = pdf[group].iloc[-1]
             tail = pdf[group].isna() if pd.isna(last) else pdf[group] == last
-            held = pdf[tail]
-            done = pdf[~tail]
+            if held and tail.all() and (pd.isna(last) and pd.isna(name) or last == name):
+                held.append(pdf)
+                continue
+            done = pd.concat([*held, pdf[~tail]], ignore_index=True)
+            held, name = [pdf[tail]], last
             if len(done):
                 yield fn(done)
-        if held is not None and len(held):
-            yield fn(held)
+        if held:
+            yield fn(pd.concat(held, ignore_index=True))
 
     return df.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
 

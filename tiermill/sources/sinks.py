@@ -20,7 +20,7 @@ def scored_records(df: DataFrame, fields: Sequence[str] = DATA_FIELDS, category:
     return df.select(F.col(category).alias("category"), F.struct(*present).alias("data"))
 
 
-def write_scored(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_scored(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per line (UTF-8 kept as is)."""
     scored_records(df).write.mode(mode).json(path)
 
@@ -43,7 +43,7 @@ def report_body(id_col: str, score_col: str, loss_col: str, ref_col: str, rollou
     return F.concat(head, F.lit(f"{RULE}\n{REF_TITLE}\n"), text(ref_col), F.lit(f"\n\n{ROLLOUT_TITLE}\n"), text(rollout_col))
 
 
-def write_report_bodies(df: DataFrame, path: str, report: F.Column, by: str = "category", mode: str = "overwrite") -> None:
+def write_report_bodies(df: DataFrame, path: str, report: F.Column, by: str = "category", mode: str = "errorifexists") -> None:
     """Whole reports in one folder per category, many in a file, each closed by a record separator (ASCII 30) and a line break: a
     file per sample would be as many files as samples.  :func:`read_report_bodies` reads them back."""
     df.select(F.col(by), F.concat(report, F.lit("\x1e")).alias("value")).write.mode(mode).partitionBy(by).text(path)
@@ -55,25 +55,25 @@ def read_report_bodies(spark: SparkSession, path: str, by: str = "category") ->
     return x.where(F.length("value") > 0).select(by, F.col("value").alias("report"))
 
 
-def write_reports(df: DataFrame, path: str, report: F.Column, by: str = "category", mode: str = "overwrite") -> None:
+def write_reports(df: DataFrame, path: str, report: F.Column, by: str = "category", mode: str = "errorifexists") -> None:
     """Text reports in one folder per category (not one file per row)."""
     df.select(F.col(by), report.alias("value")).write.mode(mode).partitionBy(by).text(path)
 
 
-def write_lines(df: DataFrame, path: str, value: str = "value", order: str = "line_no", mode: str = "overwrite") -> None:
+def write_lines(df: DataFrame, path: str, value: str = "value", order: str = "line_no", mode: str = "errorifexists") -> None:
     """One output line per row in ``order``: range-partitioned and sorted
     within partitions, so part files concatenate in order."""
     (df.repartitionByRange(order).sortWithinPartitions(order)
        .select(F.col(value).cast("string").alias("value")).write.mode(mode).text(path))
 
 
-def write_keywords(keywords: DataFrame, folder: str, mode: str = "overwrite") -> None:
+def write_keywords(keywords: DataFrame, folder: str, mode: str = "errorifexists") -> None:
     """``kw_group, token`` as keyword files, a keyword per line in a sub-folder per group; :func:`readers.read_keywords` reads
     them, as it reads plain files ``<group>.txt``."""
     keywords.select("kw_group", F.col("token").alias("value")).write.mode(mode).partitionBy("kw_group").text(folder)
 
 
-def write_array(df: DataFrame, path: str, order: str, fields: Sequence[str], mode: str = "overwrite") -> None:
+def write_array(df: DataFrame, path: str, order: str, fields: Sequence[str], mode: str = "errorifexists") -> None:
     """Rows as JSON arrays in ``order``, one array per part file, an element per line."""
     def lines(batches):
         begun = False
