@@ -38,6 +38,7 @@ BITS = 18  # the table's scale: frequencies add up to 2**BITS
 LANES = 4
 BLOCK = 8192  # ids in a block at most
 CHECK = 512  # rounds between checkpoints
+CODED_BYTES = 8 << 20  # ids that are encoded side by side; the rounds of the longest blocks are shared by more of them
 LOW = 1 << 31  # states are at least LOW and under LOW << 32
 HEADER = "<8sHHII"
 BLOCK_HEAD = "<IIII"
@@ -255,7 +256,7 @@ def write_ids(docs: DataFrame, bpe_path: str, end_id: int = 2, ids_per_file: int
             a = 0
             while a < len(col):
                 z, bytes_ = a, 0
-                while z < len(col) and (z == a or bytes_ + len(col[z]) < 4 << 20):
+                while z < len(col) and (z == a or bytes_ + len(col[z]) < CODED_BYTES):
                     bytes_ += len(col[z])
                     z += 1
                 part = doc.slice(a, z - a)
