@@ -31,8 +31,8 @@ from tiermill.llm.common import stored, worker_cache
 from tiermill.session import shared_dir
 
 MAX_WORD_BYTES = 32  # longer words are never compiled
-SLICE_BYTES = 4 << 20
-MEMO_WORDS = 800_000  # merged words that a worker remembers
+SLICE_BYTES = 3 << 20
+MEMO_WORDS = 500_000  # merged words that a worker remembers
 
 _BPES: dict[str, Bpe] = {}
 
@@ -56,32 +56,24 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.n
 
 # ---------------------------------------------------------------------------------------------------------- counts
 
-_ODD = 0x9E3779B97F4A7C15
+#: Masks of the first k bytes of a 64-bit value, and the odd numbers that mix such values.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of the hash's base and of its inverse; a worker keeps the longest run it needed."""
-    cache = worker_cache()
-    if len(cache.get("powers", ((),))[0]) < n:
-        made = []
-        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
-            x = np.full(n, base, np.uint64)
-            x[:1] = 1
-            made.append(np.cumprod(x, dtype=np.uint64))
-        cache["powers"] = tuple(made)
-    return tuple(x[:n] for x in cache["powers"])
-
-
-def word_hashes(buf: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of ``buf[begins[i]:begins[i + 1]]``, from one running sum."""
-    with np.errstate(over="ignore"):
-        mix = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0xA5A5A5A5C3C3C3C3)
-        powers, back = _powers(len(buf) + 1)
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(mix[buf] * powers[:-1], out=total[1:])
-        h = (total[begins[1:]] - total[begins[:-1]]) * back[begins[:-1]]
-        h ^= h >> np.uint64(32)
-        return h * np.uint64(0xFF51AFD7ED558CCD)
+def word_keys(buf: np.ndarray, begins: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words ``buf[begins[i]:begins[i] + size[i]]`` of up to 32 bytes as four 64-bit values each, and a hash of these."""
+    raw = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", raw, strides=(1,))
+    keys = np.zeros((4, len(begins)), np.uint64)
+    keys[0] = eight[begins] & FIRST_BYTES[np.minimum(size, 8)]
+    h = (keys[0] + size.astype(np.uint64)) * np.uint64(MIX[0])
+    for k in (1, 2, 3):
+        lane = np.flatnonzero(size > 8 * k)
+        keys[k, lane] = eight[begins[lane] + 8 * k] & FIRST_BYTES[np.minimum(size[lane] - 8 * k, 8)]
+        h[lane] = (h[lane] ^ (h[lane] >> np.uint64(29)) ^ keys[k, lane]) * np.uint64(MIX[k])
+    h ^= h >> np.uint64(32)
+    return keys, h * np.uint64(MIX[1])
 
 
 def count_words(docs: DataFrame, bpe, text_col: str = "text") -> DataFrame:
@@ -95,7 +87,7 @@ def count_words(docs: DataFrame, bpe, text_col: str = "text") -> DataFrame:
                 at = np.flatnonzero(ok)
                 if not len(at):
                     continue
-                _, first, n = np.unique(word_hashes(buf, begins)[at], return_index=True, return_counts=True)
+                _, first, n = np.unique(word_keys(buf, begins[at], np.diff(begins)[at])[1], return_index=True, return_counts=True)
                 first = at[first]
                 raw = buf.tobytes()
                 words = [raw[i:j] for i, j in zip(begins[first].tolist(), begins[first + 1].tolist())]
@@ -314,29 +306,13 @@ class WordMemo:
     A word that finds no free place within PROBES gets a new number each time, which costs time and changes nothing.  Longer words,
     few for their bytes, go through a dictionary."""
 
-    BITS, PROBES, WIDE = 21, 8, 32
-    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-    MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)
+    BITS, PROBES, WIDE = 20, 8, 32
 
     def __init__(self):
         self.number = np.full(1 << self.BITS, -1, np.int32)
         self.keys, self.sizes, self.words = np.zeros((4, 1024), np.uint64), np.zeros(1024, np.uint8), 0
         self.long: dict[bytes, int] = {}
 
-    def _read(self, buf: np.ndarray, begins: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The words as four values each, and the place where their search begins."""
-        raw = np.concatenate([buf, np.zeros(8, np.uint8)])
-        eight = np.ndarray((len(buf) + 1,), "<u8", raw, strides=(1,))
-        keys = np.zeros((4, len(begins)), np.uint64)
-        keys[0] = eight[begins] & self.MASKS[np.minimum(size, 8)]
-        h = (keys[0] + size.astype(np.uint64)) * np.uint64(self.MIX[0])
-        for k in (1, 2, 3):
-            lane = np.flatnonzero(size > 8 * k)
-            keys[k, lane] = eight[begins[lane] + 8 * k] & self.MASKS[np.minimum(size[lane] - 8 * k, 8)]
-            h[lane] = (h[lane] ^ (h[lane] >> np.uint64(29)) ^ keys[k, lane]) * np.uint64(self.MIX[k])
-        h ^= h >> np.uint64(32)
-        return keys, ((h * np.uint64(self.MIX[1])) >> np.uint64(64 - self.BITS)).astype(np.int64)
-
     def _find(self, keys: np.ndarray, size: np.ndarray, slot: np.ndarray) -> np.ndarray:
         out = np.full(len(slot), -1, np.int64)
         lane = np.arange(len(slot))
@@ -377,7 +353,8 @@ class WordMemo:
         size = ends - begins
         out = np.empty(len(size), np.int64)
         short = np.flatnonzero(size <= self.WIDE)
-        keys, slot = self._read(buf, begins[short], size[short])
+        keys, h = word_keys(buf, begins[short], size[short])
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
         found = self._find(keys, size[short], slot)
         new: list[bytes] = []
         miss = np.flatnonzero(found < 0)
