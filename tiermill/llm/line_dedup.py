@@ -45,9 +45,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
                  .groupBy("id", "tag").agg(F.collect_set("pos").alias("gone")))
     a, g = d.alias("a"), gone.alias("g")
     x = a.join(g, F.col("a.id").eqNullSafe(F.col("g.id")) & (F.col("a.tag") == F.col("g.tag")), "left")
-    x = x.select("a.id", "text", "gone", F.split("text", "\n").alias("lines"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    joined = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")
-    return x.select(F.col("id").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"),
+    # only texts that lose lines are split; the bound variable keeps them from being split for each line
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    rest = lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n")
+    joined = F.get(F.transform(F.array(F.split("text", "\n")), rest), F.lit(0))
+    return x.select(F.col("a.id").alias("doc_id"), n_lines.cast("long").alias("n_lines"),
                     F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
                     F.when(F.col("gone").isNull(), F.col("text")).otherwise(joined).alias("text"))
