@@ -51,3 +51,30 @@ def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet").where("false")
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF_MID).collect() == []
+
+
+def test_odd_rows(spark):
+    """Null and empty texts, null ids, repeated rows, ties and columns named like the operators' own."""
+    import random
+    rng = random.Random(1)
+    words = "the of a house river with many little stones and two tall trees near it".split()
+    text = lambda: " ".join(rng.choice(words) for _ in range(60)) + "."
+    same, twice = text(), text()
+    rows = [(i, text()) for i in range(20)] + [(100, same), (101, same + " "), (102, same + "  "), (200, twice), (200, twice), (None, text()),
+                                               (None, text()), (300, None), (301, ""), (302, " \n"), (None, None)]
+    extra = ["row", "score", "digest", "id", "kept", "n", "tag", "lang", "source", "n_chars"]
+    docs = spark.createDataFrame([(i, t, *range(len(extra))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{c} int" for c in extra))
+    kept = {}
+    for name, stage in P.STAGES:
+        path = shared_dir(spark, "test-odd")
+        stage(spark, docs, SF_MID).write.parquet(path)
+        docs = spark.read.parquet(path)
+        kept[name] = [(r.doc_id, r.text) for r in docs.collect()] if name != "bpe" else [r.doc_id for r in docs.collect()]
+        if name != "bpe":
+            assert docs.columns == ["doc_id", "text", *extra] and {tuple(r)[2:] for r in docs.collect()} <= {tuple(range(len(extra)))}
+    first, exact = kept["quality"], kept["exact_dedup"]
+    assert all(r in rows for r in first) and sum(t == twice for _, t in exact) == min(1, sum(t == twice for _, t in first))
+    long = [i for i, t in first if t and t.strip() == same]
+    assert [i for i, t in exact if t and t.strip() == same] == [max(long)] if long else True  # the most code points
+    assert sum(not (t or "").strip() for _, t in exact) <= 1
+    assert sorted(map(str, kept["bpe"])) == sorted(str(i) for i, _ in kept["decontaminate"])
