@@ -4,7 +4,13 @@ quality classifier -> exact dedup -> MinHash near-dedup -> benchmark decontamina
 
 The first four return rows of ``documents`` with all their columns; the last returns a row per document that is left with
 its token count and the digests of its ids and of the text decoded from them.  Stages on word shingles take five words and a
-similarity of 0.8.  No SQL is given: the classifier's scores can't be expressed in it; tests hold every stage against a
+similarity of 0.8.
+
+Defined cases: null, empty and blank texts are scored like any other (what of them the classifier keeps is one group of equal
+texts for exact dedup, has no shingles and no tokens, and ends as a row without ids); a null id is an id like any other but
+is never learned from; of rows that repeat an id and a text one stays, of equal texts the one with the most code points, then
+the smallest id, nulls last; a very long text is worked on whole by every stage; an empty table gives an empty result; extra
+columns go through untouched whatever their names.  Ids are integers.  No SQL is given: the classifier's scores can't be expressed in it; tests hold every stage against a
 brute-force form.
 """
 

@@ -31,6 +31,29 @@ def test_no_cartesian_no_python(spark, name):
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
 
+#: Queries of the library proper whose plans hold a Python node, and which.
+PYTHON = {"tree_shapes": "MapInArrow", "tree_shapes_all": "MapInArrow", "tree_match": "MapInArrow", "tree_match_all": "MapInArrow",
+          "tree_match_corpus": "MapInArrow", "tree_comments": "MapInArrow", "composite_fenced": "MapInArrow", "category_fenced": "MapInArrow",
+          "layout_lines": "MapInArrow", "group_reward_pandas": "MapInPandas", "reward_sql": "UDTF"}
+
+
+def test_plans_of_all_queries(spark):
+    """No cross join anywhere, Python only where it is named, and no query that sends all its rows to one partition by a hash of
+    nothing.  Queries on streams are left out: they end in a scan of their sink."""
+    from tiermill.plans.queries import QUERIES
+    found = {}
+    for name, f in QUERIES.items():
+        if name.startswith("stream_"):
+            continue
+        p = plan(f(spark, SF_SMALL))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+        assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+        nodes = {k for k in ("MapInArrow", "MapInPandas", "PythonMapInArrow", "UDTF") if k in p}
+        if nodes:
+            found[name] = nodes
+    assert set(found) == set(PYTHON) and all(PYTHON[k] in n for k, n in found.items())
+
+
 def test_keywords_are_broadcast(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
@@ -41,7 +64,8 @@ def test_keywords_are_broadcast(spark):
 
 
 FAST = ["tier_counts", "mine_pairs", "fence_extract", "direction_parse", "prompt_build", "bleu_sample",
-        "tree_match", "pref_metrics", "line_multiset_diff", "layout_lines", "stream_tier_windows", "aligned_lines"]
+        "tree_match", "pref_metrics", "line_multiset_diff", "layout_lines", "stream_tier_windows", "aligned_lines", "focus_tokens",
+        "samples_array", "epoch_order", "reference_scores", "reward_log", "shard_merge", "report_bodies", "reward_sql", "tree_comments"]
 
 
 @pytest.mark.parametrize("name", FAST)
