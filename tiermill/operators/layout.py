@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiermill.functions.text import py_strip, tokens
+from tiermill.operators.scans import plain_keys
 
 # The structural tokens and one indent unit.
 NEW_LINE, INDENT, DEDENT = "NEW_LINE", "INDENT", "DEDENT"
@@ -84,15 +85,15 @@ def layout_lines(df: DataFrame, key: str, col: str, out: str = "code", size: int
                                  F.least(s["low"], s["s"] + F.when(t == DEDENT, -1).otherwise(0)).alias("low"),
                                  (s["w"] | ~t.isin(NEW_LINE, INDENT, DEDENT)).alias("w"))
     start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("low"), F.lit(False).alias("w"))
-    x = x.repartition(key, "blk")
-    moves = x.where("blk > 0 OR size(part) > 0").select(key, "blk", F.aggregate("part", start, step).alias("m"))
-    before = Window.partitionBy(key).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    moves = moves.select(key, "blk", "m.low", "m.w", F.coalesce(F.sum("m.s").over(before), F.lit(0)).alias("s"))
+    x, names = plain_keys(x, [key])
+    x = x.repartition(*names, "blk")
+    moves = x.select(*names, "blk", F.aggregate("part", start, step).alias("m"))
+    before = Window.partitionBy(*names).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    moves = moves.select(*names, "blk", "m.low", "m.w", F.coalesce(F.sum("m.s").over(before), F.lit(0)).alias("s"))
     low = F.least(F.lit(0), F.min(F.col("s") + F.col("low")).over(before))
-    moves = moves.select(F.col(key).alias("_key"), F.col("blk").alias("_blk"), (F.col("s") - low).cast("int").alias("level"),
+    moves = moves.select(*names, "blk", (F.col("s") - low).cast("int").alias("level"),
                          (~F.coalesce(F.max("w").over(before), F.lit(False))).alias("first"))
-    x = x.join(moves.where("_blk > 0"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("blk") == F.col("_blk")), "left").select(
-        key, "blk", "part", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("first", F.lit(True)).alias("first"))
+    x = x.join(moves, [*names, "blk"]).select(key, "blk", "part", "level", "first")
 
     def run(batches):
         for b in batches:

@@ -574,7 +574,7 @@ def diff_pairs(spark, sf):
 
 
 def line_diff(spark, sf):
-    p = diff_pairs(spark, sf).repartition("doc_id")
+    p = diff_pairs(spark, sf)
     a = DF.line_offsets(p, "doc_id", "chosen")
     b = DF.line_offsets(p, "doc_id", "rejected")
     return DF.line_multiset_diff(a, b, "doc_id")
