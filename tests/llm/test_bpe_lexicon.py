@@ -91,6 +91,25 @@ def test_memo_numbers_words_exactly(monkeypatch):
         assert len(known) == memo.words and [known[i] for i in got] == words
 
 
+def test_a_full_memo_keeps_what_it_has(monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(bpe_lexicon, "MEMO_WORDS", 30)
+    bpe = bpe_lexicon.load_bpe(queries.bpe_path())
+    enc, rng = bpe_lexicon.Encoder(bpe, None), random.Random(6)
+    tok = tokenizers.Tokenizer.from_file(queries.bpe_path())
+    full = 0
+    for k in range(30):
+        letters = "abcdefg" if k < 20 else "nopqrst"  # other words from here on: the memo starts anew
+        texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 2, 3, 40]))) for _ in range(60)) for _ in range(3)]
+        raw = [t.encode() for t in texts]
+        off = np.cumsum([0, *map(len, raw)])
+        ids, upto = enc.encode(np.frombuffer(b"".join(raw), np.uint8), off)
+        assert [ids[i:j].tolist() for i, j in zip(upto, upto[1:])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        full += enc.memo.words >= 30
+        assert enc.ids.rows == enc.base + enc.memo.words
+    assert full > 5
+
+
 def test_long_words_as_the_library(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice("abcdef") for _ in range(100_000)), "中文字" * 20_000, "ab" * 60_000 + " ab", "x " * 50_000]

@@ -348,8 +348,9 @@ class WordMemo:
             mine, slot = mine[go], (slot[go] + 1) & ((1 << self.BITS) - 1)
         return made
 
-    def number_all(self, buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """The number of each word ``buf[begins[i]:ends[i]]``, and the words that are new, in the order of their numbers."""
+    def number_all(self, buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, learn: bool = True) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word ``buf[begins[i]:ends[i]]``, and the words that are new, in the order of their numbers.  Without
+        ``learn`` the new ones have numbers for this call only."""
         size = ends - begins
         out = np.empty(len(size), np.int64)
         short = np.flatnonzero(size <= self.WIDE)
@@ -357,26 +358,30 @@ class WordMemo:
         slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
         found = self._find(keys, size[short], slot)
         new: list[bytes] = []
+        first_new = self.words
         miss = np.flatnonzero(found < 0)
         if len(miss):
             order = miss[np.lexsort((*keys[:, miss], size[short[miss]]))]
             first = np.ones(len(order), bool)
             first[1:] = (size[short[order[1:]]] != size[short[order[:-1]]]) | (keys[:, order[1:]] != keys[:, order[:-1]]).any(0)
             one = order[first]
-            made = self._learn(keys[:, one], size[short[one]], slot[one])
-            found[order] = made[np.cumsum(first) - 1]
+            if learn:
+                self._learn(keys[:, one], size[short[one]], slot[one])
+            found[order] = first_new + np.cumsum(first) - 1
             raw = buf.tobytes()
             new = [raw[i:j] for i, j in zip(begins[short[one]].tolist(), ends[short[one]].tolist())]
         out[short] = found
         if len(short) < len(size):
+            here: dict[bytes, int] = self.long if learn else {}
             for i in np.flatnonzero(size > self.WIDE).tolist():
                 w = buf[begins[i]:ends[i]].tobytes()
-                if w not in self.long:
-                    self.long[w] = self.words
+                at = self.long.get(w, here.get(w))
+                if at is None:
+                    at = here[w] = first_new + len(new)
                     new.append(w)
-                    none = np.zeros(0, np.int64)
-                    self._learn(np.zeros((4, 1), np.uint64), np.zeros(1, np.uint8), none)
-                out[i] = self.long[w]
+                    if learn:
+                        self._learn(np.zeros((4, 1), np.uint64), np.zeros(1, np.uint8), np.zeros(0, np.int64))
+                out[i] = at
         return out, new
 
 
@@ -404,14 +409,18 @@ class Encoder:
         at = np.flatnonzero(special >= 0)
         number[at] = special[at]
         if len(rest):
-            if self.memo.words > MEMO_WORDS:
-                self._forget()
-            picked, new = self.memo.number_all(buf, begins[rest], begins[rest + 1])
+            # a full memo keeps what it has, until that no longer covers most of what comes
+            learn, rows = self.memo.words < MEMO_WORDS, self.ids.rows
+            picked, new = self.memo.number_all(buf, begins[rest], begins[rest + 1], learn)
             made, upto = self.bpe.merge_many(new)
             self.ids.add(made, np.diff(upto))
             number[rest] = self.base + picked
         values, offsets = self.ids.flat()
         ids, lens = gather(values, offsets, number)
+        if len(rest) and not learn:
+            self.ids.rows = rows
+            if len(new) > 0.2 * len(rest):
+                self._forget()
         upto = np.zeros(len(begins), np.int64)
         np.cumsum(lens, out=upto[1:])
         return ids, upto[np.searchsorted(begins, off)]
