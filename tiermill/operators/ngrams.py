@@ -13,12 +13,11 @@ Definitions (ours, from the BLEU and CodeBLEU papers; see SURVEY 2.12):
 
 Plan: input rows hold (keys, hyp tokens, refs = array of one token array), or
 hypotheses and references are two tables (:func:`reference_stats`).
-Grams are exploded from zipped shifted slices (no lambdas, whole-stage
-codegen) and identified by a 64-bit hash of their tokens' hashes; the
-counts are aggregations that all cluster on ``keys``, so after
-``repartition(keys)`` the chain needs no exchange of gram rows (the text
-rows are shuffled once, not the grams).  A keyword list is joined as a
-size-checked broadcast.
+Tokens are hashed to 64 bits and a row's grams are counted inside the row
+(:mod:`tiermill.operators.overlap`); no gram is shuffled, unless its key stands
+in several rows: those grams are exploded from zipped shifted slices
+(no lambdas, whole-stage codegen) and counted by aggregations.  A keyword
+list is joined as a size-checked broadcast.
 """
 
 from __future__ import annotations
@@ -28,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiermill.operators import overlap as OV
 from tiermill.operators.joins import bounded_broadcast
 
 MAX_N = 4
@@ -60,7 +60,7 @@ def gram_rows(df: DataFrame, carry: Sequence[str], toks: str = "toks", max_n: in
 
 def ngram_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp_tokens", refs: str = "refs",
                 keywords: DataFrame | None = None, kw_col: str | None = None,
-                max_n: int = MAX_N, repartition: bool = True) -> DataFrame:
+                max_n: int = MAX_N, distinct: bool = False) -> DataFrame:
     """Per-row statistics: m1..mN (clipped matches), d1..dN (max(1, hyp count)),
     wn1..wnN / wd1..wdN (weighted recall parts), hl (hyp length), rl (closest
     reference length).  ``keywords`` has columns (kw_group, token) matched on
@@ -68,55 +68,67 @@ def ngram_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp_tokens", ref
     none in the array ``refs``; with more a row raises: :func:`reference_stats`
     takes any number, as rows.
 
-    The gram rows are produced and aggregated once, into one count per side
-    (plain primitive buffers, map-side partial aggregation) under a key of
-    nothing but the row's and the gram's; what is known per row (lengths,
-    denominators) joins in as one more row of the last aggregation.  All
-    aggregations cluster on ``keys``, so there is one exchange (the text
-    rows) in total.  Weighted denominators: for n >= 2 a reference has
-    max(0, len - n + 1) n-grams of weight 1 (in-row); for n = 1 its weight
-    is 0.2 * len + 0.8 * (keyword tokens), summed from the unigram rows."""
+    A row's grams are counted inside the row (:func:`tiermill.operators.overlap.row_stats`), so that neither texts nor grams
+    are shuffled; only the distinct reference unigrams leave it, to meet the keywords in a join.  Rows of keys that stand in
+    several rows count together, as gram rows (``distinct``: there are none, which is then not looked up).  Weighted
+    denominators: for n >= 2 a reference has max(0, len - n + 1) n-grams of weight 1; for n = 1 its weight is 0.2 * len +
+    0.8 * (keyword tokens)."""
     keys = list(keys)
     carry = keys + ([kw_col] if kw_col and kw_col not in keys else [])
-    x = df.repartition(*keys) if repartition else df
     one = F.when(F.size(refs) > 1, F.raise_error(F.lit("several references in a row: use reference_stats")).cast("array<string>")).otherwise(
         F.get(refs, F.lit(0)))
-    x = x.select(*carry, F.coalesce(hyp, F.array()).alias("_hyp"), one.alias("_ref"))
+    x = df.select(*carry, F.coalesce(hyp, F.array()).alias("_hyp"), one.alias("_ref"))
+    x, again = (x, None) if distinct else OV.by_repeats(x, carry)
+    kw = None
+    if keywords is not None and kw_col:
+        kw = bounded_broadcast(keywords.select(F.col("kw_group").alias("_kwg"), OV.unigram_id("token").alias("_kwu"),
+                                               gram_id(1, F.xxhash64("token")).alias("_kwt")).distinct())
+    span = range(1, max_n + 1)
+    numbers = ["hl", "rl", "nref", *[f"{c}{k}" for c in ("m", "t", "mm", "mt") for k in span]]
+    st = OV.row_stats(x.select(*carry, OV.hashes("_hyp").alias("_hyp"), OV.hashes("_ref").alias("_ref")), carry, "_hyp", "_ref", max_n, kw is not None)
+    if kw is not None:
+        u = st.select(*carry, *numbers, F.posexplode_outer("uni").alias("_i", "_u"))
+        u = u.join(kw.select("_kwg", "_kwu").distinct(), (F.col(kw_col) == F.col("_kwg")) & (F.col("_u.g") == F.col("_kwu")), "left")
+        found = lambda c: F.sum(F.when(F.col("_kwu").isNotNull(), F.col(c)).otherwise(0))
+        st = u.groupBy(*carry).agg(*[F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.col(c)).otherwise(0)).alias(c) for c in numbers],
+                                   found("_u.b").alias("km"), found("_u.c").alias("kr"))
+    else:
+        st = st.select(*carry, *numbers, F.lit(0).cast("bigint").alias("km"), F.lit(0).cast("bigint").alias("kr"))
+    if again is not None:
+        st = st.unionByName(_pooled_stats(again, carry, kw, kw_col, max_n))
+    first = F.greatest(F.lit(1.0), F.col("mt1") * OTHER_WEIGHT + F.col("kr") * (KEYWORD_WEIGHT - OTHER_WEIGHT))
+    wd = [first if k == 1 else F.greatest(F.lit(1.0), (F.col("rl") - k + 1).cast("double")) for k in span]
+    wn = [F.col("m1") * OTHER_WEIGHT + F.col("km") * (KEYWORD_WEIGHT - OTHER_WEIGHT) if k == 1 else F.col(f"m{k}").cast("double") for k in span]
+    return st.select(*carry, "hl", "rl", *[f"m{k}" for k in span], *[F.greatest(F.lit(1), f"t{k}").cast("bigint").alias(f"d{k}") for k in span],
+                     *[w.alias(f"wn{k}") for k, w in zip(span, wn)],
+                     *[F.when(F.col("nref") > 0, d).otherwise(F.lit(0.0)).alias(f"wd{k}") for k, d in zip(span, wd)],
+                     *[f"mm{k}" for k in span], *[f"mt{k}" for k in span])
+
+
+def _pooled_stats(x: DataFrame, carry: Sequence[str], kw: DataFrame | None, kw_col: str | None, max_n: int) -> DataFrame:
+    """The numbers of :func:`tiermill.operators.overlap.row_stats` with ``km`` and ``kr``, the keywords among them, for keys that
+    stand in several rows (``carry, _hyp, _ref``): all their rows count together, as gram rows in plain aggregations, so that a
+    key with very many rows is spread."""
+    carry = list(carry)
     sides = F.array(F.struct(F.lit(1).alias("hyp"), F.col("_hyp").alias("toks")), F.struct(F.lit(0).alias("hyp"), F.col("_ref").alias("toks")))
     per_side = x.select(*carry, F.explode(sides).alias("s")).select(*carry, "s.hyp", "s.toks")
-    c = gram_rows(per_side, [*carry, "hyp"], "toks", max_n).groupBy(*carry, "n", "g").agg(
-        F.sum("hyp").alias("ch"), F.count("*").alias("_all"))
-    if keywords is not None and kw_col:
-        kw = bounded_broadcast(keywords.select(F.col("kw_group").alias("_kwg"), gram_id(1, F.xxhash64("token")).alias("_kwt"))
-                               .distinct().withColumn("_kw", F.lit(1)))
-        c = c.join(kw, (F.col(kw_col) == F.col("_kwg")) & (F.col("g") == F.col("_kwt")) & (F.col("n") == 1), "left")
+    c = gram_rows(per_side, [*carry, "hyp"], "toks", max_n).groupBy(*carry, "n", "g").agg(F.sum("hyp").alias("ch"), F.count("*").alias("_all"))
+    is_kw = F.lit(0)
+    if kw is not None:
+        c = c.join(kw.select("_kwg", "_kwt").distinct().withColumn("_kw", F.lit(1)),
+                   (F.col(kw_col) == F.col("_kwg")) & (F.col("g") == F.col("_kwt")) & (F.col("n") == 1), "left")
         is_kw = F.coalesce(F.col("_kw"), F.lit(0))
-    else:
-        is_kw = F.lit(0)
-    w = F.when(F.col("n") == 1, F.when(is_kw == 1, F.lit(KEYWORD_WEIGHT)).otherwise(F.lit(OTHER_WEIGHT))).otherwise(F.lit(1.0))
     ch, cr = F.col("ch"), F.col("_all") - F.col("ch")
-    part = c.groupBy(*carry, "n").agg(
-        F.sum(F.least(ch, cr)).alias("_m"), F.sum(ch).alias("_t"), F.sum(F.least(ch, cr) * w).alias("_wn"),
-        # membership: reference n-grams (with multiplicity) present in the hypothesis
-        F.sum(F.when(ch > 0, cr).otherwise(F.lit(0))).alias("_mm"), F.sum(cr).alias("_mt"), F.sum(cr * is_kw).alias("_k"))
-    # what a row knows of itself stands under n = 0
-    size = F.size("_ref")
+    low = F.least(ch, cr)
+    of = {"m": low, "t": ch, "mm": F.when(ch > 0, cr).otherwise(F.lit(0)), "mt": cr}
+    zero = F.lit(0).cast("bigint")
+    grams = c.select(*carry, zero.alias("hl"), zero.alias("rl"), zero.alias("nref"),
+                     *[F.when(F.col("n") == k, v).otherwise(zero).alias(f"{name}{k}") for name, v in of.items() for k in range(1, max_n + 1)],
+                     (low * is_kw).alias("km"), (cr * is_kw).alias("kr"))
     has = F.col("_ref").isNotNull()
-    known = x.select(*carry, F.lit(0).alias("n"), F.size("_hyp").cast("bigint").alias("_m"), F.when(has, size).otherwise(0).cast("bigint").alias("_t"),
-                     F.lit(0.0).alias("_wn"), has.cast("bigint").alias("_mm"), F.lit(0).cast("bigint").alias("_mt"), F.lit(0).cast("bigint").alias("_k"))
-    at = lambda k, v: F.coalesce(F.sum(F.when(F.col("n") == k, F.col(f"_{v}"))), F.lit(0))
-    span = range(1, max_n + 1)
-    aggs = [at(0, "m").alias("hl"), at(0, "t").alias("rl"), at(0, "mm").alias("_nref"), at(1, "mt").alias("_len"), at(1, "k").alias("_kws")]
-    for k in span:
-        aggs += [at(k, "m").cast("bigint").alias(f"m{k}"), F.greatest(F.lit(1), at(k, "t")).cast("bigint").alias(f"d{k}"),
-                 at(k, "wn").cast("double").alias(f"wn{k}"), at(k, "mm").cast("bigint").alias(f"mm{k}"), at(k, "mt").cast("bigint").alias(f"mt{k}")]
-    out = part.unionByName(known).groupBy(*carry).agg(*aggs)
-    first = F.greatest(F.lit(1.0), F.col("_len") * OTHER_WEIGHT + F.col("_kws") * (KEYWORD_WEIGHT - OTHER_WEIGHT))
-    wd = [first if k == 1 else F.greatest(F.lit(1.0), (F.col("rl") - k + 1).cast("double")) for k in span]
-    return out.select(*carry, F.col("hl").cast("bigint").alias("hl"), F.col("rl").cast("bigint").alias("rl"),
-                      *[f"m{k}" for k in span], *[f"d{k}" for k in span], *[f"wn{k}" for k in span],
-                      *[F.when(F.col("_nref") > 0, d).otherwise(F.lit(0.0)).alias(f"wd{k}") for k, d in zip(span, wd)],
-                      *[f"mm{k}" for k in span], *[f"mt{k}" for k in span])
+    known = x.select(*carry, F.size("_hyp").cast("bigint").alias("hl"), F.when(has, F.size("_ref")).otherwise(0).cast("bigint").alias("rl"),
+                     has.cast("bigint").alias("nref"), *[zero.alias(n) for n in grams.columns[len(carry) + 3:]])
+    return grams.unionByName(known).groupBy(*carry).agg(*[F.sum(n).cast("bigint").alias(n) for n in grams.columns[len(carry):]])
 
 
 def reference_stats(hyps: DataFrame, refs: DataFrame, key: str, ref_id: str, toks: str = "tokens", keywords: DataFrame | None = None,

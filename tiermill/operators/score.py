@@ -72,7 +72,7 @@ def pair_scores(sides: DataFrame, key: str, lang: str, is_ref: str, text: str, t
     x = both.select(key, F.get("sides", F.lit(0))["lang"].alias(lang), code(False).alias("hyp"), code(True).alias("ref"))
     side = x.select(key, lang, tokens("hyp").alias("hyp_tokens"), tokens("ref").alias("ref_tokens"))
     kw = NG.top_tokens(side, lang, "ref_tokens", top_k)
-    st = NG.ngram_stats(side.withColumn("refs", F.array("ref_tokens")), [key], keywords=kw, kw_col=lang, repartition=False)
+    st = NG.ngram_stats(side.withColumn("refs", F.array("ref_tokens")), [key], keywords=kw, kw_col=lang, distinct=True)
     trees = [TR.tree_digests(x, [key], c, tags).select(key, "h") for c in ("ref", "hyp")]
     tree = TR.membership_ratio(*trees, [key], ["h"]).select(key, F.col("ratio").alias("syntax"))
     st = (st.join(tree, key, "left").withColumn("ngram", NG.bleu_col()).withColumn("weighted", NG.weighted_col())

@@ -67,8 +67,9 @@ def fenced_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hyp_ref_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """reference = text tokens; hypothesis = same tokens with every 7th dropped."""
-    d = (table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    """reference = text tokens; hypothesis = same tokens with every 7th dropped.  Texts are dealt out by id before they become
+    tokens: they are smaller then, and what is joined on the id later finds them there."""
+    d = (table(spark, sf, "documents").select("doc_id", "lang", "source", "text").repartition("doc_id")
          .withColumn("ref_tokens", tokens("text")))
     return d.select("doc_id", "lang", "source",
                     F.filter("ref_tokens", lambda x, i: (i + 1) % 7 != 0).alias("hyp_tokens"),
