@@ -66,3 +66,28 @@ def test_no_gram_becomes_a_row(spark):
     df = spark.createDataFrame([(1, ["a"], ["a"])], "k long, hyp_tokens array<string>, r array<string>").withColumn("refs", F.array("r"))
     plan = NG.ngram_stats(df, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan and "MapInArrow" in plan
+
+
+def test_references_in_parts_equal_pooled_grams(spark):
+    """Keys with none, few and many references (several parts), null texts, a key without hypothesis, repeated and null keys."""
+    rng = np.random.default_rng(5)
+    text = lambda: [f"w{x}" for x in rng.integers(0, 8, rng.integers(0, 20))]
+    n_refs = {0: 0, 1: 1, 2: 5, 3: 15, 4: 16, 5: 90, 6: 31, 7: 2}
+    hyps = [(k, "xy"[k % 2] if k != 6 else None, text()) for k in n_refs] + [(7, "y", text()), (8, "x", None), (None, "x", text())]
+    refs = [(k, i, text() if (k + i) % 9 else None) for k, n in n_refs.items() for i in range(n)] + [(8, 0, text()), (9, 0, text()), (2, 1, text()), (None, 1, text())]
+    kw = spark.createDataFrame([("x", "w1"), ("y", "w2"), ("y", "w3")], "kw_group string, token string")
+    h = spark.createDataFrame(hyps, "k long, lang string, tokens array<string>").repartition(3)
+    r = spark.createDataFrame(refs, "k long, i long, tokens array<string>").repartition(4)
+    for keywords, kw_col in ((kw, "lang"), (None, None)):
+        carry = [c for c in ("k", kw_col) if c]
+        got = NG.reference_stats(h, r, "k", "i", keywords=keywords, kw_col=kw_col).collect()
+        want = NG._pooled_references(h, r, "k", "i", "tokens", keywords, kw_col, 4).collect()
+        order = lambda rows: sorted((tuple(str(x[c]) for c in carry), *[round(v, 9) for v in x[len(carry):]]) for x in rows)  # noqa: B023, E731
+        assert order(got) == order(want) and len(got) == len(hyps)
+
+
+def test_references_leave_their_grams_in_the_part(spark):
+    h = spark.createDataFrame([(1, ["a"])], "k long, tokens array<string>")
+    r = spark.createDataFrame([(1, 1, ["a"]), (1, 2, ["b"])], "k long, i long, tokens array<string>")
+    plan = NG.reference_stats(h, r, "k", "i")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "MapInArrow" in plan

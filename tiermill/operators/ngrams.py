@@ -131,12 +131,84 @@ def _pooled_stats(x: DataFrame, carry: Sequence[str], kw: DataFrame | None, kw_c
     return grams.unionByName(known).groupBy(*carry).agg(*[F.sum(n).cast("bigint").alias(n) for n in grams.columns[len(carry):]])
 
 
+MANY_REFS = 15  # references beside a hypothesis in one row
+
+
 def reference_stats(hyps: DataFrame, refs: DataFrame, key: str, ref_id: str, toks: str = "tokens", keywords: DataFrame | None = None,
                     kw_col: str | None = None, max_n: int = MAX_N) -> DataFrame:
     """:func:`ngram_stats` for any number of references: ``hyps`` has a row per key (key, kw_col, tokens), ``refs`` a row per
-    reference (key, ref_id, tokens; a null text is no reference).  A reference is a row throughout: counts by (key, n, gram,
-    side), the hypothesis' count and the largest of a reference beside each by a window over (key, n, gram), then sums by key.  So
-    the references of one key are spread over tasks, however many there are."""
+    reference (key, ref_id, tokens; a null text is no reference).
+
+    Texts meet their hypothesis by (key, part) as arrays of hashes, about MANY_REFS references in a part, and are counted there
+    (:func:`tiermill.operators.overlap.reference_stats`).  A key with more references has several parts in as many tasks; of these alone
+    the hypothesis' grams leave the row, for the largest count over all parts.  Keys without a row of their own
+    (null, or several rows of a hypothesis or reference) are counted as gram rows."""
+    carry = [key] + ([kw_col] if kw_col else [])
+    span = range(1, max_n + 1)
+    h_rows = hyps.groupBy(key).agg(F.count("*").alias("_n"))
+    per_ref = refs.groupBy(key, ref_id).agg(F.count("*").alias("_n"))
+    r_rows = per_ref.groupBy(key).agg(F.count("*").alias("_n"), F.max("_n").alias("_most"), F.max(F.col(ref_id).isNull()).alias("_null"))
+    odd = h_rows.where(F.col(key).isNull() | (F.col("_n") > 1)).select(key).unionByName(
+        r_rows.where(F.col(key).isNotNull() & ((F.col("_most") > 1) | F.col("_null"))).select(key)).distinct().withColumnRenamed(key, "_odd")
+    odd = bounded_broadcast(odd)
+    pooled = None
+    if not odd.isEmpty():
+        same = F.col(key).eqNullSafe(F.col("_odd"))
+        pooled = _pooled_references(hyps.join(odd, same, "left_semi"), refs.join(odd, same, "left_semi"), key, ref_id, toks, keywords, kw_col, max_n)
+        hyps, refs = hyps.join(odd, same, "left_anti"), refs.join(odd, same, "left_anti")
+    refs = refs.where(F.col(key).isNotNull())
+    many = bounded_broadcast(r_rows.where(F.col("_n") > MANY_REFS).select(
+        F.col(key).alias("_many"), F.ceil(F.col("_n") / MANY_REFS).cast("int").alias("_parts")))
+    none = many.isEmpty()
+    parted = lambda d: d.withColumn("_parts", F.lit(1)) if none else d.join(many, F.col(key) == F.col("_many"), "left").withColumn(
+        "_parts", F.coalesce("_parts", F.lit(1)))
+    split = (F.col("_parts") > 1).alias("split")
+    no_group = F.lit(None).cast(hyps.schema[kw_col].dataType if kw_col else "string")
+    sides = parted(hyps).select(key, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), split, F.lit(True).alias("hyp"),
+                                (F.col(kw_col) if kw_col else no_group).alias("kwg"), OV.hashes(F.coalesce(toks, F.array())).alias("v")).unionByName(
+        parted(refs).select(key, F.pmod(F.xxhash64(ref_id), F.col("_parts")).cast("int").alias("part"), split, F.lit(False).alias("hyp"),
+                            no_group.alias("kwg"), OV.hashes(toks).alias("v")))
+    st = OV.reference_stats(sides, key, max_n, unigrams=keywords is not None and kw_col is not None)
+    # a row per reference and one (side 0) per part
+    own = ["hl", "len", *[f"{c}{k}" for c in ("m", "t", "wn", "mm", "mt") for k in span]]
+    by = [key, "part", "side"]
+    if keywords is not None and kw_col:
+        kw = bounded_broadcast(keywords.select(F.col("kw_group").alias("_kwg"), OV.unigram_id("token").alias("_kwu")).distinct())
+        u = st.select(*by, "split", "kwg", *own, F.posexplode_outer("uni").alias("_i", "_u"))
+        u = u.join(kw, (F.col("kwg") == F.col("_kwg")) & (F.col("_u.g") == F.col("_kwu")), "left")
+        found = lambda c: F.sum(F.when(F.col("_kwu").isNotNull(), F.col(c)).otherwise(0))
+        x = u.groupBy(*by).agg(F.first("split").alias("split"), F.first("kwg").alias("kwg"), *[F.max(c).alias(c) for c in own],
+                               found("_u.b").alias("km"), found("_u.c").alias("kr"))
+    else:
+        x = st.select(*by, "split", "kwg", *own, F.lit(0).alias("km"), F.lit(0).alias("kr"))
+    ref = F.col("side") > 0
+    of_ref = lambda v: F.coalesce(F.sum(F.when(ref, v)), F.lit(0))
+    of_hyp = lambda v: F.coalesce(F.max(F.when(~ref, v)), F.lit(0))
+    more = KEYWORD_WEIGHT - OTHER_WEIGHT
+    one = F.greatest(F.lit(1.0), F.col("len") * OTHER_WEIGHT + F.col("kr") * more)
+    close = F.min(F.when(ref, F.struct(F.abs(F.col("len") - F.col("hl")).alias("d"), F.col("len").alias("l"))))
+    aggs = [F.max("kwg").alias(kw_col)] if kw_col else []
+    aggs += [F.max("hl").alias("hl"), close.alias("_close"), of_ref(one).cast("double").alias("wd1"), F.max("split").alias("_split")]
+    for k in span:
+        wn = F.col("wn1") * OTHER_WEIGHT + F.col("km") * more if k == 1 else F.col(f"wn{k}").cast("double")
+        aggs += [of_hyp(F.col(f"m{k}")).alias(f"m{k}"), F.greatest(F.lit(1), of_hyp(F.col(f"t{k}"))).cast("bigint").alias(f"d{k}"),
+                 of_ref(wn).cast("double").alias(f"wn{k}"), of_ref(F.col(f"mm{k}")).cast("bigint").alias(f"mm{k}"),
+                 of_ref(F.col(f"mt{k}")).cast("bigint").alias(f"mt{k}")]
+        if k > 1:
+            aggs.append(of_ref(F.greatest(F.lit(1.0), (F.col("len") - k + 1).cast("double"))).cast("double").alias(f"wd{k}"))
+    out = x.groupBy(key).agg(*aggs)
+    if not none:  # matches over several parts: the largest count of each gram, then their sum
+        best = st.where("split AND side = 0").select(key, F.inline("best")).groupBy(key, "n", "g").agg(F.max("b").alias("b"))
+        best = best.groupBy(key).agg(*[F.sum(F.when(F.col("n") == k, F.col("b")).otherwise(0)).alias(f"_b{k}") for k in span])
+        out = out.join(best, key, "left").withColumns({f"m{k}": F.when(F.col("_split"), F.coalesce(f"_b{k}", F.lit(0))).otherwise(F.col(f"m{k}")) for k in span})
+    out = out.select(*carry, "hl", F.coalesce(F.col("_close.l"), F.lit(0)).cast("bigint").alias("rl"), *[f"{c}{k}" for c in ("m", "d", "wn", "wd", "mm", "mt") for k in span])
+    return out if pooled is None else out.unionByName(pooled)
+
+
+def _pooled_references(hyps: DataFrame, refs: DataFrame, key: str, ref_id: str, toks: str, keywords: DataFrame | None,
+                       kw_col: str | None, max_n: int) -> DataFrame:
+    """:func:`reference_stats` of keys or references that stand in several rows, as gram rows: counts by (key, n, gram, side), the
+    hypothesis' count and the largest of a reference beside each by a window over (key, n, gram), then sums by key."""
     carry = [key] + ([kw_col] if kw_col else [])
     hyps, refs = hyps.select(*carry, F.coalesce(toks, F.array()).alias("toks")), refs.where(F.col(toks).isNotNull())
     group = hyps.select(*carry)

@@ -21,6 +21,8 @@ from tiermill.operators.joins import bounded_broadcast
 
 SLICE = 1 << 18
 HASH_BITS = 55
+SIDE_BITS = 5  # of a hypothesis and its references in a part; the rest of 64 bits number the rows of a slice
+SIDES = 1 << SIDE_BITS
 UNIGRAM = pa.list_(pa.struct([("g", pa.int64()), ("b", pa.int64()), ("c", pa.int64())]))
 UNIGRAM_SQL = "array<struct<g:bigint,b:bigint,c:bigint>>"
 
@@ -128,6 +130,105 @@ def row_stats(df: DataFrame, carry: Sequence[str], hyp: str, ref: str, max_n: in
     return x.mapInArrow(run, schema)
 
 
+def reference_stats(sides: DataFrame, key: str, max_n: int, unigrams: bool) -> DataFrame:
+    """Counts of hypotheses and their references, given as rows (key, part, split, hyp, kwg, v: array of hashes), where a part of a key
+    has one hypothesis row and about SIDES / 2 references (a null array is none).  A row per part with side 0 (``m1..``, clipped by the largest
+    count of any reference of the part, ``t1..``; with ``split`` also ``best``, the clipped count of each gram) and one per reference (``len``,
+    ``wn1..`` clipped matches, ``mm1..``, ``mt1..``, and with ``unigrams`` its unigrams ``uni``).  Each has its hypothesis' length, ``hl``,
+    and ``kwg``.  Parts without a hypothesis give no row.  Texts are shuffled once, and sorted so that a part's rows stand together."""
+    span = range(1, max_n + 1)
+    own = ["hl", "len", *[f"{c}{n}" for c in ("m", "t", "wn", "mm", "mt") for n in span]]
+    x = sides.select(key, "part", "split", "hyp", "kwg", "v").repartition(key, "part").sortWithinPartitions(key, "part", F.desc("hyp"))
+    best_type = pa.list_(pa.struct([("n", pa.int64()), ("g", pa.int64()), ("b", pa.int64())]))
+    names = [key, "part", "split", "kwg", "side", *own, "uni", "best"]
+
+    def whole_parts(batches):
+        """Tables that end where a part ends."""
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            ids = list(zip(t.column(0).to_pylist(), t.column(1).to_pylist()))
+            cut = len(ids)
+            while cut and ids[cut - 1] == ids[-1]:
+                cut -= 1
+            rest = t.slice(cut)
+            if cut:
+                yield t.slice(0, cut), ids[:cut]
+        if rest is not None and rest.num_rows:
+            yield rest, list(zip(rest.column(0).to_pylist(), rest.column(1).to_pylist()))
+
+    def run(batches):
+        for t, ids in whole_parts(batches):
+            valid = t.column(5).is_valid()
+            ids = [x for x, on in zip(ids, valid.to_pylist()) if on]
+            t = t.filter(valid).combine_chunks()
+            if not ids:
+                continue
+            starts = [i for i, x in enumerate(ids) if not i or x != ids[i - 1]]
+            is_hyp = t.column(3).to_pylist()
+            column = lambda c: pa.concat_arrays(t.column(c).chunks)  # noqa: B023, E731
+            v, lens = flat(column(5))
+            off = np.concatenate([[0], np.cumsum(lens)])
+            ranges = [(a, z) for a, z in zip(starts, [*starts[1:], len(ids)]) if is_hyp[a]]
+            if not ranges:
+                continue
+            for a, z in slices(np.array([off[z] - off[a] for a, z in ranges]), 1 << (64 - HASH_BITS - SIDE_BITS)):
+                got = ranges[a:z]
+                at = np.concatenate([np.arange(i, j) for i, j in got])  # rows of the table
+                width = np.array([j - i for i, j in got])
+                if width.max() > SIDES:
+                    yield from one_by_one(t, got, v, lens, off, column)
+                    continue
+                yield counted(at, np.repeat(np.arange(len(got)), width), width, v, lens, off, column)
+
+    def one_by_one(t, got, v, lens, off, column):
+        for i, j in got:
+            if j - i <= SIDES:
+                yield counted(np.arange(i, j), np.zeros(j - i, int), np.array([j - i]), v, lens, off, column)
+            else:  # a part that the hash of its references has filled beyond SIDES
+                yield counted(np.arange(i, j), np.zeros(j - i, int), np.array([j - i]), v, lens, off, column, (j - i).bit_length())
+
+    def counted(at, rows, width, v, lens, off, column, side_bits=SIDE_BITS):
+        first = np.concatenate([[0], np.cumsum(width)[:-1]])
+        side = np.arange(len(at)) - np.repeat(first, width)
+        k = len(at)
+        vv = np.concatenate([v[off[i]:off[i + 1]] for i in at]) if k else v[:0]
+        ln = lens[at]
+        out = {"hl": np.repeat(ln[first], width), "len": ln}
+        uni, best_of = pa.nulls(k, UNIGRAM), []
+        split = column(2).take(pa.array(at))
+        is_split = np.repeat(np.array(split.take(pa.array(first)).to_pylist()), width)
+        for n, row, s, g, c, ch, top in count_grams(vv, ln, rows, side, max_n, side_bits):
+            owner = first[row] + s
+            r = s > 0
+            total = lambda on, w: np.bincount(owner[on], weights=w[on], minlength=k).astype(np.int64)  # noqa: B023, E731
+            clipped = np.minimum(c, ch)
+            out |= {f"m{n}": total(~r, np.minimum(c, top)), f"t{n}": total(~r, c), f"wn{n}": total(r, clipped),
+                    f"mm{n}": total(r & (ch > 0), c), f"mt{n}": total(r, c)}
+            if unigrams and n == 1:
+                o = np.argsort(owner[r], kind="stable")
+                uni = unigram_lists(owner[r][o], k, g[r][o], clipped[r][o], c[r][o])
+            on = ~r & is_split[owner]
+            if on.any():
+                best_of.append((owner[on], np.full(on.sum(), n), g[on], np.minimum(c, top)[on]))
+        best = pa.nulls(k, best_type)
+        if best_of:
+            owner, *fields = (np.concatenate(f) for f in zip(*best_of))
+            o = np.argsort(owner, kind="stable")
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=k))]).astype(np.int32)
+            best = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(f[o].astype(np.int64)) for f in fields], ["n", "g", "b"]))
+        take = pa.array(at)
+        group = column(4).take(pa.array(at[np.repeat(first, width)]))
+        return pa.RecordBatch.from_arrays([column(0).take(take), column(1).take(take), split, group, pa.array(side.astype(np.int32)),
+                                           *(pa.array(out[c]) for c in own), uni, best], names)
+
+    simple = lambda c: f"`{c}` {x.schema[c].dataType.simpleString()}"
+    schema = ", ".join([simple(key), "part int", "split boolean", simple("kwg"), "side int", *(f"{c} bigint" for c in own), f"uni {UNIGRAM_SQL}",
+                        "best array<struct<n:bigint,g:bigint,b:bigint>>"])
+    return x.mapInArrow(run, schema)
+
+
 def by_repeats(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     """``df`` without the rows whose ``keys`` (nulls are equal) stand in several rows, and those rows, None if there are none."""
     keys = list(keys)
