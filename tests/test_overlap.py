@@ -91,3 +91,14 @@ def test_references_leave_their_grams_in_the_part(spark):
     r = spark.createDataFrame([(1, 1, ["a"]), (1, 2, ["b"])], "k long, i long, tokens array<string>")
     plan = NG.reference_stats(h, r, "k", "i")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and "MapInArrow" in plan
+
+
+def test_membership_in_rows(spark):
+    from tiermill.operators import trees as TR
+    rows = [(1, ["a", "b", "a", "b"], ["a", "b"]), (2, ["a"], []), (3, ["a", "b"], None), (4, None, ["a", "b", "c"]), (5, ["a", "b"], ["b"]),
+            (5, ["c"], ["a", "b"]), (None, ["a", "b"], ["a", "b"]), (None, ["x", "y"], ["a", "z"])]
+    df = spark.createDataFrame(rows, "k long, r array<string>, h array<string>")
+    got = {x.k: (x.matched, x.total, x.ratio) for x in TR.membership_in_rows(df, ["k"], TR.adjacent_pairs("r"), TR.adjacent_pairs("h")).collect()}
+    assert got == {1: (2, 3, 2 / 3), 3: (0, 1, 0.0), 4: (0, 0, None), 5: (1, 1, 1.0), None: (1, 2, 0.5)}
+    plan = TR.membership_in_rows(df.where("k < 5"), ["k"], TR.adjacent_pairs("r"), TR.adjacent_pairs("h"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiermill.functions.text import strip_comments as _strip_comments
+from tiermill.operators import overlap as OV
 
 # The tag kinds that are always closed in the page fixture, which the SQL of tree_shapes and tree_match names.
 HTML_TAGS = ["ul", "li", "a", "nav", "div", "article", "footer", "title", "head", "style", "script", "h1"]
@@ -149,6 +150,22 @@ def membership_counts(u: DataFrame, keys: Sequence[str], items: Sequence[str]) -
     return out.withColumn("ratio", F.when(F.col("total") > 0, F.col("matched") / F.col("total")))
 
 
+def membership_in_rows(df: DataFrame, keys: Sequence[str], ref: F.Column, cand: F.Column) -> DataFrame:
+    """:func:`membership_ratio` of items that stand in arrays of the same row, a null array being an empty one; a row without any
+    item gives none.  Items are hashed to 64 bits and counted inside the row, so that none is shuffled; rows of keys that
+    stand in several rows go through :func:`membership_ratio`."""
+    keys = list(keys)
+    x = df.select(*keys, OV.hashes(ref).alias("_ref"), OV.hashes(cand).alias("_cand"))
+    once, again = OV.by_repeats(x, keys)
+    st = OV.row_stats(once, keys, "_cand", "_ref", 1, unigrams=False).where("hl + rl > 0")
+    out = st.select(*keys, F.col("mm1").alias("matched"), F.col("mt1").alias("total")).withColumn(
+        "ratio", F.when(F.col("total") > 0, F.col("matched") / F.col("total")))
+    if again is None:
+        return out
+    one = lambda c: again.select(*keys, F.explode(c).alias("_item"))
+    return out.unionByName(membership_ratio(one("_ref"), one("_cand"), keys, ["_item"]))
+
+
 def adjacent_pairs(tokens_col: str) -> F.Column:
     """array<struct<src, dst>> of adjacent tokens (the edge stand-in); a zip
     of the array with itself shifted by one, no lambda."""

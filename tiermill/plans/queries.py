@@ -387,9 +387,7 @@ def q_weighted_ngram(spark, sf):
 
 def doc_edges(spark, sf):
     hr = X.hyp_ref_documents(spark, sf).select("doc_id", "hyp_tokens", F.col("refs")[0].alias("ref_tokens"))
-    ref = hr.select("doc_id", F.explode(TR.adjacent_pairs("ref_tokens")).alias("e")).select("doc_id", "e.*")
-    cand = hr.select("doc_id", F.explode(TR.adjacent_pairs("hyp_tokens")).alias("e")).select("doc_id", "e.*")
-    return TR.membership_ratio(ref, cand, ["doc_id"], ["src", "dst"])
+    return TR.membership_in_rows(hr, ["doc_id"], TR.adjacent_pairs("ref_tokens"), TR.adjacent_pairs("hyp_tokens"))
 
 
 @query("edge_match")
