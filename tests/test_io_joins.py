@@ -111,3 +111,19 @@ def test_no_shared_folder_on_a_cluster_raises():
     sc = N(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None)
     with pytest.raises(ValueError):
         checkpoint_dir(N(sparkContext=sc))
+
+
+def test_lines_are_made_after_the_texts_are_in_order(spark, tmp_path):
+    from tiermill.sources import readers as RD
+    from tiermill.sources import sinks as SK
+    df = spark.createDataFrame([(i, f"t{i} x") for i in range(500)], "line_no long, text string").repartition(7)
+    lines = SK.in_line_order(df).select("line_no", F.upper("text").alias("value"))
+    SK.write_lines(lines, str(tmp_path / "a"), ordered=True)
+    assert sorted((r.line_no, r.value) for r in RD.read_lines(spark, str(tmp_path / "a")).collect()) == [(i, f"T{i} X") for i in range(500)]
+
+
+def test_line_texts_shuffle_texts_not_tokens(spark):
+    from tiermill.plans import fixtures as X
+    from tests.conftest import SF_SMALL
+    plan = X.hyp_ref(X.line_texts(spark, SF_SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" in plan and "split" not in plan[plan.index("RepartitionByExpression"):]

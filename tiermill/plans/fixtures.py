@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tiermill.functions.text import tokens
 from tiermill.operators.joins import neighbours_in_group
+from tiermill.operators.report import dense_index
 from tiermill.operators.tiers import FAILED, PERFECT, SYNC
 from tiermill.session import table
+from tiermill.sources.sinks import in_line_order
 
 SAMPLE_KEYS = ["user_id", "day"]
 GROUP_KEYS = ["lang", "source"]
@@ -69,8 +71,19 @@ def fenced_pages(spark: SparkSession, sf: str) -> DataFrame:
 def hyp_ref_documents(spark: SparkSession, sf: str) -> DataFrame:
     """reference = text tokens; hypothesis = same tokens with every 7th dropped.  Texts are dealt out by id before they become
     tokens: they are smaller then, and what is joined on the id later finds them there."""
-    d = (table(spark, sf, "documents").select("doc_id", "lang", "source", "text").repartition("doc_id")
-         .withColumn("ref_tokens", tokens("text")))
-    return d.select("doc_id", "lang", "source",
-                    F.filter("ref_tokens", lambda x, i: (i + 1) % 7 != 0).alias("hyp_tokens"),
+    return hyp_ref(table(spark, sf, "documents").select("doc_id", "lang", "source", "text").repartition("doc_id")).select(
+        "doc_id", "lang", "source", "hyp_tokens", "refs")
+
+
+def hyp_ref(texts: DataFrame) -> DataFrame:
+    """``texts`` with the tokens of :func:`hyp_ref_documents` in place of ``text``."""
+    d = texts.withColumn("ref_tokens", tokens("text")).drop("text")
+    return d.select(*[c for c in d.columns if c != "ref_tokens"], F.filter("ref_tokens", lambda x, i: (i + 1) % 7 != 0).alias("hyp_tokens"),
                     F.array("ref_tokens").alias("refs"))
+
+
+def line_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """``line_no, doc_id, text`` in the order of the lines, a line per document: ids are numbered, texts joined, and what is
+    derived from a text is computed after this shuffle, whose sample reads only what is here."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return in_line_order(dense_index(d.select("doc_id"), ["doc_id"], out="line_no").join(d, "doc_id").select("line_no", "doc_id", "text"))

@@ -678,12 +678,11 @@ def q_jsonl_roundtrip(spark, sf):
 
 @query("aligned_lines")
 def q_aligned_lines(spark, sf):
-    hr = X.hyp_ref_documents(spark, sf)
-    base = RP.dense_index(hr.select("doc_id"), ["doc_id"], out="line_no").join(hr, "doc_id")  # ids are numbered, texts joined
+    base = X.hyp_ref(X.line_texts(spark, sf))
     root = shared_dir(spark, "aligned")
-    SK.write_lines(base.select("line_no", TX.one_line(F.array_join("hyp_tokens", " ")).alias("value")), f"{root}/pred")
-    SK.write_lines(base.select("line_no", TX.one_line(F.array_join(F.col("refs")[0], " ")).alias("value")), f"{root}/ref")
-    SK.write_lines(base.select("line_no", F.col("doc_id").alias("value")), f"{root}/ids")
+    SK.write_lines(base.select("line_no", TX.one_line(F.array_join("hyp_tokens", " ")).alias("value")), f"{root}/pred", ordered=True)
+    SK.write_lines(base.select("line_no", TX.one_line(F.array_join(F.col("refs")[0], " ")).alias("value")), f"{root}/ref", ordered=True)
+    SK.write_lines(base.select("line_no", F.col("doc_id").alias("value")), f"{root}/ids", ordered=True)
     j = RD.align_lines(RD.read_lines(spark, f"{root}/pred"), RD.read_lines(spark, f"{root}/ref"),
                        RD.read_lines(spark, f"{root}/ids"))
     return j.select("line_no", F.col("id").cast("bigint").alias("doc_id"), "pred", "ref")
@@ -788,12 +787,11 @@ def q_stream_mine_pairs(spark, sf):
 
 @query("hypotheses_jsonl")
 def q_hypotheses_jsonl(spark, sf):
-    hr = X.hyp_ref_documents(spark, sf)
-    base = RP.dense_index(hr.select("doc_id"), ["doc_id"], out="line_no").join(hr, "doc_id")  # ids are numbered, texts joined
+    base = X.hyp_ref(X.line_texts(spark, sf))
     rec = F.to_json(F.struct(F.array_join("hyp_tokens", " ").alias("prediction"),
                              F.array_join(F.col("refs")[0], " ").alias("target")))
     path = shared_dir(spark, "hyp-jsonl")
-    SK.write_lines(base.select("line_no", rec.alias("value")), path)
+    SK.write_lines(base.select("line_no", rec.alias("value")), path, ordered=True)
     return RD.read_hypotheses(spark, path, "prediction").select("line_no", "hyp", "target")
 
 

@@ -60,11 +60,16 @@ def write_reports(df: DataFrame, path: str, report: F.Column, by: str = "categor
     df.select(F.col(by), report.alias("value")).write.mode(mode).partitionBy(by).text(path)
 
 
-def write_lines(df: DataFrame, path: str, value: str = "value", order: str = "line_no", mode: str = "errorifexists") -> None:
-    """One output line per row in ``order``: range-partitioned and sorted
-    within partitions, so part files concatenate in order."""
-    (df.repartitionByRange(order).sortWithinPartitions(order)
-       .select(F.col(value).cast("string").alias("value")).write.mode(mode).text(path))
+def in_line_order(df: DataFrame, order: str = "line_no") -> DataFrame:
+    """Range-partitioned and sorted within partitions, so that part files concatenate in order."""
+    return df.repartitionByRange(order).sortWithinPartitions(order)
+
+
+def write_lines(df: DataFrame, path: str, value: str = "value", order: str = "line_no", mode: str = "errorifexists", ordered: bool = False) -> None:
+    """One output line per row in ``order``.  ``ordered``: the rows come from :func:`in_line_order`, so that the lines, which are often
+    larger than what they are made of, need not be sampled and shuffled."""
+    x = df if ordered else in_line_order(df, order)
+    x.select(F.col(value).cast("string").alias("value")).write.mode(mode).text(path)
 
 
 def write_keywords(keywords: DataFrame, folder: str, mode: str = "errorifexists") -> None:
