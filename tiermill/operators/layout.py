@@ -21,7 +21,7 @@ DEDENT(-1) up to it.  A run contributes
 So a row can be cut behind any word: all that a part needs from the parts
 before is the level and whether there was a word.  A row becomes blocks that
 end with a word; what a block does to the level is a pair of numbers (sum, lowest
-running sum), a window over one row per block composes the pairs, and blocks
+running sum), the pairs are composed in the row that the blocks leave, and blocks
 are written out side by side.  A huge row is spread over many tasks until its text
 is put together.
 """
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiermill.functions.text import py_strip, tokens
+from tiermill.operators.overlap import by_repeats
 from tiermill.operators.scans import plain_keys
 
 # The structural tokens and one indent unit.
@@ -57,9 +58,14 @@ def write_out(toks: list[str], level: int, first: bool) -> str:
             else:
                 e0 = e0 + 1 if t == INDENT else max(0, e0 - 1)
         else:
-            blank = level == at_last == 0 if lines else not first and e0 == 0
-            out += [UNIT * e0, *("\n" + UNIT * n for n in lines), " " if blank else "", t]
-            first, e0, lines = False, 0, []
+            if lines:
+                out.append(UNIT * e0 + "".join(["\n" + UNIT * n for n in lines]) + (" " + t if level == at_last == 0 else t))
+                lines = []
+            elif e0:
+                out.append(UNIT * e0 + t)
+            else:
+                out.append(t if first else " " + t)
+            first, e0 = False, 0
     return "".join([*out, UNIT * e0, *("\n" + UNIT * n for n in lines)])
 
 
@@ -80,26 +86,57 @@ def layout_lines(df: DataFrame, key: str, col: str, out: str = "code", size: int
     """``key, out``: the text of every row; rows have different keys."""
     toks = tokens(py_strip(F.replace(F.col(col), F.lit("'"), F.lit(""))))
     rows = df.select(key, F.coalesce(toks, F.array().cast("array<string>")).alias("t"))
-    x = rows.select(key, F.explode(_blocks(F.col("t"), size)).alias("b")).select(key, "b.blk", "b.part")
+    once, again = by_repeats(rows, [key])
+    parts = _written(_in_rows(once, key, size), key)
+    if again is not None:
+        parts = parts.unionByName(_written(_by_window(again, key, size), key))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "text"))), lambda p: p["text"]), "")
+    return parts.groupBy(key).agg(joined.alias(out))
+
+
+def _move(part) -> F.Column:
+    """What a block does: sum and lowest running sum of the level, and is there a word."""
     step = lambda s, t: F.struct((s["s"] + F.when(t == INDENT, 1).when(t == DEDENT, -1).otherwise(0)).alias("s"),
                                  F.least(s["low"], s["s"] + F.when(t == DEDENT, -1).otherwise(0)).alias("low"),
                                  (s["w"] | ~t.isin(NEW_LINE, INDENT, DEDENT)).alias("w"))
     start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("low"), F.lit(False).alias("w"))
+    return F.aggregate(part, start, step)
+
+
+def _in_rows(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``key, blk, part, level, first``: what comes before a block is summed up in the row that the blocks leave, a move per
+    block but the last, so that it needs neither a second pass over the tokens nor a join."""
+    x = rows.select(key, _blocks(F.col("t"), size).alias("_b"))
+    x = x.select(key, "_b", F.transform(F.slice("_b", F.lit(1), F.size("_b") - 1), lambda p: _move(p["part"])).alias("_m"))
+    add = lambda a, m: F.struct((a["s"] + m["s"]).alias("s"), F.least(a["low"], a["s"] + m["low"]).alias("low"), (a["w"] | m["w"]).alias("w"))
+    start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("low"), F.lit(False).alias("w"))
+    before = F.transform("_b", lambda p, i: F.struct(p["blk"].alias("blk"), p["part"].alias("part"), F.aggregate(F.slice("_m", F.lit(1), i), start, add).alias("m")))
+    x = x.select(key, F.explode(before).alias("b")).select(key, "b.blk", "b.part", (F.col("b.m.s") - F.col("b.m.low")).cast("int").alias("level"),
+                                                           (~F.col("b.m.w")).alias("first"))
+    x, names = plain_keys(x, [key])
+    return x.repartition(*names, "blk").select(key, "blk", "part", "level", "first")
+
+
+def _by_window(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """:func:`_in_rows` of keys that stand in several rows, whose blocks follow each other by number: moves as a table, composed by
+    a window."""
+    x = rows.select(key, F.explode(_blocks(F.col("t"), size)).alias("b")).select(key, "b.blk", "b.part")
     x, names = plain_keys(x, [key])
     x = x.repartition(*names, "blk")
-    moves = x.select(*names, "blk", F.aggregate("part", start, step).alias("m"))
+    moves = x.select(*names, "blk", _move("part").alias("m"))
     before = Window.partitionBy(*names).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     moves = moves.select(*names, "blk", "m.low", "m.w", F.coalesce(F.sum("m.s").over(before), F.lit(0)).alias("s"))
     low = F.least(F.lit(0), F.min(F.col("s") + F.col("low")).over(before))
     moves = moves.select(*names, "blk", (F.col("s") - low).cast("int").alias("level"),
                          (~F.coalesce(F.max("w").over(before), F.lit(False))).alias("first"))
-    x = x.join(moves, [*names, "blk"]).select(key, "blk", "part", "level", "first")
+    return x.join(moves, [*names, "blk"]).select(key, "blk", "part", "level", "first")
+
 
+def _written(x: DataFrame, key: str) -> DataFrame:
+    """``key, blk, text``."""
     def run(batches):
         for b in batches:
             text = [write_out(*r) for r in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], [key, "blk", "text"])
 
-    parts = x.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, blk int, text string")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "text"))), lambda p: p["text"]), "")
-    return parts.groupBy(key).agg(joined.alias(out))
+    return x.mapInArrow(run, f"`{key}` {x.schema[key].dataType.simpleString()}, blk int, text string")

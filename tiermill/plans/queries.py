@@ -624,7 +624,7 @@ def marked_line() -> F.Column:
 
 @query("layout_lines")
 def q_layout_lines(spark, sf):
-    d = docs(spark, sf).select("doc_id", marked_line().alias("line"))
+    d = docs(spark, sf).select("doc_id", "text").repartition("doc_id").select("doc_id", marked_line().alias("line"))
     return LY.layout_lines(d, "doc_id", "line")
 
 
