@@ -592,10 +592,9 @@ def q_line_multiset_diff(spark, sf):
 def q_focus_tokens(spark, sf):
     p = diff_pairs(spark, sf).withColumn("prompt", F.concat(F.lit("Fix the text for "), F.col("lang"), F.lit(":\n")))
     p = p.withColumn("full", F.concat("prompt", "chosen")).withColumn("plen", F.length("prompt"))
-    spans = DF.token_spans(p, "doc_id", "full", carry=["plen"])
     ranges = (line_diff(spark, sf).filter(F.col("side") == "chosen")
               .select("doc_id", F.col("start").alias("fs"), F.col("end").alias("fe")))
-    f = DF.focus_labels(spans, ranges, ["doc_id"], "plen", F.col("tok_idx") * 7 + F.length("token"))
+    f = DF.focus_tokens(p, "doc_id", "full", ranges, "plen", F.col("tok_idx") * 7 + F.length("token"))
     return f.select("doc_id", "tok_idx", "label")
 
 
