@@ -5,6 +5,7 @@ import random
 import tempfile
 import time
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tiermill.operators import pairs as P
@@ -79,3 +80,55 @@ def test_ranks_agree_with_the_batch_expression(spark):
     texts = ["", "a", "é\n", "x" * 500]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(P.text_rank(42, "t").alias("r")).collect()
     assert [r.r for r in got] == [M.text_rank(42, t) for t in texts]
+
+
+class Handle:
+    """Counts the calls that a processor makes for its state."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+
+def test_calls_for_state_do_not_grow_with_groups():
+    handle, p = Handle(), M.OpenGroups(P.DEFAULT_CAPS, 42, ["g", "x"])
+    p.init(handle)
+    rows = lambda a: iter([Row(g=i % 200 or None, x=float("nan") if i % 2 else 1.0, tier="sync", _id=i, _text=f"t{i // 200}") for i in range(a, a + 800)])
+    for a in (0, 800):
+        assert not list(p.handleInputRows((77, 1), rows(a), None))
+    assert handle.timers == [77] and handle.calls == 5
+    out = list(p.handleExpiredTimer((77, 1), None, None))
+    assert handle.calls == 7 and handle.value is None
+    assert len(out) == 200 and all(len(r["_sync"]) == P.DEFAULT_CAPS["sync"] and not r["_failed"] for r in out)
+    best = sorted((M.text_rank(42, f"t{k}"), k) for k in range(8))[:P.DEFAULT_CAPS["sync"]]
+    assert [(x.r, x.id, x.text) for x in next(r for r in out if r.g == 6)["_sync"]] == [(n, 200 * k + 6, f"t{k}") for n, (_, k) in enumerate(best, 1)]
+
+
+def test_any_number_of_buckets_gives_the_same_pairs(spark):
+    rng = random.Random(3)
+    rows = [row(rng.choice([None, *(f"g{k}" for k in range(40))]), i, f"t{rng.randrange(6)}", rng.choice(["perfect", "sync", "failed"]), rng.randrange(1, 4)) for i in range(600)]
+    rows.sort(key=lambda r: r[4])
+    by_day = [[(f"{r[0]}-{r[4].day}" if r[0] else None, *r[1:]) for r in rows if r[4].day == d and (r[0] or d == 1)] for d in (1, 2, 3)]
+    flat = lambda df: sorted((str(r.g), r.strategy, r.chosen_id, r.rejected_id, r.pair_rank) for r in df.collect())
+    want = flat(P.mine_pairs(spark.createDataFrame([r for b in by_day for r in b], SCHEMA), ["g"], "cand_idx", "code", by_text=True))
+    for n in (1, 7):
+        assert flat(mined(spark, [*by_day, [row("z", 10**6, "p", "perfect", 9)]], buckets=n)) == want
+    assert len(want) > 100

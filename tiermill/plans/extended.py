@@ -50,24 +50,23 @@ k AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY md5('42|'
       FROM p WHERE chosen <> rejected)
 SELECT user_id, day, strategy, chosen_id, rejected_id, pair_rank FROM k WHERE pair_rank <= 4""")
 def q_stream_mine_state(spark, sf):
-    """Pairs of every closed (user, day) of a stream of run results, groups as keyed state: one file per micro-batch, in the
-    order of event time."""
+    """Pairs of every closed (user, day) of a stream of run results, groups as keyed state: one quarter of the rows per micro-batch, in
+    the order of event time.  The query stops after each quarter and goes on from its checkpoint with the next."""
     cands, gt = X.exec_stand_in(spark, sf)
     rows = T.tier(T.join_gt(cands, gt, X.SAMPLE_KEYS), policy="pairs").select(
         *X.SAMPLE_KEYS, "cand_idx", F.col("stdout").alias("code"), "tier", STM.utc_instant("ts").alias("ts"))
     rows = cut_lineage(rows)
     quarter = rows.select(F.percentile_approx(F.unix_millis("ts"), [0.25, 0.5, 0.75]).alias("q")).first().q or []
     part = sum((F.when(F.unix_millis("ts") > q, 1).otherwise(0) for q in quarter), F.lit(0))
-    src = shared_dir(spark, "runs-src")
-    for i in range(4):
-        rows.where(part == i).coalesce(1).write.parquet(f"{src}/part={i}")
-    stream = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src))
+    src, sink, ck = shared_dir(spark, "runs-src"), shared_dir(spark, "state-out"), shared_dir(spark, "state-ck")
     closes = STM.utc_instant("day_end")
-    stream = stream.withColumn("day_end", F.to_timestamp_ntz(F.col("day"), F.lit("yyyy-MM-dd")) + F.expr("INTERVAL 1 DAY"))
     with MN.rocksdb_state(spark):
-        pairs = MN.stream_mine_state(stream, X.SAMPLE_KEYS, "ts", closes)
-        sink, ck = shared_dir(spark, "state-out"), shared_dir(spark, "state-ck")
-        STM.run_available_now(pairs.select(*X.SAMPLE_KEYS, "strategy", "chosen_id", "rejected_id", "pair_rank"), sink, ck)
+        for i in range(4):
+            rows.where(part == i).write.mode("append").parquet(src)
+            stream = spark.readStream.schema(rows.schema).parquet(src)
+            stream = stream.withColumn("day_end", F.to_timestamp_ntz(F.col("day"), F.lit("yyyy-MM-dd")) + F.expr("INTERVAL 1 DAY"))
+            pairs = MN.stream_mine_state(stream, X.SAMPLE_KEYS, "ts", closes)
+            STM.run_available_now(pairs.select(*X.SAMPLE_KEYS, "strategy", "chosen_id", "rejected_id", "pair_rank"), sink, ck)
     return STM.read_sink(spark, sink, "user_id long, day string, strategy string, chosen_id long, rejected_id long, pair_rank long")
 
 

@@ -6,6 +6,10 @@ that is among the best of all candidates is among the best of those seen so far
 misses no smaller id.  A group closes when the watermark passes its closing time; an event-time timer then emits its tiers,
 the state goes, and the pairs are built in-row by the same expressions as in batch mining (``mine_pairs(by_text=True)``).
 
+Groups that close at the same time are kept together, ``buckets`` keys of state a closing time, as each call for state or timers is a round
+trip to the JVM: the calls grow with closing times and buckets, not with groups.  A micro-batch reads and writes the buckets that it touches, so
+``buckets`` should grow with the groups that are open at a time.
+
 Rows of a common group are cut to its best texts inside each Arrow batch before the shuffle, so a group that holds a third of
 a batch sends a few rows per Arrow batch to its task.
 
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import pickle
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -31,7 +36,8 @@ from tiermill.operators.tiers import FAILED, PERFECT, SYNC
 
 TIERS = (PERFECT, SYNC, FAILED)
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STATE = "tier string, rank string, id long, text string"
+BUCKETS = 256
+_NAN = float("nan")  # one object for all, so that keys with it are equal
 
 
 @contextlib.contextmanager
@@ -70,38 +76,44 @@ def merge(best: dict[tuple[str, str], tuple[str, int]], rows, caps: dict[str, in
             count[tier] -= 1
 
 
-class OpenGroup(StatefulProcessor):
-    """State of one group: its best texts, and a timer at its closing time."""
+def group_key(values) -> tuple:
+    """A group's keys as a dictionary's key."""
+    return tuple(_NAN if v != v else v for v in values)
+
+
+class OpenGroups(StatefulProcessor):
+    """State of the groups of a bucket, {group's keys: its best texts}, and a timer at their closing time."""
 
     def __init__(self, caps: dict[str, int], seed: int | str, keys: Sequence[str]):
         self.caps, self.seed, self.keys = caps, seed, list(keys)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getListState("best", _STATE)
+        self.groups = handle.getValueState("groups", "best binary")
+
+    def kept(self) -> dict[tuple, dict[tuple[str, str], tuple[str, int]]]:
+        had = self.groups.get()
+        return {group_key(k): best for k, best in pickle.loads(bytes(had[0])).items()} if had is not None else {}
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        kept = {(tier, text): (rank, i) for tier, rank, i, text in self.best.get()} if self.best.exists() else {}
-        timed = bool(kept)
-
-        def stream():
-            nonlocal timed
-            for r in rows:
-                if not timed:  # all rows of a group agree on its closing time
-                    self.handle.registerTimer(int(r["_closes"]))
-                    timed = True
-                yield r["tier"], r["_id"], r["_text"]
-
-        merge(kept, stream(), self.caps, self.seed)
-        self.best.put([(tier, rank, i, text) for (tier, text), (rank, i) in kept.items()])
+        kept, new = self.kept(), {}
+        if not kept:
+            self.handle.registerTimer(int(key[0]))
+        for r in rows:
+            new.setdefault(group_key(r[k] for k in self.keys), []).append((r["tier"], r["_id"], r["_text"]))
+        for group, found in new.items():
+            merge(kept.setdefault(group, {}), found, self.caps, self.seed)
+        self.groups.update((pickle.dumps(kept, 4),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        tiers = {t: [] for t in TIERS}
-        for tier, rank, i, text in sorted(self.best.get(), key=lambda x: (x[1], x[2])):
-            tiers[tier].append(Row(r=len(tiers[tier]) + 1, id=i, text=text))
-        self.best.clear()
-        yield Row(**dict(zip(self.keys, key)), **{f"_{t}": rows for t, rows in tiers.items()})
+        kept = self.kept()
+        self.groups.clear()
+        for group, best in kept.items():
+            tiers = {t: [] for t in TIERS}
+            for (tier, text), (_, i) in sorted(best.items(), key=lambda x: (x[1], x[0])):
+                tiers[tier].append(Row(r=len(tiers[tier]) + 1, id=i, text=text))
+            yield Row(**dict(zip(self.keys, group)), **{f"_{t}": rows for t, rows in tiers.items()})
 
     def close(self) -> None:
         pass
@@ -129,7 +141,7 @@ def best_of_batches(rows: DataFrame, keys: Sequence[str], caps: dict[str, int],
 def stream_mine_state(stream: DataFrame, keys: Sequence[str], ts: str, closes: Column, id_col: str = "cand_idx",
                       text_col: str = "code", caps: dict[str, int] | None = None, max_pairs: int = P.DEFAULT_MAX_PAIRS,
                       seed: int = 42, max_tokens: int | None = None, prompt: Column | None = None,
-                      lateness: str = "1 day") -> DataFrame:
+                      lateness: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """Pairs of every group of a stream of tiered candidates (keys, id, text, tier, ``ts``), emitted once its group has closed.
 
     ``closes`` is the group's closing time, a timestamp that all its rows agree on and none is after.  The session's state
@@ -140,7 +152,8 @@ def stream_mine_state(stream: DataFrame, keys: Sequence[str], ts: str, closes: C
     rows = best_of_batches(rows, keys, caps, seed).withWatermark("_ts", lateness)
     entry = T.ArrayType(T.StructType([T.StructField("r", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("text", T.StringType())]))
     out = T.StructType([rows.schema[k] for k in keys] + [T.StructField(f"_{t}", entry) for t in TIERS])
-    closed = rows.groupBy(*keys).transformWithState(OpenGroup(caps, seed, keys), out, "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    closed = rows.withColumn("_bucket", bucket).groupBy("_closes", "_bucket").transformWithState(OpenGroups(caps, seed, keys), out, "Append", "EventTime")
     extra: list[str] = []
     sides = [F.col(f"_{t}") for t in TIERS]
     if max_tokens is not None:
